@@ -81,3 +81,26 @@ define(
     FROM {events}
     """,
 )
+# pages with the parts that the given pages lack: header, cards, prices, booking parts, contacts
+define(
+    "pages_in",
+    """
+    SELECT page_id, url, concat('https://', replace(substring(url, position('//' IN url) + 2, position('.example' IN url) - position('//' IN url) - 2), 'www.', ''), '.example.org/') AS site,
+    replace(html, '</article>', concat('</article>',
+        '<header><a href="https://www.instagram.com/clinic', page_id % 30, '/?hl=en">i</a><a href="https://t.me/club', page_id % 30, '#x">t</a></header>',
+        '<div class="team-card" id="d', page_id, '"><h3>Иванов Иван', CASE WHEN page_id % 3 = 0 THEN ' Петрович' ELSE '' END, '</h3><p>', CASE WHEN page_id % 4 = 0 THEN '' ELSE 'врач-ортодонт' END,
+        ' +7 (913) 555-10-', lpad(CAST(page_id % 100 AS STRING), 2, '0'), '</p><span>doc', page_id, '@clinic.example.com</span></div>',
+        '<div class="staff">Наша Клиника</div>',
+        '<ul><li>Консультация ', page_id, ' — от ', page_id + 100, ' руб.</li><li>Снимок до 1 500 руб</li></ul>',
+        '<table><tr><th>Услуга</th><th>Цена</th></tr><tr><td>Осмотр</td><td>', page_id + 1000, ' - ', page_id + 2000, ' ₽</td></tr></table>',
+        '<form id="f', page_id, '" action="https://n', page_id % 25, '.yclients.com/record"><input name="phone" placeholder="имя"></form>',
+        CASE WHEN page_id % 5 = 0 THEN '<form id="call"><p>Онлайн запись</p><input name="phone"></form>' ELSE '' END,
+        '<a class="btn" href="/booking/', page_id % 7, '">Запись</a><iframe src="https://w', page_id % 9, '.medflex.ru/w"></iframe>',
+        '<a href="https://partner.example.net/visit">записаться</a>',
+        '<a href="https://clck.ru/', page_id % 3, '">s</a><a href="https://code.jivo.chat/x">c</a><a href="https://bad.example.net:port/">b</a>',
+        '<a href="https://vk.com/club', page_id % 11, '#w">v</a><a href="https://shop', page_id % 13, '.example.net/p?x=1">o</a>',
+        '<div class="contacts">ИНН 77', lpad(CAST(page_id % 40 AS STRING), 8, '0'), ', ОГРН 1', lpad(CAST(page_id % 40 AS STRING), 12, '0'),
+        ' тел. 8 (383) 255-', lpad(CAST(page_id % 40 AS STRING), 2, '0'), '-11 Info', page_id % 40, '@Example.com</div>')) AS html
+    FROM {pages}
+    """,
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls",)
+MODULES = ("urls", "columns", "pages")
 
 
 def load():
