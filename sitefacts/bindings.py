@@ -26,9 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Puts an input of fewer splits than cores on all cores, ahead of costly work per row.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def bound(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
     sql = BINDINGS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    if costly:
+        used = {t: spread(df) for t, df in used.items()}
     return spark.sql(sql, **used)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "columns", "pages")
+MODULES = ("urls", "columns", "pages", "extract")
 
 
 def load():

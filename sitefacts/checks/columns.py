@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
-from sitefacts.bindings import bound, define, sql_of, table
+from sitefacts.bindings import bound, define, spread, sql_of, table
 from sitefacts.checks.base import list_sql, query
 from sitefacts.operators import columns as O
 
@@ -19,7 +19,7 @@ SP = r"[\s\x{00A0}]"
     trim(regexp_replace(translate(lower(text), 'ё', 'е'), '{SP}+', ' ', 'g')) AS folded FROM documents""",
 )
 def compact_text(spark, sf):
-    df = table(spark, sf, "documents")
+    df = spread(table(spark, sf, "documents"))
     for out, variant in (("plain", "plain"), ("markdown", "markdown"), ("folded", "match")):
         df = O.with_compact(df, "text", out, variant)
     return df.select("doc_id", "plain", "markdown", "folded")
@@ -31,7 +31,7 @@ def compact_text(spark, sf):
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{SP}+', ' ', 'g')) AS text FROM pages""",
 )
 def clean_tags(spark, sf):
-    return O.with_plain_text(table(spark, sf, "pages"), "html").select("page_id", "text")
+    return O.with_plain_text(spread(table(spark, sf, "pages")), "html").select("page_id", "text")
 
 
 HINTS = ("license", "password", "contact", "the of", "und der")
@@ -168,7 +168,7 @@ DESCRIPTION = r"""trim(regexp_replace(replace(replace(regexp_replace(coalesce(pa
 )
 def salary_normalize(spark, sf):
     rates = spark.sql("SELECT * FROM VALUES ('USD', 0.0125D), ('EUR', 0.0115D), ('RUR', 1.0D) AS t(currency, rate)")
-    df = O.vacancy_summary(O.parse_vacancies(bound(spark, sf, VACANCIES), "payload"), rates)
+    df = O.vacancy_summary(O.parse_vacancies(bound(spark, sf, VACANCIES, costly=True), "payload"), rates)
     return df.withColumn("key_skills", F.array_join("key_skills", "; "))
 
 
@@ -178,7 +178,7 @@ def salary_normalize(spark, sf):
     concat_ws(chr(10) || chr(10), NULLIF(trim(payload->>'name'), ''), NULLIF({DESCRIPTION}, '')) AS text FROM {V}""",
 )
 def vacancy_text(spark, sf):
-    return O.vacancy_text(O.parse_vacancies(bound(spark, sf, VACANCIES), "payload"))
+    return O.vacancy_text(O.parse_vacancies(bound(spark, sf, VACANCIES, costly=True), "payload"))
 
 
 OWNERS = define(
@@ -324,7 +324,7 @@ FORMS = define(
     l_partkey || '000' AS revenue_amount, 'RUB' AS revenue_currency FROM lineitem""",
 )
 def form_fields(spark, sf):
-    df = O.pivot_form_fields(bound(spark, sf, FORMS), "payload")
+    df = O.pivot_form_fields(bound(spark, sf, FORMS, costly=True), "payload")
     return df.select(
         "l_orderkey", "l_linenumber", "description", F.array_join("industries", "; ").alias("industries"), "tin",
         "legal_entity_name", "contact_email", "contact_phone", "revenue_amount", "revenue_currency",
@@ -350,4 +350,4 @@ ENTITIES = define(
     FROM orders CROSS JOIN (SELECT unnest([1, 2, 3]) AS i)""",
 )
 def discover_entities(spark, sf):
-    return O.discover_entities(bound(spark, sf, ENTITIES), "o_orderkey", "payload", "https://x.example.com")
+    return O.discover_entities(bound(spark, sf, ENTITIES, costly=True), "o_orderkey", "payload", "https://x.example.com")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitefacts.bindings import bound, define, sql_of, table
+from sitefacts.bindings import bound, define, spread, sql_of, table
 from sitefacts.checks.base import HTTP_SQL, origin_sql, parts_sql, query
 from sitefacts.checks.urls import KINDS, PLATFORM
 from sitefacts.functions.html import html_elements
@@ -37,7 +37,7 @@ FOOTER = visible_sql(r"regexp_extract(html, '(?is)<footer\b[^>]*>(.*?)</footer\s
 )
 def elements_query(spark, sf):
     tags = ("nav", "ul", "li", "article", "h1", "p", "footer", "b", "br", "div", "a")
-    df = html_elements(table(spark, sf, "pages"), keep=["page_id"], tags=tags)
+    df = html_elements(spread(table(spark, sf, "pages")), keep=["page_id"], tags=tags)
     return df.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -46,12 +46,12 @@ def elements_query(spark, sf):
     rf"""SELECT page_id, trim(regexp_replace({unescape_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title FROM pages""",
 )
 def page_title(spark, sf):
-    return O.with_title(table(spark, sf, "pages")).select("page_id", "title")
+    return O.with_title(spread(table(spark, sf, "pages"))).select("page_id", "title")
 
 
 @query("page_text", f"SELECT page_id, {visible_sql('html')} AS page_text FROM pages")
 def page_text(spark, sf):
-    return O.with_page_text(table(spark, sf, "pages")).select("page_id", "page_text")
+    return O.with_page_text(spread(table(spark, sf, "pages"))).select("page_id", "page_text")
 
 
 LINKS = r"""(SELECT page_id, site, url, pos, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN regexp_replace(href, '#.*$', '')
@@ -63,7 +63,7 @@ FIRST_LINKS = f"(SELECT * FROM {LINKS} QUALIFY row_number() OVER (PARTITION BY s
 
 @query("page_links", f"SELECT site, link, page_id, url FROM {FIRST_LINKS}")
 def page_links(spark, sf):
-    return O.page_links(bound(spark, sf, "pages_in"), "site").select("site", "link", "page_id", "url")
+    return O.page_links(bound(spark, sf, "pages_in", costly=True), "site").select("site", "link", "page_id", "url")
 
 
 SHORT = define("short_links_in", "SELECT DISTINCT concat('https://clck.ru/', page_id % 2) AS url, concat('https://dzen.ru/id/', page_id % 2, '/') AS target FROM {pages}")
@@ -78,7 +78,7 @@ EXTERNAL = f"""{KINDS.replace(sql_of("links_in"), f"(SELECT *, n AS pos0 FROM {R
 
 
 def externals(spark, sf):
-    return O.external_links(bound(spark, sf, "pages_in"), "site", redirects=bound(spark, sf, SHORT))
+    return O.external_links(bound(spark, sf, "pages_in", costly=True), "site", redirects=bound(spark, sf, SHORT))
 
 
 @query("external_links", f"WITH {EXTERNAL} SELECT * FROM external")
@@ -97,13 +97,13 @@ def external_link_counts(spark, sf):
     SELECT site, link, 'header' AS scope, page_id FROM h QUALIFY row_number() OVER (PARTITION BY site, link ORDER BY page_id, i) = 1""",
 )
 def scoped_links(spark, sf):
-    elements = O.page_elements(bound(spark, sf, "pages_in"), "site")
+    elements = O.page_elements(bound(spark, sf, "pages_in", costly=True), "site")
     return O.scoped_links(elements, "site").select("site", "link", "scope", "page_id")
 
 
 @query("footer_text", f"SELECT page_id, {FOOTER} AS footer_text FROM pages WHERE length({FOOTER}) >= 20")
 def footer_text(spark, sf):
-    return O.footer_text(O.page_elements(table(spark, sf, "pages"), tags=["footer", "div", "section", "aside"]))
+    return O.footer_text(O.page_elements(spread(table(spark, sf, "pages")), tags=["footer", "div", "section", "aside"]))
 
 
 def distinct_sql(values: str) -> str:
@@ -154,7 +154,7 @@ def joined(df, *names):
     f"SELECT doc_id, {', '.join(f'{distinct_sql(v)} AS {k}' for k, v in block_sql('text', RU_PHONE, False).items())} FROM {sql_of(TAXED)}",
 )
 def contact_block(spark, sf):
-    df = O.extract_contact_block(bound(spark, sf, TAXED), "text")
+    df = O.extract_contact_block(bound(spark, sf, TAXED, costly=True), "text")
     return joined(df, *O.CONTACT_LISTS).select("doc_id", *O.CONTACT_LISTS)
 
 
@@ -163,7 +163,7 @@ def contact_block(spark, sf):
     f"SELECT doc_id, {', '.join(f'{distinct_sql(v)} AS {k}' for k, v in block_sql('text', ANY_PHONE, True).items())} FROM documents",
 )
 def contact_block_documents(spark, sf):
-    df = O.extract_contact_block(table(spark, sf, "documents"), "text", phone_pattern=ANY_PHONE, likely_only=True)
+    df = O.extract_contact_block(spread(table(spark, sf, "documents")), "text", phone_pattern=ANY_PHONE, likely_only=True)
     return joined(df, *O.CONTACT_LISTS).select("doc_id", *O.CONTACT_LISTS)
 
 
@@ -185,14 +185,14 @@ SITED = """(SELECT page_id, url, html, regexp_replace(regexp_extract(url, '//([^
 
 @query("extract_contacts", contacts_sql(f"{DIV} || ' ' || {FOOTER}", PAGES))
 def extract_contacts(spark, sf):
-    pages = bound(spark, sf, "pages_in")
+    pages = bound(spark, sf, "pages_in", costly=True)
     elements = O.page_elements(pages, "site", tags=["footer", "div", "section", "aside"])
     return O.extract_contacts(pages, "site", elements)
 
 
 @query("extract_contacts_by_tag", contacts_sql(FOOTER, SITED))
 def extract_contacts_by_tag(spark, sf):
-    pages = L.with_url_host(table(spark, sf, "pages"), "url", "site")
+    pages = L.with_url_host(spread(table(spark, sf, "pages")), "url", "site")
     return O.extract_contacts(pages, "site")
 
 
@@ -202,6 +202,6 @@ def extract_contacts_by_tag(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY site, tax_id ORDER BY page_id) = 1""",
 )
 def extract_tax_ids(spark, sf):
-    pages = bound(spark, sf, "pages_in")
+    pages = bound(spark, sf, "pages_in", costly=True)
     elements = O.page_elements(pages, "site", tags=["footer", "div", "section", "aside"])
     return O.extract_tax_ids(O.extract_contacts(pages, "site", elements), "site").select("site", "tax_id", "page_id")

@@ -152,7 +152,7 @@ def is_internal(spark, sf):
 
 def host_lists(spark):
     rows = [(d, i, n) for i, (n, ds) in enumerate((("video", vocab.VIDEO_HOSTS), ("social", vocab.SOCIAL_HOSTS))) for d in ds]
-    return spark.createDataFrame(rows, "domain string, priority int, name string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, rows)) + " AS t(domain, priority, name)")
 
 
 @query(
@@ -195,8 +195,7 @@ INSTA_OK = f"regexp_full_match({HANDLE}, '[A-Za-z0-9._]{{1,30}}') AND NOT list_c
 )
 def canonical_profile_urls(spark, sf):
     df = bound(spark, sf, "links_in")
-    for network in ("hh", "telegram", "max", "dzen", "instagram"):
-        df = O.canonical_profile_url(df, "raw_url", network)
+    df = O.canonical_profile_url(df, "raw_url", ("hh", "telegram", "max", "dzen", "instagram"))
     df = O.canonical_profile_url(df, "raw_url", "telegram", "telegram_profile_url", reject_service=True)
     return df.drop("firm_id", "site_url", "raw_url")
 

@@ -69,30 +69,31 @@ class _Elements(HTMLParser):
     def handle_comment(self, data):
         self._flush()
 
-    def text(self, element: list) -> str:
+    def texts(self, element: list) -> list[str]:
         tag, _, _, start, end, _ = element
         wanted = tag if tag in HIDDEN else ""
-        return " ".join(s for s, holder in self.strings[start : len(self.strings) if end is None else end] if holder == wanted)
+        return [s for s, holder in self.strings[start : len(self.strings) if end is None else end] if holder == wanted]
 
 
-def _parse(html: str, tags: frozenset[str] | None) -> Iterator[tuple]:
+def _parse(html: str, tags: frozenset[str] | None, strings: bool) -> Iterator[tuple]:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
     parser._flush()
     for pos, element in enumerate(parser.found):
         if tags is None or element[0] in tags:
-            yield pos, element[0], element[1], parser.text(element), element[2], element[5]
+            texts = parser.texts(element)
+            yield pos, element[0], element[1], " ".join(texts), element[2], element[5], *([texts] if strings else [])
 
 
-def html_elements(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"), tags: Sequence[str] | None = None) -> DataFrame:
+def html_elements(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"), tags: Sequence[str] | None = None, strings: bool = False) -> DataFrame:
     """One row per element: the kept page columns, position, tag, attributes, text, ancestor positions
     and number of direct child elements. ``tags`` limits what is returned, and with it the text that
-    nested elements repeat."""
+    nested elements repeat. ``strings`` adds the single strings the text is made of."""
     wanted = frozenset(tags) if tags else None
     kept = list(keep)
     types = dict(pages.dtypes)
-    columns = [*kept, "pos", "tag", "attrs", "text", "ancestors", "children"]
+    columns = [*kept, "pos", "tag", "attrs", "text", "ancestors", "children", *(["strings"] if strings else [])]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,11 +102,12 @@ def html_elements(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
                 rows = [
                     (*head, *element)
                     for *head, text in zip(*(part[k] for k in kept), part[html])
-                    for element in _parse(text, wanted)
+                    for element in _parse(text, wanted, strings)
                 ]
                 yield pd.DataFrame(rows, columns=columns)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", " + FIELDS
+    schema += ", strings array<string>" if strings else ""
     return pages.select(*kept, html).mapInPandas(parse, schema)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def literals(words: Iterable[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once per row, not once per use."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -45,13 +51,13 @@ def match_text(c: Column) -> Column:
     return compact(fold_yo(F.lower(c)))
 
 
+def _any_of(words: Iterable[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
 def contains_any(c: Column, words: Iterable[str]) -> Column:
     """True where any of the words occurs in the text; the words are plain, not patterns."""
-    hits = [F.contains(c, F.lit(w)) for w in words]
-    found = F.lit(False)
-    for hit in hits:
-        found = found | hit
-    return found
+    return c.rlike(_any_of(words))
 
 
 def count_contained(c: Column, words: Iterable[str]) -> Column:

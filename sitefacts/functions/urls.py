@@ -6,6 +6,7 @@ Hosts outside ASCII are encoded by the JDK's own IDNA class, reached through the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -47,26 +48,20 @@ def split_url(df: DataFrame, url: str, prefix: str = "_", default_scheme: bool =
             F.concat(F.lit("https://"), value)
         )
     df = df.withColumn(f"{prefix}url", value)
-    parts = {
-        f"{prefix}{part}": F.regexp_extract(f"{prefix}url", SPLIT, i + 1)
-        for i, part in enumerate(URL_PARTS)
-    }
+    part = lambda i: F.regexp_extract(f"{prefix}url", SPLIT, i)
+    parts = {f"{prefix}{name}": part(i + 1) for i, name in enumerate(URL_PARTS)}
     parts[f"{prefix}scheme"] = F.lower(parts[f"{prefix}scheme"])
+    server = F.regexp_replace(part(2), r"^.*@", "")
+    parts[f"{prefix}hostname"] = F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)", 1))
+    parts[f"{prefix}port_text"] = F.regexp_extract(server, r":([^:\]]*)$", 1)
     df = df.withColumns(parts)
-    server = F.regexp_replace(f"{prefix}netloc", r"^.*@", "")
-    df = df.withColumns(
-        {
-            f"{prefix}hostname": F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)", 1)),
-            f"{prefix}port_text": F.regexp_extract(server, r":([^:\]]*)$", 1),
-        }
-    )
-    port = F.col(f"{prefix}port_text").try_cast("int")
+    text = F.col(f"{prefix}port_text")
+    number = F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
     return df.withColumns(
         {
             f"{prefix}host": bare_host(F.col(f"{prefix}hostname")),
-            f"{prefix}port": F.when(F.col(f"{prefix}port_text").rlike("^[0-9]+$"), port),
-            f"{prefix}port_ok": (F.col(f"{prefix}port_text") == "")
-            | F.coalesce(F.col(f"{prefix}port_text").rlike("^[0-9]+$") & (port <= 65535), F.lit(False)),
+            f"{prefix}port": number,
+            f"{prefix}port_ok": (text == "") | F.coalesce(number <= 65535, F.lit(False)),
         }
     )
 
@@ -78,16 +73,14 @@ def drop_parts(df: DataFrame, prefix: str = "_") -> DataFrame:
 
 def under(host: Column, domain: Column | str) -> Column:
     """The host is the domain or lies below it."""
-    domain = F.lit(domain) if isinstance(domain, str) else domain
+    if isinstance(domain, str):
+        return under_any(host, (domain,))
     return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
 
 
 def under_any(host: Column, domains: Iterable[str]) -> Column:
     """As ``under`` for a short fixed list."""
-    found = F.lit(False)
-    for d in domains:
-        found = found | under(host, d)
-    return found
+    return host.rlike(r"(?:^|\.)(?:" + "|".join(re.escape(d) for d in domains) + ")$")
 
 
 def origin_domain(host: Column, second_level: Iterable[str] = vocab.SECOND_LEVEL_TLDS) -> Column:

@@ -195,34 +195,46 @@ def filter_email_syntax(df: DataFrame, col: str, pattern: str = vocab.CHECKED_EM
 
 
 def _distinct_by_lower(values: Column) -> Column:
-    lowered = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: (v != "") & (F.array_position(lowered, F.lower(v)) == i + 1))
-
-
-def _is_kind(v: Column, kind: str) -> Column:
-    return F.schema_of_variant(v).startswith(kind)
+    return T.let(
+        values,
+        lambda all_: T.let(
+            F.transform(all_, F.lower),
+            lambda lowered: F.filter(all_, lambda v, i: (v != "") & (F.array_position(lowered, F.lower(v)) == i + 1)),
+        ),
+    )
 
 
 def _variant_text(v: Column) -> Column:
     return T.compact(T.text_of(F.try_variant_get(v, "$", "string")))
 
 
+def _named_text(item: Column) -> Column:
+    """Text of a list item; of an object its name, else its value, else its metric value, if that is text."""
+
+    def field(name: str) -> Column:
+        found = F.try_variant_get(item, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+    is_object = F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
+    return F.when(is_object, T.compact(T.text_of(F.coalesce(*[field(n) for n in ("name", "value", "metric_value")])))).otherwise(
+        _variant_text(item)
+    )
+
+
 def variant_texts(v: Column, depth: int = 1) -> Column:
     """Texts of a JSON value: list items by name, value or metric_value, a nested value once deeper."""
 
-    def named(item: Column) -> Column:
-        found = F.coalesce(*[F.when(_is_kind(F.try_variant_get(item, f"$.{k}", "variant"), "STRING"), F.try_variant_get(item, f"$.{k}", "string")) for k in ("name", "value", "metric_value")])
-        return F.when(_is_kind(item, "OBJECT"), T.compact(T.text_of(found))).otherwise(_variant_text(item))
+    def of(value: Column) -> Column:
+        inner = F.try_variant_get(value, "$.value", "variant")
+        nested = variant_texts(inner, depth - 1) if depth else F.filter(F.array(_variant_text(inner)), lambda t: t != "")
+        return T.let(
+            F.try_variant_get(value, "$", "array<variant>"),
+            lambda items: F.when(items.isNotNull(), _distinct_by_lower(F.transform(items, _named_text)))
+            .when(inner.isNotNull(), nested)
+            .otherwise(F.filter(F.array(_variant_text(value)), lambda t: t != "")),
+        )
 
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), named)
-    inner = F.try_variant_get(v, "$.value", "variant")
-    nested = variant_texts(inner, depth - 1) if depth else F.filter(F.array(_variant_text(inner)), lambda t: t != "")
-    return (
-        F.when(v.isNull(), F.array().cast("array<string>"))
-        .when(_is_kind(v, "ARRAY"), _distinct_by_lower(items))
-        .when(_is_kind(v, "OBJECT") & inner.isNotNull(), nested)
-        .otherwise(F.filter(F.array(_variant_text(v)), lambda t: t != ""))
-    )
+    return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(T.let(v, of))
 
 
 def value_to_text_list(df: DataFrame, json_col: str, out: str = "texts") -> DataFrame:
@@ -241,16 +253,18 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
     doc = F.from_json(json_col, FORMS)
     df = df.withColumn("_doc", doc)
     lists = F.transform(F.coalesce(F.col("_doc.forms"), F.array()), lambda f: F.transform(F.coalesce(f["form"], F.array()), lambda m: F.coalesce(m["fields"], F.array())))
-    df = df.withColumn("_fields", F.flatten(F.flatten(lists)))
-    pick = lambda name: F.try_element_at(F.filter("_fields", lambda f: T.compact(T.text_of(f["sysName"])) == name), F.lit(1))["value"]
+    named = lambda f: F.struct(T.compact(T.text_of(f["sysName"])).alias("name"), f["value"].alias("value"))
+    df = df.withColumn("_fields", F.transform(F.flatten(F.flatten(lists)), named))
+    pick = lambda name: F.try_element_at(F.filter("_fields", lambda f: f["name"] == name), F.lit(1))["value"]
     wanted = {
         "_description": "project_note", "_industries": "project_industry", "_technologies": "project_technology",
         "_website": "questionnaire_site", "_tin": "questionnaire_inn", "_country": "questionnaire_registrationCountry",
         "_legal": "questionnaire_fullName", "_name": "questionnaire_inviteFio", "_email": "questionnaire_email",
         "_phone": "questionnaire_phoneNumber", "_revenue": "questionnaire_metricRevenue",
     }
-    df = df.withColumns({k: pick(v) for k, v in wanted.items()})
-    df = df.withColumns({k: variant_texts(F.col(k)) for k in wanted})
+    texts = F.transform(F.array(*[pick(v) for v in wanted.values()]), lambda v: variant_texts(v))
+    df = df.withColumn("_texts", texts)
+    df = df.withColumns({k: F.element_at("_texts", i + 1) for i, k in enumerate(wanted)})
     one = lambda k: F.coalesce(F.try_element_at(F.col(k), F.lit(1)), F.lit(""))
     df = df.withColumns({"_mail1": F.lower(one("_email")), "_phone1": T.phone(one("_phone")), "_name1": one("_name")})
     money = F.try_element_at(
@@ -273,7 +287,7 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
         "contact_email": F.when(hidden, F.lit("")).otherwise(F.col("_mail1")),
         "contact_phone": F.when(shown, F.col("_phone1")).otherwise(F.lit("")),
     }
-    return df.withColumns(out).drop("_doc", "_fields", "_mail1", "_phone1", "_name1", "_money", *wanted)
+    return df.withColumns(out).drop("_doc", "_fields", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
 
 
 NODES = "seq long, owner long, key string, value string"

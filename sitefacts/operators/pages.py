@@ -12,7 +12,7 @@ from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
 from sitefacts.functions.html import anchor_hrefs, html_elements, visible_text
 from sitefacts.operators.first import collect_ordered, first_per_key
-from sitefacts.operators.urls import apply_redirects, filter_valid_port, with_http_url, with_internal_flag, with_link_kind, with_url_host
+from sitefacts.operators.urls import apply_redirects, http_url, link_kinds, with_url_host
 
 
 def with_title(pages: DataFrame, html: str = "html", out: str = "title") -> DataFrame:
@@ -63,15 +63,17 @@ def external_links(pages: DataFrame, site: str, firm: str | None = None, redirec
         rows = short.filter(~U.under(F.col("_h"), vocab.SHORT_LINK_HOST)).drop("_h").withColumn("target", F.col("link"))
     else:
         rows = apply_redirects(rows, "link", redirects, out="target")
-    rows = with_url_host(rows, "target", "_h")
-    rows = filter_valid_port(rows.filter(~U.under(F.col("_h"), vocab.CHAT_WIDGET_HOST)).drop("_h"), "target")
-    rows = with_link_kind(rows, "target")
-    rows = with_http_url(rows, "target", "_http")
-    rows = with_internal_flag(rows, "_http", site, "_own")
-    other = F.col("kind").isNull()
-    rows = rows.filter(~other | (F.col("_http").isNotNull() & ~F.col("_own")))
-    rows = rows.withColumn("link_url", F.coalesce("link_url", "_http")).withColumn("kind", F.coalesce("kind", F.lit("other")))
-    rows = with_url_host(rows, "link_url", "link_host").drop("_http", "_own")
+    rows = U.split_url(rows, F.col("target"), default_scheme=True)
+    rows = rows.filter(~U.under(F.col("_host"), vocab.CHAT_WIDGET_HOST) & (~F.col("_scheme").isin("http", "https") | F.col("_port_ok")))
+    rows = U.split_url(rows, F.col("target"), "_w")
+    rows = link_kinds(rows, "kind", "link_url", "link_host").withColumn("_http", http_url("_w"))
+    rows = U.split_url(rows, F.col(site), "_s")
+    own = U.under(F.col("_whost"), U.origin_domain(F.col("_shost"))) & (F.col("_shost") != "")
+    rows = rows.filter(F.col("kind").isNotNull() | (F.col("_http").isNotNull() & ~own))
+    rows = rows.select(
+        *keys, key, "url", "pos", "link", F.coalesce("kind", F.lit("other")).alias("kind"),
+        F.coalesce("link_url", "_http").alias("link_url"), F.coalesce("link_host", "_whost").alias("link_host"),
+    )
     return first_per_key(rows, [*keys, "kind", "link_url"], [key, "pos"])
 
 

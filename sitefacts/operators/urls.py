@@ -19,14 +19,17 @@ def _parts(df: DataFrame, col: str, default_scheme: bool = True) -> DataFrame:
     return U.split_url(df, F.col(col), default_scheme=default_scheme)
 
 
-def _usable() -> Column:
+def _usable(prefix: str = "_") -> Column:
     """A web URL with a host that is not blocked and a port that parses."""
-    return (
-        F.col("_scheme").isin(*WEB)
-        & (F.col("_host") != "")
-        & F.col("_port_ok")
-        & ~U.under(F.col("_host"), vocab.BLOCKED_HOST)
-    )
+    scheme, host, port_ok = (F.col(f"{prefix}{n}") for n in ("scheme", "host", "port_ok"))
+    return scheme.isin(*WEB) & (host != "") & port_ok & ~U.under(host, vocab.BLOCKED_HOST)
+
+
+def http_url(prefix: str = "_") -> Column:
+    """Canonical web URL over the columns of ``split_url``, NULL where there is none."""
+    scheme, path, query = (F.col(f"{prefix}{n}") for n in ("scheme", "path", "query"))
+    value = U.with_query(F.concat(scheme, F.lit("://"), U.shown_netloc(prefix), U.clean_path(path)), query)
+    return F.when(_usable(prefix), value)
 
 
 def with_site_origin(df: DataFrame, col: str, out: str = "site", variant: str = "site") -> DataFrame:
@@ -56,10 +59,7 @@ def _forced_scheme() -> Column:
 def with_http_url(df: DataFrame, col: str, out: str = "http_url") -> DataFrame:
     """Fragment dropped, host normalised, default port and trailing slash dropped, query kept."""
     df = _parts(df, col, default_scheme=False)
-    value = U.with_query(
-        F.concat(F.col("_scheme"), F.lit("://"), U.shown_netloc(), U.clean_path(F.col("_path"))), F.col("_query")
-    )
-    return U.drop_parts(df.withColumn(out, F.when(_usable(), value)))
+    return U.drop_parts(df.withColumn(out, http_url()))
 
 
 def with_crawl_url(df: DataFrame, col: str, out: str = "crawl_url", keep_scheme: bool = False) -> DataFrame:
@@ -192,15 +192,17 @@ def match_domain_list(df: DataFrame, host: str, list_df: DataFrame, domain: str
     return df.join(found.withColumnRenamed("_h", host), host, "left")
 
 
-def with_platform_kind(df: DataFrame, col: str, out: str = "platform") -> DataFrame:
-    df = _parts(df, col)
-    host = F.col("_host")
-    kind = (
+def platform_kind(host: Column) -> Column:
+    return (
         F.when(U.under_any(host, vocab.VIDEO_HOSTS), F.lit("video_hosting"))
         .when(U.under(host, vocab.DRIVE2_HOST), F.lit("drive2"))
         .when(U.under_any(host, vocab.SOCIAL_HOSTS), F.lit("social_network"))
     )
-    return U.drop_parts(df.withColumn(out, kind))
+
+
+def with_platform_kind(df: DataFrame, col: str, out: str = "platform") -> DataFrame:
+    df = _parts(df, col)
+    return U.drop_parts(df.withColumn(out, platform_kind(F.col("_host"))))
 
 
 def _form_encoded(query: Column, dropped: Iterable[str] = vocab.TRACKING_KEYS) -> Column:
@@ -214,33 +216,33 @@ def _form_encoded(query: Column, dropped: Iterable[str] = vocab.TRACKING_KEYS) -
     return F.array_join(F.transform(kept, lambda p: F.concat(encode(key(p)), F.lit("="), encode(value(p)))), "&")
 
 
-def canonical_profile_url(df: DataFrame, col: str, network: str, out: str | None = None, reject_service: bool = False) -> DataFrame:
-    """Canonical profile URL of one network (hh, telegram, max, dzen, instagram), NULL for anything else."""
-    out = out or f"{network}_url"
-    df = _parts(df, col)
-    host, query = F.col("_host"), F.col("_query")
-    path = F.regexp_replace("_path", "/+$", "")
-    segment = F.lower(F.regexp_extract(path, "^/*([^/]*)", 1))
+def profile_url(network: str, prefix: str = "_", reject_service: bool = False) -> Column:
+    """Canonical profile URL of a network over the columns of ``split_url``."""
+    scheme, host, query, raw = (F.col(f"{prefix}{n}") for n in ("scheme", "host", "query", "path"))
+    path = F.regexp_replace(raw, "/+$", "")
+    segment = F.lower(F.regexp_extract(raw, "^/*([^/]*)", 1))
     url = F.concat(F.lit("https://"), host, path)
     if network == "hh":
-        ok = U.under(host, vocab.HH_HOST) & path.startswith("/employer")
-        value = U.with_query(url, _form_encoded(query))
-    elif network == "telegram":
-        ok = host.isin(*vocab.TELEGRAM_HOSTS) & (path != "")
-        if reject_service:
-            ok = ok & F.col("_scheme").isin(*WEB) & ~segment.isin(*vocab.TELEGRAM_SERVICE_PATHS)
-        value = U.with_query(url, query)
-    elif network == "max":
-        ok = U.under(host, vocab.MAX_HOST) & (segment.isin("channel", "channels", "c") | segment.startswith("@"))
-        value = U.with_query(url, query)
-    elif network == "dzen":
-        ok = U.under(host, vocab.DZEN_HOST) & (path != "")
-        value = U.with_query(url, query)
-    else:
-        handle = _instagram_handle(path)
-        ok = F.col("_scheme").isin(*WEB) & host.isin(*vocab.INSTAGRAM_HOSTS) & handle.isNotNull()
-        value = F.concat(F.lit("https://www.instagram.com/"), handle, F.lit("/"))
-    return U.drop_parts(df.withColumn(out, F.when(ok, value)))
+        return F.when(U.under(host, vocab.HH_HOST) & path.startswith("/employer"), U.with_query(url, _form_encoded(query)))
+    if network == "instagram":
+        handle = _instagram_handle(raw)
+        known = scheme.isin(*WEB) & host.isin(*vocab.INSTAGRAM_HOSTS) & handle.isNotNull()
+        return F.when(known, F.concat(F.lit("https://www.instagram.com/"), handle, F.lit("/")))
+    known = {
+        "telegram": host.isin(*vocab.TELEGRAM_HOSTS) & (path != ""),
+        "max": U.under(host, vocab.MAX_HOST) & (segment.isin("channel", "channels", "c") | segment.startswith("@")),
+        "dzen": U.under(host, vocab.DZEN_HOST) & (path != ""),
+    }[network]
+    if reject_service:
+        known = known & scheme.isin(*WEB) & ~segment.isin(*vocab.TELEGRAM_SERVICE_PATHS)
+    return F.when(known, U.with_query(url, query))
+
+
+def canonical_profile_url(df: DataFrame, col: str, networks: str | Iterable[str], out: str | None = None, reject_service: bool = False) -> DataFrame:
+    """Canonical profile URLs (hh, telegram, max, dzen, instagram), NULL for anything else."""
+    names = [networks] if isinstance(networks, str) else list(networks)
+    df = _parts(df, col)
+    return U.drop_parts(df.withColumns({out or f"{n}_url": profile_url(n, reject_service=reject_service) for n in names}))
 
 
 def _instagram_handle(path: Column) -> Column:
@@ -265,29 +267,28 @@ def profile_handle(df: DataFrame, col: str, network: str, out: str = "handle", w
     return U.drop_parts(df.withColumn(web, F.concat(F.lit("https://web.telegram.org/k/#@"), F.col(out))))
 
 
+def link_kinds(df: DataFrame, kind: str, url: str, host: str, prefix: str = "_", web_prefix: str = "_w") -> DataFrame:
+    """Kind, canonical URL and its host over two splits of a link: with and without a default scheme."""
+    h = F.col(f"{prefix}host")
+    own = {"hh": "hh", "max": "max", "telegram": "tg", "dzen": "dzen"}
+    df = df.withColumns({**{f"_c_{v}": profile_url(k, prefix) for k, v in own.items()}, "_c_http": http_url(web_prefix)})
+    chosen = None
+    for k, v in own.items():
+        found = F.col(f"_c_{v}").isNotNull()
+        chosen = F.when(found, F.lit(k)) if chosen is None else chosen.when(found, F.lit(k))
+    platform = platform_kind(F.when(F.col("_c_http").isNotNull(), h))
+    renamed = {"drive2": "drive2", "video_hosting": "video", "social_network": "social"}
+    df = df.withColumn(kind, F.coalesce(chosen, *[F.when(platform == k, F.lit(v)) for k, v in renamed.items()]))
+    found = F.coalesce(*[F.col(f"_c_{v}") for v in own.values()], "_c_http")
+    return df.withColumns({url: F.when(F.col(kind).isNotNull(), found), host: F.when(F.col(kind).isNotNull(), h)}).drop(
+        *[f"_c_{v}" for v in own.values()], "_c_http"
+    )
+
+
 def with_link_kind(df: DataFrame, col: str, kind: str = "kind", url: str = "link_url", host: str = "link_host") -> DataFrame:
     """Cascade over the networks: kind, canonical URL and its host, all NULL for other links."""
-    df = canonical_profile_url(df, col, "hh", "_hh")
-    df = canonical_profile_url(df, col, "max", "_max")
-    df = canonical_profile_url(df, col, "telegram", "_tg")
-    df = canonical_profile_url(df, col, "dzen", "_dzen")
-    df = with_http_url(df, col, "_http")
-    df = with_platform_kind(df, "_http", "_platform")
-    chosen = (
-        F.when(F.col("_hh").isNotNull(), F.lit("hh"))
-        .when(F.col("_max").isNotNull(), F.lit("max"))
-        .when(F.col("_tg").isNotNull(), F.lit("telegram"))
-        .when(F.col("_dzen").isNotNull(), F.lit("dzen"))
-        .when(F.col("_platform") == "drive2", F.lit("drive2"))
-        .when(F.col("_platform") == "video_hosting", F.lit("video"))
-        .when(F.col("_platform") == "social_network", F.lit("social"))
-    )
-    df = df.withColumn(kind, chosen)
-    df = df.withColumn(url, F.when(F.col(kind).isNotNull(), F.coalesce("_hh", "_max", "_tg", "_dzen", "_http")))
-    df = with_url_host(df, url, "_lh")
-    return df.withColumn(host, F.when(F.col(kind).isNotNull(), F.col("_lh"))).drop(
-        "_hh", "_max", "_tg", "_dzen", "_http", "_platform", "_lh"
-    )
+    df = U.split_url(_parts(df, col), F.col(col), "_w")
+    return U.drop_parts(U.drop_parts(link_kinds(df, kind, url, host)), "_w")
 
 
 def with_social_field(df: DataFrame, col: str, explicit: str | None = None, out: str = "field") -> DataFrame:
