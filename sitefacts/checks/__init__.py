@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "columns", "pages", "extract")
+MODULES = ("urls", "columns", "pages", "extract", "tables")
 
 
 def load():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
@@ -193,7 +193,7 @@ def join_domain_checks(probes: DataFrame, exchangers: DataFrame, catch_all: Data
     (domain, preference, host), ``catch_all`` is (domain, status).
     """
     ranked = first_per_key(exchangers, ["domain", "host"], ["preference"])
-    ranked = top_per_key(ranked, ["domain"], [F.col("preference"), F.col("host")], 50, "_try")
+    ranked = ranked.withColumn("_try", F.row_number().over(Window.partitionBy("domain").orderBy("preference", "host")))
     hosts = collect_ordered(ranked, ["domain"], ["_try"], "host", "mx_hosts")
     tried = probes.join(ranked.filter(F.col("_try") <= max(1, max_tries)).select("domain", "host", "_try"), ["domain", "host"])
     tried = tried.withColumn("rcpt_status", smtp_class(F.col("code")))
