@@ -95,12 +95,12 @@ def child_rows(rows: DataFrame, key: str, required: Sequence[str], optional: Seq
 
 def social_outcomes(links: DataFrame, companies: DataFrame, site: str, url: str, company: str, domain: str, explicit: str | None = None, row_id: str = "pos") -> DataFrame:
     """Every link with its company, profile column and outcome (inserted, or why it is skipped)."""
-    df = links.withColumns({"_site": T.strip(T.text_of(site)), "_url": T.strip(T.text_of(url))})
+    df = links.withColumns({"_site": T.strip(T.text_of(site)), "_profile": T.strip(T.text_of(url))})
     df = with_domain(df, "_site", "_domain")
-    df = U.split_url(df, F.col("_url"))
-    bad = (F.col("_site") == "") | (F.col("_url") == "") | share_link() | (F.col("_domain") == "")
+    df = U.split_url(df, F.col("_profile"))
+    bad = (F.col("_site") == "") | (F.col("_profile") == "") | share_link() | (F.col("_domain") == "")
     df = U.drop_parts(df.withColumn("_bad", bad))
-    df = with_social_field(df, "_url", explicit, "field")
+    df = with_social_field(df, "_profile", explicit, "field")
     keys = explode_domain_keys(companies.select(F.col(company).alias("company"), F.col(domain).alias("_cd")), "_cd", "_key")
     keys = keys.groupBy("_key").agg(F.max("company").alias("company"))
     df = df.join(keys, F.col("_domain") == F.col("_key"), "left").drop("_key")
@@ -110,7 +110,7 @@ def social_outcomes(links: DataFrame, companies: DataFrame, site: str, url: str,
         .when(F.col("field").isNull(), F.lit("skipped_unknown_type"))
         .otherwise(F.lit("inserted"))
     )
-    return df.withColumn("outcome", outcome).withColumn("profile_url", F.col("_url")).drop("_site", "_url", "_domain", "_bad")
+    return df.withColumn("outcome", outcome).withColumn("profile_url", F.col("_profile")).drop("_site", "_profile", "_domain", "_bad")
 
 
 def import_social_profiles(outcomes: DataFrame) -> DataFrame:
