@@ -148,7 +148,7 @@ MATCHES = define(
     SELECT o_orderkey AS pos, concat(CASE WHEN o_custkey % 2 = 0 THEN 'Anna' ELSE 'Igor' END, ' Customer', o_custkey % 400) AS target_person, concat('query ', o_orderkey % 3) AS searched_name,
         CASE o_orderkey % 4 WHEN 0 THEN concat('anna.customer', o_custkey % 400) WHEN 1 THEN concat('customer', o_custkey % 400) ELSE 'someone' END AS found_username, concat('Full ', o_orderpriority) AS found_full_name,
         CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('https://www.instagram.com/u', o_orderkey % 7, '/') END AS found_profile_url, concat('Customer', o_custkey % 400, ' ', CASE WHEN o_orderkey % 5 = 0 THEN 'Anna' ELSE 'x' END) AS matched_text,
-        CASE o_orderkey % 6 WHEN 0 THEN 'bad' ELSE CAST(50 + o_orderkey % 5 * 10 AS STRING) END AS match_score, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'not_found' ELSE 'error' END AS status
+        CASE o_orderkey % 6 WHEN 0 THEN 'bad' ELSE CAST(50 + o_orderkey % 5 * 10 AS STRING) END AS match_score, CASE WHEN o_custkey % 10 < 7 AND o_orderstatus = 'O' THEN 'ok' WHEN o_orderstatus = 'F' THEN 'not_found' ELSE 'error' END AS status
     FROM {orders}
     """,
 )
@@ -286,9 +286,9 @@ def failed_attempts(spark, sf):
 
 @query(
     "site_counts",
-    f"""WITH {EXTERNAL}, p AS (SELECT site, count(*) AS pages FROM {PAGES} GROUP BY site),
-    l AS (SELECT site, string_agg(kind || '=' || n, ', ' ORDER BY kind) AS links FROM (SELECT site, kind, count(*) AS n FROM external GROUP BY ALL) GROUP BY site)
-    SELECT p.site, p.pages, p.pages AS specialists, links, 'form+widget' AS booking_mode FROM p LEFT JOIN l ON p.site = l.site""",
+    f"""WITH {EXTERNAL}, pg AS (SELECT site, count(*) AS pages FROM {PAGES} GROUP BY site),
+    ln AS (SELECT site, string_agg(kind || '=' || n, ', ' ORDER BY kind) AS links FROM (SELECT site, kind, count(*) AS n FROM external GROUP BY ALL) GROUP BY site)
+    SELECT pg.site, pg.pages, pg.pages AS specialists, links, 'form+widget' AS booking_mode FROM pg LEFT JOIN ln ON pg.site = ln.site""",
 )
 def site_counts(spark, sf):
     from sitefacts.checks.extract import cards, evidence
@@ -354,9 +354,9 @@ def union_sources(spark, sf):
     return A.union_sources(header, footer)
 
 
-@query("difference", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("difference", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def difference(spark, sf):
-    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return A.difference(table(spark, sf, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 

@@ -23,11 +23,12 @@ def name_words(form: Column) -> Column:
 def grams(c: Column, sizes: range) -> Column:
     """Distinct substrings of the given lengths."""
     length = F.length(c)
-    lists = [
-        F.when(length >= n, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i, n=n: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.array_distinct(F.concat(*lists))
+
+    def of_size(n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+        return F.when(length >= n, parts).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
 def match_score(target: Column, words: Column, username: Column, full_name: Column, payload: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitefacts.sources.tables import append_unique, paths_matching, pending_after_resume
 
@@ -29,7 +29,7 @@ def stored_rows(spark: SparkSession, target: str, schema: StructType, before: in
     """Rows that earlier batches stored; the batch number is a directory, so later ones are not read."""
     if not paths_matching(spark, f"{target}/{BATCH}=*"):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema.add(BATCH, "bigint") if BATCH not in schema.names else schema).parquet(target)
+    rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(target)
     return (rows if before is None else rows.filter(F.col(BATCH) < before)).drop(BATCH)
 
 
@@ -50,7 +50,7 @@ def stream_append_unique(stream: DataFrame, target: str, keys: Sequence[str], or
     schema, write = stream.schema, _batch_writer(target)
 
     def step(rows: DataFrame, batch: int) -> None:
-        known = stored_rows(rows.sparkSession, target, StructType(list(schema.fields)), before=batch)
+        known = stored_rows(rows.sparkSession, target, schema, before=batch)
         write(append_unique(known, rows, keys, order), batch)
 
     return _start(stream, step, checkpoint, "append", once)
