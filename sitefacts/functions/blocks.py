@@ -7,7 +7,7 @@ ordered over the whole key. Positions are integers, unique within the key, and m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,61 +25,61 @@ def _join_blocks(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> Data
     return df.join(summary, [*keys, BLOCK], "left")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
-    """Adds the 1-based row number within the key, in order of position."""
-    keys = list(keys)
-    blocked = _blocked(df, pos, width)
+def scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    sums: Mapping[str, Column] | None = None,
+    last: Mapping[str, Column] | None = None,
+    first: Mapping[str, Column] | None = None,
+    width: int = WIDTH,
+) -> DataFrame:
+    """Running values within each key, all in one pass over the rows.
+
+    ``sums`` adds up to and with this row; ``last`` and ``first`` give the last and the first non-null
+    value up to and with this row.
+    """
+    keys, sums, last, first = list(keys), dict(sums or {}), dict(last or {}), dict(first or {})
+    blocked = _blocked(df.withColumns({**sums, **last, **first}), pos, width)
+    filled = lambda c: F.when(F.col(c).isNotNull(), F.col(pos))
+    summary = blocked.groupBy(*keys, BLOCK).agg(
+        *[F.sum(c).alias(f"_s_{c}") for c in sums],
+        *[F.max_by(c, filled(c)).alias(f"_s_{c}") for c in last],
+        *[F.min_by(c, filled(c)).alias(f"_s_{c}") for c in first],
+    )
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+    carried = summary.select(
+        *keys,
+        BLOCK,
+        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in sums],
+        *[F.last(f"_s_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in last],
+        *[F.first(f"_s_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in first],
     )
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(pos)
-    return (
-        _join_blocks(blocked, offsets, keys)
-        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
-        .drop(BLOCK, "_offset")
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    carry = lambda c: F.col(f"_c_{c}")
+    rows = _join_blocks(blocked, carried, keys).withColumns(
+        {
+            **{c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + carry(c) for c in sums},
+            **{c: F.coalesce(F.last(c, ignorenulls=True).over(inside), carry(c)) for c in last},
+            **{c: F.coalesce(carry(c), F.first(c, ignorenulls=True).over(inside)) for c in first},
+        }
     )
+    return rows.drop(BLOCK, *[f"_c_{c}" for c in (*sums, *last, *first)])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
+    """Adds the 1-based row number within the key, in order of position."""
+    return scan(df, keys, pos, sums={name: F.lit(1).cast("bigint")}, width=width)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
     """Adds the sum of the value from the first row of the key up to this row."""
-    keys = list(keys)
-    blocked = _blocked(df.withColumn(name, value), pos, width)
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(F.sum(name).alias("_sum"))
-        .withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .drop("_sum")
-    )
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _join_blocks(blocked, carried, keys)
-        .withColumn(name, F.coalesce(F.sum(name).over(inside), F.lit(0)) + F.col("_carry"))
-        .drop(BLOCK, "_carry")
-    )
+    return scan(df, keys, pos, sums={name: value}, width=width)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
     """Adds the last non-null value at or before this row."""
-    keys = list(keys)
-    blocked = _blocked(df.withColumn(name, value), pos, width)
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(pos))).alias("_last"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .drop("_last")
-    )
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _join_blocks(blocked, carried, keys)
-        .withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(inside), F.col("_carry")))
-        .drop(BLOCK, "_carry")
-    )
+    return scan(df, keys, pos, last={name: value}, width=width)
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], pos: str, value: str, prev: str, following: str, width: int = WIDTH) -> DataFrame:

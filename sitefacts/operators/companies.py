@@ -29,14 +29,15 @@ def merge_contacts(df: DataFrame, company: str, fields: Sequence[str], pos: Sequ
     """
     cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("cell")) for i, c in enumerate(fields)])
     rows = df.select(company, *pos, F.explode(cells).alias("_c")).select(company, *pos, F.col("_c.f").alias("_f"), F.col("_c.cell").alias("_cell"))
-    rows = explode_values(rows, "_cell", "_v", seps=";")
+    parts = F.filter(F.transform(F.split(T.text_of("_cell"), ";"), T.strip), lambda v: v != "")
+    # an empty cell keeps one NULL value, so that companies without any value stay in
+    rows = rows.select(company, *pos, "_f", F.posexplode_outer(parts).alias("value_pos", "_v"))
     rows = first_per_key(rows, [company, "_f", F.lower("_v")], [*pos, "value_pos"])
     order = F.struct(*pos, "value_pos")
     packed = F.array_sort(F.collect_list(F.struct(F.col("_f").alias("f"), order.alias("o"), F.col("_v").alias("v"))))
     lists = rows.groupBy(company).agg(packed.alias("_all"))
-    cell = lambda i: F.array_join(F.transform(F.filter("_all", lambda x: x["f"] == i), lambda x: x["v"]), "; ")
-    merged = lists.select(company, *[T.empty_to_null(cell(i)).alias(c) for i, c in enumerate(fields)])
-    return df.select(company).distinct().join(merged, company, "left")
+    cell = lambda i: F.array_join(F.transform(F.filter("_all", (lambda x: (x["f"] == i) & x["v"].isNotNull())), lambda x: x["v"]), "; ")
+    return lists.select(company, *[T.empty_to_null(cell(i)).alias(c) for i, c in enumerate(fields)])
 
 
 def first_non_empty(df: DataFrame, group: Sequence[str], cols: Sequence[str], pos: Sequence[str]) -> DataFrame:
@@ -121,9 +122,9 @@ def import_social_profiles(outcomes: DataFrame) -> DataFrame:
 
 def import_stats(outcomes: DataFrame, company: str = "company", field: str = "field", url: str = "profile_url") -> DataFrame:
     """(outcome, n): counters of an import; inserted profiles count once per company, column and URL."""
-    skipped = outcomes.filter("outcome <> 'inserted'").groupBy("outcome").agg(F.count("*").alias("n"))
-    kept = outcomes.filter("outcome = 'inserted'").select("outcome", company, field, url).distinct()
-    return skipped.unionByName(kept.groupBy("outcome").agg(F.count("*").alias("n")))
+    inserted = F.col("outcome") == "inserted"
+    cells = outcomes.groupBy("outcome", *[F.when(inserted, F.col(c)).alias(f"_{c}") for c in (company, field, url)]).agg(F.count("*").alias("_rows"))
+    return cells.groupBy("outcome").agg(F.sum(F.when(inserted, F.lit(1)).otherwise(F.col("_rows"))).alias("n"))
 
 
 def attach_tax_id(sites: DataFrame, site: str, lookup: DataFrame, lookup_site: str, lookup_id: str, order: Sequence[str], site_ids: DataFrame | None = None) -> DataFrame:

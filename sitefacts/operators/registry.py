@@ -5,15 +5,16 @@ Documents may be of any length: order within a document is handled in blocks (``
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
 from sitefacts.functions import text as T
-from sitefacts.functions.blocks import WIDTH, forward_fill, numbered, running_sum, with_lookahead
-from sitefacts.operators.first import collect_ordered, first_per_key, top_per_key
+from sitefacts.functions.blocks import WIDTH, forward_fill, numbered, scan, with_lookahead
+from sitefacts.operators.first import collect_ordered, first_per_key
 
 
 def is_heading(text: Column) -> Column:
@@ -87,27 +88,30 @@ def registry_extract(lines: DataFrame, doc: str = "document", pos: str = "pos",
     return first_per_key(people, [doc, "section", "full_name"], ["n"])
 
 
-def first_section(lines: DataFrame, doc: str, pos: str, is_label: Column, is_stop: Column, width: int = WIDTH) -> DataFrame:
-    """The first labelled line of each document and the lines behind it up to a stop.
+def first_sections(lines: DataFrame, doc: str, pos: str, rules: Mapping[str, tuple[Column, Column]], width: int = WIDTH) -> DataFrame:
+    """Marks, for every (label, stop) rule, the lines of the first labelled section of a document.
 
-    Adds ``_is_label``; a later label does not open a section again but may be a stop.
+    Adds per rule a column that is ``label`` on the first labelled line, ``line`` on the lines behind it
+    up to the first stop, and NULL elsewhere. A later label does not open a section again, but may be a
+    stop. All rules share two passes.
     """
-    rows = lines.withColumns({"_label": F.coalesce(is_label, F.lit(False)), "_stop": F.coalesce(is_stop, F.lit(False))})
-    rows = running_sum(rows, [doc], pos, F.col("_label").cast("int"), "_seen", width)
-    rows = rows.withColumn("_is_label", F.col("_label") & (F.col("_seen") == 1))
-    # before the first label nothing is open; behind it a stop closes for good
-    stops = F.when(F.col("_is_label"), F.lit(0)).otherwise((F.col("_stop") & (F.col("_seen") >= 1)).cast("int"))
-    rows = running_sum(rows, [doc], pos, stops, "_closed", width)
-    return rows.filter("_seen >= 1 AND _closed = 0").drop("_label", "_stop", "_seen", "_closed")
+    rows = lines.withColumns({f"_l_{n}": F.coalesce(label, F.lit(False)) for n, (label, _) in rules.items()})
+    rows = rows.withColumns({f"_x_{n}": F.coalesce(stop, F.lit(False)) for n, (_, stop) in rules.items()})
+    rows = scan(rows, [doc], pos, sums={f"_n_{n}": F.col(f"_l_{n}").cast("int") for n in rules}, width=width)
+    opens = lambda n: F.col(f"_l_{n}") & (F.col(f"_n_{n}") == 1)
+    closes = lambda n: (F.col(f"_x_{n}") & (F.col(f"_n_{n}") >= 1) & ~opens(n)).cast("int")
+    rows = scan(rows, [doc], pos, sums={f"_z_{n}": closes(n) for n in rules}, width=width)
+    inside = lambda n: (F.col(f"_n_{n}") >= 1) & (F.col(f"_z_{n}") == 0)
+    rows = rows.withColumns({n: F.when(inside(n), F.when(opens(n), F.lit("label")).otherwise(F.lit("line"))) for n in rules})
+    return rows.drop(*[f"_{k}_{n}" for n in rules for k in "lxnz"])
 
 
 def registry_address(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(document, address): the first address label's value and its following lines."""
     t = F.col(text)
-    rows = first_section(
-        lines.select(doc, pos, text).filter(T.strip(t) != ""), doc, pos, labelled(t, vocab.ADDRESS_LABEL).isNotNull(), is_heading(t) | is_numbered(t), width
-    )
-    part = F.when(F.col("_is_label"), labelled(t, vocab.ADDRESS_LABEL)).otherwise(T.compact(t))
+    rule = (labelled(t, vocab.ADDRESS_LABEL).isNotNull(), is_heading(t) | is_numbered(t))
+    rows = first_sections(lines.select(doc, pos, text).filter(T.strip(t) != ""), doc, pos, {"_at": rule}, width).filter("_at IS NOT NULL")
+    part = F.when(F.col("_at") == "label", labelled(t, vocab.ADDRESS_LABEL)).otherwise(T.compact(t))
     return collect_ordered(rows.withColumn("_p", part), [doc], [pos], "_p", "address", " ")
 
 
@@ -149,18 +153,12 @@ def label_form(text: Column) -> Column:
 
 
 def starts_with_label(text: Column, aliases: Iterable[str]) -> Column:
-    return label_form(text).rlike("^(?:" + "|".join(_quoted(a) for a in aliases) + ")")
-
-
-def _quoted(word: str) -> str:
-    import re
-
-    return re.escape(word)
+    return label_form(text).rlike("^(?:" + "|".join(re.escape(a) for a in aliases) + ")")
 
 
 def inline_value(text: Column, aliases: Iterable[str]) -> Column:
     """Value on the label's own line, by the first alias that has one; empty without."""
-    found = [T.empty_to_null(T.compact(F.regexp_extract(text, rf"(?iu)^\s*{_quoted(a)}\s*[:\-]?\s*(.+?)\s*$", 1))) for a in aliases]
+    found = [T.empty_to_null(T.compact(F.regexp_extract(text, rf"(?iu)^\s*{re.escape(a)}\s*[:\-]?\s*(.+?)\s*$", 1))) for a in aliases]
     return F.coalesce(*found, F.lit(""))
 
 
@@ -168,17 +166,6 @@ PLAIN_KEYS = ("description", "industries", "technologies", "website", "tin", "co
 ALL_ALIASES = tuple(a for aliases in vocab.SECTION_LABELS.values() for a in aliases)
 
 
-def _section_values(lines: DataFrame, doc: str, pos: str, text: str, key: str, stop_aliases: Sequence[str], extra_stop: Column, width: int) -> DataFrame:
-    """(document, key, pos, value): raw lines of one section."""
-    t, aliases = F.col(text), vocab.SECTION_LABELS[key]
-    stop = t.startswith(vocab.PAGE_FOOTER_START) | label_form(t).isin(*vocab.REVENUE_STOPS) | extra_stop
-    if stop_aliases:
-        stop = stop | starts_with_label(t, stop_aliases)
-    rows = first_section(lines.select(doc, pos, text), doc, pos, starts_with_label(t, aliases), stop, width)
-    value = F.when(F.col("_is_label"), inline_value(t, aliases)).otherwise(T.compact(t))
-    return rows.select(doc, F.lit(key).alias("key"), pos, value.alias("value")).filter("value <> ''")
-
-
 def section_values(lines: DataFrame, keys: Sequence[str] = PLAIN_KEYS, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(document, key, pos, value): distinct values of the sections that any label ends."""
     t = F.col(text)
@@ -198,68 +185,75 @@ def section_values(lines: DataFrame, keys: Sequence[str] = PLAIN_KEYS, doc: str
     return first_per_key(rows, [doc, "key", F.lower("value")], [pos])
 
 
+def _listed(rows: DataFrame, doc: str, pos: str, keys: Sequence[str]) -> DataFrame:
+    """One row per document with the ordered values of each key as a list."""
+    pairs = lambda k: F.collect_list(F.when(F.col("key") == k, F.struct(pos, "value")))
+    return rows.groupBy(doc).agg(*[F.transform(F.array_sort(pairs(k)), lambda p: p["value"]).alias(f"_{k}") for k in keys])
+
+
+def _first_of(values: Column, test) -> Column:
+    """First non-null result of the test over a list."""
+    return F.try_element_at(F.filter(F.transform(values, lambda v: test(v)), lambda v: v.isNotNull()), F.lit(1))
+
+
 def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One profile row per document from its label and value lines."""
-    plain = section_values(lines, PLAIN_KEYS, doc, pos, text, width)
-    caps = {"website": 3, "tin": 2, "country": 1, "legal_entity_name": 1}
-    cells = []
-    for key in ("description", "industries", "technologies"):
-        cells.append(collect_ordered(plain.filter(F.col("key") == key), [doc], [pos], "value", key, " " if key == "description" else "; "))
-    capped = top_per_key(plain.filter(F.col("key").isin(*caps)), [doc, "key"], [F.col(pos)], 3, "_rank")
-    ok = F.coalesce(*[F.when(F.col("key") == k, F.col("_rank") <= n) for k, n in caps.items()])
-    v = F.col("value")
-    found_url = F.regexp_extract(v, r"(?i)https?://[^\s]+", 0)
-    bare = F.regexp_replace(v, "^/+|/+$", "")
-    site = F.when(found_url != "", found_url).when(
-        F.contains(v, F.lit(".")) & ~F.contains(v, F.lit(" ")) & F.contains(bare, F.lit(".")),
-        F.when(bare.startswith("http"), bare).otherwise(F.concat(F.lit("https://"), bare)),
-    )
-    tax = F.when(F.length(T.digits(v)).isin(*vocab.TAX_ID_LENGTHS), T.digits(v))
-    pick = lambda key, value: F.min_by(value, F.when((F.col("key") == key) & value.isNotNull(), F.col(pos))).alias(key)
-    cells.append(capped.filter(ok).groupBy(doc).agg(pick("website", site), pick("tin", tax), pick("country", v), pick("legal_entity_name", v)))
+    head = lambda key, n: F.slice(F.coalesce(f"_{key}", F.array().cast("array<string>")), 1, n)
+    joined = lambda key, sep: F.coalesce(F.array_join(f"_{key}", sep), F.lit(""))
+
+    def site(v: Column) -> Column:
+        url, bare = F.regexp_extract(v, r"(?i)https?://[^\s]+", 0), F.regexp_replace(v, "^/+|/+$", "")
+        named = F.contains(v, F.lit(".")) & ~F.contains(v, F.lit(" ")) & F.contains(bare, F.lit("."))
+        whole = F.when(bare.startswith("http"), bare).otherwise(F.concat(F.lit("https://"), bare))
+        return F.when(url != "", url).when(named, whole)
+
+    tax = lambda v: F.when(F.length(T.digits(v)).isin(*vocab.TAX_ID_LENGTHS), T.digits(v))
+    plain = _listed(section_values(lines, PLAIN_KEYS, doc, pos, text, width), doc, pos, PLAIN_KEYS)
+    t = F.col(text)
+    ends = t.startswith(vocab.PAGE_FOOTER_START) | label_form(t).isin(*vocab.REVENUE_STOPS)
     revenue_stops = [a for k in vocab.REVENUE_SECTION_STOPS for a in vocab.SECTION_LABELS[k]]
-    revenue = _section_values(lines, doc, pos, text, "revenue", revenue_stops, F.lit(False), width)
-    revenue = collect_ordered(revenue, [doc], [pos], "value", "_r", " ").withColumn("_m", T.amount_currency(F.col("_r")))
-    cells.append(revenue.select(doc, F.col("_m.amount").alias("revenue_amount"), F.col("_m.currency").alias("revenue_currency")))
-    cells.append(section_contacts(lines, doc, pos, text, width))
-    out = lines.select(doc).distinct()
-    for cell in cells:
-        out = out.join(cell, doc, "left")
+    rules = {
+        "revenue": (starts_with_label(t, vocab.SECTION_LABELS["revenue"]), ends | starts_with_label(t, revenue_stops)),
+        "contacts": (starts_with_label(t, vocab.SECTION_LABELS["contacts"]), ends | label_form(t).isin(*vocab.CONTACT_STOPS)),
+    }
+    marked = first_sections(lines.select(doc, pos, text).filter(T.compact(t) != ""), doc, pos, rules, width)
+    value = lambda k: F.when(F.col(k) == "label", inline_value(t, vocab.SECTION_LABELS[k])).otherwise(T.compact(t))
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(F.col(k).isNotNull(), value(k)).alias("value")) for k in rules]), lambda x: F.coalesce(x["value"] != "", F.lit(False)))
+    members = marked.select(doc, pos, F.explode(found).alias("_m")).select(doc, pos, "_m.*")
+    money = _listed(members.filter("key = 'revenue'"), doc, pos, ["revenue"]).withColumn("_money", T.amount_currency(F.array_join("_revenue", " ")))
+    contacts = section_contacts(members.filter("key = 'contacts'").select(doc, pos, "value"), doc, pos, width)
+    out = lines.select(doc).distinct().join(plain, doc, "left").join(money, doc, "left").join(contacts, doc, "left")
+    out = out.select(
+        doc, joined("description", " ").alias("description"), joined("industries", "; ").alias("industries"), joined("technologies", "; ").alias("technologies"),
+        _first_of(head("website", 3), site).alias("website"), _first_of(head("tin", 2), tax).alias("tin"),
+        F.try_element_at("_country", F.lit(1)).alias("country"), F.try_element_at("_legal_entity_name", F.lit(1)).alias("legal_entity_name"),
+        F.col("_money.amount").alias("revenue_amount"), F.col("_money.currency").alias("revenue_currency"),
+        "contact_name", "contact_email", "contact_phone",
+    )
     return out.na.fill("", [c for c in out.columns if c != doc])
 
 
-def section_contacts(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(document, contact_name, contact_email, contact_phone) from the contacts section.
+def section_contacts(section: DataFrame, doc: str = "document", pos: str = "pos", width: int = WIDTH) -> DataFrame:
+    """(document, contact_name, contact_email, contact_phone) from the lines of contacts sections.
 
     Labelled values win; without one the first address, phone or free line of the section is taken.
     """
-    rows = _section_values(lines, doc, pos, text, "contacts", (), label_form(F.col(text)).isin(*vocab.CONTACT_STOPS), width)
-    rows = rows.select(doc, pos, "value")
-    keys = ("contact_name", "contact_email", "contact_phone")
-    labelled_rows = section_values(rows, keys, doc, pos, "value", width)
+    keys = {"contact_name": 1, "contact_email": 2, "contact_phone": 2}
+    known = _listed(section_values(section, tuple(keys), doc, pos, "value", width), doc, pos, tuple(keys))
+    mail = lambda m: F.when((m != "") & ~m.isin(*vocab.IGNORED_EMAILS), m)
+    phone = lambda p: F.when(T.is_likely_phone(p), p)
+    first_mail = lambda v: mail(F.lower(F.regexp_extract(v, vocab.EMAIL_PATTERN, 0)))
+    first_phone = lambda v: phone(T.phone(F.regexp_extract(v, vocab.ANY_PHONE_PATTERN, 0)))
     v = F.col("value")
-    mail = F.lower(T.empty_to_null(F.regexp_extract(v, vocab.EMAIL_PATTERN, 0)))
-    mail = F.when(~mail.isin(*vocab.IGNORED_EMAILS), mail)
-    raw_phone = T.phone(F.regexp_extract(v, vocab.ANY_PHONE_PATTERN, 0))
-    phone = F.when(T.is_likely_phone(raw_phone), raw_phone)
-    first = lambda value, where: F.min_by(value, F.when(where & value.isNotNull(), F.col(pos)))
-    caps = {"contact_name": 1, "contact_email": 2, "contact_phone": 2}
-    ranked = top_per_key(labelled_rows, [doc, "key"], [F.col(pos)], 2, "_rank")
-    ranked = ranked.filter(F.coalesce(*[F.when(F.col("key") == k, F.col("_rank") <= n) for k, n in caps.items()]))
-    known = ranked.groupBy(doc).agg(
-        first(v, F.col("key") == "contact_name").alias("_n"),
-        first(mail, F.col("key") == "contact_email").alias("_e"),
-        first(phone, F.col("key") == "contact_phone").alias("_p"),
-    )
-    mails = F.filter(F.transform(F.regexp_extract_all(v, F.lit(vocab.EMAIL_PATTERN), F.lit(0)), F.lower), lambda m: ~m.isin(*vocab.IGNORED_EMAILS))
-    phones = F.filter(F.transform(F.regexp_extract_all(v, F.lit(vocab.ANY_PHONE_PATTERN), F.lit(0)), T.phone), T.is_likely_phone)
-    free = ~starts_with_label(v, ALL_ALIASES) & ~v.rlike(vocab.EMAIL_PATTERN) & ~v.rlike(vocab.ANY_PHONE_PATTERN)
-    fallback = rows.groupBy(doc).agg(
-        first(v, free).alias("_fn"),
-        first(F.try_element_at(mails, F.lit(1)), F.lit(True)).alias("_fe"),
-        first(F.try_element_at(phones, F.lit(1)), F.lit(True)).alias("_fp"),
-    )
-    joined = fallback.join(known, doc, "left")
-    return joined.select(
-        doc, F.coalesce("_n", "_fn").alias("contact_name"), F.coalesce("_e", "_fe").alias("contact_email"), F.coalesce("_p", "_fp").alias("contact_phone")
+    mails = _first_of(F.regexp_extract_all(v, F.lit(vocab.EMAIL_PATTERN), F.lit(0)), lambda m: mail(F.lower(m)))
+    phones = _first_of(F.regexp_extract_all(v, F.lit(vocab.ANY_PHONE_PATTERN), F.lit(0)), lambda p: phone(T.phone(p)))
+    free = F.when(~starts_with_label(v, ALL_ALIASES) & ~v.rlike(vocab.EMAIL_PATTERN) & ~v.rlike(vocab.ANY_PHONE_PATTERN), v)
+    earliest = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col(pos)))
+    fallback = section.groupBy(doc).agg(earliest(free).alias("_fn"), earliest(mails).alias("_fe"), earliest(phones).alias("_fp"))
+    head = lambda key: F.slice(F.coalesce(f"_{key}", F.array().cast("array<string>")), 1, keys[key])
+    return fallback.join(known, doc, "left").select(
+        doc,
+        F.coalesce(F.try_element_at(head("contact_name"), F.lit(1)), "_fn").alias("contact_name"),
+        F.coalesce(_first_of(head("contact_email"), first_mail), "_fe").alias("contact_email"),
+        F.coalesce(_first_of(head("contact_phone"), first_phone), "_fp").alias("contact_phone"),
     )

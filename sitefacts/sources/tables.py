@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
 from sitefacts.functions import text as T
-from sitefacts.functions.blocks import WIDTH, numbered
+from sitefacts.functions.blocks import WIDTH, numbered, scan
 from sitefacts.operators.first import first_per_key
 from sitefacts.operators.urls import with_start_url
 from sitefacts.session import work_path
@@ -110,15 +110,16 @@ def slice_rows(df: DataFrame, order_by: str, ident: str, start_row: int = 1, end
 
 
 def load_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """(url, pos): start URLs of a text file, first occurrence kept; blank and ``#`` lines skipped.
+    """(start_url, error, pos): start URLs of a text file, first occurrence kept; blank and ``#`` lines skipped.
 
     A line that is no usable URL stays in with its error, under the NULL URL's own text.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("pos")
+        T.strip(F.col("value")).alias("raw"),
+        # file, place of the split in it, place in the split
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("pos"),
     )
-    lines = lines.withColumn("raw", T.strip(F.col("value"))).filter("raw <> '' AND NOT startswith(raw, '#')")
-    return url_list(lines.select("raw", "pos"))
+    return url_list(lines.filter("raw <> '' AND NOT startswith(raw, '#')"))
 
 
 def url_list(lines: DataFrame, raw: str = "raw", pos: str = "pos") -> DataFrame:
@@ -168,9 +169,7 @@ def pagination_audit(pages: DataFrame, query: str, page: str, payload: str, max_
     """
     rows = pages.select(query, page, F.from_json(payload, "items array<string>, total bigint, pages int").alias("_p"))
     rows = rows.select(query, page, F.coalesce(F.size("_p.items"), F.lit(0)).alias("n"), F.col("_p.total").alias("total"), F.col("_p.pages").alias("pages"))
-    so_far = Window.partitionBy(query).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
-    # one row per result page; a query has as many as its service hands out
-    rows = rows.withColumns({"_sum": F.sum("n").over(so_far), "_total": F.first("total").over(so_far)})
+    rows = scan(rows, [query], page, sums={"_sum": F.col("n")}, first={"_total": F.col("total")})
     last = (F.col("n") == 0) | (F.col("_sum") >= F.col("_total")) | (F.col(page) + 1 >= F.col("pages"))
     if max_pages is not None:
         last = last | (F.col(page) + 1 >= max_pages)
@@ -205,8 +204,8 @@ def write_projected(df: DataFrame, path: str, fields: Sequence[str], mode: str =
 
 def write_per_site(df: DataFrame, root: str, key: str = "domain", fmt: str = "parquet") -> None:
     """One directory per site; only the directories of sites in this batch are replaced."""
-    # rows of a site may come from many tasks, so a large site is written by many of them
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).format(fmt).save(root)
+    # small sites share a task, a large one is split over several
+    df.hint("rebalance", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).format(fmt).save(root)
 
 
 def append_unique(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -244,4 +243,4 @@ def route_links(links: DataFrame, firm: str, url: str, kind: str = "kind", sourc
 
 
 def write_links(routed: DataFrame, root: str) -> None:
-    routed.write.mode("append").partitionBy("sink").parquet(root)
+    routed.hint("rebalance", F.col("sink")).write.mode("append").partitionBy("sink").parquet(root)
