@@ -8,6 +8,7 @@ ordered over the whole key. Positions are integers, unique within the key, and m
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ def _blocked(df: DataFrame, pos: str, width: int) -> DataFrame:
 
 
 def _join_blocks(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # (key, block) holds at most ``width`` rows, so the join has no hot key
-    return df.join(summary, [*keys, BLOCK], "left")
+    # (key, block) holds at most ``width`` rows, so the join has no hot key; NULL is a key like others
+    named = summary.withColumnsRenamed({k: f"_r_{k}" for k in (*keys, BLOCK)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in (*keys, BLOCK)])
+    return df.join(named, same, "left").drop(*[f"_r_{k}" for k in (*keys, BLOCK)])
 
 
 def scan(
