@@ -165,7 +165,7 @@ def pending_after_resume(spark, sf):
     SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sink, firm_id, link_url ORDER BY pos) = 1""",
 )
 def route_links(spark, sf):
-    links = O.with_link_kind(bound(spark, sf, "links_in"), "raw_url").withColumn("source", F.lit("site_crawl"))
+    links = O.with_link_kind(bound(spark, sf, "links_in", costly=True), "raw_url").withColumn("source", F.lit("site_crawl"))
     return S.route_links(links, "firm_id", "link_url").select("sink", "pos", "firm_id", "link_url", "kind", "source")
 
 
@@ -210,7 +210,7 @@ def social_companies(spark, sf):
 
 
 def social(spark, sf):
-    return C.social_outcomes(bound(spark, sf, "links_in"), social_companies(spark, sf), "site_url", "raw_url", "company", "domain")
+    return C.social_outcomes(bound(spark, sf, "links_in", costly=True), social_companies(spark, sf), "site_url", "raw_url", "company", "domain")
 
 
 @query("import_social_profiles", f"WITH {SOCIAL} SELECT company, {', '.join(f'''CASE WHEN field = '{c}' THEN profile_url END AS {c}''' for c in vocab.PROFILE_COLUMNS)} FROM i")
@@ -255,7 +255,7 @@ def join_tax_id(spark, sf):
     f"""SELECT pos, c.company FROM {LINKS} l LEFT JOIN (SELECT DISTINCT user_id % 40 AS company FROM events WHERE user_id % 40 < 30) c ON l.site_url = 'https://www.firm' || c.company || '.example.com/'""",
 )
 def join_company_by_domain(spark, sf):
-    return C.join_company(bound(spark, sf, "links_in"), "site_url", social_companies(spark, sf), "company", "domain").select("pos", "company")
+    return C.join_company(bound(spark, sf, "links_in", costly=True), "site_url", social_companies(spark, sf), "company", "domain").select("pos", "company")
 
 
 CLAIMS = define(

@@ -146,7 +146,7 @@ def origin_domain(spark, sf):
         host <> '' AND (host = sh OR ends_with(host, '.' || sh)) AS is_own FROM o""",
 )
 def is_internal(spark, sf):
-    df = O.with_internal_flag(bound(spark, sf, "links_in"), "raw_url", "site_url")
+    df = O.with_internal_flag(bound(spark, sf, "links_in", costly=True), "raw_url", "site_url")
     return O.with_internal_flag(df, "raw_url", "site_url", "is_own", exact=True).select("pos", "is_internal", "is_own")
 
 
@@ -161,7 +161,7 @@ def host_lists(spark):
     WHEN {under_sql("host", *vocab.SOCIAL_HOSTS)} THEN 'social' END AS list_name FROM p""",
 )
 def host_in_domains(spark, sf):
-    df = O.with_url_host(bound(spark, sf, "links_in"), "raw_url")
+    df = O.with_url_host(bound(spark, sf, "links_in", costly=True), "raw_url")
     return O.match_domain_list(df, "host", host_lists(spark)).select("pos", "host", "list_name")
 
 
@@ -171,7 +171,7 @@ PLATFORM = f"""CASE WHEN {under_sql("host", *vocab.VIDEO_HOSTS)} THEN 'video_hos
 
 @query("classify_platform", f"""WITH {parts_sql(LINKS, "raw_url")} SELECT pos, {PLATFORM} AS platform FROM p""")
 def classify_platform(spark, sf):
-    return O.with_platform_kind(bound(spark, sf, "links_in"), "raw_url").select("pos", "platform")
+    return O.with_platform_kind(bound(spark, sf, "links_in", costly=True), "raw_url").select("pos", "platform")
 
 
 HH = f"""CASE WHEN {under_sql("host", "hh.ru")} AND starts_with(path, '/employer') THEN 'https://' || host || rtrim(path, '/') ||
@@ -194,7 +194,7 @@ INSTA_OK = f"regexp_full_match({HANDLE}, '[A-Za-z0-9._]{{1,30}}') AND NOT list_c
     CASE WHEN host IN ('instagram.com','instagr.am') AND {INSTA_OK} THEN 'https://www.instagram.com/' || {HANDLE} || '/' END AS instagram_url FROM p""",
 )
 def canonical_profile_urls(spark, sf):
-    df = bound(spark, sf, "links_in")
+    df = bound(spark, sf, "links_in", costly=True)
     df = O.canonical_profile_url(df, "raw_url", ("hh", "telegram", "max", "dzen", "instagram"))
     df = O.canonical_profile_url(df, "raw_url", "telegram", "telegram_profile_url", reject_service=True)
     return df.drop("firm_id", "site_url", "raw_url")
@@ -211,7 +211,7 @@ def canonical_profile_urls(spark, sf):
     SELECT pos, instagram_handle, telegram_handle, 'https://web.telegram.org/k/#@' || telegram_handle AS web_url FROM v""",
 )
 def profile_handles(spark, sf):
-    df = O.profile_handle(bound(spark, sf, "links_in"), "raw_url", "instagram", "instagram_handle")
+    df = O.profile_handle(bound(spark, sf, "links_in", costly=True), "raw_url", "instagram", "instagram_handle")
     df = O.profile_handle(df, "raw_url", "telegram", "telegram_handle")
     return df.select("pos", "instagram_handle", "telegram_handle", "web_url")
 
@@ -229,7 +229,7 @@ KINDS = f"""{parts_sql(LINKS, "raw_url")}, {parts_sql(LINKS, "raw_url", default_
 
 @query("classify_social_link", f"WITH {KINDS} SELECT pos, kind, link_url, link_host FROM kinds")
 def classify_social_link(spark, sf):
-    return O.with_link_kind(bound(spark, sf, "links_in"), "raw_url").select("pos", "kind", "link_url", "link_host")
+    return O.with_link_kind(bound(spark, sf, "links_in", costly=True), "raw_url").select("pos", "kind", "link_url", "link_host")
 
 
 FIELD = f"""CASE WHEN {under_sql("host", "hh.ru")} THEN 'hh_profile' WHEN host IN ('t.me','telegram.me') THEN 'tg_profile'
@@ -244,7 +244,7 @@ SHARE = """(hostname = 'drive2.ru' OR ends_with(hostname, '.drive2.ru')
 
 @query("social_field", f"""WITH {parts_sql(LINKS, "raw_url")} SELECT pos, {FIELD} AS field FROM p""")
 def social_field(spark, sf):
-    return O.with_social_field(bound(spark, sf, "links_in"), "raw_url").select("pos", "field")
+    return O.with_social_field(bound(spark, sf, "links_in", costly=True), "raw_url").select("pos", "field")
 
 
 @query(
@@ -252,7 +252,7 @@ def social_field(spark, sf):
     f"""WITH {parts_sql(LINKS, "raw_url", default_scheme=False)} SELECT pos, raw_url FROM p WHERE NOT {SHARE}""",
 )
 def drop_share_links(spark, sf):
-    return O.drop_share_links(bound(spark, sf, "links_in"), "raw_url").select("pos", "raw_url")
+    return O.drop_share_links(bound(spark, sf, "links_in", costly=True), "raw_url").select("pos", "raw_url")
 
 
 @query(
@@ -316,7 +316,7 @@ def link_priority(spark, sf):
     SELECT pos, coalesce(regexp_matches(t, '{"|".join(vocab.BOOKING_URL_HINTS)}'), false) AS booking_hint FROM h""",
 )
 def url_booking_hint(spark, sf):
-    return O.with_booking_hint(bound(spark, sf, "links_in"), "raw_url").select("pos", "booking_hint")
+    return O.with_booking_hint(bound(spark, sf, "links_in", costly=True), "raw_url").select("pos", "booking_hint")
 
 
 SITES = """(SELECT page_id, origin AS firm, CASE page_id % 4 WHEN 0 THEN replace(url, 'http://', 'https://') WHEN 1 THEN site
@@ -379,6 +379,6 @@ SHORTENED = "SELECT pos, CASE WHEN pos % 20 = 18 THEN concat('https://clck.ru/',
     AND NOT (contains(l.raw_url, '//clck.ru/') AND coalesce({under_sql("t.host", "clck.ru")}, false))""",
 )
 def apply_redirects(spark, sf):
-    links = spark.sql(SHORTENED, links=bound(spark, sf, "links_in"))
+    links = spark.sql(SHORTENED, links=bound(spark, sf, "links_in", costly=True))
     lookup = spark.sql(REDIRECTS, links=links)
     return O.apply_redirects(links, "raw_url", lookup).select("pos", "raw_url", "resolved_url")

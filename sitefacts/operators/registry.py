@@ -15,6 +15,7 @@ from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions.blocks import WIDTH, forward_fill, numbered, scan, with_lookahead
 from sitefacts.operators.first import collect_ordered, first_per_key
+from sitefacts.sources.tables import land
 
 
 def is_heading(text: Column) -> Column:
@@ -55,6 +56,8 @@ def registry_extract(lines: DataFrame, doc: str = "document", pos: str = "pos",
             "_patr": labelled(F.col("_t"), vocab.PATRONYMIC_LABEL),
         }
     )
+    # the rows feed a window and, below, a scan that reads its input twice
+    rows = land(rows.drop("_t"), "lines")
     rows, window = with_lookahead(rows, [doc], "_n", 7, width)
     more = [F.lead(F.struct("_stop", "_flat"), i).over(window) for i in (1, 2, 3)]
     ahead = window.rowsBetween(1, 7)
@@ -93,17 +96,22 @@ def first_sections(lines: DataFrame, doc: str, pos: str, rules: Mapping[str, tup
 
     Adds per rule a column that is ``label`` on the first labelled line, ``line`` on the lines behind it
     up to the first stop, and NULL elsewhere. A later label does not open a section again, but may be a
-    stop. All rules share two passes.
+    stop. All rules share one pass.
     """
-    rows = lines.withColumns({f"_l_{n}": F.coalesce(label, F.lit(False)) for n, (label, _) in rules.items()})
-    rows = rows.withColumns({f"_x_{n}": F.coalesce(stop, F.lit(False)) for n, (_, stop) in rules.items()})
-    rows = scan(rows, [doc], pos, sums={f"_n_{n}": F.col(f"_l_{n}").cast("int") for n in rules}, width=width)
-    opens = lambda n: F.col(f"_l_{n}") & (F.col(f"_n_{n}") == 1)
-    closes = lambda n: (F.col(f"_x_{n}") & (F.col(f"_n_{n}") >= 1) & ~opens(n)).cast("int")
-    rows = scan(rows, [doc], pos, sums={f"_z_{n}": closes(n) for n in rules}, width=width)
-    inside = lambda n: (F.col(f"_n_{n}") >= 1) & (F.col(f"_z_{n}") == 0)
-    rows = rows.withColumns({n: F.when(inside(n), F.when(opens(n), F.lit("label")).otherwise(F.lit("line"))) for n in rules})
-    return rows.drop(*[f"_{k}_{n}" for n in rules for k in "lxnz"])
+    # a section is open from the first label on, as long as no stop lies behind that label
+    at = lambda c: F.when(c, F.col(pos))
+    rows = scan(
+        lines,
+        [doc],
+        pos,
+        first={f"_l_{n}": at(label) for n, (label, _) in rules.items()},
+        last={f"_x_{n}": at(stop) for n, (_, stop) in rules.items()},
+        width=width,
+    )
+    here = lambda n: F.col(pos) == F.col(f"_l_{n}")
+    is_open = lambda n: F.col(f"_l_{n}").isNotNull() & (F.coalesce(f"_x_{n}", f"_l_{n}") <= F.col(f"_l_{n}"))
+    rows = rows.withColumns({n: F.when(is_open(n), F.when(here(n), F.lit("label")).otherwise(F.lit("line"))) for n in rules})
+    return rows.drop(*[f"_{k}_{n}" for n in rules for k in "lx"])
 
 
 def registry_address(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -152,8 +160,16 @@ def label_form(text: Column) -> Column:
     return F.translate(T.compact(F.lower(text)), "`’", "''")
 
 
-def starts_with_label(text: Column, aliases: Iterable[str]) -> Column:
-    return label_form(text).rlike("^(?:" + "|".join(re.escape(a) for a in aliases) + ")")
+FORM = "_form"
+
+
+def with_form(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """Non-blank lines with the form that labels are compared in, worked out once per line."""
+    return lines.select(doc, pos, text, label_form(F.col(text)).alias(FORM)).filter(f"{FORM} <> ''")
+
+
+def opens_with(form: Column, aliases: Iterable[str]) -> Column:
+    return form.rlike("^(?:" + "|".join(re.escape(a) for a in aliases) + ")")
 
 
 def inline_value(text: Column, aliases: Iterable[str]) -> Column:
@@ -168,12 +184,12 @@ ALL_ALIASES = tuple(a for aliases in vocab.SECTION_LABELS.values() for a in alia
 
 def section_values(lines: DataFrame, keys: Sequence[str] = PLAIN_KEYS, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(document, key, pos, value): distinct values of the sections that any label ends."""
-    t = F.col(text)
-    base = lines.select(doc, pos, text).filter(T.compact(t) != "")
-    named = F.array_compact(F.array(*[F.when(starts_with_label(t, vocab.SECTION_LABELS[k]), F.lit(k)) for k in keys]))
-    rows = base.withColumn("_keys", named)
-    closes = starts_with_label(t, ALL_ALIASES) | t.startswith(vocab.PAGE_FOOTER_START) | label_form(t).isin(*vocab.REVENUE_STOPS)
-    rows = rows.withColumn("_any", closes)
+    t, form = F.col(text), F.col(FORM)
+    rows = with_form(lines, doc, pos, text)
+    ends = t.startswith(vocab.PAGE_FOOTER_START) | form.isin(*vocab.REVENUE_STOPS)
+    rows = rows.withColumn("_label", opens_with(form, ALL_ALIASES))
+    named = F.array_compact(F.array(*[F.when(opens_with(form, vocab.SECTION_LABELS[k]), F.lit(k)) for k in keys]))
+    rows = rows.withColumns({"_any": F.col("_label") | ends, "_keys": F.when(F.col("_label"), named)})
     # one pass for all keys: every line belongs to the segment that the last label or stop opened
     rows = forward_fill(rows, [doc], pos, F.when(F.col("_any"), F.col(pos)), "_seg", width)
     first = rows.select(doc, F.explode("_keys").alias("key"), F.col(pos).alias("_seg")).groupBy(doc, "key").agg(F.min("_seg").alias("_seg"))
@@ -181,7 +197,7 @@ def section_values(lines: DataFrame, keys: Sequence[str] = PLAIN_KEYS, doc: str
     # a segment is one label's lines; only segments that a wanted label opens reach the join
     rows = rows.join(first, [doc, "_seg"])
     value = F.when(F.col(pos) == F.col("_seg"), inline).otherwise(F.when(~F.col("_any"), T.compact(t)))
-    rows = rows.select(doc, "key", pos, value.alias("value")).filter("value <> ''").filter(~starts_with_label(F.col("value"), ALL_ALIASES))
+    rows = rows.select(doc, "key", pos, value.alias("value")).filter("value <> ''").filter(~opens_with(label_form(F.col("value")), ALL_ALIASES))
     return first_per_key(rows, [doc, "key", F.lower("value")], [pos])
 
 
@@ -209,17 +225,18 @@ def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos",
 
     tax = lambda v: F.when(F.length(T.digits(v)).isin(*vocab.TAX_ID_LENGTHS), T.digits(v))
     plain = _listed(section_values(lines, PLAIN_KEYS, doc, pos, text, width), doc, pos, PLAIN_KEYS)
-    t = F.col(text)
-    ends = t.startswith(vocab.PAGE_FOOTER_START) | label_form(t).isin(*vocab.REVENUE_STOPS)
+    t, form = F.col(text), F.col(FORM)
+    ends = t.startswith(vocab.PAGE_FOOTER_START) | form.isin(*vocab.REVENUE_STOPS)
     revenue_stops = [a for k in vocab.REVENUE_SECTION_STOPS for a in vocab.SECTION_LABELS[k]]
     rules = {
-        "revenue": (starts_with_label(t, vocab.SECTION_LABELS["revenue"]), ends | starts_with_label(t, revenue_stops)),
-        "contacts": (starts_with_label(t, vocab.SECTION_LABELS["contacts"]), ends | label_form(t).isin(*vocab.CONTACT_STOPS)),
+        "revenue": (opens_with(form, vocab.SECTION_LABELS["revenue"]), ends | opens_with(form, revenue_stops)),
+        "contacts": (opens_with(form, vocab.SECTION_LABELS["contacts"]), ends | form.isin(*vocab.CONTACT_STOPS)),
     }
-    marked = first_sections(lines.select(doc, pos, text).filter(T.compact(t) != ""), doc, pos, rules, width)
+    marked = first_sections(with_form(lines, doc, pos, text), doc, pos, rules, width)
     value = lambda k: F.when(F.col(k) == "label", inline_value(t, vocab.SECTION_LABELS[k])).otherwise(T.compact(t))
     found = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(F.col(k).isNotNull(), value(k)).alias("value")) for k in rules]), lambda x: F.coalesce(x["value"] != "", F.lit(False)))
-    members = marked.select(doc, pos, F.explode(found).alias("_m")).select(doc, pos, "_m.*")
+    # read three times below; the lines of these sections are few, so they are written once
+    members = land(marked.select(doc, pos, F.explode(found).alias("_m")).select(doc, pos, "_m.*"), "sections")
     money = _listed(members.filter("key = 'revenue'"), doc, pos, ["revenue"]).withColumn("_money", T.amount_currency(F.array_join("_revenue", " ")))
     contacts = section_contacts(members.filter("key = 'contacts'").select(doc, pos, "value"), doc, pos, width)
     out = lines.select(doc).distinct().join(plain, doc, "left").join(money, doc, "left").join(contacts, doc, "left")
@@ -247,7 +264,7 @@ def section_contacts(section: DataFrame, doc: str = "document", pos: str = "pos"
     v = F.col("value")
     mails = _first_of(F.regexp_extract_all(v, F.lit(vocab.EMAIL_PATTERN), F.lit(0)), lambda m: mail(F.lower(m)))
     phones = _first_of(F.regexp_extract_all(v, F.lit(vocab.ANY_PHONE_PATTERN), F.lit(0)), lambda p: phone(T.phone(p)))
-    free = F.when(~starts_with_label(v, ALL_ALIASES) & ~v.rlike(vocab.EMAIL_PATTERN) & ~v.rlike(vocab.ANY_PHONE_PATTERN), v)
+    free = F.when(~opens_with(label_form(v), ALL_ALIASES) & ~v.rlike(vocab.EMAIL_PATTERN) & ~v.rlike(vocab.ANY_PHONE_PATTERN), v)
     earliest = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col(pos)))
     fallback = section.groupBy(doc).agg(earliest(free).alias("_fn"), earliest(mails).alias("_fe"), earliest(phones).alias("_fp"))
     head = lambda key: F.slice(F.coalesce(f"_{key}", F.array().cast("array<string>")), 1, keys[key])
