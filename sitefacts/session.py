@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "sitefacts", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "sitefacts", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -16,10 +16,14 @@ def build_session(app: str = "sitefacts", master: str | None = None, shuffle_par
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        # in local mode the driver does all the work; a cluster sets this on submission
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

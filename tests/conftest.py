@@ -10,6 +10,6 @@ from sitefacts.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", 8)
+    session = build_session("tests", "local[8]", 8, "8g")
     session.sparkContext.setLogLevel("OFF")
     yield session
