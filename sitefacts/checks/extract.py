@@ -10,7 +10,6 @@ from sitefacts.checks.base import list_sql, query, under_sql
 from sitefacts.checks.pages import PAGES
 from sitefacts.functions.html import html_elements
 from sitefacts.operators import booking as B
-from sitefacts.operators import pages as P
 from sitefacts.operators import prices as R
 from sitefacts.operators import profiles as M
 from sitefacts.operators import registry as G
@@ -320,7 +319,6 @@ REG = f"""raw AS (SELECT document, c_custkey * 100 + unnest(range(len(x))) AS po
     reg AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY pos) AS n, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS f,
         starts_with(trim(lower(text)), 'сведения о ') OR starts_with(trim(lower(text)), 'сведения об ') AS head, regexp_matches(trim(text), '^\\d+\\s') AS num
         FROM raw WHERE NOT starts_with(lower(text), 'выписка из егрюл') AND NOT contains(text, 'страница'))"""
-REG_MAX_WIDTH = 64
 
 
 @query("registry_lines", f"WITH {REG} SELECT document, pos, text FROM reg")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitefacts.bindings import bound, define, spread, sql_of, table
-from sitefacts.checks.base import HTTP_SQL, origin_sql, parts_sql, query
-from sitefacts.checks.urls import KINDS, PLATFORM
+from sitefacts.checks.base import origin_sql, query
+from sitefacts.checks.urls import KINDS
 from sitefacts.functions.html import html_elements
 from sitefacts.operators import pages as O
 from sitefacts.operators import urls as L

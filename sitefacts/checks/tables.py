@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitefacts import vocab
 from sitefacts.bindings import bound, define, sql_of, table
-from sitefacts.checks.base import HTTP_SQL, list_sql, origin_sql, parts_sql, query, under_sql
+from sitefacts.checks.base import list_sql, parts_sql, query, under_sql
 from sitefacts.checks.urls import FIELD, KINDS, LINKS, SHARE
 from sitefacts.operators import companies as C
 from sitefacts.operators import urls as O

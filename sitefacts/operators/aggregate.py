@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions.blocks import WIDTH, forward_fill, neighbours, numbered, with_lookahead
-from sitefacts.operators.first import first_per_key, top_per_key
+from sitefacts.operators.first import top_per_key
 
 MEMBER_FIELDS = ("member_name", "member_username", "member_public_url", "member_web_public_url", "member_status", "member_role", "member_is_admin")
 

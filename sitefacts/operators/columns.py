@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sitefacts import vocab
 from sitefacts.functions import text as T
-from sitefacts.operators.first import first_per_key
 
 
 def with_compact(df: DataFrame, col: str, out: str = "compact", variant: str = "plain") -> DataFrame:

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions.blocks import WIDTH, numbered, scan
 from sitefacts.operators.first import first_per_key

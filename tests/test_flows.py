@@ -1,7 +1,5 @@
 """Whole flows and streams on small fixtures."""
 
-from pyspark.sql import functions as F
-
 from sitefacts.plans import crawl_flow, import_flow, lead_flow
 from sitefacts.session import work_path
 from sitefacts.streaming import jobs as J
