@@ -16,6 +16,7 @@ from sitefacts import vocab
 from sitefacts.functions.text import empty_to_null, strip, text_of
 
 URL_PARTS = ("scheme", "netloc", "path", "query", "fragment")
+SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def encode_host(host: Column) -> Column:
@@ -48,34 +49,22 @@ def split_url(df: DataFrame, url: str, prefix: str = "_", default_scheme: bool =
             F.concat(F.lit("https://"), value)
         )
     df = df.withColumn(f"{prefix}url", value)
-    c = lambda name: F.col(f"{prefix}{name}")
-    after = lambda whole, head: F.substr(whole, F.length(head) + 2)
-    # cut from the right ends inwards; plain string functions are far cheaper than one pattern
-    df = df.withColumn(f"{prefix}path", F.substring_index(c("url"), "#", 1))
-    df = df.withColumns({f"{prefix}fragment": after(c("url"), c("path")), f"{prefix}query": c("path"), f"{prefix}path": F.substring_index(c("path"), "?", 1)})
-    df = df.withColumns({f"{prefix}query": after(c("query"), c("path")), f"{prefix}scheme": F.regexp_extract(c("path"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)})
-    df = df.withColumn(f"{prefix}path", F.when(c("scheme") != "", after(c("path"), c("scheme"))).otherwise(c("path")))
-    df = df.withColumn(
-        f"{prefix}netloc", F.when(c("path").startswith("//"), F.substring_index(F.substr(c("path"), F.lit(3)), "/", 1)).otherwise(F.lit(""))
-    )
-    server = F.substring_index(c("netloc"), "@", -1)
-    bracketed = server.startswith("[")
-    host = F.when(bracketed, F.regexp_extract(server, r"^(\[[^\]]*\])", 1)).otherwise(F.substring_index(server, ":", 1))
-    port_text = F.when(F.contains(server, F.lit(":")), F.regexp_extract(server, r":([^:\]]*)$", 1)).otherwise(F.lit(""))
-    df = df.withColumns(
-        {
-            f"{prefix}path": F.when(c("path").startswith("//"), F.substr(c("path"), F.length(c("netloc")) + 3)).otherwise(c("path")),
-            f"{prefix}scheme": F.lower(c("scheme")),
-            f"{prefix}hostname": F.lower(host),
-            f"{prefix}port_text": port_text,
-        }
-    )
-    number = F.when(c("port_text").rlike("^[0-9]+$"), c("port_text").try_cast("int"))
+    # every part is one pattern over the whole URL: a filter on a derived column is pushed down by
+    # putting the column's expression in its place, and parts cut from parts would multiply there
+    part = lambda i: F.regexp_extract(f"{prefix}url", SPLIT, i)
+    parts = {f"{prefix}{name}": part(i + 1) for i, name in enumerate(URL_PARTS)}
+    parts[f"{prefix}scheme"] = F.lower(parts[f"{prefix}scheme"])
+    server = F.substring_index(part(2), "@", -1)
+    parts[f"{prefix}hostname"] = F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)", 1))
+    parts[f"{prefix}port_text"] = F.regexp_extract(server, r":([^:\]]*)$", 1)
+    df = df.withColumns(parts)
+    text = F.col(f"{prefix}port_text")
+    number = F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
     return df.withColumns(
         {
-            f"{prefix}host": bare_host(c("hostname")),
+            f"{prefix}host": bare_host(F.col(f"{prefix}hostname")),
             f"{prefix}port": number,
-            f"{prefix}port_ok": (c("port_text") == "") | F.coalesce(number <= 65535, F.lit(False)),
+            f"{prefix}port_ok": (text == "") | F.coalesce(number <= 65535, F.lit(False)),
         }
     )
 

@@ -236,7 +236,12 @@ def crawl_frontier(visited: DataFrame, links: DataFrame, site: str, url: str, pr
 
     Visited pages are left out and count towards the site's cap.
     """
-    fresh = first_per_key(links, [site, url], list(order)).join(visited.select(site, url).distinct(), [site, url], "left_anti")
+    # links and visited pages meet in one aggregate: a key of any weight is combined in the map tasks
+    seen = visited.select(site, url, F.lit(True).alias("_seen"))
+    both = links.select(site, url, priority, *order, F.lit(False).alias("_seen")).unionByName(seen, allowMissingColumns=True)
+    place = F.when(~F.col("_seen"), F.struct(*order))
+    best = both.groupBy(site, url).agg(F.max("_seen").alias("_seen"), F.min_by(F.struct(priority, *order), place).alias("_b"))
+    fresh = best.filter("NOT _seen").select(site, url, "_b.*")
     # of a site's fresh links no more than the cap can ever be next, so that many reach the join
     fresh = top_per_key(fresh, [site], [F.col(priority).desc(), *[F.col(o) for o in order]], max_pages, "rank")
     spent = visited.select(site, url).distinct().groupBy(site).agg(F.count("*").alias("_spent"))
