@@ -348,7 +348,7 @@ HINTS = ("contact", "service", "the", "re")
     f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id, pos) = 1),
     n AS (SELECT f.* FROM f ANTI JOIN v ON f.site = v.site AND f.url = v.url),
     r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, page_id, pos) AS rank FROM n)
-    SELECT r.site, r.url, r.priority, r.rank FROM r LEFT JOIN (SELECT site, count(DISTINCT url) AS c FROM v GROUP BY site) s ON r.site = s.site WHERE rank + coalesce(c, 0) <= 120""",
+    SELECT r.site, r.url, r.priority, r.rank FROM r LEFT JOIN (SELECT site, count(DISTINCT url) AS c FROM v GROUP BY site) s ON r.site = s.site WHERE rank + coalesce(c, 0) <= 1000""",
 )
 def frontier(spark, sf):
     from sitefacts.checks.urls import hrefs
@@ -358,4 +358,4 @@ def frontier(spark, sf):
     links = O.with_link_priority(links.withColumn("anchor", F.lit("")), "link", "anchor", hints=HINTS)
     links = links.select("site", F.col("link").alias("url"), "priority", "page_id", "pos")
     seen = O.with_origin_domain(O.with_url_host(table(spark, sf, "pages"), "url"), "host", "site").select("site", F.regexp_replace("url", "[#?].*$", "").alias("url"))
-    return C.crawl_frontier(seen, links, "site", "url", "priority", ["page_id", "pos"], 120).select("site", "url", "priority", "rank")
+    return C.crawl_frontier(seen, links, "site", "url", "priority", ["page_id", "pos"], 1000).select("site", "url", "priority", "rank")
