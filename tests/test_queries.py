@@ -25,7 +25,8 @@ def sql():
 def test_registry(sql):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"shuffled_head", "name_variants_many", "email_candidates_many"}
+    own = {n for n in queries if not (n == "pipeline" or n.startswith("op") and n[2].isdigit())}
+    assert own - set(oracles) == {"shuffled_head", "name_variants_many", "email_candidates_many"}
     for name, text in oracles.items():
         assert sql.sql(f"SELECT * FROM ({text}) LIMIT 0").columns, name
 
