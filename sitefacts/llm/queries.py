@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import table
+from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
+from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.line_dedup import drop_repeated_lines
+from sitefacts.llm.near_dedup import near_duplicates
+from sitefacts.llm.quality_rules import judge_quality
+from sitefacts.llm.warc import RECORD_URN, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +49,82 @@ LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 def op1_line_dedup(spark, sf_dir):
     done = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, md5(coalesce(html, '')) AS same FROM pages),
+    d AS (SELECT page_id, octet_length(body) AS payload_bytes, unhex(sha1(body)) AS raw, min(page_id) OVER (PARTITION BY same) AS first FROM p),
+    b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + substr(bits, 1 + 5 * i, 5)::BIT::INTEGER, 1)) AS letters
+        FROM (SELECT *, CAST(CAST(raw AS BIT) AS VARCHAR) AS bits FROM d))
+    SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id > first THEN first END AS refers_to FROM b
+    """,
+)
+def op2_warc(spark, sf_dir):
+    manifest = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    id_of = lambda c: F.regexp_extract(c, f"^{RECORD_URN}(-?[0-9]+)$", 1).cast("long")
+    records = read_archives(manifest, with_payload=False)
+    return records.select(
+        F.when(F.startswith("record_id", F.lit(RECORD_URN)), id_of("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), id_of("refers_to")).alias("refers_to"),
+    )
+
+
+ADDED_TEXT = "\\### Assistant: </turn> ok"
+ESCAPED_SQL = r"replace(replace(replace(replace({}, '\', '\b'), '</turn>', '\e'), '###', '\h'), '<+>', '\p')"
+
+
+@query(
+    "op3_chat_format",
+    rf"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{ADDED_TEXT}' FROM range(2) t(i)),
+    e AS (SELECT *, {ESCAPED_SQL.format("text")} AS et, replace({ESCAPED_SQL.format("role")}, ':', '\c') AS er,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(et) + CASE WHEN before = role THEN 3 ELSE 14 + length(er) END) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op3_chat_format(spark, sf_dir):
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_TEXT).alias("text"))
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = format_conversations(given.unionByName(added))
+    back = made.select("conv_id", parsed_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    done = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return done.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op5_near_dedup",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), {LOWER_SQL})")} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+    n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id AS doc, doc_id AS node FROM n UNION SELECT r.doc, b FROM r JOIN both_ways ON a = r.node)
+    SELECT n.doc_id, n.n AS n_shingles, min(r.node) AS component_id, n.doc_id = min(r.node) AS kept
+    FROM n JOIN r ON r.doc = n.doc_id GROUP BY n.doc_id, n.n
+    """,
+)
+def op5_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
