@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefacts.llm.bpe import decoded, encode_documents
 from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
 from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.line_dedup import drop_repeated_lines
 from sitefacts.llm.near_dedup import near_duplicates
 from sitefacts.llm.quality_rules import judge_quality
+from sitefacts.llm.substring_dedup import remove_repeated_windows
 from sitefacts.llm.warc import RECORD_URN, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +131,29 @@ WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 )
 def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_substring_dedup",
+    f"""
+    WITH w AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+    p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) t(i)),
+    f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h),
+    r AS (SELECT doc_id, unnest(range(i, i + 50)) AS place FROM p JOIN f USING (h) WHERE doc_id > first),
+    g AS (SELECT doc_id, list(DISTINCT place) AS gone FROM r GROUP BY doc_id),
+    k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN g ON g.doc_id = w.doc_id)
+    SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed,
+        sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM k
+    """,
+)
+def op8_substring_dedup(spark, sf_dir):
+    done = remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_bpe")
+def op10_bpe(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    made = encode_documents(table(spark, sf_dir, "documents"), vocabulary)
+    digest = made.select("doc_id", "ids", decoded(F.col("ids"), vocabulary).alias("back"))
+    return digest.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
