@@ -28,8 +28,8 @@ SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COMMON_WORDS = 100
 MAX_LANGUAGES = 64
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "mark", "symbol", "control", "two", "three", "four")
-MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 100, 0.30
-MIN_COMMON_WORDS, MAX_WORD_DISTANCE = 60, 0.80
+MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 250, 0.30
+MIN_COMMON_WORDS, MAX_WORD_DISTANCE = 40, 0.53
 FLUSH_WORDS = 1 << 18
 PUNCTUATION = b" \t\n\r\x0b\x0c.,;:!?()[]{}\"'"
 

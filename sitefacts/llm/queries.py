@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from sitefacts.llm.bpe import decoded, encode_documents
 from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
 from sitefacts.llm.common import shared_path, table
+from sitefacts.llm.decontaminate import benchmark_hits
 from sitefacts.llm.line_dedup import drop_repeated_lines
 from sitefacts.llm.near_dedup import near_duplicates
+from sitefacts.llm.pu_classifier import score_quality
 from sitefacts.llm.quality_rules import judge_quality
 from sitefacts.llm.substring_dedup import remove_repeated_windows
+from sitefacts.llm.url_trust import judge_urls
 from sitefacts.llm.warc import RECORD_URN, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +160,18 @@ def op10_bpe(spark, sf_dir):
     made = encode_documents(table(spark, sf_dir, "documents"), vocabulary)
     digest = made.select("doc_id", "ids", decoded(F.col("ids"), vocabulary).alias("back"))
     return digest.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf_dir):
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_url_trust")
+def op7_url_trust(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op9_pu_quality")
+def op9_pu_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
