@@ -32,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, SKETCH, CellCounts, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, utf8
+from sitefacts.llm.common import SKETCH, CellCounts, columns, in_sketch, merged_sketch, utf8
 from sitefacts.llm.line_dedup import text_tag
 from sitefacts.llm.substring_dedup import sketch_bits
 
-ROLL, CHUNK_BITS = 32, 9
+ROLL, CHUNK_BITS = 16, 9
+ROLL_BASE = 0x9E3779B1
 DEPTH, MAX_BITS = 2, 29
 SPLIT = re.compile(rb"(?<=[!-~]) (?=[A-Za-z])")
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE.
@@ -69,15 +70,21 @@ def encode(tokenizer: tiktoken.Encoding, data: bytes) -> np.ndarray:
 
 
 def chunks(data: bytes, bits: int = CHUNK_BITS) -> list[bytes]:
-    """Pieces of a text, cut after each ``ROLL`` bytes whose hash ends in ``bits`` zeros, at the next character."""
+    """Pieces of a text, cut after each ``ROLL`` bytes whose hash begins with ``bits`` zeros, at the next character."""
     if len(data) <= ROLL:
         return [data] if data else []
-    values = np.frombuffer(data, np.uint8)
-    rolled = mix(ngram_hashes(values.astype(np.uint64) + np.uint64(1), ROLL, BASE))
-    cuts = np.flatnonzero(rolled & np.uint64((1 << bits) - 1) == 0) + ROLL
-    starts = np.flatnonzero(values & 0xC0 != 0x80)
-    cuts = np.append(starts, len(data))[np.searchsorted(starts, cuts)]
-    edges = np.unique(np.concatenate(([0], cuts, [len(data)]))).tolist()
+    rolled, span, power = np.frombuffer(data, np.uint8).astype(np.uint32) + np.uint32(1), 1, ROLL_BASE
+    while span < ROLL:  # runs of 1, 2, 4, ... bytes, modulo 2^32
+        rolled = rolled[:-span] * np.uint32(power) + rolled[span:]
+        power, span = power * power & 0xFFFFFFFF, span * 2
+    edges = [0]
+    for cut in (np.flatnonzero(rolled < np.uint32(1 << (32 - bits))) + ROLL).tolist():
+        while cut < len(data) and data[cut] & 0xC0 == 0x80:
+            cut += 1
+        if cut > edges[-1]:
+            edges.append(cut)
+    if edges[-1] < len(data):
+        edges.append(len(data))
     return [data[a:b] for a, b in zip(edges, edges[1:])]
 
 
@@ -141,11 +148,13 @@ class Joiner:
         return None
 
 
-def token_lengths(tokenizer: tiktoken.Encoding) -> np.ndarray:
-    return np.array([len(tokenizer.decode_single_token_bytes(i)) for i in range(tokenizer.n_vocab)], dtype=np.int64)
+def packed_type(tokenizer: tiktoken.Encoding) -> str:
+    """The least width that holds every id, for ids on their way."""
+    return "<u2" if tokenizer.n_vocab <= 1 << 16 else "<u4"
 
 
-CHUNK = "doc long, tag long, seq int, key binary, shared boolean, text binary"
+def token_lengths(tokenizer: tiktoken.Encoding) -> np.ndarray:
+    return np.array([len(tokenizer.decode_single_token_bytes(i)) for i in range(tokenizer.n_vocab)], dtype=np.int64)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_BITS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -168,17 +177,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
 
     sketch = merged_sketch(own.select("text").mapInArrow(count, SKETCH), bits, DEPTH, 2)
 
-    def split(text: str | None) -> tuple[list[bytes], list[bytes], np.ndarray]:
-        parts = chunks(utf8(text), chunk_bits)
-        keys = [chunk_key(c) for c in parts]
-        return parts, keys, in_sketch(sketch.value, low_keys(keys), bits, DEPTH) if keys else np.zeros(0, dtype=bool)
+    def split(texts: list[str | None]) -> Iterator[tuple[list[bytes], list[bytes], list[bool]]]:
+        """Of each text its chunks, their keys, and which of them may be shared."""
+        parts = [chunks(utf8(t), chunk_bits) for t in texts]
+        keys = [chunk_key(c) for of_one in parts for c in of_one]
+        shared = in_sketch(sketch.value, low_keys(keys), bits, DEPTH).tolist() if keys else []
+        at = 0
+        for of_one in parts:
+            yield of_one, keys[at : at + len(of_one)], shared[at : at + len(of_one)]
+            at += len(of_one)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
         for batch in batches:
             ids, tags, found = [], [], []
-            for doc, tag, text in zip(*columns(batch, "doc", "tag", "text")):
-                if not split(text)[2].any():
+            texts = columns(batch, "text")[0]
+            for doc, tag, text, (_, _, shared) in zip(*columns(batch, "doc", "tag"), texts, split(texts)):
+                if not any(shared):
                     ids.append(doc)
                     tags.append(tag)
                     found.append(encode(tokenizer, utf8(text)))
@@ -187,20 +202,35 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
                         ids, tags, found = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, tag, text in zip(*columns(batch, "doc", "tag", "text")):
-                parts, keys, shared = split(text)
-                if shared.any():
-                    rows.extend({"doc": doc, "tag": tag, "seq": i, "key": k, "shared": bool(s), "text": c} for i, (c, k, s) in enumerate(zip(parts, keys, shared)))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("seq", pa.int32()), ("key", pa.binary()), ("shared", pa.bool_()), ("text", pa.binary())]))
+    def pieces(of_shared: bool, with_text: bool):
+        """Chunks of documents that have a shared one: the shared ones, or the text between them as one part."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = {"doc": [], "tag": [], "seq": [], "key": [], "text": []}
+                texts = columns(batch, "text")[0]
+                for doc, tag, (parts, keys, shared) in zip(*columns(batch, "doc", "tag"), split(texts)):
+                    if not any(shared):
+                        continue
+                    at = 0
+                    while at < len(parts):
+                        end = at + 1
+                        while not shared[at] and end < len(parts) and not shared[end]:
+                            end += 1
+                        if shared[at] == of_shared:
+                            values = (doc, tag, at, keys[at] if of_shared else None, b"".join(parts[at:end]) if with_text else None)
+                            for name, value in zip(out, values):
+                                out[name].append(value)
+                        at = end
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], list(out))
+
+        return own.mapInArrow(rows, "doc long, tag long, seq int, key binary, text binary")
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
         for batch in batches:
             keys, texts = columns(batch, "key", "text")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([encode(tokenizer, t) for t in texts], pa.list_(pa.int32()))], ["key", "its_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([encode(tokenizer, t).astype(packed_type(tokenizer)).tobytes() for t in texts], pa.binary())], ["key", "its_ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
@@ -211,17 +241,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
             for of_one in parts:
                 each = {p["seq"]: p for p in of_one}
                 times.append(len(of_one) // len(each))  # rows that repeat bring each part again
-                listed = [(each[i]["text"], None) if each[i]["its_ids"] is None else (tokenizer.decode_bytes(each[i]["its_ids"]), np.array(each[i]["its_ids"], dtype=np.int32)) for i in sorted(each)]
+                listed = []
+                for i in sorted(each):
+                    if each[i]["its_ids"] is None:
+                        listed.append((each[i]["text"], None))
+                    else:
+                        known = np.frombuffer(each[i]["its_ids"], packed_type(tokenizer)).astype(np.int32)
+                        listed.append((tokenizer.decode_bytes(known.tolist()), known))
                 found.append(joiner.document(listed))
             again = np.repeat(np.arange(len(found)), times)
             made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
             yield made if len(again) == len(found) else made.take(pa.array(again))
 
-    rows = land(own.mapInArrow(pieces, CHUNK), "chunks")
-    once = rows.where("shared").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(encode_once, "key binary, its_ids array<int>")
-    placed = rows.select("doc", "tag", "seq", "key", F.when(~F.col("shared"), F.col("text")).alias("text")).join(once, "key", "left")
-    whole = placed.groupBy("doc", "tag").agg(F.collect_list(F.struct("seq", "text", "its_ids")).alias("parts")).mapInArrow(assemble, "doc long, tag long, ids array<int>")
-    return own.select("doc", "tag", "text").mapInArrow(alone, "doc long, tag long, ids array<int>").unionByName(whole).withColumnRenamed("doc", "doc_id")
+    once = pieces(True, True).groupBy("key").agg(F.first("text").alias("text")).mapInArrow(encode_once, "key binary, its_ids binary")
+    lent = pieces(True, False).select("doc", "tag", "seq", "key").join(once, "key").select("doc", "tag", "seq", F.lit(None).cast("binary").alias("text"), "its_ids")
+    kept = pieces(False, True).select("doc", "tag", "seq", "text", F.lit(None).cast("binary").alias("its_ids"))
+    whole = lent.unionByName(kept).groupBy("doc", "tag").agg(F.collect_list(F.struct("seq", "text", "its_ids")).alias("parts")).mapInArrow(assemble, "doc long, tag long, ids array<int>")
+    return own.mapInArrow(alone, "doc long, tag long, ids array<int>").unionByName(whole).withColumnRenamed("doc", "doc_id")
 
 
 def decoded(ids, vocabulary: str):
