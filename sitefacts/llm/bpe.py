@@ -32,9 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import SKETCH, CellCounts, columns, in_sketch, merged_sketch, utf8
+from sitefacts.llm.common import SKETCH, CellCounts, columns, in_sketch, merged_sketch, sketch_bits, utf8
 from sitefacts.llm.line_dedup import text_tag
-from sitefacts.llm.substring_dedup import sketch_bits
 
 ROLL, CHUNK_BITS = 16, 9
 ROLL_BASE = 0x9E3779B1

@@ -190,6 +190,31 @@ def in_sketch(bitmap: np.ndarray, hashes: np.ndarray, bits: int, depth: int) ->
     return found
 
 
+def sketch_bits(items: float, cells_per_item: int, most: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1.0, items * cells_per_item))), BLOCK_BITS, most))
+
+
+def member_filter(ids: DataFrame, max_bits: int = 26):
+    """A function of an id column: true for every id of ``ids`` (one long column) and for few others.
+
+    The bitmap behind it has 16 cells an id and 2^max_bits at most; an exact join has to follow.
+    """
+    bits = sketch_bits(ids.count(), 16, max_bits)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = CellCounts(bits, 2, 1)
+        for batch in batches:
+            yield from counts.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64))
+        yield from counts.rows()
+
+    bitmap = merged_sketch(ids.mapInArrow(cells, SKETCH), bits, 2, 1)
+
+    def maybe(values: pa.Array) -> pa.Array:
+        return pa.array(in_sketch(bitmap.value, values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, 2))
+
+    return F.arrow_udf(maybe, "boolean")
+
+
 # first occurrences over a range-partitioned, sorted stream of keys
 
 KEYED = "h1 long, h2 long, doc long, tag long, pos int"

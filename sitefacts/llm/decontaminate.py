@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, MASK, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, signed, utf8, word_hashes
+from sitefacts.llm.common import BASE, MASK, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, signed, sketch_bits, utf8, word_hashes
 from sitefacts.llm.line_dedup import text_tag
 from sitefacts.llm.quality_rules import bare
-from sitefacts.llm.substring_dedup import sketch_bits
 
 SEED = 5
 MIN_PERCENT = 80

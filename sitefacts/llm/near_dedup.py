@@ -1,11 +1,13 @@
 """Near-duplicate classes: MinHash bands find candidates, odd sketches verify them, full sets confirm them.
 
-1. Every text becomes its set of 5-word shingles, a digest of the set, 32 bands of 5 MinHash values and
-   an odd sketch: the parity bitmap of all 160 values. Texts of one set form a class, represented by
-   its smallest doc_id; only representatives go on.
-2. Star round: in each band bucket, members are paired with the smallest one. The XOR of two odd
-   sketches gives their similarity; pairs that may reach the threshold are confirmed on their full sets
-   and connected. A bucket of m members costs m pairs.
+1. Every text becomes its set of 5-word shingles, a digest of the set, 32 bands of 5 MinHash values, and
+   an odd sketch of further MinHash samples: the least value in each of 2,048 bins of the hash space,
+   folded into a parity bitmap, beside a bitmap of the bins that hold any. Texts of one set form a
+   class, represented by its smallest doc_id; only representatives go on.
+2. Star round: in each band bucket, members are paired with the smallest one. The XOR population counts
+   of two sketches give the samples that differ, and so the similarity, within a few thousandths for
+   texts of few hundred words; pairs that may reach the threshold, allowing five standard errors, are
+   confirmed on their full sets and connected. A bucket of m members costs m pairs.
 3. Cross round: only in buckets that still hold members of several components, members of different
    components are compared, in square blocks of at most BLOCK rows, and what may reach the threshold is
    confirmed. So no link is lost that shares a band, and no bucket is expanded into all its pairs.
@@ -24,18 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, MASK, SECOND_BASE, WordHash, columns, land, mix, ngram_hashes, signed, utf8, word_hashes
+from sitefacts.llm.common import BASE, MASK, SECOND_BASE, WordHash, columns, land, member_filter, mix, ngram_hashes, signed, utf8, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+BAND_VALUES = BANDS * ROWS
+BINS, SKETCH_BITS = 2048, 2048
 MIN_PERCENT = 85
-#: Of the estimate from 160 samples, about five standard errors at the threshold.
-MARGIN = 0.14
+ERRORS = 5.0
 BLOCK = 2048
 
 
@@ -57,24 +58,30 @@ def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:k] | np.uint32(1), x[k:]
 
 
-MULTIPLY, ADD = permutations(SAMPLES)
+MULTIPLY, ADD = permutations(BAND_VALUES)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """The least value of each permutation of 32-bit shingle hashes, in steps of bounded memory."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(BAND_VALUES, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 1024):
         block = low[at : at + 1024]
         np.minimum(best, (MULTIPLY[:, None] * block[None, :] + ADD[:, None]).min(axis=1), out=best)
     return best
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap: sample i with value v flips one bit chosen by hashing (i, v); as 64-bit words."""
-    place = mix(samples.astype(np.uint64) + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(number of samples, parity bitmap, bitmap of occupied bins) of sorted shingle hashes.
+
+    The first hash of a bin is its sample; each sample flips the one parity bit that its hash chooses.
+    """
+    bins, first = np.unique(shingles & np.uint64(BINS - 1), return_index=True)
+    place = mix(shingles[first] ^ np.uint64(SECOND_BASE)) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view(np.uint64)
+    occupied = np.zeros(BINS, dtype=np.uint8)
+    occupied[bins.astype(np.int64)] = 1
+    return len(bins), np.packbits(parity).tobytes(), np.packbits(occupied).tobytes()
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -85,18 +92,39 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def similarity_of(odd_bits):
-    """Similarity from the XOR's population count: 1 + n / (4k) * ln(1 - 2 * bits / n)."""
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * odd_bits / SKETCH_BITS, 1e-9))
+def similarity(m_a, m_b, parity_xor, occupied_xor, n_a, n_b, at: float):
+    """(estimate, standard error near similarity ``at``) from two sketches' sizes and XOR population counts.
+
+    With d differing samples, the odd bits x of b expect d = -b/2 * ln(1 - 2x/b). Equal samples are half
+    of what the sizes leave, and the bins that either side occupies are known exactly. The error has a
+    part from sampling, which goes to zero as the bins hold the whole set, and one from the parities.
+    """
+    b = SKETCH_BITS
+    d = -b / 2 * np.log(np.maximum(1 - 2 * parity_xor / b, 1e-9))
+    union = np.maximum((m_a + m_b + occupied_xor) / 2, 1)
+    equal = np.clip((m_a + m_b - d) / 2, 0, None)
+    whole = (n_a + n_b) / (1 + at)
+    sampling = at * (1 - at) / union * np.clip(1 - union / np.maximum(whole, 1), 0, 1)
+    load = np.minimum(4 * d / b, 20)
+    parity = b / 4 * (1 - np.exp(-load) * (1 + load)) * np.exp(load) / (4 * union**2)
+    return equal / union, np.sqrt(sampling + parity)
+
+
+def may_link(a: tuple, b: tuple, min_percent: int) -> np.ndarray:
+    """Whether sizes and sketches allow the threshold; a and b are (n, m, parity, occupied), arrays that broadcast."""
+    odd = np.bitwise_count(a[2] ^ b[2]).sum(axis=-1, dtype=np.int64)
+    apart = np.bitwise_count(a[3] ^ b[3]).sum(axis=-1, dtype=np.int64)
+    estimate, error = similarity(a[1], b[1], odd, apart, a[0], b[0], min_percent / 100)
+    fit = 100 * np.minimum(a[0], b[0]) >= min_percent * np.maximum(a[0], b[0])
+    return fit & (estimate + ERRORS * error + 0.01 >= min_percent / 100)
 
 
-def most_odd_bits(least: float) -> int:
-    """The largest population count whose estimate reaches ``least``."""
-    return int(np.flatnonzero(similarity_of(np.arange(SKETCH_BITS + 1)) >= least).max())
+def bitmaps(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(values), -1)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc, n, s1, s2, bands, sketch) for each row with a doc_id; s1, s2 are the digest of its set."""
+    """(doc, n, s1, s2, bands, m, parity, occupied) for each row with a doc_id; s1, s2 are the digest of its set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -105,26 +133,31 @@ def document_sets(docs: DataFrame) -> DataFrame:
             n, digests, bands, sketches = [], [], [], []
             for text in texts:
                 found = shingle_set(utf8(text), memo)
-                samples = minhash(found)
                 n.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(signed(band_keys(samples)) if len(found) else np.empty(0, np.int64))
-                sketches.append(signed(odd_sketch(samples)))
+                bands.append(signed(band_keys(minhash(found))) if len(found) else np.empty(0, np.int64))
+                sketches.append(odd_sketch(found))
             h = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc", "n", "s1", "s2", "bands", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, pa.list_(pa.int64())), *(pa.array([x[i] for x in sketches], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))],
+                ["doc", "n", "s1", "s2", "bands", "m", "parity", "occupied"],
             )
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return known.mapInArrow(rows, "doc long, n long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    return known.mapInArrow(rows, "doc long, n long, s1 long, s2 long, bands array<long>, m long, parity binary, occupied binary")
+
+
+def estimated(pairs: DataFrame, classes: DataFrame, min_percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that may link by their sketches."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = lambda x: tuple(batch.column(f"{c}_{x}").to_numpy(zero_copy_only=False) for c in ("n", "m")) + tuple(bitmaps(columns(batch, f"{c}_{x}")[0]) for c in ("parity", "occupied"))
+            keep = may_link(side("a"), side("b"), min_percent) if batch.num_rows else np.zeros(0, dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-def may_link(a: str, b: str, min_percent: int) -> Column:
-    """Sizes that allow the threshold, and an odd-sketch estimate within the margin of it."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    odd = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (small * 100 >= large * min_percent) & (odd <= most_odd_bits(min_percent / 100 - MARGIN))
+    of = lambda x: classes.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "parity", "occupied")])
+    return pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(check, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, min_percent: int) -> DataFrame:
@@ -150,10 +183,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, min_percent: int) -> DataFrame
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, text) of the documents that stand in a pair, landed."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    """(doc, text) of the documents that stand in a pair, landed; a bitmap of the ids keeps other texts out of the shuffle."""
+    needed = land(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "pair-ids")
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return land(own.join(needed, "doc", "left_semi").distinct(), "pair-texts")
+    return land(own.where(member_filter(needed)("doc")).join(needed, "doc", "left_semi").distinct(), "pair-texts")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -176,33 +209,30 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame, min_percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and may link; ``members`` holds (key, doc, n, sketch, comp).
+    """Pairs of different components that share a bucket and may link; ``members`` holds (key, doc, comp) and the sketches.
 
     A bucket of m members is cut into ceil(m / BLOCK) parts, and each pair of parts is one group, so a
     group has 2 * BLOCK rows at most.
     """
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"), "key")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"), "key")
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
-    laid = sized.select("key", "doc", "n", "sketch", "comp", own.alias("own"), other.alias("other")).select("key", "doc", "n", "sketch", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    most = most_odd_bits(min_percent / 100 - MARGIN)
+    held = ("key", "doc", "comp", "n", "m", "parity", "occupied")
+    laid = sized.select(*held, own.alias("own"), other.alias("other")).select(*held, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(group: pa.Table) -> pa.Table:
-        doc, n, comp, own = (group.column(c).to_numpy() for c in ("doc", "n", "comp", "own"))
+        doc, comp, own, n, m = (group.column(c).to_numpy() for c in ("doc", "comp", "own", "n", "m"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch = np.array(group.column("sketch").to_pylist(), dtype=np.int64).reshape(len(doc), -1)
-        order = np.lexsort((doc, own))
-        doc, n, comp, own, sketch = doc[order], n[order], comp[order], own[order], sketch[order]
+        parity, occupied = (bitmaps(group.column(c).to_pylist()) for c in ("parity", "occupied"))
         found_a, found_b = [], []
         for x in range(len(doc)):
-            rest = slice(x + 1, None)
-            fit = (comp[rest] != comp[x]) & (100 * np.minimum(n[rest], n[x]) >= min_percent * np.maximum(n[rest], n[x]))
+            fit = comp[x + 1 :] != comp[x]
             if i != j:
-                fit &= own[rest] != own[x]
+                fit &= own[x + 1 :] != own[x]
             at = np.flatnonzero(fit) + x + 1
             if len(at):
-                at = at[np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1) <= most]
+                at = at[may_link((n[x], m[x], parity[x], occupied[x]), (n[at], m[at], parity[at], occupied[at]), min_percent)]
                 found_a.append(np.minimum(doc[at], doc[x]))
                 found_b.append(np.maximum(doc[at], doc[x]))
         cat = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64())
@@ -214,20 +244,19 @@ def cross_pairs(members: DataFrame, min_percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document with an id."""
     sets = land(document_sets(docs), "sets")
-    classes = land(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = land(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "m", "parity", "occupied")]), "classes")
     buckets = classes.select("doc", F.explode("bands").alias("key")).distinct()
     heads = buckets.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("m")).where("m > 1")
     shared = land(buckets.join(heads, "key").select("key", "doc", "head"), "buckets")
-    side = lambda name: classes.select(F.col("doc").alias(name), F.struct("n", "sketch").alias(f"of_{name}"))
     stars = shared.where("doc > head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = land(stars.join(side("b"), "b").join(side("a"), "a").where(may_link("of_a", "of_b", min_percent)).select("a", "b").distinct(), "stars")
+    stars = land(estimated(stars, classes, min_percent), "stars")
     edges = land(confirmed(stars, texts_of(docs, stars), min_percent), "edges")
     labels = component_labels(edges)
 
     comp = F.coalesce("label", "doc").alias("comp")
     members = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", comp)
     open_keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_members = members.join(open_keys, "key").join(classes.select("doc", "n", "sketch"), "doc")
+    open_members = members.join(open_keys, "key").join(classes.select("doc", "n", "m", "parity", "occupied"), "doc")
     crossed = land(cross_pairs(open_members, min_percent), "cross-pairs")
     if not crossed.isEmpty():
         more = confirmed(crossed, texts_of(docs, crossed), min_percent)

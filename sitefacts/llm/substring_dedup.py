@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, BLOCK_BITS, KEYED, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, later_occurrences, merged_sketch, mix, ngram_hashes, signed, utf8, window_min, word_hashes
+from sitefacts.llm.common import BASE, KEYED, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, later_occurrences, merged_sketch, mix, ngram_hashes, signed, sketch_bits, utf8, window_min, word_hashes
 from sitefacts.llm.line_dedup import text_tag
 
 WINDOW, ANCHOR = 50, 16
@@ -39,10 +39,6 @@ def anchors(values: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return window_min(mix(ngram_hashes(values, anchor, BASE)), window - anchor + 1)
 
 
-def sketch_bits(items: float, cells_per_item: int, most: int = MAX_BITS) -> int:
-    return int(np.clip(np.ceil(np.log2(max(1.0, items * cells_per_item))), BLOCK_BITS, most))
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc, tag, pos): the windows, by their first word, that also start in a smaller document."""
     anchor = min(anchor, window)
