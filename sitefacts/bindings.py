@@ -27,12 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Puts an input of fewer splits than cores on all cores, ahead of costly work per row.
-
-    A large table has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Puts the input of costly work per row on as many tasks as shuffles have: row groups can't be split."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:

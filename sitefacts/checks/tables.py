@@ -49,7 +49,7 @@ def resolve_column(spark, sf):
 )
 def slice_rows(spark, sf):
     df = table(spark, sf, "orders").withColumn("id", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")).otherwise(F.lit(" ")))
-    return S.slice_rows(df, "o_orderkey", "id", 101, 9000, 5000, width=1000).select("o_orderkey", "row_number")
+    return S.slice_rows(df, "o_orderkey", "id", 101, 9000, 5000).select("o_orderkey", "row_number")
 
 
 URLS = sql_of("urls_in")
@@ -341,16 +341,16 @@ NAV = r"""(SELECT page_id, host, origin, pos, CASE WHEN href = '/' THEN origin |
 HINTS = ("contact", "service", "the", "re")
 
 
-@query(
-    "frontier",
-    rf"""WITH g AS (SELECT regexp_extract(host, '([a-z]+\.[a-z]+)$', 1) AS site, url, CAST(list_sum(list_transform({list_sql(HINTS)}, lambda h: CASE WHEN contains(lower(url_decode(url)), h) THEN 1 ELSE 0 END)) AS INTEGER) AS priority, page_id, pos FROM {NAV}),
+def frontier_sql(kept: str) -> str:
+    return rf"""WITH g AS (SELECT regexp_extract(host, '([a-z]+\.[a-z]+)$', 1) AS site, url, CAST(list_sum(list_transform({list_sql(HINTS)}, lambda h: CASE WHEN contains(lower(url_decode(url)), h) THEN 1 ELSE 0 END)) AS INTEGER) AS priority, page_id, pos FROM {NAV}),
     v AS (SELECT regexp_extract(url, '//[^/]*?([a-z]+\.[a-z]+)/', 1) AS site, regexp_replace(url, '[#?].*$', '') AS url FROM pages),
     f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id, pos) = 1),
     n AS (SELECT f.* FROM f ANTI JOIN v ON f.site = v.site AND f.url = v.url),
     r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, page_id, pos) AS rank FROM n)
-    SELECT r.site, r.url, r.priority, r.rank FROM r LEFT JOIN (SELECT site, count(DISTINCT url) AS c FROM v GROUP BY site) s ON r.site = s.site WHERE rank + coalesce(c, 0) <= 1000""",
-)
-def frontier(spark, sf):
+    SELECT r.site, r.url, r.priority, r.rank FROM r LEFT JOIN (SELECT site, count(DISTINCT url) AS c FROM v GROUP BY site) s ON r.site = s.site WHERE {kept}"""
+
+
+def frontier_links(spark, sf):
     from sitefacts.checks.urls import hrefs
 
     links = O.with_origin_domain(O.with_url_host(hrefs(spark, sf), "url"), "host", "site")
@@ -358,4 +358,18 @@ def frontier(spark, sf):
     links = O.with_link_priority(links.withColumn("anchor", F.lit("")), "link", "anchor", hints=HINTS)
     links = links.select("site", F.col("link").alias("url"), "priority", "page_id", "pos")
     seen = O.with_origin_domain(O.with_url_host(table(spark, sf, "pages"), "url"), "host", "site").select("site", F.regexp_replace("url", "[#?].*$", "").alias("url"))
-    return C.crawl_frontier(seen, links, "site", "url", "priority", ["page_id", "pos"], 1000).select("site", "url", "priority", "rank")
+    return seen, links
+
+
+@query("frontier", frontier_sql("true"))
+def frontier(spark, sf):
+    seen, links = frontier_links(spark, sf)
+    return C.crawl_frontier(seen, links, "site", "url", "priority", ["page_id", "pos"]).select("site", "url", "priority", "rank")
+
+
+@query("frontier_capped", frontier_sql("rank + coalesce(c, 0) <= (SELECT max(n) + 50 FROM (SELECT count(DISTINCT url) AS n FROM v GROUP BY site))"))
+def frontier_capped(spark, sf):
+    """The cap is a top-k per site, 50 above the pages that the most visited site has."""
+    seen, links = frontier_links(spark, sf)
+    most = seen.distinct().groupBy("site").count().agg(F.max("count")).first()[0]
+    return C.crawl_frontier(seen, links, "site", "url", "priority", ["page_id", "pos"], most + 50).select("site", "url", "priority", "rank")

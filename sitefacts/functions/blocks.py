@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitefacts.session import land
+
 WIDTH = 65_536
 BLOCK = "_block"
 
@@ -70,6 +72,27 @@ def scan(
     return rows.drop(BLOCK, *[f"_c_{c}" for c in (*sums, *last, *first)])
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows in ranges of about equal size by key and order, landed with the number of their range.
+
+    For orders with gaps of any size. A key of any weight spreads over as many ranges as it fills.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return land(df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()), "ranges")
+
+
+def range_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of the value from the key's first row up to this one; ``rows`` come from ``ranged``.
+
+    One summary row per key and range is ordered over the key; the rows are sorted inside their range.
+    """
+    totals = rows.groupBy(*keys, BLOCK).agg(F.sum(value.cast("bigint")).alias("_sum"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, BLOCK, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _join_blocks(rows, offsets, keys).withColumn(name, F.sum(value.cast("bigint")).over(inside) + F.col("_before")).drop("_before")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
     """Adds the 1-based row number within the key, in order of position."""
     return scan(df, keys, pos, sums={name: F.lit(1).cast("bigint")}, width=width)

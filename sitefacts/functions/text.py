@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,47 +136,64 @@ def amount_currency(c: Column, pattern: str = vocab.REVENUE_PATTERN) -> Column:
     )
 
 
-NAMED_ENTITIES = (
-    # fixed values: the named entities that occur in running text; &amp; is unescaped last
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("laquo", "«"),
-    ("raquo", "»"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"), ("bull", "•"), ("middot", "·"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("euro", "€"), ("pound", "£"), ("yen", "¥"),
-    ("cent", "¢"), ("sect", "§"), ("deg", "°"), ("plusmn", "±"), ("times", "×"), ("laquo", "«"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("bdquo", "„"), ("shy", "­"),
-    ("ensp", " "), ("emsp", " "), ("thinsp", " "), ("auml", "ä"), ("ouml", "ö"),
-    ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("szlig", "ß"), ("eacute", "é"),
-    ("egrave", "è"), ("ecirc", "ê"), ("agrave", "à"), ("acirc", "â"), ("ccedil", "ç"), ("ntilde", "ñ"),
-    ("oacute", "ó"), ("iacute", "í"), ("aacute", "á"), ("uacute", "ú"),
-)
+ENTITY = "&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]{0,31});?"
+LAST_CODE_POINT, UNKNOWN = 0x10FFFF, "\uFFFD"
 
 
-def unescape(c: Column) -> Column:
-    """HTML entities to characters; texts without an ampersand pass untouched."""
-    parts = F.split(c, "&#")
-    decoded = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.when(
-            p.rlike("^[xX][0-9a-fA-F]{1,5};?|^[0-9]{1,6};?"),
-            F.concat(
-                F.call_function(
-                    "java_method",
-                    F.lit("java.lang.Character"),
-                    F.lit("toString"),
-                    F.when(
-                        p.rlike("^[xX]"),
-                        F.conv(F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,5})", 1), 16, 10).cast("int"),
-                    ).otherwise(F.regexp_extract(p, "^([0-9]{1,6})", 1).cast("int")),
-                ),
-                F.regexp_replace(p, "^(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});?", ""),
-            ),
-        ).otherwise(F.concat(F.lit("&#"), p)),
+def _shared_names() -> dict[str, dict[str, str]]:
+    """The standard's names with a semicolon, by first letter; Python's copy of the table is read when a plan is made."""
+    found: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        if name.endswith(";"):
+            found.setdefault(name[0], {})[name] = chars
+    return found
+
+
+def _listed(value: object, kind: str) -> Column:
+    """A constant map; the optimizer folds it once per plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _code_point(digits: Column, number: Column, longest: int) -> Column:
+    """The character of a numeric entity by the standard's rules; ``digits`` have no leading zeros."""
+    n = F.when(F.length(digits) > longest, F.lit(LAST_CODE_POINT + 1)).otherwise(F.coalesce(number.try_cast("int"), F.lit(0)))
+    # 0x80 to 0x9F stand for the characters of Windows-1252, where that has one
+    moved = {str(i): bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(0x80, 0xA0)}
+    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > LAST_CODE_POINT), F.lit(UNKNOWN))
+        .when(n.between(0x80, 0x9F), _listed(moved, "map<string,string>")[n.cast("string")])
+        .when(nothing, F.lit(""))
+        .otherwise(char)
     )
-    numeric = F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
-    out = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
-    for name, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+
+def _decoded(token: Column) -> Column:
+    """The characters of one entity, or the token itself where it is none."""
+    name = F.substr(token, F.lit(2))
+    hexadecimal = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.regexp_extract(token, "^&#0*([0-9]*)", 1)
+    # a few old names also count without their semicolon, at the start of a longer word too
+    old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    start = F.regexp_extract(name, "^(" + "|".join(old) + ")", 1)
+    whole = F.try_element_at(F.try_element_at(_listed(_shared_names(), "map<string,map<string,string>>"), F.substring(name, 1, 1)), name)
+    return (
+        F.when(token.rlike("^&#[xX]"), _code_point(hexadecimal, F.conv(F.substring(hexadecimal, 1, 6), 16, 10), 6))
+        .when(token.startswith("&#"), _code_point(decimal, F.substring(decimal, 1, 7), 7))
+        .when(name == "amp;", F.lit("&"))
+        .when(name == "nbsp;", F.lit("\u00A0"))
+        .otherwise(
+            F.coalesce(whole, F.when(start != "", F.concat(_listed({n: html5[n] for n in old}, "map<string,string>")[start], F.substr(name, F.length(start) + 1))), token)
+        )
+    )
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities to characters, each once; texts without an ampersand pass untouched."""
+    tokens, gaps = F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), F.split(c, ENTITY, -1)
+    tail = F.transform(F.arrays_zip(tokens.alias("t"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("g")), lambda x: F.concat(_decoded(x["t"]), x["g"]))
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(gaps, F.lit(0)), F.array_join(tail, ""))).otherwise(c)
 
 
 def plain_text(c: Column) -> Column:

@@ -134,8 +134,12 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
 
 
 def shuffled_head(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """The first n rows of a seeded shuffle, all rows for n = 0; the same on any partitioning."""
-    shuffled = df.orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    """The first n rows of a seeded shuffle, all rows for n = 0; the same on any partitioning.
+
+    The order is that of the md5 of key and seed; the key tells rows apart.
+    """
+    place = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    shuffled = df.orderBy(place, *key)
     return shuffled.limit(n) if n > 0 else shuffled
 
 

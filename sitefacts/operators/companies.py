@@ -11,6 +11,7 @@ from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
 from sitefacts.operators.columns import smtp_class
+from sitefacts.functions.blocks import BLOCK, range_sum, ranged
 from sitefacts.operators.first import collect_ordered, first_per_key, top_per_key
 from sitefacts.operators.urls import explode_domain_keys, explode_values, share_link, with_domain, with_origin_domain, with_site_key, with_social_field, with_url_host
 
@@ -135,12 +136,13 @@ def attach_tax_id(sites: DataFrame, site: str, lookup: DataFrame, lookup_site: s
     found = lookup.withColumn("_id", T.tax_id(F.col(lookup_id))).filter("_id <> ''")
     found = with_site_key(explode_values(found, lookup_site, "_site"), "_site", "_key").filter("_key <> ''")
     found = first_per_key(found.select("_key", "_id", *order, "value_pos"), ["_key"], [*order, "value_pos"]).select("_key", "_id")
-    df = with_site_key(sites, site, "_sk").join(found, F.col("_sk") == F.col("_key"), "left").drop("_key")
+    empty = F.lit(None).cast("string")
+    both = found.select("_key", "_id", empty.alias("_own"))
     if site_ids is not None:
-        own = site_ids.select(F.col("site_key").alias("_key"), F.col("tax_id").alias("_own"))
-        df = df.join(own, F.col("_sk") == F.col("_key"), "left").drop("_key")
-    else:
-        df = df.withColumn("_own", F.lit(None).cast("string"))
+        both = both.unionByName(site_ids.select(F.col("site_key").alias("_key"), empty.alias("_id"), F.col("tax_id").alias("_own")))
+    # one row per key holds both, so a hot site is joined once
+    both = both.groupBy("_key").agg(F.max("_id").alias("_id"), F.max("_own").alias("_own"))
+    df = with_site_key(sites, site, "_sk").join(both, F.col("_sk") == F.col("_key"), "left").drop("_key")
     source = F.when(F.col("_id").isNotNull(), F.lit("company_csv")).when(F.col("_own").isNotNull(), F.lit("site")).otherwise(F.lit(""))
     return df.withColumns({"tax_id": F.coalesce("_id", "_own", F.lit("")), "tax_id_source": source}).drop("_sk", "_id", "_own")
 
@@ -194,15 +196,18 @@ def join_domain_checks(probes: DataFrame, exchangers: DataFrame, catch_all: Data
     (domain, preference, host), ``catch_all`` is (domain, status).
     """
     ranked = first_per_key(exchangers, ["domain", "host"], ["preference"])
-    ranked = ranked.withColumn("_try", F.row_number().over(Window.partitionBy("domain").orderBy("preference", "host")))
-    hosts = collect_ordered(ranked, ["domain"], ["_try"], "host", "mx_hosts")
-    tried = probes.join(ranked.filter(F.col("_try") <= max(1, max_tries)).select("domain", "host", "_try"), ["domain", "host"])
-    tried = tried.withColumn("rcpt_status", smtp_class(F.col("code")))
+    listed = ranked.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("preference", "host"))).alias("_hosts"))
+    known = catch_all.groupBy("domain").agg(F.max("status").alias("catch_all_status"))
+    # one lookup row per domain, so a hot domain meets its probes in one join, which Spark can split
+    lookup = listed.join(known, "domain", "full")
+    place = F.array_position(F.transform("_hosts", lambda h: h["host"]), F.col("host"))
+    tried = probes.join(lookup, "domain", "left").withColumns({"_try": F.when(place.between(1, max(1, max_tries)), place), "rcpt_status": smtp_class(F.col("code"))})
     decisive = F.col("rcpt_status").isin("accepted", "rejected")
-    order = F.struct(~decisive, F.when(decisive, F.col("_try")).otherwise(-F.col("_try")))
-    best = tried.groupBy("address", "domain").agg(F.min_by(F.struct("host", "code", "rcpt_status"), order).alias("_b"))
-    everyone = probes.select("address", "domain").distinct()
-    rows = everyone.join(best, ["address", "domain"], "left").join(hosts, "domain", "left").join(catch_all.select("domain", F.col("status").alias("catch_all_status")), "domain", "left")
+    order = F.when(F.col("_try").isNotNull(), F.struct(~decisive, F.when(decisive, F.col("_try")).otherwise(-F.col("_try"))))
+    rows = tried.groupBy("address", "domain").agg(
+        F.min_by(F.struct("host", "code", "rcpt_status"), order).alias("_b"), F.first("catch_all_status").alias("catch_all_status"), F.first("_hosts").alias("_hosts")
+    )
+    rows = rows.withColumn("mx_hosts", F.array_join(F.transform("_hosts", lambda h: h["host"]), "; "))
     status = F.coalesce("_b.rcpt_status", F.lit("network_error"))
     final = F.when(status == "rejected", F.lit("invalid")).when(
         status == "accepted", F.when(F.col("catch_all_status") == "accepted", F.lit("catch_all")).otherwise(F.lit("valid_like"))
@@ -231,10 +236,11 @@ def titles_by_week(df: DataFrame, date: str, keep_quirk: bool = True) -> DataFra
     return rows.join(weeks, "week", "left_semi")
 
 
-def crawl_frontier(visited: DataFrame, links: DataFrame, site: str, url: str, priority: str, order: Sequence[str], max_pages: int) -> DataFrame:
+def crawl_frontier(visited: DataFrame, links: DataFrame, site: str, url: str, priority: str, order: Sequence[str], max_pages: int | None = None) -> DataFrame:
     """(site, url, rank): the next pages of each site, hint words first, then discovery order.
 
-    Visited pages are left out and count towards the site's cap.
+    Visited pages are left out and count towards the site's cap; None is no cap. Without one,
+    links are ranked in ranges, so that a hot site is in no single task.
     """
     # links and visited pages meet in one aggregate: a key of any weight is combined in the map tasks
     seen = visited.select(site, url, F.lit(True).alias("_seen"))
@@ -242,6 +248,9 @@ def crawl_frontier(visited: DataFrame, links: DataFrame, site: str, url: str, pr
     place = F.when(~F.col("_seen"), F.struct(*order))
     best = both.groupBy(site, url).agg(F.max("_seen").alias("_seen"), F.min_by(F.struct(priority, *order), place).alias("_b"))
     fresh = best.filter("NOT _seen").select(site, url, "_b.*")
+    if max_pages is None:
+        by = [F.col(priority).desc(), *[F.col(o) for o in order]]
+        return range_sum(ranged(fresh, [site], by), [site], by, F.lit(1), "rank").drop(BLOCK)
     # of a site's fresh links no more than the cap can ever be next, so that many reach the join
     fresh = top_per_key(fresh, [site], [F.col(priority).desc(), *[F.col(o) for o in order]], max_pages, "rank")
     spent = visited.select(site, url).distinct().groupBy(site).agg(F.count("*").alias("_spent"))

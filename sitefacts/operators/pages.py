@@ -118,8 +118,9 @@ def footer_text(elements: DataFrame, key: str = "page_id", least: int = 20) -> D
 
 
 def plain_footer(html: Column) -> Column:
-    """Text of the first ``footer`` element, found without parsing the page."""
-    return visible_text(F.regexp_extract(html, r"(?is)<footer\b[^>]*>(.*?)</footer\s*>", 1))
+    """Text of all ``footer`` elements, equal ones once, in order; found without parsing the page."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<footer\b[^>]*>(.*?)</footer\s*>"), F.lit(1))
+    return visible_text(F.array_join(F.array_distinct(found), " "))
 
 
 LABELLED = {

@@ -48,7 +48,8 @@ def match_people(people: DataFrame, profiles: DataFrame, person: str = "person",
 
     A scored profile holds the longest word of the name somewhere inside its text, hence every short
     substring of that word. Of those the one that fewest profile texts have is the join key: an exact
-    filter in front of the score, which is computed on distinct texts only.
+    filter in front of the score, which is computed on distinct texts only. Pieces travel with the
+    digest of their text; the texts themselves join last.
     """
     names = people.select(person).distinct().withColumn("_target", name_form(F.col(person))).filter("_target <> ''")
     names = names.withColumn("_words", name_words(F.col("_target")))
@@ -56,18 +57,20 @@ def match_people(people: DataFrame, profiles: DataFrame, person: str = "person",
     names = names.withColumn("_probe", F.when(F.size("_words") > 0, longest).otherwise(F.col("_target")))
 
     rows = profiles.withColumns({"_u": name_form(F.col(username)), "_f": name_form(F.col(full_name)), "_t": name_form(F.col(text))})
-    texts = rows.select("_u", "_f", "_t").distinct()
+    rows = rows.withColumn("_id", F.md5(F.concat_ws("\u0001", "_u", "_f", "_t")))
+    texts = rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in ("_u", "_f", "_t")])
     texts = texts.withColumn("_payload", F.concat_ws(" ", *[T.empty_to_null(F.col(c)) for c in ("_u", "_f", "_t")]))
-    text_grams = texts.withColumn("_gram", F.explode(grams(F.col("_payload"), range(1, GRAM + 1))))
-    frequency = text_grams.groupBy("_gram").agg(F.count("*").alias("_n"))
 
     probe_grams = F.when(F.length("_probe") >= GRAM, grams(F.col("_probe"), range(GRAM, GRAM + 1))).otherwise(F.array("_probe"))
-    keyed = names.withColumn("_gram", F.explode(probe_grams)).join(frequency, "_gram", "left")
-    keyed = keyed.groupBy(person, "_target", "_words").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    pairs = keyed.join(text_grams, "_gram")
+    probes = names.withColumn("_gram", F.explode(probe_grams))
+    # only (text, piece) pairs of pieces that some name asks for leave the row of their text
+    pieces = texts.select("_id", F.explode(grams(F.col("_payload"), range(1, GRAM + 1))).alias("_gram")).join(probes.select("_gram").distinct(), "_gram", "left_semi")
+    frequency = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keyed = probes.join(frequency, "_gram", "left").groupBy(person, "_target", "_words").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    pairs = keyed.join(pieces, "_gram").drop("_gram").join(texts, "_id")
     scored = pairs.withColumn("match_score", match_score(F.col("_target"), F.col("_words"), F.col("_u"), F.col("_f"), F.col("_payload")))
-    scored = scored.filter("match_score > 0").select(person, "_u", "_f", "_t", "match_score")
-    return scored.join(rows, ["_u", "_f", "_t"]).drop("_u", "_f", "_t")
+    scored = scored.filter("match_score > 0").select(person, "_id", "match_score")
+    return scored.join(rows.drop("_u", "_f", "_t"), "_id").drop("_id")
 
 
 def with_confidence(rows: DataFrame, person: str = "target_person", most: int = 8, last_first: bool = False, out: str = "confidence") -> DataFrame:

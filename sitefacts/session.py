@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sitefacts", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
@@ -30,14 +30,27 @@ def build_session(app: str = "sitefacts", master: str | None = None, shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one is set only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The cluster's shared folder, from spark.checkpoint.dir; only a local session without one gets a private folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, so that no run meets the files of another."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame, name: str = "landed") -> DataFrame:
+    """Writes a result that several jobs read, so that it is computed once and survives lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefacts.functions import text as T
-from sitefacts.functions.blocks import WIDTH, numbered, scan
+from sitefacts.functions.blocks import BLOCK, range_sum, ranged, scan
 from sitefacts.operators.first import first_per_key
 from sitefacts.operators.urls import with_start_url
-from sitefacts.session import work_path
+from sitefacts.session import land  # noqa: F401  part of this module's interface
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "enforceSchema": False}
 
 
-def land(df: DataFrame, name: str = "landed") -> DataFrame:
-    """Writes a result that several jobs read, so that it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _hadoop_path(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -36,36 +30,52 @@ def paths_matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(path) or [])
 
 
-def read_csv_table(spark: SparkSession, path: str, bom: bool = False) -> DataFrame:
+def csv_options(multi_line: bool) -> dict:
+    """Quoted line breaks need ``multi_line``, and then a file is one task; without them files are split."""
+    return {**CSV_OPTIONS, "multiLine": multi_line}
+
+
+def read_csv_table(spark: SparkSession, path: str, bom: bool = False, multi_line: bool = True) -> DataFrame:
     """A CSV table with header as trimmed strings; absent or empty files give an empty table.
 
-    ``bom`` drops a byte order mark in front of the first column name.
+    ``bom`` drops a byte order mark in front of the first column name; for ``multi_line`` see ``csv_options``.
     """
     if not paths_matching(spark, path):
         return spark.createDataFrame([], "`_empty` string").drop("_empty")
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    df = spark.read.options(**csv_options(multi_line)).csv(path)
     if bom and df.columns:
         df = df.toDF(df.columns[0].lstrip("﻿"), *df.columns[1:])
     # a quoted header cell may itself hold dots, hence the back quotes
     return df.select(*[T.strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in df.columns])
 
 
-def merge_csv_files(spark: SparkSession, root: str, kind: str | None = None, pattern: str | None = None) -> DataFrame:
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The header of each file, from one job over all of them; a header's cells hold no line breaks."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("head")).collect()  # one row per file
+    plain = lambda p: unquote(p).replace("file:///", "/").replace("file:/", "/")
+    found = {plain(r["path"]): tuple(next(csv.reader([r["head"]]), ())) for r in sorted(first, key=lambda r: r["path"], reverse=True)}
+    # a path may be the directory of one table's parts, which share a header
+    by_parent = {name.rpartition("/")[0]: head for name, head in found.items()}
+    return {p: found.get(plain(p), by_parent.get(plain(p), ())) for p in paths}
+
+
+def merge_csv_files(spark: SparkSession, root: str, kind: str | None = None, pattern: str | None = None, multi_line: bool = True) -> DataFrame:
     """All rows of the matching CSV files; the header is the union of headers in first-seen order."""
     paths = paths_matching(spark, f"{root}/{pattern or f'*/{kind}.csv'}")
     if not paths:
         raise ValueError(f"no CSV files below {root}")
-    tables = [spark.read.options(**CSV_OPTIONS).csv(p) for p in paths]
-    header = list(dict.fromkeys(c for t in tables for c in t.columns))
+    headers = csv_headers(spark, paths)
+    header = list(dict.fromkeys(c for p in paths for c in headers[p]))
     if not header:
         raise ValueError("no CSV columns in the selected files")
     # files of one header are read as one scan, so the plan grows with headers, not with files
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for p, t in zip(paths, tables):
-        by_header.setdefault(tuple(t.columns), []).append(p)
-    scans = [spark.read.options(**CSV_OPTIONS).csv(group) for columns, group in by_header.items() if columns]
+    for p in paths:
+        by_header.setdefault(headers[p], []).append(p)
+    scans = [spark.read.options(**csv_options(multi_line)).csv(group) for columns, group in by_header.items() if columns]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return merged.select(*header).na.fill("")
+    return merged.select(*[F.col(f"`{c}`") for c in header]).na.fill("")
 
 
 def resolve_column(df: DataFrame, candidates: Sequence[str], requested: str | None = None, containing: str | None = None, default_first: bool = False) -> str:
@@ -94,18 +104,20 @@ def looks_like_url(c: Column) -> Column:
     return F.lower(c).rlike(r"^https?://") | F.lower(c).rlike(r"t\.me/|telegram\.me/")
 
 
-def slice_rows(df: DataFrame, order_by: str, ident: str, start_row: int = 1, end_row: int | None = None, limit: int | None = None, width: int = WIDTH) -> DataFrame:
+def slice_rows(df: DataFrame, order_by: str, ident: str, start_row: int = 1, end_row: int | None = None, limit: int | None = None) -> DataFrame:
     """Rows of a 1-based inclusive range of the whole table; then those with an id, up to the limit.
 
-    The order column is an integer without repeats. Row numbers come from block counts, so no task
-    orders the whole table.
+    The order column has no repeats and may have any gaps. Rows are cut into ranges and counted per
+    range, so no task orders or limits the whole table.
     """
-    rows = numbered(df.withColumn("_all", F.lit(1)), ["_all"], order_by, "row_number", width).drop("_all")
-    rows = rows.filter(F.col("row_number") >= start_row)
+    order = [F.col(order_by)]
+    rows = range_sum(ranged(df, [], order), [], order, F.lit(1), "row_number").filter(F.col("row_number") >= start_row)
     if end_row is not None:
         rows = rows.filter(F.col("row_number") <= end_row)
     rows = rows.filter(T.strip(T.text_of(F.col(ident).cast("string"))) != "")
-    return rows if limit is None else rows.orderBy(order_by).limit(limit)
+    if limit is not None:
+        rows = range_sum(rows, [], order, F.lit(1), "_kept").filter(F.col("_kept") <= limit).drop("_kept")
+    return rows.drop(BLOCK)
 
 
 def load_url_list(spark: SparkSession, path: str) -> DataFrame:

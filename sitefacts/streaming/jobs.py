@@ -6,16 +6,18 @@ wrote before and is never counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from sitefacts.functions import text as T
 from sitefacts.sources.tables import append_unique, paths_matching, pending_after_resume
 
 BATCH = "batch_id"
+PART, PARTS = "key_part", 64
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -25,17 +27,22 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.load(path)
 
 
-def stored_rows(spark: SparkSession, target: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """Rows that earlier batches stored; the batch number is a directory, so later ones are not read."""
+def stored_rows(spark: SparkSession, target: str, schema: StructType, before: int | None = None, parts: Sequence[int] | None = None) -> DataFrame:
+    """Rows that earlier batches stored; batch numbers and key parts are directories, so others are not read."""
     if not paths_matching(spark, f"{target}/{BATCH}=*"):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(target)
-    return (rows if before is None else rows.filter(F.col(BATCH) < before)).drop(BATCH)
+    own = [StructField(BATCH, LongType())] + ([StructField(PART, IntegerType())] if paths_matching(spark, f"{target}/{BATCH}=*/{PART}=*") else [])
+    rows = spark.read.schema(StructType([*schema.fields, *own])).parquet(target)
+    if before is not None:
+        rows = rows.filter(F.col(BATCH) < before)
+    if parts is not None:
+        rows = rows.filter(F.col(PART).isin(*parts))
+    return rows.drop(BATCH, PART)
 
 
-def _batch_writer(target: str):
+def _batch_writer(target: str, by: Sequence[str] = ()):
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch}")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{target}/{BATCH}={batch}")
 
     return write
 
@@ -45,42 +52,45 @@ def _start(stream: DataFrame, step, checkpoint: str, mode: str, once: bool) -> S
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_append_unique(stream: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends the rows whose key is new, across batches and restarts; exact, without a time bound."""
-    schema, write = stream.schema, _batch_writer(target)
+def stream_append_unique(stream: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, once: bool = True, n_parts: int = PARTS) -> StreamingQuery:
+    """Appends the rows whose key is new, across batches and restarts; exact, without a time bound.
+
+    Stored rows lie in ``n_parts`` parts by a hash of their key, and a batch reads the parts it touches.
+    """
+    schema, write = stream.schema, _batch_writer(target, [PART])
+    part = F.pmod(F.xxhash64(*[T.strip(F.col(k).cast("string")) for k in keys]), F.lit(n_parts)).cast("int").alias(PART)
 
     def step(rows: DataFrame, batch: int) -> None:
-        known = stored_rows(rows.sparkSession, target, schema, before=batch)
-        write(append_unique(known, rows, keys, order), batch)
+        touched = [r[0] for r in rows.select(part).distinct().collect()]  # n_parts numbers at most
+        known = stored_rows(rows.sparkSession, target, schema, before=batch, parts=touched)
+        write(append_unique(known, rows, keys, order).withColumn(PART, part), batch)
 
     return _start(stream, step, checkpoint, "append", once)
 
 
 def unique_within(stream: DataFrame, keys: Sequence[str], time: str, bound: str) -> DataFrame:
-    """Drops repeats that come within a time bound: the form with limited state."""
+    """Drops repeats that come within a time bound: the form with limited state. Repeats further apart stay, by its purpose."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, bound).dropDuplicatesWithinWatermark(list(keys))
 
 
-def status_counts(log: DataFrame, time: str, stage: str, status: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Rows of the status log per time window, stage and status."""
-    timed = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    counted = timed.groupBy(F.window(time, window).alias("_w"), F.col(stage).alias("stage"), F.col(status).alias("status")).agg(F.count("*").alias("n"))
+def status_counts(log: DataFrame, time: str, stage: str, status: str, window: str = "1 day") -> DataFrame:
+    """Rows of a status log per time window, stage and status."""
+    counted = log.groupBy(F.window(F.col(time).cast("timestamp"), window).alias("_w"), F.col(stage).alias("stage"), F.col(status).alias("status")).agg(F.count("*").alias("n"))
     return counted.select(F.col("_w.start").alias("window_start"), "stage", "status", "n")
 
 
-def stream_status(log: DataFrame, target: str, time: str, stage: str, status: str, checkpoint: str, window: str = "1 day", late: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """Keeps the counts of ``status_counts`` up to date: every batch stores the counts it changed."""
-    return _start(status_counts(log, time, stage, status, window, late), _batch_writer(target), checkpoint, "update", once)
+def stream_status(log: DataFrame, target: str, time: str, stage: str, status: str, checkpoint: str, window: str = "1 day", once: bool = True) -> StreamingQuery:
+    """Stores each batch's own counts. Rows may come at any time, however late; no state is kept."""
+    write = _batch_writer(target)
+    return _start(log, lambda rows, batch: write(status_counts(rows, time, stage, status, window), batch), checkpoint, "append", once)
 
 
 def current_status(spark: SparkSession, target: str) -> DataFrame:
-    """The latest stored count of every window, stage and status."""
-    rows = spark.read.parquet(target)
-    return rows.groupBy("window_start", "stage", "status").agg(F.max_by("n", BATCH).alias("n"))
+    """The count of every window, stage and status: the sum of the batches' counts."""
+    return spark.read.parquet(target).groupBy("window_start", "stage", "status").agg(F.sum("n").alias("n"))
 
 
-def stream_pending(inputs: DataFrame, results: DataFrame, key: str, result_key: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Passes on only inputs that have no stored result yet: a stream against a table."""
-    pending = pending_after_resume(inputs, results, key, result_key)
-    writer = pending.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+def stream_pending(inputs: DataFrame, results: Callable[[SparkSession], DataFrame], key: str, result_key: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Passes on only inputs that have no stored result yet; ``results`` is read anew for every batch."""
+    write = _batch_writer(target)
+    return _start(inputs, lambda rows, batch: write(pending_after_resume(rows, results(rows.sparkSession), key, result_key), batch), checkpoint, "append", once)

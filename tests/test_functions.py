@@ -30,6 +30,17 @@ def test_entities(spark):
     assert values(spark, rows, T.plain_text(F.col("v"))) == ['Build "APIs"', "aжbжc 'q'", "1 < 2 &lt; 3", "no", "x y"]
 
 
+def test_every_entity(spark):
+    from html import unescape
+    from html.entities import html5
+
+    rows = [f"a&{n}b &{n}" for n in html5] + [
+        "&rarr; &alpha; &frac12; &nbsp x", "&#x000027;", "&#0000039;", "&#x10FFFD;", "&#38;lt;", "&#x80; &#150; &#x81;", "&#0; &#xD800; &#x110000; &#99999999;", "&#x1; &#11; &#xFFFE; &#xfdd0;x",
+        "&notit; &notin; &ampx &am &; & &# &#x; &#xg; &#12a; &amp;amp; &ltgt;", "", "&", "&&lt;&", "&unknownword; &CounterClockwiseContourIntegral; &" + "x" * 50 + ";",
+    ]
+    assert values(spark, rows, T.unescape(F.col("v"))) == [unescape(r) for r in rows]
+
+
 def test_hosts_outside_ascii(spark):
     df = spark.createDataFrame([("https://www.Клиника.рф/путь#x",), ("http://xn--80apgfc0a.xn--p1ai:8080/",)], "u string")
     rows = O.explode_domain_keys(O.with_display_url(O.with_site_origin(df, "u"), "u"), "u").collect()

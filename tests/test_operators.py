@@ -113,7 +113,7 @@ def test_hot_keys_give_the_same_rows_on_any_partitioning(spark):
         lambda d: C.merge_contacts(d, "k", ["v"], ["p"]),
         lambda d: A.with_section(d, ["k"], "p", F.when(F.col("p") % 11 == 0, F.col("v")), width=64),
         lambda d: A.pair_within(d, ["k"], "p", F.col("p") % 5 == 0, F.when(F.col("p") % 3 == 0, F.col("v")), 7, width=64),
-        lambda d: S.slice_rows(d.withColumn("id", F.col("v")), "p", "id", 10, 2000, 500, width=64),
+        lambda d: S.slice_rows(d.withColumn("id", F.col("v")), "p", "id", 10, 2000, 500),
     ):
         assert sorted(map(tuple, job(one).collect())) == sorted(map(tuple, job(many).collect()))
     plan = top_per_key(many, ["k"], [F.col("p")], 4)._jdf.queryExecution().executedPlan().toString()
