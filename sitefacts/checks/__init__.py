@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "columns", "pages", "extract", "tables", "people")
+MODULES = ("urls", "columns", "pages", "extract", "tables", "people", "markdown")
 
 
 def load():

@@ -15,28 +15,34 @@ FIRM = ("firm_id", "company_name", "address_name")
 TAGS = (*booking.ELEMENT_TAGS, "header", "footer", "nav", "div", "section", "aside", "article", "li", "p", "tr", "th", "td")
 
 
-def firm_site_list(firms: DataFrame, raw_site: str, pos: str, max_sites: int) -> DataFrame:
-    """The first normalised sites of each firm: firm columns, site and its place."""
+def firm_site_list(firms: DataFrame, raw_site: str, pos: str, max_sites: int | None) -> DataFrame:
+    """The first ``max_sites`` normalised sites of each firm (None: all): firm columns, site and its place."""
     rows = with_site_origin(firms, raw_site, "site").filter("site <> ''")
     rows = first_per_key(rows.select(*FIRM, "site", pos), ["firm_id", "site"], [pos])
-    return top_per_key(rows, ["firm_id"], [F.col(pos)], max(1, max_sites))
+    return rows if max_sites is None else top_per_key(rows, ["firm_id"], [F.col(pos)], max(1, max_sites))
 
 
-def lead_tables(firms: DataFrame, pages: DataFrame, company_table: DataFrame, raw_site: str = "site_url", pos: str = "pos", max_sites: int = 3) -> dict[str, DataFrame]:
+def lead_tables(firms: DataFrame, pages: DataFrame, company_table: DataFrame, raw_site: str = "site_url", pos: str = "pos", *, max_sites: int | None, markdown: str | None = None, title: str | None = None) -> dict[str, DataFrame]:
     """companies, pricing, specialists, bookings, instagram and telegram rows of all firms.
 
-    ``pages`` holds site, page_id, url and html; ``company_table`` holds site, inn and pos. Pages are
-    parsed once and the elements written, since five jobs read them.
+    ``pages`` holds site, page_id, url and html, and may hold a title and markdown, which then count for
+    contacts, prices and people; ``company_table`` holds site, inn and pos. Pages are parsed once and
+    the elements written, since five jobs read them. ``max_sites`` is the caller's choice, None is all.
     """
     sites = firm_site_list(firms, raw_site, pos, max_sites)
     wanted = pages.join(sites.select("site").distinct(), "site", "left_semi")
     elements = land(html_elements(wanted, keep=["site", "page_id", "url"], tags=TAGS), "elements")
-    contacts = page_jobs.extract_contacts(wanted, "site", elements)
+    contacts = page_jobs.extract_contacts(wanted, "site", elements, markdown=markdown)
     ids = page_jobs.extract_tax_ids(contacts, "site")
     own = first_per_key(with_site_key(ids, "site"), ["site_key"], ["page_id"]).select("site_key", "tax_id")
     company_rows = companies.attach_tax_id(sites, "site", company_table, "site", "inn", ["pos"], own)
-    lines = prices.price_lines(wanted, elements).join(wanted.select("page_id", "url", "site"), "page_id")
-    people = staff.extract_specialists(staff.staff_from_cards(elements, keep=("site", "url")), None, "site")
+    lines = prices.price_lines(wanted, elements, markdown=markdown).join(wanted.select("page_id", "url", "site"), "page_id")
+    cards = staff.staff_from_cards(elements, keep=("site", "url"))
+    people = staff.extract_specialists(cards, None, "site")
+    if markdown is not None:
+        titled = wanted if title else wanted.withColumn("_title", F.lit(""))
+        spoken = staff.staff_from_lines(staff.staff_lines(titled, markdown, title=title or "_title", keep=("site", "url")))
+        people = staff.extract_specialists(cards, spoken.withColumn("pos", F.col("pos").cast("long")).select(*cards.columns), "site")
     evidence = booking.booking_evidence(elements, "site")
     read_sites = wanted.select("site").distinct()
     scoped = page_jobs.scoped_links(elements, "site")

@@ -154,15 +154,20 @@ def flatten_items(items: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-def read_items(spark: SparkSession, payloads: DataFrame, json_col: str) -> DataFrame:
-    """Heterogeneous JSON objects as a table of the union of their keys, in first-seen order."""
+def read_items(spark: SparkSession, payloads: DataFrame, json_col: str, order: str | None = None) -> DataFrame:
+    """Heterogeneous JSON objects as a table of the union of their keys, in first-seen order.
+
+    ``order`` names the input order; without it, it is that of Spark's splits. Keys are combined in the
+    map tasks; what reaches the driver is the header, one row per distinct key.
+    """
+    at = F.col(order) if order else F.monotonically_increasing_id()
     keys = (
-        payloads.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(F.json_object_keys(json_col)).alias("_i", "key"))
+        payloads.select(at.alias("_row"), F.posexplode(F.json_object_keys(json_col)).alias("_i", "key"))
         .groupBy("key")
         .agg(F.min(F.struct("_row", "_i")).alias("_at"))
         .orderBy("_at")
     )
-    names = [r["key"] for r in keys.collect()]  # the header: one row per distinct key
+    names = [r["key"] for r in keys.collect()]
     return payloads.select(*[F.get_json_object(json_col, f"$['{n}']").alias(n) for n in names]) if names else flatten_items(payloads.select())
 
 

@@ -18,7 +18,7 @@ def pages(spark, column="site"):
 def test_lead_flow(spark):
     firms = spark.createDataFrame([("f1", "One", "Street", "www.one.ru", 1), ("f1", "One", "Street", "https://one.ru/x", 2), ("f2", "Two", "", "two.ru", 3)], "firm_id string, company_name string, address_name string, site_url string, pos int")
     table = spark.createDataFrame([("two.ru; other.ru", "770123456789", 1)], "site string, inn string, pos int")
-    out = {k: v.collect() for k, v in lead_flow.lead_tables(firms, pages(spark), table).items()}
+    out = {k: v.collect() for k, v in lead_flow.lead_tables(firms, pages(spark), table, max_sites=3).items()}
     assert {(r["firm_id"], r["site"], r["inn"], r["inn_source"]) for r in out["companies"]} == {("f1", "https://one.ru/", "7701234567", "site"), ("f2", "https://two.ru/", "770123456789", "company_csv")}
     assert {(r["firm_id"], r["service"], r["price_min"], r["url"]) for r in out["pricing"]} == {("f1", "Осмотр", 500, "https://one.ru/"), ("f1", "Осмотр", 500, "https://one.ru/team")}
     assert [(r["full_name"], r["role"], r["phone"]) for r in out["specialists"]] == [("Иванов Иван", "ортодонт", "8 (383) 255-10-11")]
