@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import SKETCH, CellCounts, columns, in_sketch, merged_sketch, sketch_bits, utf8
+from sitefacts.llm.common import SKETCH, CellCounts, columns, in_sketch, merged_sketch, sketch_bits, slices, utf8
 from sitefacts.llm.line_dedup import text_tag
 
 ROLL, CHUNK_BITS = 16, 9
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = CellCounts(bits, DEPTH, 2)
-        for batch in batches:
+        for batch in slices(batches):
             for text in columns(batch, "text")[0]:
                 if keys := list({chunk_key(c) for c in chunks(utf8(text), chunk_bits)}):
                     yield from counts.add(low_keys(keys))
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids, tags, found = [], [], []
             texts = columns(batch, "text")[0]
             for doc, tag, text, (_, _, shared) in zip(*columns(batch, "doc", "tag"), texts, split(texts)):
@@ -196,16 +196,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
                     ids.append(doc)
                     tags.append(tag)
                     found.append(encode(tokenizer, utf8(text)))
-                    if len(found) == 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
-                        ids, tags, found = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
 
     def pieces(of_shared: bool, with_text: bool):
         """Chunks of documents that have a shared one: the shared ones, or the text between them as one part."""
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 out = {"doc": [], "tag": [], "seq": [], "key": [], "text": []}
                 texts = columns(batch, "text")[0]
                 for doc, tag, (parts, keys, shared) in zip(*columns(batch, "doc", "tag"), split(texts)):
@@ -227,14 +224,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = columns(batch, "key", "text")
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([encode(tokenizer, t).astype(packed_type(tokenizer)).tobytes() for t in texts], pa.binary())], ["key", "its_ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
         joiner = Joiner(tokenizer, token_lengths(tokenizer))
-        for batch in batches:
+        for batch in slices(batches):
             ids, tags, parts = columns(batch, "doc", "tag", "parts")
             found, times = [], []
             for of_one in parts:
@@ -264,6 +261,7 @@ def decoded(ids, vocabulary: str):
 
     def decode(values: pa.Array) -> pa.Array:
         tokenizer = encoding(vocabulary)
-        return pa.array([None if v is None else tokenizer.decode(v) for v in values.to_pylist()], pa.string())
+        # one text at a time: as Python numbers, ids take ten times their room
+        return pa.array([tokenizer.decode(v.values.to_pylist()) if v.is_valid else None for v in values], pa.string())
 
     return F.arrow_udf(decode, "string")(ids)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, MASK, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, signed, sketch_bits, utf8, word_hashes
+from sitefacts.llm.common import BASE, MASK, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, signed, sketch_bits, slices, utf8, word_hashes
 from sitefacts.llm.line_dedup import text_tag
 from sitefacts.llm.quality_rules import bare
 
@@ -119,7 +119,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, tags = columns(batch, "item_id", "text", "item_tag")
             words = [tokens(t, memo) for t in texts]
             hashes = [np.unique(seeds_of(w, min(seed, len(w))), return_counts=True) if len(w) else (np.empty(0, np.uint64), np.empty(0, np.int64)) for w in words]
@@ -135,7 +135,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = CellCounts(bits, DEPTH, 1)
-        for batch in batches:
+        for batch in slices(batches):
             for own in columns(batch, "seeds")[0]:
                 yield from counts.add(np.array(own, dtype=np.int64).view(np.uint64))
         yield from counts.rows()
@@ -144,7 +144,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             ids, tags, hits, parts = [], [], [], []
             for doc, tag, text in zip(*columns(batch, "doc_id", "tag", "text")):
                 values = tokens(text, memo)
@@ -168,7 +168,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
     one = able.select("doc_id", "tag", "item_id", "item_tag").join(held.select("doc_id", "tag", "parts").dropDuplicates(["doc_id", "tag"]), ["doc_id", "tag"]).join(bench.select("item_id", "item_tag", "words"), ["item_id", "item_tag"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, items_, parts, words = columns(batch, "doc_id", "item_id", "parts", "words")
             got = []
             for of_doc, of_item in zip(parts, words):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import KEYED, columns, land, later_occurrences, utf8
+from sitefacts.llm.common import KEYED, columns, land, later_occurrences, slices, utf8
 
 MIN_CHARS = 10
 
@@ -37,7 +37,7 @@ def text_tag(text: str = "text"):
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, ids, tags, places = [], [], [], []
             for doc, text, tag in zip(*columns(batch, "doc_id", "text", "tag")):
                 n = len(places)
@@ -75,7 +75,7 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     dropped = later_occurrences(land(line_rows(docs, min_chars), "lines"), "late-lines")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc, tag, places = columns(batch, "doc", "tag", "places")
             places = [sorted(set(p)) for p in places]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array([pack_keep(p) for p in places], pa.binary())], ["doc", "tag", "n_dropped", "keep"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, MASK, SECOND_BASE, WordHash, columns, land, member_filter, mix, ngram_hashes, signed, utf8, word_hashes
+from sitefacts.llm.common import BASE, MASK, SECOND_BASE, WordHash, columns, land, member_filter, mix, ngram_hashes, signed, slices, utf8, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -128,7 +128,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = columns(batch, "doc_id", "text")
             n, digests, bands, sketches = [], [], [], []
             for text in texts:
@@ -151,7 +151,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, min_percent: int) -> DataFra
     """Of distinct pairs (a, b), those that may link by their sketches."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             side = lambda x: tuple(batch.column(f"{c}_{x}").to_numpy(zero_copy_only=False) for c in ("n", "m")) + tuple(bitmaps(columns(batch, f"{c}_{x}")[0]) for c in ("parity", "occupied"))
             keep = may_link(side("a"), side("b"), min_percent) if batch.num_rows else np.zeros(0, dtype=bool)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -166,7 +166,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, min_percent: int) -> DataFrame
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         last, its_set = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a, b, text_a, text_b = columns(batch, "a", "b", "text_a", "text_b")
             keep = []
             for ta, tb in zip(text_a, text_b):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import columns, land, utf8
+from sitefacts.llm.common import columns, land, slices, utf8
 from sitefacts.llm.quality_rules import BLANKS, CLASSES, SYMBOLS, class_counts, repeat_words
 
 FOLDS, HELD_OUT = 3, 1
@@ -121,7 +121,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_P
     """(doc_id, held_out, score, predicted, prior) for each row of ``docs``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = columns(batch, "doc_id", "text")
             found = [features(utf8(t)).astype(np.float32) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.float32()))], ["doc_id", "x"])

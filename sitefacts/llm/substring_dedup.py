@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import BASE, KEYED, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, later_occurrences, merged_sketch, mix, ngram_hashes, signed, sketch_bits, utf8, window_min, word_hashes
+from sitefacts.llm.common import BASE, KEYED, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, later_occurrences, merged_sketch, mix, ngram_hashes, signed, sketch_bits, slices, utf8, window_min, word_hashes
 from sitefacts.llm.line_dedup import text_tag
 
 WINDOW, ANCHOR = 50, 16
@@ -48,7 +48,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHash(), CellCounts(bits, DEPTH, 2)
-        for batch in batches:
+        for batch in slices(batches):
             for text in columns(batch, "text")[0]:
                 words = utf8(text).split()
                 if len(words) >= window:
@@ -59,7 +59,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             h1, h2, ids, tags, places = [], [], [], [], []
             for doc, text, tag in zip(*columns(batch, "doc_id", "text", "tag")):
                 words = utf8(text).split()
@@ -89,13 +89,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
 
     def apply(text: pa.Array, places: pa.Array) -> pa.Array:
         out = []
-        for t, at in zip(text.to_pylist(), places.to_pylist()):
+        for t, of_one in zip(text.to_pylist(), places):
             words = utf8(t).split()
             kept = words
-            if at:
+            if of_one.is_valid:
+                at = of_one.values.to_numpy()
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edges, np.array(at), 1)
-                np.add.at(edges, np.array(at) + window, -1)
+                np.add.at(edges, at, 1)
+                np.add.at(edges, at + window, -1)
                 gone = np.cumsum(edges)[:-1] > 0
                 kept = [w for w, g in zip(words, gone) if not g]
             out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept_text": b" ".join(kept).decode("utf-8", "surrogatepass")})
