@@ -4,7 +4,7 @@ Hosts are joined by the links in their pages' html (absolute and protocol-relati
 counted per pair of hosts. Trust is a personalised PageRank from hosts that an allow rule names;
 distrust is one over reversed links from hosts that a block rule covers from the root, so a host that
 links to blocked ones gathers distrust. A host is blocked when its distrust is more than its trust and
-at least ``min_share`` of the mean of all hosts. Everything is relational; ranks are landed per round.
+at least ``min_share`` of what every host would start with if all were seeds. Everything is relational; ranks are landed per round.
 
 Rules for odd input: a null url or one without ``://`` has an empty host and path; hosts without links
 keep only what seeds give them; links of a host to itself do not count, and a host without outgoing
@@ -100,7 +100,7 @@ def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
     trust = spread(shares(lambda r: r["verdict"] == "allow"), links, damping, rounds)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(shares(lambda r: (r["verdict"] == "block") & r["whole"]), back, damping, rounds)
-    least = min_share / max(1, every.count())
+    least = min_share * (1 - damping) / max(1, every.count())
     joined = every.join(fit, "host", "left").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     filled = joined.select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     return filled.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least))

@@ -1,10 +1,13 @@
 """Small inputs with everything that tables may hold, and brute-force helpers."""
 
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from sitefacts.llm import quality_rules
+
 EXTRA = ["row", "tag", "doc", "pos", "key", "keep", "kept", "n", "label", "node", "text_a", "n_words", "ids", "h1", "places", "its_tag"]
 
 
@@ -41,3 +44,8 @@ def words_of(text):
 
 def ascii_lower(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def bare_numbers(text):
+    """The bare words of a text as numbers."""
+    return [int.from_bytes(hashlib.md5(w).digest()[:8], "little") for w in quality_rules.bare((text or "").encode().split()) if w]

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sitefacts.llm import decontaminate, quality_rules
 from sitefacts.llm.common import land, table
-from tests.llm.odd import no_documents, odd_documents, odd_texts
+from tests.llm.odd import bare_numbers, no_documents, odd_documents, odd_texts
 from tests.llm.test_line_and_substring import brute_lines
 from tests.llm.test_near_dedup import brute
 
@@ -34,9 +34,8 @@ def test_run_equals_brute_force(spark):
     docs = {i: t for i, t in docs.items() if i in kept}
     docs = {i: t for i, _, _, t in brute_lines(list(docs.items()))}
     docs = {i: docs[i] for i, (_, top) in brute(list(docs.items())).items() if i == top}
-    bare = lambda t: [w for w in quality_rules.bare((t or "").encode().split()) if w]
-    items = [w for r in table(spark, SF, "benchmark").collect() if (w := bare(r.text))]
-    docs = {i: t for i, t in docs.items() if not any(100 * decontaminate.covered(w, bare(t), 5) >= 80 * len(w) for w in items)}
+    items = [w for r in table(spark, SF, "benchmark").collect() if (w := bare_numbers(r.text))]
+    docs = {i: t for i, t in docs.items() if not any(100 * decontaminate.covered(w, bare_numbers(t), 5) >= 80 * len(w) for w in items)}
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
     want = {i: (t, library.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
     got = corpus_pipeline.run(spark, SF).collect()
