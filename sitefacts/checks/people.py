@@ -397,7 +397,31 @@ def name_variants(spark, sf):
     return first.unionByName(N.name_variants(names, "last_name", 1).select("c_custkey", F.lit("last").alias("part"), "variant"))
 
 
-@query("name_variants_many")
+def map_sql(table) -> str:
+    return "MAP {" + ", ".join(f"'{k}': {list_sql(v)}" for k, v in table.items()) + "}"
+
+
+def in_order_sql(x: str, most: int) -> str:
+    """The first distinct values of a list other than the empty text, in order."""
+    filled = f"list_filter({x}, lambda v: v <> '')"
+    return f"list_slice(list_filter({filled}, lambda v, i: list_position({filled}, v) = i), 1, {most})"
+
+
+def spellings_sql(source: str, column: str, most: int, aliases: bool, out: str) -> str:
+    """CTEs that end in ``{out}``: the rows of a source with a list of the spellings of one name column."""
+    letters = "list_concat([['']], list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: coalesce(list_extract(map_extract(m, c), 1), [''])))"
+    product = f"list_reduce({letters}, lambda a, c: list_slice(flatten(list_transform(a, lambda p: list_transform(c, lambda s: p || s))), 1, {4 * most}))"
+    usual = "coalesce(list_extract(map_extract(u, t), 1), CAST([] AS VARCHAR[]))" if aliases else "CAST([] AS VARCHAR[])"
+    return f"""{out}_t AS (SELECT *, {token_sql(column)} AS t, {map_sql(vocab.LETTER_SPELLINGS)} AS m, {map_sql(vocab.FIRST_NAME_SPELLINGS)} AS u FROM {source}),
+    {out}_p AS (SELECT *, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) WHEN regexp_matches(t, '^[a-z-]+$') THEN [replace(t, '-', '')] ELSE {product} END AS found FROM {out}_t),
+    {out}_d AS (SELECT * EXCLUDE (found), list_concat({usual}, {in_order_sql("found", most)}) AS both_lists FROM {out}_p),
+    {out} AS (SELECT * EXCLUDE (t, m, u, both_lists), {in_order_sql("both_lists", most)} AS {out}_list FROM {out}_d)"""
+
+
+@query(
+    "name_variants_many",
+    f"WITH {spellings_sql(sql_of(NAMES), 'first_name', 8, True, 'fs')} SELECT c_custkey, CAST(unnest(range(len(fs_list))) AS INTEGER) AS variant_pos, unnest(fs_list) AS variant FROM fs",
+)
 def name_variants_many(spark, sf):
     return N.name_variants(bound(spark, sf, NAMES), "first_name", 8, first_name=True).select("c_custkey", "variant_pos", "variant")
 
@@ -431,7 +455,13 @@ def email_candidates(spark, sf):
     return N.email_candidates(names, most=1).select("c_custkey", "email")
 
 
-@query("email_candidates_many")
+@query(
+    "email_candidates_many",
+    f"""WITH {spellings_sql(sql_of(NAMES), 'first_name', 2, True, 'fs')}, {spellings_sql('fs', 'last_name', 2, False, 'ls')}, {spellings_sql('ls', 'middle_name', 2, False, 'ms')},
+    n AS (SELECT c_custkey, domain, fn, ln, mn FROM ms, unnest(fs_list) a(fn), unnest(ls_list) b(ln), unnest(CASE WHEN len(ms_list) = 0 THEN [''] ELSE ms_list END) c(mn)),
+    l AS (SELECT c_custkey, domain, unnest({LOCALS}) AS local FROM n)
+    SELECT DISTINCT c_custkey, lower(regexp_replace(local, '[._+\\-]{{2,}}', '.', 'g')) || '@' || lower(domain) AS email FROM l WHERE local <> ''""",
+)
 def email_candidates_many(spark, sf):
     return N.email_candidates(bound(spark, sf, NAMES), most=2).select("c_custkey", "email")
 
