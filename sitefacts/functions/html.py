@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,40 +75,52 @@ class _Elements(HTMLParser):
         return [s for s, holder in self.strings[start : len(self.strings) if end is None else end] if holder == wanted]
 
 
-def _parse(html: str, tags: frozenset[str] | None, strings: bool) -> Iterator[tuple]:
+def _parse(html: str | None, tags: frozenset[str] | None, with_text: frozenset[str] | None, strings: bool) -> Iterator[tuple]:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
     parser._flush()
     for pos, element in enumerate(parser.found):
         if tags is None or element[0] in tags:
-            texts = parser.texts(element)
-            yield pos, element[0], element[1], " ".join(texts), element[2], element[5], *([texts] if strings else [])
+            texts = parser.texts(element) if strings or with_text is None or element[0] in with_text else None
+            yield pos, element[0], list(element[1].items()), None if texts is None else " ".join(texts), element[2], element[5], *([texts] if strings else [])
 
 
-def html_elements(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"), tags: Sequence[str] | None = None, strings: bool = False) -> DataFrame:
+FIELD_TYPES = (pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()))
+
+
+def html_elements(
+    pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url"), tags: Sequence[str] | None = None, strings: bool = False, with_text: Sequence[str] | None = None, step: int = 64
+) -> DataFrame:
     """One row per element: the kept page columns, position, tag, attributes, text, ancestor positions
-    and number of direct child elements. ``tags`` limits what is returned, and with it the text that
-    nested elements repeat. ``strings`` adds the single strings the text is made of."""
+    and number of direct child elements.
+
+    ``tags`` limits what is returned; ``with_text`` names the tags whose text is wanted (None: all), as
+    nested elements repeat it. ``strings`` adds the single strings the text is made of. Kept columns stay
+    in Arrow, and ``step`` pages at a time become rows.
+    """
     wanted = frozenset(tags) if tags else None
+    texts = None if with_text is None else frozenset(with_text)
     kept = list(keep)
     types = dict(pages.dtypes)
-    columns = [*kept, "pos", "tag", "attrs", "text", "ancestors", "children", *(["strings"] if strings else [])]
+    names = ["pos", "tag", "attrs", "text", "ancestors", "children", *(["strings"] if strings else [])]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start : start + 64]
-                rows = [
-                    (*head, *element)
-                    for *head, text in zip(*(part[k] for k in kept), part[html])
-                    for element in _parse(text, wanted, strings)
-                ]
-                yield pd.DataFrame(rows, columns=columns)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                owner, fields = [], [[] for _ in names]
+                for i, text in enumerate(part.column(len(kept)).to_pylist()):
+                    for element in _parse(text, wanted, texts, strings):
+                        owner.append(i)
+                        for held, value in zip(fields, element):
+                            held.append(value)
+                page = pa.array(owner, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(page) for i in range(len(kept))), *(pa.array(v, t) for v, t in zip(fields, FIELD_TYPES))], [*kept, *names])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", " + FIELDS
     schema += ", strings array<string>" if strings else ""
-    return pages.select(*kept, html).mapInPandas(parse, schema)
+    return pages.select(*kept, html).mapInArrow(parse, schema)
 
 
 def visible_text(html: Column) -> Column:

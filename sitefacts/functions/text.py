@@ -74,6 +74,11 @@ def first_contained(c: Column, words: Iterable[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words])
 
 
+def head(c: Column, most: int | None) -> Column:
+    """The first ``most`` characters of a text; None is the whole."""
+    return c if most is None else F.substring(c, 1, most)
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 

@@ -78,11 +78,11 @@ def detection_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count("*").alias("images"), F.count_if("found").alias("images_with_hits"))
 
 
-def crawl_summary(log: DataFrame, firm: str, site: str, time: str, pos: str, columns: Sequence[str] = ("stage", "status", "details")) -> DataFrame:
-    """Latest stage and status of each firm and site in the append-only log."""
+def crawl_summary(log: DataFrame, firm: str, site: str, time: str, pos: str, columns: Sequence[str] = ("stage", "status", "details"), details_chars: int | None = 1200) -> DataFrame:
+    """Latest stage and status of each firm and site in the append-only log; details are cut for display (None: whole)."""
     latest = log.groupBy(firm, site).agg(F.max_by(F.struct(*columns, time), F.struct(time, pos)).alias("_l"))
     out = latest.select(firm, site, "_l.*")
-    return out.withColumn("details", F.substring("details", 1, 1200)) if "details" in columns else out
+    return out.withColumn("details", T.head(F.col("details"), details_chars)) if "details" in columns else out
 
 
 def failed_attempts(log: DataFrame, key: str, pos: str, status: str = "status") -> DataFrame:

@@ -49,6 +49,7 @@ def booking_evidence(
     url: str = "url",
     text_hints: Iterable[str] = vocab.BOOKING_TEXT_HINTS,
     field_hints: Iterable[str] = vocab.BOOKING_FIELD_HINTS,
+    shown_chars: int | None = 160,
 ) -> DataFrame:
     """One row per sign of booking: kind, provider and host, and the evidence line.
 
@@ -102,7 +103,7 @@ def booking_evidence(
         )
     )
     rows = with_display_url(found[0].unionByName(found[1]), url, "_page")
-    shown = F.substring(T.match_text(F.col("details")), 1, 160)
+    shown = T.head(T.match_text(F.col("details")), shown_chars)
     line = F.concat(F.col("kind"), F.lit(":"), F.col("_page"), F.when(shown != "", F.concat(F.lit(" ("), shown, F.lit(")"))).otherwise(F.lit("")))
     return rows.withColumn("evidence", line).drop("_page", "details")
 

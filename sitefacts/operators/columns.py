@@ -151,12 +151,13 @@ def classify_owner(df: DataFrame, registrant: str = "registrant", org: str = "or
     return df.select("*", "_verdict.*").drop("_org", "_reg", "_all", "_privacy", "_org_word", "_reg_word", "_verdict")
 
 
-def owner_report(df: DataFrame) -> DataFrame:
-    """Report rows of classified owners: labels, dates as text, distinct addresses, four name servers."""
+def owner_report(df: DataFrame, name_servers: int | None = 4) -> DataFrame:
+    """Report rows of classified owners: labels, dates as text, distinct addresses, the first name servers (None: all)."""
     labels = F.create_map(*[F.lit(x) for pair in vocab.OWNER_LABELS for x in pair])
     day = lambda c: F.coalesce(F.substring(F.col(c).cast("string"), 1, 10), F.lit("—"))
     filled = lambda c: F.filter(F.coalesce(F.col(c), F.array()), lambda v: v.isNotNull() & (v != ""))
-    servers = F.slice(F.array_sort(F.array_distinct(F.transform(filled("name_servers"), F.lower))), 1, 4)
+    servers = F.array_sort(F.array_distinct(F.transform(filled("name_servers"), F.lower)))
+    servers = servers if name_servers is None else F.slice(servers, 1, name_servers)
     return df.select(
         "domain",
         T.text_of("error").alias("error"),

@@ -23,16 +23,17 @@ def has_price(line: Column, currency: str = vocab.CURRENCY_PATTERN) -> Column:
     return line.rlike(single_pattern(currency)) | line.rlike(range_pattern(currency))
 
 
-def price_lines(pages: DataFrame, elements: DataFrame | None = None, key: str = "page_id", markdown: str | None = None, currency: str = vocab.CURRENCY_PATTERN) -> DataFrame:
+def price_lines(pages: DataFrame, elements: DataFrame | None = None, key: str = "page_id", markdown: str | None = None, currency: str = vocab.CURRENCY_PATTERN, line_chars: tuple[int, int] = (6, 220), item_chars: tuple[int, int] = (8, 220)) -> DataFrame:
     """(page, place, line): lines that hold a price, distinct per page without regard to case.
 
     Markdown lines come first, then table rows of two or more cells, then list items and paragraphs.
+    Only lines and items of these lengths count as price lines: shorter ones are labels, longer ones prose.
     """
     sources = []
     if markdown is not None:
         lines = pages.select(key, F.posexplode(F.split(T.text_of(markdown), r"\r\n|[\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]")).alias("pos", "raw"))
         lines = lines.select(key, F.lit(0).alias("source"), "pos", T.compact(F.col("raw")).alias("line"))
-        sources.append(lines.filter(F.length("line").between(6, 220)))
+        sources.append(lines.filter(F.length("line").between(*line_chars)))
     if elements is not None:
         # cells and rows meet by (page, position of the row); a page's rows are never gathered as one
         rows = elements.filter("tag = 'tr'").select(key, F.col("pos").alias("_row"))
@@ -49,7 +50,7 @@ def price_lines(pages: DataFrame, elements: DataFrame | None = None, key: str =
         items = (
             elements.filter(F.col("tag").isin("li", "p"))
             .select(key, F.lit(2).alias("source"), "pos", T.compact(F.col("text")).alias("line"))
-            .filter(F.length("line").between(8, 220))
+            .filter(F.length("line").between(*item_chars))
         )
         sources += [cells, items]
     found = sources[0]

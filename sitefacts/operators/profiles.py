@@ -65,19 +65,21 @@ def metric_in_text(text: Column, section: str, label: str, window: int = 5000) -
     return value, F.array_max(years)
 
 
-def labelled_metric(elements: DataFrame, pages: DataFrame, section: str, label: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def labelled_metric(elements: DataFrame, pages: DataFrame, section: str, label: str, key: str = "page_id", url: str = "url", html: str = "html", ancestors: int | None = 11, steps: int | None = 3, strings_behind: int | None = 5) -> DataFrame:
     """(page, value_raw, value, year): a figure of a table or text, found by its label inside a section.
 
     The smallest element with the label is taken. Right of the label in its table row the column with
     the newest header year wins, else the first number. Outside a table the strings behind the label
     are read, and where that fails the page's text behind the section title. Needs ``strings``.
+    ``ancestors`` may lie between label and section; ``steps`` elements upwards and ``strings_behind``
+    the label are read outside tables. None sets no bound.
     """
     label_key, section_key = T_fold(label), T_fold(section)
     e = elements.withColumn("_f", _folded(F.col("text")))
     named = e.filter(F.contains("_f", F.lit(label_key)))
     holders = e.filter(F.contains("_f", F.lit(section_key))).select(key, F.col("pos").alias("_at"))
-    # the element itself and its next eleven ancestors may hold the section title
-    near = F.slice(F.concat(F.array("pos"), F.reverse("ancestors")), 1, 12)
+    first_of = lambda items, most: items if most is None else F.slice(items, 1, most)
+    near = first_of(F.concat(F.array("pos"), F.reverse("ancestors")), None if ancestors is None else ancestors + 1)
     placed = named.withColumn("_at", F.explode(near)).join(holders, [key, "_at"], "left_semi").dropDuplicates([key, "pos"])
     tag = placed.groupBy(key).agg(F.min_by(F.struct("pos", "ancestors"), F.struct(F.length("_f"), "pos")).alias("_tag"))
     rows_at = e.filter("tag = 'tr'").select(key, F.col("pos").alias("_row"), F.element_at("ancestors", -1).alias("_table"))
@@ -99,14 +101,14 @@ def labelled_metric(elements: DataFrame, pages: DataFrame, section: str, label:
     heads = heads.groupBy(key, "_col").agg(F.max_by("year", "_row").alias("year"))
     best = F.struct(F.coalesce("year", F.lit(-1)).alias("y"), (-F.col("_col")).alias("c"))
     table = values.join(heads, [key, "_col"], "left").groupBy(key).agg(F.max_by(F.struct("value_raw", "year"), best).alias("_t"))
-    # outside tables: the element, its parent and its grandparent, in this order
+    # outside tables: the element and those around it, inner ones first
     around = tag.join(row, key, "left_anti").select(
-        key, F.posexplode(F.slice(F.concat(F.array("_tag.pos"), F.reverse("_tag.ancestors")), 1, 3)).alias("_step", "pos")
+        key, F.posexplode(first_of(F.concat(F.array("_tag.pos"), F.reverse("_tag.ancestors")), steps)).alias("_step", "pos")
     )
     strings = e.select(key, "pos", F.transform("strings", T.compact).alias("_s"))
     around = around.join(strings, [key, "pos"])
     behind = F.flatten(
-        F.transform("_s", lambda s, i: F.when(F.contains(F.lower(s), F.lit(label_key)), F.slice("_s", i + 2, F.lit(5))).otherwise(F.array().cast("array<string>")))
+        F.transform("_s", lambda s, i: F.when(F.contains(F.lower(s), F.lit(label_key)), F.slice("_s", i + 2, F.size("_s") if strings_behind is None else F.lit(strings_behind))).otherwise(F.array().cast("array<string>")))
     )
     hits = F.filter(behind, lambda s: s.rlike(vocab.NUMBER_PATTERN))
     around = around.withColumn("_hit", F.try_element_at(hits, F.lit(1))).filter("_hit IS NOT NULL")

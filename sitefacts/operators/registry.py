@@ -212,8 +212,12 @@ def _first_of(values: Column, test) -> Column:
     return F.try_element_at(F.filter(F.transform(values, lambda v: test(v)), lambda v: v.isNotNull()), F.lit(1))
 
 
-def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One profile row per document from its label and value lines."""
+def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos", text: str = "text", width: int = WIDTH, websites: int = 3, tins: int = 2, contact_values: int = 2) -> DataFrame:
+    """One profile row per document from its label and value lines.
+
+    Of the values under a label, the first usable one among so many ``websites``, ``tins`` and
+    ``contact_values`` counts.
+    """
     head = lambda key, n: F.slice(F.coalesce(f"_{key}", F.array().cast("array<string>")), 1, n)
     joined = lambda key, sep: F.coalesce(F.array_join(f"_{key}", sep), F.lit(""))
 
@@ -238,11 +242,11 @@ def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos",
     # read three times below; the lines of these sections are few, so they are written once
     members = land(marked.select(doc, pos, F.explode(found).alias("_m")).select(doc, pos, "_m.*"), "sections")
     money = _listed(members.filter("key = 'revenue'"), doc, pos, ["revenue"]).withColumn("_money", T.amount_currency(F.array_join("_revenue", " ")))
-    contacts = section_contacts(members.filter("key = 'contacts'").select(doc, pos, "value"), doc, pos, width)
+    contacts = section_contacts(members.filter("key = 'contacts'").select(doc, pos, "value"), doc, pos, width, contact_values)
     out = lines.select(doc).distinct().join(plain, doc, "left").join(money, doc, "left").join(contacts, doc, "left")
     out = out.select(
         doc, joined("description", " ").alias("description"), joined("industries", "; ").alias("industries"), joined("technologies", "; ").alias("technologies"),
-        _first_of(head("website", 3), site).alias("website"), _first_of(head("tin", 2), tax).alias("tin"),
+        _first_of(head("website", websites), site).alias("website"), _first_of(head("tin", tins), tax).alias("tin"),
         F.try_element_at("_country", F.lit(1)).alias("country"), F.try_element_at("_legal_entity_name", F.lit(1)).alias("legal_entity_name"),
         F.col("_money.amount").alias("revenue_amount"), F.col("_money.currency").alias("revenue_currency"),
         "contact_name", "contact_email", "contact_phone",
@@ -250,12 +254,12 @@ def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos",
     return out.na.fill("", [c for c in out.columns if c != doc])
 
 
-def section_contacts(section: DataFrame, doc: str = "document", pos: str = "pos", width: int = WIDTH) -> DataFrame:
+def section_contacts(section: DataFrame, doc: str = "document", pos: str = "pos", width: int = WIDTH, values: int = 2) -> DataFrame:
     """(document, contact_name, contact_email, contact_phone) from the lines of contacts sections.
 
     Labelled values win; without one the first address, phone or free line of the section is taken.
     """
-    keys = {"contact_name": 1, "contact_email": 2, "contact_phone": 2}
+    keys = {"contact_name": 1, "contact_email": values, "contact_phone": values}
     known = _listed(section_values(section, tuple(keys), doc, pos, "value", width), doc, pos, tuple(keys))
     mail = lambda m: F.when((m != "") & ~m.isin(*vocab.IGNORED_EMAILS), m)
     phone = lambda p: F.when(T.is_likely_phone(p), p)

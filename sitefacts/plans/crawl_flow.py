@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
+from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
 from sitefacts.operators.companies import claim_domains
 from sitefacts.operators.pages import external_links
@@ -45,12 +46,12 @@ def crawled_links(pages: DataFrame, targets: DataFrame, short_links: DataFrame,
     return route_links(links.withColumn("source", F.lit("site_crawl")), "firm_id", "link_url", order=("page_id", "pos"), stored=stored)
 
 
-def crawl_status(counts: DataFrame, targets: DataFrame) -> DataFrame:
+def crawl_status(counts: DataFrame, targets: DataFrame, details_chars: int | None = 1200) -> DataFrame:
     """Success rows of the read sites, with their numbers as details (``counts`` is by ``site_counts``)."""
     links = F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
     shown = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("pages", "prices", "specialists", "contacts")]
     details = F.concat_ws(" ", *shown, F.concat(F.lit("booking="), F.col("booking_mode")), F.concat(F.lit("links={"), F.coalesce(links, F.lit("")), F.lit("}")))
     rows = targets.filter("status = 'queued'").select("firm_id", "site_url").join(counts, "site_url")
     return rows.select(
-        "firm_id", "site_url", F.lit("crawl").alias("stage"), F.lit("success").alias("status"), F.substring(details, 1, 1200).alias("details"), F.current_timestamp().alias("updated_at")
+        "firm_id", "site_url", F.lit("crawl").alias("stage"), F.lit("success").alias("status"), T.head(details, details_chars).alias("details"), F.current_timestamp().alias("updated_at")
     )
