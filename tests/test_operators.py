@@ -194,3 +194,32 @@ def test_csv_edges(spark, tmp_path):
     items = spark.createDataFrame([('{"b":1,"a":{"x":"я"}}',), ('{"c":[1]}',)], "j string")
     wide = S.read_items(spark, items.coalesce(1), "j")
     assert wide.columns == ["b", "a", "c"] and wide.first()["a"] == '{"x":"я"}'
+
+
+def test_hot_keys_meet_one_lookup_row(spark):
+    """One domain, and one site, hold a third of the rows: each row comes back once, and the key is joined once."""
+    probes = spark.range(3000).selectExpr("concat('a', id, '@x') AS address", "if(id % 3 = 0, 'hot.ru', concat('d', id, '.ru')) AS domain", "if(id % 2 = 0, 'mx2', 'mx1') AS host", "if(id % 6 = 0, 250, 550) AS code")
+    exchangers = spark.createDataFrame([("hot.ru", 20, "mx2"), ("hot.ru", 10, "mx1"), ("hot.ru", 30, "mx1"), ("d1.ru", 5, "mx1")], "domain string, preference int, host string")
+    catch_all = spark.createDataFrame([("hot.ru", "accepted")], "domain string, status string")
+    joined = C.join_domain_checks(probes, exchangers, catch_all)
+    rows = joined.collect()
+    hot = [r for r in rows if r["domain"] == "hot.ru"]
+    assert len(rows) == 3000 and len(hot) == 1000 and {r["mx_hosts"] for r in hot} == {"mx1; mx2"}
+    assert {(r["mx_used"], r["final_status"]) for r in hot} == {("mx2", "catch_all"), ("mx1", "invalid")}
+    assert {r["final_status"] for r in rows if r["domain"] == "d2.ru"} == {"unknown"}
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # the lookup, and the probes to it
+
+    sites = spark.range(3000).selectExpr("if(id % 3 = 0, 'https://hot.ru/', concat('https://s', id, '.ru/')) AS site", "id")
+    lookup = spark.createDataFrame([("hot.ru; s1.ru", "7701234567", 1), ("hot.ru", "7709999999", 2)], "site string, inn string, pos int")
+    own = spark.createDataFrame([("hot.ru", "5401234567"), ("s2.ru", "5409999999")], "site_key string, tax_id string")
+    got = C.attach_tax_id(sites, "site", lookup, "site", "inn", ["pos"], own).collect()
+    assert len(got) == 3000 and {(r["tax_id"], r["tax_id_source"]) for r in got if r["site"] == "https://hot.ru/"} == {("7701234567", "company_csv")}
+    assert {(r["tax_id"], r["tax_id_source"]) for r in got if r["id"] in (1, 2, 4)} == {("7701234567", "company_csv"), ("5409999999", "site"), ("", "")}
+
+
+def test_slices_of_sparse_orders(spark):
+    df = spark.range(5000).selectExpr("(id * 2654435761) % 4294967291 AS p", "if(id % 5 = 0, ' ', concat('u', id)) AS ident")
+    order = sorted((r["p"], r["ident"]) for r in df.collect())
+    want = [(p, i + 1) for i, (p, ident) in enumerate(order) if 101 <= i + 1 <= 4000 and ident.strip()][:700]
+    got = S.slice_rows(df, "p", "ident", 101, 4000, 700)
+    assert sorted((r["p"], r["row_number"]) for r in got.collect()) == want
