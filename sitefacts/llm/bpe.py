@@ -53,7 +53,7 @@ def encoding(path: str) -> tiktoken.Encoding:
         said = json.load(f)
     added = {t["content"]: t["id"] for t in said["added_tokens"]}
     letter = byte_letters()
-    ranks = {bytes(letter[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in added}
+    ranks = {bytes(letter[c] for c in token): i for token, i in said.pop("model")["vocab"].items() if token not in added}
     return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
@@ -156,9 +156,12 @@ def token_lengths(tokenizer: tiktoken.Encoding) -> np.ndarray:
     return np.array([len(tokenizer.decode_single_token_bytes(i)) for i in range(tokenizer.n_vocab)], dtype=np.int64)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_BITS, max_bits: int = MAX_BITS) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_BITS, max_bits: int = MAX_BITS, decode: bool = False) -> DataFrame:
     """(doc_id, tag, ids) for each row of ``docs``; ``tag`` tells rows of one doc_id apart.
 
+    ``decode`` adds ``text``, what the ids decode to, in the same Python worker: a second one for the
+    column function ``decoded`` costs each task its own tokenizer.
+
     ``vocabulary`` is the path of a byte-level BPE file of the tokenizers library, at the same place on
     all machines.
     """
@@ -186,6 +189,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
             yield of_one, keys[at : at + len(of_one)], shared[at : at + len(of_one)]
             at += len(of_one)
 
+    kinds = "doc long, tag long, ids array<int>" + ", text string" * decode
+
+    def encoded(tokenizer: tiktoken.Encoding, docs_: list, tags: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = [pa.array(docs_, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+        if decode:
+            arrays.append(pa.array([tokenizer.decode(ids.tolist()) for ids in found], pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, ["doc", "tag", "ids", "text"][: len(arrays)])
+
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(vocabulary)
         for batch in slices(batches):
@@ -196,7 +207,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
                     ids.append(doc)
                     tags.append(tag)
                     found.append(encode(tokenizer, utf8(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
+            yield encoded(tokenizer, ids, tags, found)
 
     def pieces(of_shared: bool, with_text: bool):
         """Chunks of documents that have a shared one: the shared ones, or the text between them as one part."""
@@ -246,14 +257,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, chunk_bits: int = CHUNK_B
                         listed.append((tokenizer.decode_bytes(known.tolist()), known))
                 found.append(joiner.document(listed))
             again = np.repeat(np.arange(len(found)), times)
-            made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc", "tag", "ids"])
+            made = encoded(tokenizer, ids, tags, found)
             yield made if len(again) == len(found) else made.take(pa.array(again))
 
     once = pieces(True, True).groupBy("key").agg(F.first("text").alias("text")).mapInArrow(encode_once, "key binary, its_ids binary")
     lent = pieces(True, False).select("doc", "tag", "seq", "key").join(once, "key").select("doc", "tag", "seq", F.lit(None).cast("binary").alias("text"), "its_ids")
     kept = pieces(False, True).select("doc", "tag", "seq", "text", F.lit(None).cast("binary").alias("its_ids"))
-    whole = lent.unionByName(kept).groupBy("doc", "tag").agg(F.collect_list(F.struct("seq", "text", "its_ids")).alias("parts")).mapInArrow(assemble, "doc long, tag long, ids array<int>")
-    return own.mapInArrow(alone, "doc long, tag long, ids array<int>").unionByName(whole).withColumnRenamed("doc", "doc_id")
+    whole = lent.unionByName(kept).groupBy("doc", "tag").agg(F.collect_list(F.struct("seq", "text", "its_ids")).alias("parts")).mapInArrow(assemble, kinds)
+    return own.mapInArrow(alone, kinds).unionByName(whole).withColumnRenamed("doc", "doc_id")
 
 
 def decoded(ids, vocabulary: str):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.llm.bpe import decoded, encode_documents
+from sitefacts.llm.bpe import encode_documents
 from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
 from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.decontaminate import benchmark_hits
@@ -157,9 +157,8 @@ def op8_substring_dedup(spark, sf_dir):
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    made = encode_documents(table(spark, sf_dir, "documents"), vocabulary)
-    digest = made.select("doc_id", "ids", decoded(F.col("ids"), vocabulary).alias("back"))
-    return digest.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
+    made = encode_documents(table(spark, sf_dir, "documents"), vocabulary, decode=True)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 @query("op6_decontaminate")
