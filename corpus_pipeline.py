@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefacts.llm.bpe import decoded, encode_documents
+from sitefacts.llm.bpe import encode_documents
 from sitefacts.llm.common import land, table
 from sitefacts.llm.decontaminate import benchmark_hits
 from sitefacts.llm.line_dedup import drop_repeated_lines
@@ -55,9 +55,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): each document's ids and the text that they decode to."""
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    made = encode_documents(docs, vocabulary)
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded(F.col("ids"), vocabulary).alias("text"))
+    made = encode_documents(docs, public_tokenizers.path(VOCABULARY), decode=True)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("bpe", bpe)]
