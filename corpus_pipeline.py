@@ -18,6 +18,8 @@ from sitefacts.llm.near_dedup import near_duplicates
 from sitefacts.llm.quality_rules import judge_quality
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Least similarity of near-duplicates in percent; the 85 of op5_near_dedup is of that query only.
+NEAR_PERCENT = 80
 
 
 def as_row(docs: DataFrame) -> Column:
@@ -40,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near-duplicates, once; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    kept = near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id"))
     known, unknown = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
     rows = known.select(as_row(known)).join(kept, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
     once = rows.withColumn("n", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))).where("n = 1")

@@ -1,6 +1,6 @@
 """Near-duplicate classes: MinHash bands find candidates, odd sketches verify them, full sets confirm them.
 
-1. Every text becomes its set of 5-word shingles, a digest of the set, 32 bands of 5 MinHash values, and
+1. Every text becomes its set of 5-word shingles, a digest of the set, bands of 5 MinHash values, and
    an odd sketch of further MinHash samples: the least value in each of 2,048 bins of the hash space,
    folded into a parity bitmap, beside a bitmap of the bins that hold any. Texts of one set form a
    class, represented by its smallest doc_id; only representatives go on.
@@ -12,7 +12,8 @@
    components are compared, in square blocks of at most BLOCK rows, and what may reach the threshold is
    confirmed. So no link is lost that shares a band, and no bucket is expanded into all its pairs.
 
-At the threshold itself, a pair shares no band with a probability of (1 - 0.85^5)^32, below 1e-8.
+At the threshold s itself, a pair shares no band with a probability of (1 - s^5)^bands. As many bands are
+made as bring that below 1e-8: 32 at 0.85, 47 at 0.8.
 
 Rules for odd input: fewer than five words are one shingle; a text without words has an empty set and
 is linked with nothing; rows without a doc_id are left out of the result; rows of one doc_id count
@@ -21,6 +22,7 @@ once, and if their texts differ each of them may link it. An empty table gives a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,7 @@ from pyspark.sql import functions as F
 from sitefacts.llm.common import BASE, MASK, SECOND_BASE, WordHash, columns, land, member_filter, mix, ngram_hashes, signed, slices, utf8, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
-BAND_VALUES = BANDS * ROWS
+BANDS, ROWS, MAX_MISS = 32, 5, 1e-8
 BINS, SKETCH_BITS = 2048, 2048
 MIN_PERCENT = 85
 ERRORS = 5.0
@@ -58,16 +59,18 @@ def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:k] | np.uint32(1), x[k:]
 
 
-MULTIPLY, ADD = permutations(BAND_VALUES)
+def bands_for(min_percent: int) -> int:
+    """Bands that leave a pair at the threshold without a common one in fewer than MAX_MISS of all cases; BANDS at least."""
+    return max(BANDS, math.ceil(math.log(MAX_MISS) / math.log1p(-min(0.99, min_percent / 100) ** ROWS)))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
+def minhash(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The least value of each permutation of 32-bit shingle hashes, in steps of bounded memory."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(BAND_VALUES, 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(len(add), 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 1024):
         block = low[at : at + 1024]
-        np.minimum(best, (MULTIPLY[:, None] * block[None, :] + ADD[:, None]).min(axis=1), out=best)
+        np.minimum(best, (multiply[:, None] * block[None, :] + add[:, None]).min(axis=1), out=best)
     return best
 
 
@@ -85,8 +88,8 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, bytes, bytes]:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    values = samples.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(SECOND_BASE)
+    values = samples.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(1, len(values) + 1, dtype=np.uint64) * np.uint64(SECOND_BASE)
     for i in range(ROWS):
         key = mix(key * np.uint64(BASE) + values[:, i])
     return key
@@ -123,8 +126,9 @@ def bitmaps(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(values), -1)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """(doc, n, s1, s2, bands, m, parity, occupied) for each row with a doc_id; s1, s2 are the digest of its set."""
+    multiply, add = permutations(n_bands * ROWS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -135,7 +139,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 found = shingle_set(utf8(text), memo)
                 n.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(signed(band_keys(minhash(found))) if len(found) else np.empty(0, np.int64))
+                bands.append(signed(band_keys(minhash(found, multiply, add))) if len(found) else np.empty(0, np.int64))
                 sketches.append(odd_sketch(found))
             h = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -243,7 +247,7 @@ def cross_pairs(members: DataFrame, min_percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document with an id."""
-    sets = land(document_sets(docs), "sets")
+    sets = land(document_sets(docs, bands_for(min_percent)), "sets")
     classes = land(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "m", "parity", "occupied")]), "classes")
     buckets = classes.select("doc", F.explode("bands").alias("key")).distinct()
     heads = buckets.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("m")).where("m > 1")

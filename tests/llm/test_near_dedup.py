@@ -81,3 +81,8 @@ def test_odd_sketch_estimates(size):
 
 def test_shared_signature_leaves_few_misses():
     assert (1 - 0.85**near_dedup.ROWS) ** near_dedup.BANDS < 1e-8
+
+
+def test_bands_follow_the_threshold():
+    assert near_dedup.bands_for(85) == near_dedup.BANDS and near_dedup.bands_for(80) == 47
+    assert all((1 - (p / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(p) < 1e-8 for p in (50, 80, 85, 95, 100))

@@ -1,5 +1,7 @@
 """The pipeline's stages on odd input, and its result against a brute-force version."""
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -49,3 +51,19 @@ def test_stages_chain_over_parquet(spark):
         docs = land(stage(spark, docs, SF), f"odd-{name}")
     # the odd texts are far from any language, so few or none of them may be left
     assert docs.columns == ["doc_id", "n_tokens", "ids", "text"] and docs.count() <= len(odd_texts())
+
+
+def test_near_dedup_stage_takes_pairs_from_80_percent(spark):
+    rng, rows = random.Random(8), []
+    for i in range(40):  # each edit inside a text of 104 words changes five of its 100 shingles
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        near, apart = list(words), list(words)
+        for k in (20, 60):
+            near[k] = f"n{rng.randrange(10**6)}"
+        for k in (20, 50, 80):
+            apart[k] = f"n{rng.randrange(10**6)}"
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near)), (1000 + i, " ".join(f"a{w}" for w in words)), (2000 + i, " ".join(f"a{w}" for w in apart))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    want = {i for i, (_, top) in brute(rows, 80).items() if i == top}
+    assert kept == want and not any(10 * i + 1 in kept for i in range(40)) and {i for i, (_, top) in brute(rows, 85).items() if i == top} > want
