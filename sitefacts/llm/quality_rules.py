@@ -2,7 +2,9 @@
 
 Language references are histograms counted over all documents: of character classes, and of each
 language's most common words. A document is compared with every reference by Jensen-Shannon distance
-(base 2, 0 to 1) and takes the nearest, so the ``lang`` column is needed for the references only.
+(base 2, 0 to 1) and takes the nearest, so the ``lang`` column is needed for the references only. Every
+language has a reference. Texts meet LANGUAGES_AT_ONCE of them or a few more at a time; if there are
+more, the rows are landed and read again for each further part, with the nearest so far.
 A text shorter than the minimum lengths has too few counts for a verdict and passes that part.
 
 Rules for odd input: a null or empty text has no words and fails the base rule; documents without a
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitefacts.llm.common import columns, land, utf8
@@ -26,7 +28,7 @@ from sitefacts.llm.common import columns, land, utf8
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COMMON_WORDS = 100
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 4096
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "mark", "symbol", "control", "two", "three", "four")
 MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 250, 0.30
 MIN_COMMON_WORDS, MAX_WORD_DISTANCE = 40, 0.53
@@ -109,11 +111,11 @@ def js_distance(counts: np.ndarray, shares: np.ndarray) -> float:
         return float(np.sqrt(max(0.0, (kl(p) + kl(q)) / 2)))
 
 
-def language_references(docs: DataFrame, common_words: int = COMMON_WORDS, max_languages: int = MAX_LANGUAGES) -> dict[str, dict]:
-    """Per language its class shares and the shares of its most common words (the rest is the last share).
+def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once: int = LANGUAGES_AT_ONCE) -> Iterator[dict[str, dict]]:
+    """Per language its class shares and the shares of its most common words (the rest is the last share), in parts by a hash of the language.
 
-    All documents are counted: per task first, then per (lang, word). What comes back to the driver is
-    bounded by ``max_languages`` (those of most characters) times ``common_words``.
+    All documents are counted: per task first, then per (lang, word). One part at a time comes back to
+    the driver; there is one part at least, be it empty.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS, max_l
                 classes[lang] = classes.get(lang, 0) + class_counts(data)
                 for word, n in Counter(bare(data.split())).items():
                     words[lang, word] += n
-                if len(words) >= FLUSH_WORDS:
+                if len(words) + len(CLASSES) * len(classes) >= FLUSH_WORDS:
                     yield rows()
         yield rows()
 
@@ -147,74 +149,129 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS, max_l
     common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("common"))
     totals = counted.groupBy("lang").agg(F.sum(F.when(F.col("kind") < 0, F.col("n"))).alias("words"), F.sum(F.when(F.col("kind") >= 0, F.col("n"))).alias("chars"))
     kinds = counted.where("kind >= 0").groupBy("lang").agg(F.collect_list(F.struct("kind", "n")).alias("classes"))
-    out = {}
-    for row in totals.join(kinds, "lang").join(common, "lang").orderBy(F.desc("chars"), "lang").limit(max_languages).collect():
-        classes = np.zeros(len(CLASSES))
-        for kind, n in row.classes:
-            classes[kind] = n
-        if not classes.sum() or not row.words:
-            continue
-        shares = [x.n / row.words for x in row.common]
-        out[row.lang] = {"classes": list(classes / classes.sum()), "words": [x.word for x in row.common], "shares": [*shares, max(0.0, 1 - sum(shares))]}
-    return out
+    made = land(totals.join(kinds, "lang").join(common, "lang"), "references")
+    n_parts = max(1, -(-made.count() // at_once))
+    for part in range(n_parts):
+        out = {}
+        for row in made.where(F.pmod(F.xxhash64("lang"), F.lit(n_parts)) == part).collect():
+            classes = np.zeros(len(CLASSES))
+            for kind, n in row.classes:
+                classes[kind] = n
+            if not classes.sum() or not row.words:
+                continue
+            shares = [x.n / row.words for x in row.common]
+            out[row.lang] = {"classes": list(classes / classes.sum()), "words": [x.word for x in row.common], "shares": [*shares, max(0.0, 1 - sum(shares))]}
+        yield out
+
+
+def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, dict]:
+    """All parts as one, for small numbers of languages."""
+    return {lang: found for part in reference_parts(docs, common_words) for lang, found in part.items()}
+
+
+def divergence_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Each pair's share of twice the Jensen-Shannon divergence; zeros give what the other side leaves."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0.0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0.0)
 
 
 class Judge:
-    """Distances of a text from the nearest language reference, with their length guards."""
+    """Distances of a text from the nearest language reference, with their length guards.
+
+    Common words lead to the languages that have them, so a text touches no words but its own.
+    """
 
     def __init__(self, references: dict[str, dict]):
         self.languages = sorted(references)
-        self.classes = [np.array(references[x]["classes"]) for x in self.languages]
-        self.shares = [np.array(references[x]["shares"]) for x in self.languages]
-        self.place = [{w.encode(): i for i, w in enumerate(references[x]["words"])} for x in self.languages]
+        self.classes = np.array([references[x]["classes"] for x in self.languages]).reshape(-1, len(CLASSES))
+        self.rest = np.array([references[x]["shares"][-1] for x in self.languages])
+        self.common = np.array([sum(references[x]["shares"][:-1]) for x in self.languages])
+        held: dict[bytes, list[tuple[int, float]]] = {}
+        for i, x in enumerate(self.languages):
+            for word, share in zip(references[x]["words"], references[x]["shares"]):
+                held.setdefault(word.encode(), []).append((i, share))
+        self.place = {w: i for i, w in enumerate(held)}
+        self.sizes = np.array([len(v) for v in held.values()], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.lang = np.array([i for v in held.values() for i, _ in v], dtype=np.int64)
+        self.share = np.array([q for v in held.values() for _, q in v])
+
+    def word_distances(self, words: list[bytes]) -> np.ndarray:
+        """The distance from each language over its common words and the rest."""
+        found = [(self.place[w], n) for w, n in Counter(bare(words)).items() if w in self.place]
+        slots, times = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        sizes = self.sizes[slots]
+        at = np.repeat(self.starts[slots] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        lang, q, p = self.lang[at], self.share[at], np.repeat(times / len(words), sizes)
+        of_lang = lambda x: np.bincount(lang, weights=x, minlength=len(self.languages))
+        left = np.maximum(0.0, len(words) - of_lang(np.repeat(times, sizes))) / len(words)
+        # a common word that the text lacks adds its whole share
+        both = of_lang(divergence_terms(p, q)) + np.maximum(0.0, self.common - of_lang(q)) + divergence_terms(left, self.rest)
+        return np.sqrt(np.maximum(0.0, both / 2))
 
     def distances(self, data: bytes, words: list[bytes], min_chars: int, min_words: int) -> dict:
         out = {"class_distance": None, "word_distance": None, "nearest": None}
         if not self.languages:
             return out
         counts = class_counts(data)
-        if counts.sum() >= min_chars:
-            out["class_distance"] = min(js_distance(counts, q) for q in self.classes)
+        if (total := counts.sum()) >= min_chars:
+            both = divergence_terms((counts / total)[None, :], self.classes).sum(axis=1) if total else np.zeros(1)
+            out["class_distance"] = float(np.sqrt(max(0.0, both.min() / 2)))
         if len(words) >= min_words:
-            seen, n = Counter(bare(words)), len(words)
-            found = []
-            for lang, place, q in zip(self.languages, self.place, self.shares):
-                p = np.zeros(len(q))
-                for word, i in place.items():
-                    p[i] = seen.get(word, 0)
-                p[-1] = n - p.sum()
-                found.append((js_distance(p, q), lang))
-            out["word_distance"], out["nearest"] = min(found)
+            found = self.word_distances(words)
+            best = int(found.argmin())
+            out["word_distance"], out["nearest"] = float(found[best]), self.languages[best]
         return out
 
 
+def nearer(a: dict, b: dict) -> dict:
+    """The distances of two parts of the languages as one."""
+    out = {"class_distance": min((x["class_distance"] for x in (a, b) if x["class_distance"] is not None), default=None)}
+    near = min(((x["word_distance"], x["nearest"]) for x in (a, b) if x["word_distance"] is not None), default=(None, None))
+    return out | dict(zip(("word_distance", "nearest"), near))
+
+
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, nearest string, kept boolean"
 
 
-def judge_quality(
-    docs: DataFrame, references: dict[str, dict] | None = None, min_class_chars: int = MIN_CLASS_CHARS, max_class_distance: float = MAX_CLASS_DISTANCE, min_common_words: int = MIN_COMMON_WORDS, max_word_distance: float = MAX_WORD_DISTANCE
-) -> DataFrame:
-    """Each row of ``docs`` as a struct ``row``, with the base counts, both distances and ``kept``. No shuffle."""
-    references = language_references(docs) if references is None else references
-    packed = docs.sparkSession.sparkContext.broadcast(json.dumps(references))
+AS_STRUCT = VERDICT.replace(", ", ",").replace(" ", ":")
+
+
+def verdict_of(spark: SparkSession, references: dict[str, dict], min_class_chars: int, max_class_distance: float, min_common_words: int, max_word_distance: float):
+    """A function of (text, verdict so far or null) that gives the verdict with these references too."""
+    packed = spark.sparkContext.broadcast(json.dumps(references))
     held: list[Judge] = []
 
-    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         if not held:
             held.append(Judge(json.loads(packed.value)))
-        for array in texts:
+        for texts, earlier in batches:
             out = []
-            for text in array.to_pylist():
+            for text, before in zip(texts.to_pylist(), earlier.to_pylist()):
                 data = utf8(text)
                 words = data.split()
-                row = base_counts(data, words)
+                row = before or base_counts(data, words)
                 row["base_failed"] = len(words) < MIN_WORDS or 100 * row["n_repeat_words"] > MAX_REPEAT_PERCENT * len(words)
-                row |= held[0].distances(data, words, min_class_chars, min_common_words)
+                own = held[0].distances(data, words, min_class_chars, min_common_words)
+                row |= nearer(before, own) if before else own
                 far = (row["class_distance"] or 0) > max_class_distance or (row["word_distance"] or 0) > max_word_distance
                 row["kept"] = not row["base_failed"] and not far
                 out.append(row)
             yield pa.array(out, pa.struct([(k, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}[t]) for k, t in (x.split() for x in VERDICT.split(", "))]))
 
-    verdict = F.arrow_udf(judge, VERDICT)
+    return F.arrow_udf(judge, VERDICT)
+
+
+def judge_quality(
+    docs: DataFrame, references: dict[str, dict] | None = None, min_class_chars: int = MIN_CLASS_CHARS, max_class_distance: float = MAX_CLASS_DISTANCE, min_common_words: int = MIN_COMMON_WORDS, max_word_distance: float = MAX_WORD_DISTANCE
+) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row``, with the base counts, both distances and ``kept``. No shuffle."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), verdict(F.col("text").cast("string")).alias("verdict")).select("row", "verdict.*")
+    done = None
+    for part in reference_parts(docs) if references is None else [references]:
+        verdict = verdict_of(docs.sparkSession, part, min_class_chars, max_class_distance, min_common_words, max_word_distance)
+        if done is None:
+            done = docs.select(row.alias("row"), verdict(F.col("text").cast("string"), F.lit(None).cast(f"struct<{AS_STRUCT}>")).alias("verdict"))
+        else:
+            done = land(done, "judged").select("row", verdict(F.col("row.text").cast("string"), "verdict").alias("verdict"))
+    return done.select("row", "verdict.*")

@@ -60,6 +60,39 @@ def test_references_count_all_documents(spark):
     assert said["aa"]["classes"][quality_rules.CLASSES.index("digit")] == pytest.approx(1 / 11)
 
 
+@pytest.mark.parametrize("at_once", [quality_rules.LANGUAGES_AT_ONCE, 20])
+def test_every_language_has_a_reference(spark, monkeypatch, at_once):
+    monkeypatch.setattr(quality_rules.reference_parts, "__defaults__", (quality_rules.COMMON_WORDS, at_once))
+    rng, rows = random.Random(6), []
+    for i in range(70):  # the later a language, the more characters it has
+        words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" + "".join(rng.choice("aeioubcdlmn") for _ in range(5)) for _ in range(60)]
+        rows += [(f"l{i:02}", " ".join(rng.choice(words) for _ in range(120 + i))) for _ in range(3)]
+    done = quality_rules.judge_quality(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert len(done) == len(rows) and all(r.kept and r.nearest == r.row.lang for r in done)
+    assert len(quality_rules.language_references(spark.createDataFrame(rows, "lang string, text string"))) == 70
+
+
+def test_judge_equals_distances_one_by_one():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    references = {}
+    for lang in "abcde":
+        shares = [rng.random() for _ in range(rng.randint(2, 12))]
+        whole, classes = sum(shares) + rng.random(), [rng.random() for _ in quality_rules.CLASSES]
+        references[lang] = {"classes": [x / sum(classes) for x in classes], "words": rng.sample(words, len(shares)), "shares": [*(x / whole for x in shares), 1 - sum(shares) / whole]}
+    judge = quality_rules.Judge(references)
+    for n in (1, 3, 50, 400):
+        text = [rng.choice(words[: n + 3]).encode() for _ in range(n)]
+        want = []
+        for lang, r in references.items():
+            counts = [text.count(w.encode()) for w in r["words"]]
+            want.append((quality_rules.js_distance(np.array([*counts, n - sum(counts)]), np.array(r["shares"])), lang))
+        got = judge.distances(b" ".join(text), text, 0, 1)
+        assert (got["word_distance"], got["nearest"]) == (pytest.approx(min(want)[0]), min(want)[1])
+        kinds = quality_rules.class_counts(b" ".join(text))
+        assert got["class_distance"] == pytest.approx(min(quality_rules.js_distance(kinds, np.array(r["classes"])) for r in references.values()))
+
+
 def test_verdicts_follow_labels(spark):
     kept = queries.op4_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("NOT base_failed")
     share = {r.quality: r.share for r in kept.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
