@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sitefacts.llm.bpe import encode_documents
 from sitefacts.llm.common import land, table
-from sitefacts.llm.decontaminate import benchmark_hits
-from sitefacts.llm.line_dedup import drop_repeated_lines
+from sitefacts.llm.decontaminate import row_hits
+from sitefacts.llm.line_dedup import drop_repeated_lines, text_tag
 from sitefacts.llm.near_dedup import near_duplicates
 from sitefacts.llm.quality_rules import judge_quality
 
@@ -50,9 +50,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.select(as_row(docs)).join(hits, F.col("row.doc_id") == F.col("hit_id"), "left_anti").select("row.*")
+    """Documents that hold no benchmark item; rows without a doc_id are told apart by their texts."""
+    key = lambda doc_id, tag: (F.coalesce(doc_id.cast("long"), tag), doc_id.isNull())
+    hit_key, hit_unnamed = key(F.col("doc_id"), F.col("tag"))
+    hits = row_hits(docs, table(spark, sf_dir, "benchmark")).select(hit_key.alias("hit_key"), hit_unnamed.alias("hit_unnamed")).distinct()
+    own_key, own_unnamed = key(F.col("row.doc_id"), text_tag("row.text"))
+    return docs.select(as_row(docs)).join(hits, (own_key == F.col("hit_key")) & (own_unnamed == F.col("hit_unnamed")), "left_anti").select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

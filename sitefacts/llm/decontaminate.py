@@ -10,7 +10,7 @@ the tiles cover ``min_percent`` of the item's words.
 Only the words around seeds leave a document, so no text is shuffled.
 
 Rules for odd input: items without words match nothing; null or empty texts hold no seeds; rows without
-a doc_id are not judged; rows of one doc_id are judged one by one and the best coverage stands; rows of
+a doc_id are judged by ``row_hits`` only, as their texts; rows of one doc_id are judged one by one and the best coverage stands; rows of
 one item_id with different texts are different passages of it. Ties between equally long tiles go to the earlier place in the
 item, then in the document. Empty tables give an empty result; only doc_id, item_id and text are read.
 """
@@ -114,8 +114,8 @@ def seed_places(values: np.ndarray, sizes: list[int], found) -> tuple[np.ndarray
     return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.uint64), np.cumsum(mask)[:-1] > 0
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PERCENT, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, item_id, n_words, n_covered): pairs whose tiles cover ``min_percent`` of the item or more."""
+def row_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PERCENT, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, tag, item_id, n_words, n_covered): rows, told apart by doc_id and text tag, whose tiles cover ``min_percent`` of the item or more."""
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -157,19 +157,21 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
                     parts.append([signed(values[a:b]) for a, b in edges])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["doc_id", "tag", "hits", "parts"])
 
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag"), F.col("text").cast("string").alias("text"))
-    held = land(known.mapInArrow(places, "doc_id long, tag long, hits array<long>, parts array<array<long>>"), "seed-places")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag"), F.col("text").cast("string").alias("text"))
+    held = land(rows.mapInArrow(places, "doc_id long, tag long, hits array<long>, parts array<array<long>>"), "seed-places")
     seed_rows = F.explode(F.arrays_zip(F.col("seeds").alias("hit"), F.col("times").alias("times"))).alias("s")
     seeds = bench.select("item_id", "item_tag", F.size("words").alias("n_words"), seed_rows).select("item_id", "item_tag", "n_words", "s.hit", "s.times")
     pairs = held.select("doc_id", "tag", F.explode("hits").alias("hit")).distinct().join(seeds, "hit")
     pairs = pairs.groupBy("doc_id", "tag", "item_id", "item_tag").agg(F.sum("times").alias("n_seeds"), F.first("n_words").alias("n_words"))
     # a seed covers ``seed`` words at most at each of its places in the item
     able = pairs.where(F.col("n_seeds") * seed * 100 >= F.col("n_words") * min_percent)
-    one = able.select("doc_id", "tag", "item_id", "item_tag").join(held.select("doc_id", "tag", "parts").dropDuplicates(["doc_id", "tag"]), ["doc_id", "tag"]).join(bench.select("item_id", "item_tag", "words"), ["item_id", "item_tag"])
+    texts = held.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), "parts")
+    met = able.join(texts, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag")))
+    one = met.select("doc_id", "tag", "item_id", "item_tag", "parts").join(bench.select("item_id", "item_tag", "words"), ["item_id", "item_tag"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, items_, parts, words = columns(batch, "doc_id", "item_id", "parts", "words")
+            ids, tags, items_, parts, words = columns(batch, "doc_id", "tag", "item_id", "parts", "words")
             got = []
             for of_doc, of_item in zip(parts, words):
                 text: list[int] = []
@@ -177,7 +179,12 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PER
                     text.extend([(1 << 63) + i, *(v & MASK for v in part)])  # parts do not run into each other
                 got.append(covered([v & MASK for v in of_item], text[1:], seed))
             n = [len(w) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items_, pa.int64()), pa.array(n, pa.int64()), pa.array(got, pa.int64())], ["doc_id", "item_id", "n_words", "n_covered"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, tags, items_, n, got)], ["doc_id", "tag", "item_id", "n_words", "n_covered"])
+
+    return one.mapInArrow(tile, "doc_id long, tag long, item_id long, n_words long, n_covered long").where(F.col("n_covered") * 100 >= F.col("n_words") * min_percent)
 
-    judged = one.mapInArrow(tile, "doc_id long, item_id long, n_words long, n_covered long").where(F.col("n_covered") * 100 >= F.col("n_words") * min_percent)
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PERCENT, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, item_id, n_words, n_covered) of rows with a doc_id: the best coverage of each pair."""
+    judged = row_hits(docs.where("doc_id IS NOT NULL"), items, min_percent, seed, max_bits)
     return judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_words", "n_covered"), F.col("n_covered") / F.col("n_words")).alias("best")).select("doc_id", "item_id", "best.n_words", "best.n_covered")

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -67,3 +68,13 @@ def test_near_dedup_stage_takes_pairs_from_80_percent(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     want = {i for i, (_, top) in brute(rows, 80).items() if i == top}
     assert kept == want and not any(10 * i + 1 in kept for i in range(40)) and {i for i, (_, top) in brute(rows, 85).items() if i == top} > want
+
+
+def test_decontaminate_stage_judges_rows_without_an_id(spark):
+    item = max((r.text for r in table(spark, SF, "benchmark").collect()), key=len)
+    clean = [t for _, t in odd_texts() if t][:3]
+    rows = [(None, item), (None, f"before {item} after"), (None, clean[0]), (None, clean[0]), (None, None), (7, clean[1]), (8, item), (9, item), (9, clean[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit(1))
+    got = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, clean[0]), (None, clean[0]), (None, None), (7, clean[1])], key=repr)
