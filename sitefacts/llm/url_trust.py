@@ -4,7 +4,8 @@ Hosts are joined by the links in their pages' html (absolute and protocol-relati
 counted per pair of hosts. Trust is a personalised PageRank from hosts that an allow rule names;
 distrust is one over reversed links from hosts that a block rule covers from the root, so a host that
 links to blocked ones gathers distrust. A host is blocked when its distrust is more than its trust and
-at least ``min_share`` of what every host would start with if all were seeds. Everything is relational; ranks are landed per round.
+at least ``min_share`` of what every host would start with if all were seeds. Everything is relational; ranks are landed per round,
+and rounds go on until what is left to spread is below a thousandth of the least distrust that blocks.
 
 Rules for odd input: a null url or one without ``://`` has an empty host and path; hosts without links
 keep only what seeds give them; links of a host to itself do not count, and a host without outgoing
@@ -14,6 +15,7 @@ again. Empty tables give an empty result; only page_id, url and html are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ from sitefacts.llm.common import land
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a host covers its subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, MIN_SHARE = 0.85, 20, 0.5
+DAMPING, MIN_SHARE, TOLERANCE, PRECISION = 0.85, 0.5, 1e-9, 1e-3
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -65,8 +67,15 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = 1e-9) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, share) over links (src, dst, n)."""
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, share) over links (src, dst, n).
+
+    A round's change shrinks by ``damping`` at least, so all later rounds together change the ranks by
+    change * damping / (1 - damping) at most; that has to be below ``tolerance``. Unless ``rounds``
+    are given, their number is only bounded by where this holds for any links.
+    """
+    if rounds is None:
+        rounds = math.ceil(math.log(tolerance * (1 - damping) / 2) / math.log(damping)) + 1
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     edges = land(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight")), "host-edges")
     start = land(seeds.select("host", F.col("share").cast("double").alias("share")), "seeds")
@@ -79,12 +88,12 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
         new = land(passed.unionByName(own).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
         change = new.join(ranks.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         ranks = new
-        if (change or 0.0) < tolerance:
+        if (change or 0.0) * damping / (1 - damping) < tolerance:
             break
     return ranks
 
 
-def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, rules, trust, distrust, blocked) for each host of the pages."""
     links = land(host_links(pages), "host-links")
     hosts = parted(pages).select("host").where("host <> ''").distinct()
@@ -97,16 +106,17 @@ def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
         n = chosen.count()
         return chosen.withColumn("share", F.lit(1.0 / max(1, n)))
 
-    trust = spread(shares(lambda r: r["verdict"] == "allow"), links, damping, rounds)
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(shares(lambda r: (r["verdict"] == "block") & r["whole"]), back, damping, rounds)
     least = min_share * (1 - damping) / max(1, every.count())
+    tolerance = min(TOLERANCE, PRECISION * least) if least > 0 else TOLERANCE
+    trust = spread(shares(lambda r: r["verdict"] == "allow"), links, damping, rounds, tolerance)
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    distrust = spread(shares(lambda r: (r["verdict"] == "block") & r["whole"]), back, damping, rounds, tolerance)
     joined = every.join(fit, "host", "left").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     filled = joined.select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     return filled.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of ``pages``."""
     verdicts = land(host_verdicts(pages, rules, damping, rounds, min_share), "host-verdicts").withColumnRenamed("host", "of_host")
     joined = parted(pages).join(verdicts, F.col("host") == F.col("of_host"), "left")

@@ -197,6 +197,14 @@ def test_page_rank(spark):
     assert {r.host: r.rank for r in got.collect()} == {h: pytest.approx(x) for h, x in want.items()}
 
 
+def test_distrust_reaches_along_a_chain(spark):
+    n = 25  # hosts that link on to the blocked one; the farthest is more than 20 hops away
+    rows = [(i, f"http://h{i}.io/", f"<a href='http://h{i + 1}.io/'>" if i + 1 < n else "<a href='http://bad.net/'>") for i in range(n)] + [(100 + i, f"http://alone{i}.io/", "") for i in range(300)]
+    done = {r.host: (r.distrust, r.blocked) for r in url_trust.host_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        assert done[f"h{i}.io"] == (pytest.approx(0.15 * 0.85 ** (n - i)), True)
+
+
 def test_url_verdicts(spark):
     link = lambda *hosts: "".join(f'<p><A class=x HREF = "https://{h}/p?q">t</a>' for h in hosts)
     rows = [
