@@ -64,7 +64,7 @@ URLS = sql_of("urls_in")
 def load_url_list(spark, sf):
     path = work_path(spark, "urls")
     urls = bound(spark, sf, "urls_in").select("url").unionByName(spark.sql("SELECT explode(array('', '# note')) AS url"))
-    urls.coalesce(1).write.text(path)
+    urls.write.text(path)
     return S.load_url_list(spark, path).filter("start_url IS NOT NULL").select("start_url")
 
 
