@@ -480,17 +480,17 @@ def search_queries(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------------
 def event_files(spark, sf):
-    """The events as several files, so that a stream takes several batches."""
-    path = work_path(spark, "events")
-    table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "event_id").write.parquet(path)
-    return path, spark.read.parquet(path).schema
+    """The events as a file per shuffle partition, their schema, and how many files make one of three batches or more."""
+    path, n_files = work_path(spark, "events"), max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(n_files, "event_id").write.parquet(path)
+    return path, spark.read.parquet(path).schema, n_files // 3
 
 
 @query("stream_append_unique", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_append_unique(spark, sf):
-    path, schema = event_files(spark, sf)
+    path, schema, per_batch = event_files(spark, sf)
     target, keys = work_path(spark, "unique"), ["user_id", "event_type"]
-    J.stream_append_unique(J.file_stream(spark, path, schema, 1), target, keys, ["event_id"], work_path(spark, "checkpoint")).awaitTermination()
+    J.stream_append_unique(J.file_stream(spark, path, schema, per_batch), target, keys, ["event_id"], work_path(spark, "checkpoint")).awaitTermination()
     return J.stored_rows(spark, target, schema).select(*keys)
 
 
@@ -510,8 +510,8 @@ def stream_status(spark, sf):
 
 @query("stream_resume", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
 def stream_resume(spark, sf):
-    path, schema = event_files(spark, sf)
-    inputs = J.file_stream(spark, path, schema, 1).withColumn("key", F.concat(F.lit("U"), "user_id"))
+    path, schema, per_batch = event_files(spark, sf)
+    inputs = J.file_stream(spark, path, schema, per_batch).withColumn("key", F.concat(F.lit("U"), "user_id"))
     done = table(spark, sf, "orders").filter("o_orderpriority = '5-LOW'").select(F.concat(F.lit("u"), "o_custkey").alias("done"))
     target = work_path(spark, "pending")
     J.stream_pending(inputs, lambda s: done, "key", "done", target, work_path(spark, "checkpoint")).awaitTermination()

@@ -3,7 +3,7 @@
 import os
 
 import __spark_entry__ as entry
-from sitefacts.checks import tables
+from sitefacts.checks import people, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,3 +17,8 @@ def test_url_list_comes_in_several_files(spark, monkeypatch):
     monkeypatch.setattr(tables.S, "load_url_list", lambda session, path: paths.append(path) or load(session, path))
     entry.queries()["load_url_list"](spark, SF)
     assert len(parts(paths[0])) > 1
+
+
+def test_event_files_follow_the_shuffle_partitions(spark):
+    path, schema, per_batch = people.event_files(spark, SF)
+    assert len(parts(path)) > 3 and len(parts(path)) / per_batch >= 3
