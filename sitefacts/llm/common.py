@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
@@ -123,6 +123,42 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Of sorted rows, each run of one key with its rows, across batches; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        listed = list(zip(*columns(batch, *keys)))
+        starts = [0, *(i for i in range(1, len(listed)) if listed[i] != listed[i - 1])]
+        for a, b in zip(starts, [*starts[1:], len(listed)]):
+            if held and listed[a] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = listed[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def places(rows: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """Adds ``pos``, the place within the group from 0 on, and ``size``, the group's number of rows; landed.
+
+    ``group`` is never null. The rows are range-partitioned by group and order, so a group of any weight
+    spreads over tasks; one row per group and task is ordered over the group. The rows should be landed,
+    since sampling the ranges reads them once more.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
+    held = land(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_at", 33))
+    heads = held.groupBy(group, "_part").agg(F.min("_at").alias("_head"), F.count("*").alias("_n"))
+    own = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select(group, "_part", (before - F.col("_head")).alias("_shift"), F.sum("_n").over(own).alias("size"))
+    return held.join(heads, [group, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -13,6 +13,7 @@ from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
 from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.decontaminate import benchmark_hits
 from sitefacts.llm.line_dedup import drop_repeated_lines
+from sitefacts.llm.merkle import dataset_proofs
 from sitefacts.llm.near_dedup import near_duplicates
 from sitefacts.llm.pu_classifier import score_quality
 from sitefacts.llm.quality_rules import judge_quality
@@ -174,3 +175,45 @@ def op7_url_trust(spark, sf_dir):
 @query("op9_pu_quality")
 def op9_pu_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: CRC-32 of an ASCII text by its bits.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c:
+    list_reduce(list_concat([xor(a, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295)"""
+LEAF_SQL = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, sha256({LEAF_SQL.format(text="text")}) AS leaf,
+        sha256({LEAF_SQL.format(text=f"translate(text, {LOWER_SQL})")}) AS forged FROM documents),
+    c AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+    t AS (SELECT 0 AS level, source, place, n, leaf AS h FROM c
+        UNION ALL SELECT level + 1, source, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM t WHERE n > 1 GROUP BY level, source, place // 16, n),
+    s AS (SELECT source, level AS top, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS level, place, n, subroot AS h FROM s
+        UNION ALL SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM u WHERE n > 1 GROUP BY level, place // 16, n),
+    a AS (SELECT source, level, place, string_agg(h, '') OVER b AS before, string_agg(h, '') OVER e AS after FROM t WHERE n > 1
+        WINDOW b AS (PARTITION BY source, level, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        e AS (PARTITION BY source, level, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    b AS (SELECT level, place, string_agg(h, '') OVER b AS before, string_agg(h, '') OVER e AS after FROM u WHERE n > 1
+        WINDOW b AS (PARTITION BY level, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        e AS (PARTITION BY level, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    k AS (SELECT c.source, c.place, a.level, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c
+            JOIN a ON a.source IS NOT DISTINCT FROM c.source AND a.place = c.place // (16 ** a.level)::BIGINT
+        UNION ALL SELECT c.source, c.place, s.top + b.level, coalesce(before, ''), coalesce(after, '') FROM c
+            JOIN s ON s.source IS NOT DISTINCT FROM c.source JOIN b ON b.place = s.place // (16 ** b.level)::BIGINT),
+    p AS (SELECT source, place, max(level) + 1 AS top, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM k GROUP BY ALL),
+    f AS (SELECT source, place, 0 AS level, CASE WHEN crc % 5 = 0 THEN forged ELSE leaf END AS h FROM (SELECT c.*, {{crc}} AS crc FROM c)
+        UNION ALL SELECT f.source, f.place, f.level + 1, sha256(before || h || after) FROM f
+            JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.place = f.place AND k.level = f.level),
+    r AS (SELECT h AS root FROM u WHERE n = 1)
+    SELECT c.doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+    FROM c JOIN s ON s.source IS NOT DISTINCT FROM c.source CROSS JOIN r
+    LEFT JOIN p ON p.source IS NOT DISTINCT FROM c.source AND p.place = c.place
+    JOIN f ON f.source IS NOT DISTINCT FROM c.source AND f.place = c.place AND f.level = coalesce(p.top, 0)
+    """.replace("{crc}", CRC_SQL.format("c.doc_id::VARCHAR")),
+)
+def op11_merkle_manifest(spark, sf_dir):
+    return dataset_proofs(table(spark, sf_dir, "documents"))
