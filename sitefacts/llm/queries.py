@@ -14,6 +14,7 @@ from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.decontaminate import benchmark_hits
 from sitefacts.llm.line_dedup import drop_repeated_lines
 from sitefacts.llm.merkle import dataset_proofs
+from sitefacts.llm.mixing import mixed
 from sitefacts.llm.near_dedup import near_duplicates
 from sitefacts.llm.pu_classifier import score_quality
 from sitefacts.llm.quality_rules import judge_quality
@@ -217,3 +218,26 @@ LEAF_SQL = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '
 )
 def op11_merkle_manifest(spark, sf_dir):
     return dataset_proofs(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_source_mix",
+    f"""
+    WITH d AS (SELECT doc_id, source, len({WORDS_SQL.format("coalesce(text, '')")}) AS size,
+        ('0x' || md5(concat(coalesce(doc_id::VARCHAR, '-'), ':', coalesce(text, '')))[:15])::BIGINT AS h FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+    o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS rank,
+        (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER q, 0))::BIGINT / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0))::BIGINT AS level
+        FROM s WINDOW q AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT arg_min(level, rank) AS level FROM o WHERE weight * level <= 3 * source_size),
+    t AS (SELECT source, source_size, CASE WHEN weight * l.level > 3 * source_size THEN 3.0::DOUBLE * source_size ELSE weight * l.level END AS target FROM s, l),
+    r AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS rounds, target - rounds * source_size AS budget FROM t),
+    g AS (SELECT source, h, sum(size)::BIGINT AS inside FROM d GROUP BY source, h),
+    b AS (SELECT *, coalesce(sum(inside) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM g),
+    e AS (SELECT b.source, h, below + inside <= budget OR below <= budget AND 2 * budget > 2 * below + inside AS more FROM b JOIN r ON r.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, size, source_size, target, rounds + more::BIGINT AS copies, size * (rounds + more::BIGINT) AS taken
+    FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.h = d.h
+    """,
+)
+def op12_source_mix(spark, sf_dir):
+    return mixed(table(spark, sf_dir, "documents"))
