@@ -45,11 +45,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def land(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    ``by`` gives each value of a column of few values a folder of its own.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from sitefacts.llm.bpe import encode_documents
 from sitefacts.llm.chat import format_conversations, loss_text, parsed_turns
 from sitefacts.llm.common import shared_path, table
 from sitefacts.llm.decontaminate import benchmark_hits
+from sitefacts.llm.lexical_search import search
 from sitefacts.llm.line_dedup import drop_repeated_lines
 from sitefacts.llm.merkle import dataset_proofs
 from sitefacts.llm.mixing import mixed
@@ -241,3 +242,25 @@ def op11_merkle_manifest(spark, sf_dir):
 )
 def op12_source_mix(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"))
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), {}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(LOWER_SQL)
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT doc_id, {TERMS_SQL} AS ts FROM documents),
+    z AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+    q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+    p AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+    t AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, z GROUP BY term, n_docs),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM q JOIN t USING (term) JOIN w USING (term), z GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op13_lexical_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
