@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
+from sitefacts.functions.joins import lookup_join
 from sitefacts.operators.columns import smtp_class
 from sitefacts.functions.blocks import BLOCK, range_sum, ranged
 from sitefacts.operators.first import collect_ordered, first_per_key, top_per_key
+from sitefacts.session import land
 from sitefacts.operators.urls import explode_domain_keys, explode_values, share_link, with_domain, with_origin_domain, with_site_key, with_social_field, with_url_host
 
 
@@ -57,16 +59,21 @@ def company_contacts(contacts: DataFrame, domain: str = "domain", pos: Sequence[
     return first.join(merge_contacts(contacts, domain, CONTACT_CELLS, pos), domain)
 
 
+def stored_names(existing: DataFrame, incoming: DataFrame, domain: str = "domain") -> DataFrame:
+    """(_given, _stored): incoming domains that a company is stored under, by Unicode or ASCII form."""
+    known = explode_domain_keys(existing.select(F.col(domain).alias("_stored")), "_stored", "_key")
+    new = explode_domain_keys(incoming.select(F.col(domain).alias("_given")), "_given", "_key")
+    # either key may match; the smallest stored domain stands for a company that two keys reach
+    return new.join(known, "_key").groupBy("_given").agg(F.min("_stored").alias("_stored"))
+
+
 def upsert_companies(existing: DataFrame, incoming: DataFrame, columns: Sequence[str], domain: str = "domain", has_contacts: str = "has_contacts") -> DataFrame:
     """The company table after an import: known by Unicode or ASCII domain, else added.
 
     Contact columns are overwritten only where the import had contact rows. Known companies keep the
     domain they are stored under.
     """
-    known = explode_domain_keys(existing.select(F.col(domain).alias("_stored")), "_stored", "_key")
-    new = explode_domain_keys(incoming.select(F.col(domain).alias("_given")), "_given", "_key")
-    # either key may match; the smallest stored domain stands for a company that two keys reach
-    pairs = new.join(known, "_key").groupBy("_given").agg(F.min("_stored").alias("_stored"))
+    pairs = stored_names(existing, incoming, domain)
     given = incoming.join(pairs, F.col(domain) == F.col("_given"), "left").drop("_given")
     given = given.select(F.coalesce("_stored", domain).alias("_d"), F.col(has_contacts).alias("_has"), *[F.col(c).alias(f"_n_{c}") for c in columns])
     given = first_per_key(given, ["_d"], [~F.col("_has"), *[F.col(f"_n_{c}") for c in columns]])
@@ -105,7 +112,7 @@ def social_outcomes(links: DataFrame, companies: DataFrame, site: str, url: str,
     df = with_social_field(df, "_profile", explicit, "field")
     keys = explode_domain_keys(companies.select(F.col(company).alias("company"), F.col(domain).alias("_cd")), "_cd", "_key")
     keys = keys.groupBy("_key").agg(F.max("company").alias("company"))
-    df = df.join(keys, F.col("_domain") == F.col("_key"), "left").drop("_key")
+    df = lookup_join(df, keys.withColumnRenamed("_key", "_domain"), ["_domain"])
     outcome = (
         F.when(F.col("_bad"), F.lit("skipped_invalid"))
         .when(F.col("company").isNull(), F.lit("skipped_no_company"))
@@ -142,9 +149,9 @@ def attach_tax_id(sites: DataFrame, site: str, lookup: DataFrame, lookup_site: s
         both = both.unionByName(site_ids.select(F.col("site_key").alias("_key"), empty.alias("_id"), F.col("tax_id").alias("_own")))
     # one row per key holds both, so a hot site is joined once
     both = both.groupBy("_key").agg(F.max("_id").alias("_id"), F.max("_own").alias("_own"))
-    df = with_site_key(sites, site, "_sk").join(both, F.col("_sk") == F.col("_key"), "left").drop("_key")
+    df = lookup_join(with_site_key(sites, site, "_key"), both, ["_key"])
     source = F.when(F.col("_id").isNotNull(), F.lit("company_csv")).when(F.col("_own").isNotNull(), F.lit("site")).otherwise(F.lit(""))
-    return df.withColumns({"tax_id": F.coalesce("_id", "_own", F.lit("")), "tax_id_source": source}).drop("_sk", "_id", "_own")
+    return df.withColumns({"tax_id": F.coalesce("_id", "_own", F.lit("")), "tax_id_source": source}).drop("_key", "_id", "_own")
 
 
 def join_company(links: DataFrame, site: str, companies: DataFrame, company: str, domain: str) -> DataFrame:
@@ -155,8 +162,7 @@ def join_company(links: DataFrame, site: str, companies: DataFrame, company: str
     """
     keys = explode_domain_keys(companies.select(F.col(company).alias("company"), F.col(domain).alias("_cd")), "_cd", "_key")
     keys = keys.groupBy("_key").agg(F.max("company").alias("company"))
-    df = with_domain(links, site, "_domain")
-    return df.join(keys, F.col("_domain") == F.col("_key"), "left").drop("_domain", "_key")
+    return lookup_join(with_domain(links, site, "_key"), keys, ["_key"]).drop("_key")
 
 
 def claim_domains(candidates: DataFrame, firm: str, firm_pos: str, site: str, pos: str, max_sites: int, firms: DataFrame | None = None) -> DataFrame:
@@ -196,17 +202,17 @@ def join_domain_checks(probes: DataFrame, exchangers: DataFrame, catch_all: Data
     (domain, preference, host), ``catch_all`` is (domain, status).
     """
     ranked = first_per_key(exchangers, ["domain", "host"], ["preference"])
-    listed = ranked.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("preference", "host"))).alias("_hosts"))
+    listed = land(ranked.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("preference", "host"))).alias("_hosts")), "exchangers")
     known = catch_all.groupBy("domain").agg(F.max("status").alias("catch_all_status"))
-    # one lookup row per domain, so a hot domain meets its probes in one join, which Spark can split
-    lookup = listed.join(known, "domain", "full")
-    place = F.array_position(F.transform("_hosts", lambda h: h["host"]), F.col("host"))
-    tried = probes.join(lookup, "domain", "left").withColumns({"_try": F.when(place.between(1, max(1, max_tries)), place), "rcpt_status": smtp_class(F.col("code"))})
+    # replies meet one row per (domain, host) and are combined by address; addresses then meet one row per domain
+    places = listed.select("domain", F.posexplode(F.transform("_hosts", lambda h: h["host"])).alias("_at", "host"))
+    places = places.groupBy("domain", "host").agg((F.min("_at") + 1).alias("_place"))
+    place = F.col("_place")
+    tried = lookup_join(probes, places, ["domain", "host"]).withColumns({"_try": F.when(place <= max(1, max_tries), place), "rcpt_status": smtp_class(F.col("code"))})
     decisive = F.col("rcpt_status").isin("accepted", "rejected")
     order = F.when(F.col("_try").isNotNull(), F.struct(~decisive, F.when(decisive, F.col("_try")).otherwise(-F.col("_try"))))
-    rows = tried.groupBy("address", "domain").agg(
-        F.min_by(F.struct("host", "code", "rcpt_status"), order).alias("_b"), F.first("catch_all_status").alias("catch_all_status"), F.first("_hosts").alias("_hosts")
-    )
+    rows = tried.groupBy("address", "domain").agg(F.min_by(F.struct("host", "code", "rcpt_status"), order).alias("_b"))
+    rows = lookup_join(rows, listed.join(known, "domain", "full"), ["domain"])
     rows = rows.withColumn("mx_hosts", F.array_join(F.transform("_hosts", lambda h: h["host"]), "; "))
     status = F.coalesce("_b.rcpt_status", F.lit("network_error"))
     final = F.when(status == "rejected", F.lit("invalid")).when(
