@@ -10,6 +10,7 @@ from sitefacts.checks.base import list_sql, parts_sql, query, under_sql
 from sitefacts.checks.urls import FIELD, KINDS, LINKS, SHARE
 from sitefacts.operators import companies as C
 from sitefacts.operators import urls as O
+from sitefacts.plans import company_store as CS
 from sitefacts.session import work_path
 from sitefacts.sources import tables as S
 
@@ -197,6 +198,45 @@ def replace_children(spark, sf):
     return C.replace_children(stored, rows, c, "o_custkey")
 
 
+def imported_twice(spark, sf):
+    """A store after two imports: all customers with their orders as prices, then one segment anew."""
+    root = work_path(spark, "companies")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    building = c.where("c_mktsegment = 'BUILDING'")
+    name = lambda k: F.concat(F.lit("c"), F.col(k).cast("string"), F.lit(".example.com")).alias("domain")
+    nothing = spark.createDataFrame([], CS.TABLES["specialists"])
+
+    def contacts(rows, prefix):
+        empty = [F.lit("").alias(f) for f in ("source_scope", "inn", "ogrn", "ogrnip", "emails")]
+        return rows.select(name("c_custkey"), F.lit(1).alias("pos"), F.lit("u").alias("source_url"), F.concat(F.lit(prefix), "c_name").alias("phones"), *empty)
+
+    def prices(rows, extra):
+        empty = [F.lit("").alias(f) for f in ("price_raw", "currency", "price_max")]
+        return rows.select(name("o_custkey"), F.lit("u").alias("source_url"), F.col("o_orderpriority").alias("service"), (F.col("o_orderkey") + extra).cast("string").alias("price_min"), *empty)
+
+    CS.import_to_store(spark, root, contacts(c, ""), prices(o, 0), nothing, buckets=16)
+    new = o.where("o_orderstatus = 'F'").join(building.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    CS.import_to_store(spark, root, contacts(building, "new "), prices(new, 7), nothing)
+    return root
+
+
+@query(
+    "import_store_companies",
+    "SELECT 'c' || c_custkey || '.example.com' AS domain, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' ELSE '' END || c_name AS phones FROM customer",
+)
+def import_store_companies(spark, sf):
+    return CS.stored_table(spark, imported_twice(spark, sf), "companies").select("domain", "phones")
+
+
+@query(
+    "import_store_children",
+    """SELECT 'c' || o_custkey || '.example.com' AS domain, o_orderpriority AS service, CASE WHEN c_mktsegment = 'BUILDING' THEN o_orderkey + 7 ELSE o_orderkey END AS price_min
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' OR o_orderstatus = 'F'""",
+)
+def import_store_children(spark, sf):
+    return CS.stored_table(spark, imported_twice(spark, sf), "pricing").select("domain", "service", "price_min")
+
+
 SOCIAL = f"""{parts_sql(LINKS, "raw_url", default_scheme=False)}, {parts_sql(LINKS, "raw_url", tag="q")},
     c AS (SELECT user_id % 40 AS company, 'firm' || (user_id % 40) || '.example.com' AS domain FROM events WHERE user_id % 40 < 30 GROUP BY ALL),
     f AS (SELECT pos, {FIELD} AS field FROM q),

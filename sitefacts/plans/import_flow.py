@@ -12,17 +12,24 @@ from sitefacts.operators import companies as C
 CONTACTS = ("source_url", "source_scope", *C.CONTACT_CELLS)
 
 
+def imported_rows(contacts: DataFrame, pricing: DataFrame, specialists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One company row per imported domain, its typed price rows and its specialists."""
+    domains = reduce(lambda a, b: a.unionByName(b), [t.select("domain") for t in (contacts, pricing, specialists)]).distinct()
+    merged = C.company_contacts(contacts).withColumn("has_contacts", F.lit(True))
+    incoming = domains.join(merged, "domain", "left").withColumn("has_contacts", F.coalesce("has_contacts", F.lit(False)))
+    prices = C.child_rows(pricing, "domain", ["source_url", "service"], ["price_raw", "currency"], ["price_min", "price_max"])
+    people = C.child_rows(specialists, "domain", ["source_url", "full_name"], ["role", "phone", "email"])
+    return incoming, prices, people
+
+
 def import_tables(stored: dict[str, DataFrame], contacts: DataFrame, pricing: DataFrame, specialists: DataFrame) -> dict[str, DataFrame]:
     """companies, pricing and specialists after an import.
 
     ``stored`` holds the three tables as they are. Every domain that has a row in one of the inputs is
     imported: its company is found or added and its child rows are replaced.
     """
-    domains = reduce(lambda a, b: a.unionByName(b), [t.select("domain") for t in (contacts, pricing, specialists)]).distinct()
-    merged = C.company_contacts(contacts).withColumn("has_contacts", F.lit(True))
-    incoming = domains.join(merged, "domain", "left").withColumn("has_contacts", F.coalesce("has_contacts", F.lit(False)))
-    prices = C.child_rows(pricing, "domain", ["source_url", "service"], ["price_raw", "currency"], ["price_min", "price_max"])
-    people = C.child_rows(specialists, "domain", ["source_url", "full_name"], ["role", "phone", "email"])
+    incoming, prices, people = imported_rows(contacts, pricing, specialists)
+    domains = incoming.select("domain")
     return {
         "companies": C.upsert_companies(stored["companies"], incoming, CONTACTS),
         "pricing": C.replace_children(stored["pricing"], prices, domains, "domain"),
