@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
 from sitefacts.functions import text as T
+from sitefacts.session import land
 
 
 def with_compact(df: DataFrame, col: str, out: str = "compact", variant: str = "plain") -> DataFrame:
@@ -242,33 +242,59 @@ def value_to_text_list(df: DataFrame, json_col: str, out: str = "texts") -> Data
     return df.withColumn(out, variant_texts(F.col("_v"))).drop("_v")
 
 
-FORMS = "forms array<struct<form: array<struct<fields: array<struct<sysName: string, value: variant>>>>>>, fullName string"
+FORMS = "forms array<struct<form: array<struct<fields: array<struct<sysName: string, value: {}>>>>>>, fullName string"
+#: Payloads in which a string begins like a list or an object, plainly or by an escape.
+LIKE_CONTAINER = ('"[', '"{', '"\\u00')
+#: Numbers with a fraction or an exponent, whose text depends on the type they are read as.
+FRACTION = "^-?[0-9]+[.eE]|[0-9][.eE][0-9]"
+
+
+def _form_fields(doc: Column, wanted: Sequence[str]) -> Column:
+    """array<struct<name, value>> of all fields of a document, in order."""
+    lists = F.transform(F.coalesce(doc["forms"], F.array()), lambda f: F.transform(F.coalesce(f["form"], F.array()), lambda m: F.coalesce(m["fields"], F.array())))
+    plain = lambda n: F.when(n.isin(*wanted), n).otherwise(T.compact(T.text_of(n)))
+    return F.transform(F.flatten(F.flatten(lists)), lambda f: F.struct(plain(f["sysName"]).alias("name"), f["value"].alias("value")))
+
+
+def _first_values(fields: Column, wanted: Sequence[str]) -> Column:
+    """The first value of each name."""
+    pick = lambda name: F.try_element_at(F.filter(fields, lambda f: f["name"] == name), F.lit(1))["value"]
+    return F.array(*[pick(n) for n in wanted])
+
+
+def _raw_texts(value: Column) -> Column:
+    """Texts of a value kept as text: scalars as they are, lists and objects are parsed."""
+    container = value.startswith("[") | value.startswith("{")
+    one = F.filter(F.array(T.compact(T.text_of(value))), lambda t: t != "")
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(container, variant_texts(F.try_parse_json(value))).otherwise(one)
 
 
 def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
     """Profile columns from nested forms; the first field of a name wins.
 
-    A payload is one row, so its fields are flattened inside the row and nothing is shuffled.
+    A payload is one row, so its fields are flattened inside the row and nothing is shuffled. Values are
+    read as text, and only lists and objects among them are parsed; a payload in which a text can't tell
+    its kind is read again with typed values.
     """
-    doc = F.from_json(json_col, FORMS)
-    df = df.withColumn("_doc", doc)
-    lists = F.transform(F.coalesce(F.col("_doc.forms"), F.array()), lambda f: F.transform(F.coalesce(f["form"], F.array()), lambda m: F.coalesce(m["fields"], F.array())))
-    named = lambda f: F.struct(T.compact(T.text_of(f["sysName"])).alias("name"), f["value"].alias("value"))
-    df = df.withColumn("_fields", F.transform(F.flatten(F.flatten(lists)), named))
-    pick = lambda name: F.try_element_at(F.filter("_fields", lambda f: f["name"] == name), F.lit(1))["value"]
     wanted = {
         "_description": "project_note", "_industries": "project_industry", "_technologies": "project_technology",
         "_website": "questionnaire_site", "_tin": "questionnaire_inn", "_country": "questionnaire_registrationCountry",
         "_legal": "questionnaire_fullName", "_name": "questionnaire_inviteFio", "_email": "questionnaire_email",
         "_phone": "questionnaire_phoneNumber", "_revenue": "questionnaire_metricRevenue",
     }
-    texts = F.transform(F.array(*[pick(v) for v in wanted.values()]), lambda v: variant_texts(v))
-    df = df.withColumn("_texts", texts)
+    names = list(wanted.values())
+    df = df.withColumn("_doc", F.from_json(json_col, FORMS.format("string")))
+    df = df.withColumn("_values", _first_values(_form_fields(F.col("_doc"), names), names))
+    unclear = F.exists("_values", lambda v: F.coalesce(v.rlike(FRACTION), F.lit(False)))
+    for part in LIKE_CONTAINER:
+        unclear = unclear | F.contains(F.col(json_col), F.lit(part))
+    typed = F.transform(_first_values(_form_fields(F.from_json(json_col, FORMS.format("variant")), names), names), lambda v: variant_texts(v))
+    df = df.withColumn("_texts", F.when(unclear, typed).otherwise(F.transform("_values", _raw_texts)))
     df = df.withColumns({k: F.element_at("_texts", i + 1) for i, k in enumerate(wanted)})
     one = lambda k: F.coalesce(F.try_element_at(F.col(k), F.lit(1)), F.lit(""))
     df = df.withColumns({"_mail1": F.lower(one("_email")), "_phone1": T.phone(one("_phone")), "_name1": one("_name")})
     money = F.try_element_at(
-        F.filter(F.transform("_revenue", lambda t: T.amount_currency(t)), lambda m: m["amount"] != ""), F.lit(1)
+        F.filter(F.transform(F.filter("_revenue", lambda t: t.rlike("[0-9]")), lambda t: T.amount_currency(t)), lambda m: m["amount"] != ""), F.lit(1)
     )
     df = df.withColumn("_money", money)
     hidden = F.col("_mail1").isin(*vocab.IGNORED_EMAILS) | T.is_masked(F.col("_mail1"))
@@ -287,40 +313,44 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
         "contact_email": F.when(hidden, F.lit("")).otherwise(F.col("_mail1")),
         "contact_phone": F.when(shown, F.col("_phone1")).otherwise(F.lit("")),
     }
-    return df.withColumns(out).drop("_doc", "_fields", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
-
-
-NODES = "seq long, owner long, key string, value string"
+    return df.withColumns(out).drop("_doc", "_values", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
 
 
 def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
-    """One row per string value in a JSON payload: its place in reading order, the object that holds it
-    (NULL inside a plain list) and its field name. The rules on top of it are relational."""
-    key_type = dict(df.dtypes)[key]
-
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for batch in batches:
-            rows = []
-            for ident, payload in zip(batch[key], batch[json_col]):
-                try:
-                    root = json.loads(payload)
-                except (TypeError, ValueError):
-                    continue
-                pending, seq = [(root, None, None)], 0
-                while pending:
-                    node, owner, name = pending.pop()
-                    seq += 1
-                    if isinstance(node, dict):
-                        pending.extend((v, seq, k) for k, v in reversed(node.items()))
-                    elif isinstance(node, list):
-                        pending.extend((v, None, None) for v in reversed(node))
-                    elif isinstance(node, str):
-                        rows.append((ident, seq, owner, name, node))
-            yield pd.DataFrame(rows, columns=[key, "seq", "owner", "key", "value"]).astype({"owner": "Int64"})
-
-    return df.select(key, json_col).mapInPandas(flatten, f"`{key}` {key_type}, {NODES}")
+    """One row per string value in a JSON payload: its path (``seq``, places in reading order, so that
+    paths sort like the text), the path of the object that holds it (``owner``, NULL inside a plain list)
+    and its field name.
+
+    Lists and objects are opened level by level, however deep; each level is one landed job, over the
+    containers that the one before has found. Containers travel as text, which keeps the order of fields.
+    Texts that are no JSON, or that repeat a field of an object, have no nodes.
+    """
+    whole = F.when(F.try_parse_json(json_col).isNotNull(), F.concat(F.lit("["), F.col(json_col), F.lit("]")))
+    none = F.lit(None)
+    level = df.select(key, F.array().cast("array<int>").alias("seq"), none.cast("string").alias("key"), whole.alias("value"), F.lit("list").alias("kind")).where("value IS NOT NULL")
+    found = None
+    while True:
+        is_object = F.col("kind") == "object"
+        texts, values = F.from_json("value", "map<string,string>"), F.from_json("value", "map<string,variant>")
+        items, typed = F.from_json("value", "array<string>"), F.from_json("value", "array<variant>")
+        fields = F.when(is_object, F.arrays_zip(F.map_keys(texts).alias("key"), F.map_values(texts).alias("value"), F.map_values(values).alias("typed"))).otherwise(
+            F.arrays_zip(F.transform(items, lambda _: none.cast("string")).alias("key"), items.alias("value"), typed.alias("typed"))
+        )
+        kind = (
+            F.when(F.col("_f.value").isNull(), None)
+            .when(~F.substr("_f.value", F.lit(1), F.lit(1)).isin("{", "["), F.when(F.schema_of_variant("_f.typed") == "STRING", "text"))
+            .when(F.try_variant_get("_f.typed", "$", "map<string,variant>").isNotNull(), "object")
+            .when(F.try_variant_get("_f.typed", "$", "array<variant>").isNotNull(), "list")
+            .otherwise("text")
+        )
+        opened = level.select(key, F.col("seq").alias("_above"), F.when(is_object, F.col("seq")).alias("owner"), F.posexplode(fields).alias("_i", "_f"))
+        opened = opened.select(key, F.concat("_above", F.array("_i")).alias("seq"), "owner", F.col("_f.key").alias("key"), F.col("_f.value").alias("value"), kind.alias("kind"))
+        opened = land(opened.where("kind IS NOT NULL"), "json-level")
+        texts_here = opened.where("kind = 'text'").select(key, "seq", "owner", "key", "value")
+        found = texts_here if found is None else found.unionByName(texts_here)
+        level = opened.where("kind <> 'text'")
+        if level.isEmpty():
+            return found
 
 
 def discover_entities(df: DataFrame, key: str, json_col: str, base: str, path: str = "/main/startups/", label: str = "startup") -> DataFrame:
