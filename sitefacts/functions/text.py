@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitefacts import vocab
 
-WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
 WORD = r"0-9A-Za-zА-Яа-яЁё_"
 WORD_START = rf"(?<![{WORD}])"
 WORD_END = rf"(?![{WORD}])"

@@ -234,7 +234,8 @@ def variant_texts(v: Column, depth: int = 1) -> Column:
             .otherwise(F.filter(F.array(_variant_text(value)), lambda t: t != "")),
         )
 
-    return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(T.let(v, of))
+    plain = lambda value: F.filter(F.array(_variant_text(value)), lambda t: t != "")
+    return F.when(v.isNull(), F.array().cast("array<string>")).when(F.schema_of_variant(v) == "STRING", plain(v)).otherwise(T.let(v, of))
 
 
 def value_to_text_list(df: DataFrame, json_col: str, out: str = "texts") -> DataFrame:
@@ -242,11 +243,7 @@ def value_to_text_list(df: DataFrame, json_col: str, out: str = "texts") -> Data
     return df.withColumn(out, variant_texts(F.col("_v"))).drop("_v")
 
 
-FORMS = "forms array<struct<form: array<struct<fields: array<struct<sysName: string, value: {}>>>>>>, fullName string"
-#: Payloads in which a string begins like a list or an object, plainly or by an escape.
-LIKE_CONTAINER = ('"[', '"{', '"\\u00')
-#: Numbers with a fraction or an exponent, whose text depends on the type they are read as.
-FRACTION = "^-?[0-9]+[.eE]|[0-9][.eE][0-9]"
+FORMS = "forms array<struct<form: array<struct<fields: array<struct<sysName: string, value: variant>>>>>>, fullName string"
 
 
 def _form_fields(doc: Column, wanted: Sequence[str]) -> Column:
@@ -262,19 +259,10 @@ def _first_values(fields: Column, wanted: Sequence[str]) -> Column:
     return F.array(*[pick(n) for n in wanted])
 
 
-def _raw_texts(value: Column) -> Column:
-    """Texts of a value kept as text: scalars as they are, lists and objects are parsed."""
-    container = value.startswith("[") | value.startswith("{")
-    one = F.filter(F.array(T.compact(T.text_of(value))), lambda t: t != "")
-    return F.when(value.isNull(), F.array().cast("array<string>")).when(container, variant_texts(F.try_parse_json(value))).otherwise(one)
-
-
 def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
     """Profile columns from nested forms; the first field of a name wins.
 
-    A payload is one row, so its fields are flattened inside the row and nothing is shuffled. Values are
-    read as text, and only lists and objects among them are parsed; a payload in which a text can't tell
-    its kind is read again with typed values.
+    A payload is one row, so its fields are flattened inside the row and nothing is shuffled.
     """
     wanted = {
         "_description": "project_note", "_industries": "project_industry", "_technologies": "project_technology",
@@ -283,13 +271,9 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
         "_phone": "questionnaire_phoneNumber", "_revenue": "questionnaire_metricRevenue",
     }
     names = list(wanted.values())
-    df = df.withColumn("_doc", F.from_json(json_col, FORMS.format("string")))
-    df = df.withColumn("_values", _first_values(_form_fields(F.col("_doc"), names), names))
-    unclear = F.exists("_values", lambda v: F.coalesce(v.rlike(FRACTION), F.lit(False)))
-    for part in LIKE_CONTAINER:
-        unclear = unclear | F.contains(F.col(json_col), F.lit(part))
-    typed = F.transform(_first_values(_form_fields(F.from_json(json_col, FORMS.format("variant")), names), names), lambda v: variant_texts(v))
-    df = df.withColumn("_texts", F.when(unclear, typed).otherwise(F.transform("_values", _raw_texts)))
+    df = df.withColumn("_doc", F.from_json(json_col, FORMS))
+    df = df.withColumn("_fields", _form_fields(F.col("_doc"), names)).withColumn("_values", _first_values(F.col("_fields"), names))
+    df = df.withColumn("_texts", F.transform("_values", lambda v: variant_texts(v)))
     df = df.withColumns({k: F.element_at("_texts", i + 1) for i, k in enumerate(wanted)})
     one = lambda k: F.coalesce(F.try_element_at(F.col(k), F.lit(1)), F.lit(""))
     df = df.withColumns({"_mail1": F.lower(one("_email")), "_phone1": T.phone(one("_phone")), "_name1": one("_name")})
@@ -313,7 +297,7 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
         "contact_email": F.when(hidden, F.lit("")).otherwise(F.col("_mail1")),
         "contact_phone": F.when(shown, F.col("_phone1")).otherwise(F.lit("")),
     }
-    return df.withColumns(out).drop("_doc", "_values", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
+    return df.withColumns(out).drop("_doc", "_fields", "_values", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
 
 
 def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
