@@ -1,15 +1,21 @@
 """Quality rules: how far a document's characters and common words diverge from its language.
 
-Language references are histograms counted over all documents: of character classes, and of each
-language's most common words. A document is compared with every reference by Jensen-Shannon distance
-(base 2, 0 to 1) and takes the nearest, so the ``lang`` column is needed for the references only. Every
-language has a reference. Texts meet LANGUAGES_AT_ONCE of them or a few more at a time; if there are
-more, the rows are landed and read again for each further part, with the nearest so far.
+Language references are histograms counted over all documents that pass the base rule: of character
+classes, and of each language's most common words. A language has a reference if MIN_DOCUMENTS different
+texts or more were counted for it; each such language has one. A document is compared with every reference
+by Jensen-Shannon distance (base 2, 0 to 1) and takes both distances from the one whose words are nearest
+(whose classes are, if it has too few words). In its own language's reference a document's own counts are
+left out, so that no text speaks for itself. Texts meet LANGUAGES_AT_ONCE references or a few more at a
+time; if there are more, the rows are landed and read again for each further part, with the nearest so far.
 A text shorter than the minimum lengths has too few counts for a verdict and passes that part.
 
+Documents of a language without a reference are judged like those without a lang: by the nearest of all
+references. A handful of texts is no evidence of a language, so a new name in ``lang`` keeps no text.
+
 Rules for odd input: a null or empty text has no words and fails the base rule; documents without a
-lang count for no reference; repeated rows are judged alike; if no reference can be made (an empty
-table, no lang), the base rule alone decides. Extra columns are kept as they are.
+lang count for no reference; repeated rows are judged alike, and are one text among the different ones;
+if no reference can be made (an empty table, no lang, few texts), the base rule alone decides. Extra
+columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import columns, land, utf8
+from sitefacts.llm.common import columns, land, slices, utf8
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COMMON_WORDS = 100
+MIN_DOCUMENTS = 10
 LANGUAGES_AT_ONCE = 4096
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "mark", "symbol", "control", "two", "three", "four")
 MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 250, 0.30
@@ -111,33 +119,50 @@ def js_distance(counts: np.ndarray, shares: np.ndarray) -> float:
         return float(np.sqrt(max(0.0, (kl(p) + kl(q)) / 2)))
 
 
-def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once: int = LANGUAGES_AT_ONCE) -> Iterator[dict[str, dict]]:
-    """Per language its class shares and the shares of its most common words (the rest is the last share), in parts by a hash of the language.
+def base_fails(words: list[bytes], n_repeat_words: int) -> bool:
+    return len(words) < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * len(words)
+
+
+def counted_words(data: bytes) -> list[bytes] | None:
+    """The words of a text that counts for its language's reference, or None if the base rule rejects it."""
+    words = data.split()
+    return None if len(words) < MIN_WORDS or base_fails(words, repeat_words(words)) else words
+
 
-    All documents are counted: per task first, then per (lang, word). One part at a time comes back to
-    the driver; there is one part at least, be it empty.
+def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once: int = LANGUAGES_AT_ONCE, min_documents: int = MIN_DOCUMENTS) -> Iterator[dict[str, dict]]:
+    """Per language the counts of its character classes, its most common words with theirs, and all its words, in parts by a hash of the language.
+
+    All documents that pass the base rule are counted: per task first, then per (lang, word). One part at
+    a time comes back to the driver; there is one part at least, be it empty.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         classes: dict[str, np.ndarray] = {}
+        texts: set[tuple[str, str]] = set()
 
         def rows() -> pa.RecordBatch:
             keys = list(words)
             found = [(lang, word.decode("utf-8", "replace"), -1, words[lang, word]) for lang, word in keys]
             found += [(lang, None, i, int(n)) for lang, counts in classes.items() for i, n in enumerate(counts)]
+            found += [(lang, text, -2, 1) for lang, text in texts]
             words.clear()
             classes.clear()
+            texts.clear()
             lang, word, kind, n = zip(*found) if found else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], ["lang", "word", "kind", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(*columns(batch, "lang", "text")):
                 data = utf8(text)
+                found = counted_words(data)
+                if found is None:
+                    continue
                 classes[lang] = classes.get(lang, 0) + class_counts(data)
-                for word, n in Counter(bare(data.split())).items():
+                texts.add((lang, xxhash.xxh3_64_hexdigest(data)))
+                for word, n in Counter(bare(found)).items():
                     words[lang, word] += n
-                if len(words) + len(CLASSES) * len(classes) >= FLUSH_WORDS:
+                if len(words) + len(texts) + len(CLASSES) * len(classes) >= FLUSH_WORDS:
                     yield rows()
         yield rows()
 
@@ -145,28 +170,25 @@ def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once:
     # long-tail words are most of the rows; they are summed where they are counted and again per key
     counted = land(known.mapInArrow(count, "lang string, word string, kind int, n long").groupBy("lang", "word", "kind").agg(F.sum("n").alias("n")), "word-counts")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = counted.where("kind < 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= common_words)
+    common = counted.where("kind = -1").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= common_words)
     common = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("common"))
-    totals = counted.groupBy("lang").agg(F.sum(F.when(F.col("kind") < 0, F.col("n"))).alias("words"), F.sum(F.when(F.col("kind") >= 0, F.col("n"))).alias("chars"))
+    totals = counted.groupBy("lang").agg(F.sum(F.when(F.col("kind") == -1, F.col("n"))).alias("words"), F.count_if(F.col("kind") == -2).alias("texts"))
     kinds = counted.where("kind >= 0").groupBy("lang").agg(F.collect_list(F.struct("kind", "n")).alias("classes"))
-    made = land(totals.join(kinds, "lang").join(common, "lang"), "references")
+    made = land(totals.where(F.col("texts") >= min_documents).join(kinds, "lang").join(common, "lang"), "references")
     n_parts = max(1, -(-made.count() // at_once))
     for part in range(n_parts):
         out = {}
         for row in made.where(F.pmod(F.xxhash64("lang"), F.lit(n_parts)) == part).collect():
-            classes = np.zeros(len(CLASSES))
+            classes = [0] * len(CLASSES)
             for kind, n in row.classes:
                 classes[kind] = n
-            if not classes.sum() or not row.words:
-                continue
-            shares = [x.n / row.words for x in row.common]
-            out[row.lang] = {"classes": list(classes / classes.sum()), "words": [x.word for x in row.common], "shares": [*shares, max(0.0, 1 - sum(shares))]}
+            out[row.lang] = {"classes": classes, "words": [x.word for x in row.common], "counts": [x.n for x in row.common], "total": row.words}
         yield out
 
 
-def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, dict]:
+def language_references(docs: DataFrame, common_words: int = COMMON_WORDS, min_documents: int = MIN_DOCUMENTS) -> dict[str, dict]:
     """All parts as one, for small numbers of languages."""
-    return {lang: found for part in reference_parts(docs, common_words) for lang, found in part.items()}
+    return {lang: found for part in reference_parts(docs, common_words, min_documents=min_documents) for lang, found in part.items()}
 
 
 def divergence_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -183,52 +205,72 @@ class Judge:
 
     def __init__(self, references: dict[str, dict]):
         self.languages = sorted(references)
-        self.classes = np.array([references[x]["classes"] for x in self.languages]).reshape(-1, len(CLASSES))
-        self.rest = np.array([references[x]["shares"][-1] for x in self.languages])
-        self.common = np.array([sum(references[x]["shares"][:-1]) for x in self.languages])
+        self.number = {x: i for i, x in enumerate(self.languages)}
+        self.class_counts = np.array([references[x]["classes"] for x in self.languages], dtype=np.float64).reshape(-1, len(CLASSES))
+        self.classes = self.class_counts / self.class_counts.sum(axis=1, keepdims=True)
+        self.totals = np.array([references[x]["total"] for x in self.languages], dtype=np.float64)
+        self.common = np.array([sum(references[x]["counts"]) for x in self.languages], dtype=np.float64) / self.totals
+        self.rest = np.maximum(0.0, 1 - self.common)
+        self.words = [[w.encode() for w in references[x]["words"]] for x in self.languages]
+        self.counts = [np.array(references[x]["counts"], dtype=np.float64) for x in self.languages]
         held: dict[bytes, list[tuple[int, float]]] = {}
-        for i, x in enumerate(self.languages):
-            for word, share in zip(references[x]["words"], references[x]["shares"]):
-                held.setdefault(word.encode(), []).append((i, share))
+        for i, words in enumerate(self.words):
+            for word, n in zip(words, self.counts[i]):
+                held.setdefault(word, []).append((i, n / self.totals[i]))
         self.place = {w: i for i, w in enumerate(held)}
         self.sizes = np.array([len(v) for v in held.values()], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.lang = np.array([i for v in held.values() for i, _ in v], dtype=np.int64)
         self.share = np.array([q for v in held.values() for _, q in v])
 
-    def word_distances(self, words: list[bytes]) -> np.ndarray:
-        """The distance from each language over its common words and the rest."""
-        found = [(self.place[w], n) for w, n in Counter(bare(words)).items() if w in self.place]
+    def word_distances(self, own: Counter, n_words: int) -> np.ndarray:
+        """The distance from each language over its common words and the rest; ``own`` counts the text's bare words."""
+        found = [(self.place[w], n) for w, n in own.items() if w in self.place]
         slots, times = np.array(found, dtype=np.int64).reshape(-1, 2).T
         sizes = self.sizes[slots]
         at = np.repeat(self.starts[slots] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        lang, q, p = self.lang[at], self.share[at], np.repeat(times / len(words), sizes)
+        lang, q, p = self.lang[at], self.share[at], np.repeat(times / n_words, sizes)
         of_lang = lambda x: np.bincount(lang, weights=x, minlength=len(self.languages))
-        left = np.maximum(0.0, len(words) - of_lang(np.repeat(times, sizes))) / len(words)
+        left = np.maximum(0.0, n_words - of_lang(np.repeat(times, sizes))) / n_words
         # a common word that the text lacks adds its whole share
         both = of_lang(divergence_terms(p, q)) + np.maximum(0.0, self.common - of_lang(q)) + divergence_terms(left, self.rest)
         return np.sqrt(np.maximum(0.0, both / 2))
 
-    def distances(self, data: bytes, words: list[bytes], min_chars: int, min_words: int) -> dict:
+    def distances(self, data: bytes, words: list[bytes], min_chars: int, min_words: int, counted_in: str | None = None) -> dict:
+        """``counted_in`` names the language whose reference holds the text's own counts; they are left out there."""
         out = {"class_distance": None, "word_distance": None, "nearest": None}
         if not self.languages:
             return out
-        counts = class_counts(data)
-        if (total := counts.sum()) >= min_chars:
-            both = divergence_terms((counts / total)[None, :], self.classes).sum(axis=1) if total else np.zeros(1)
-            out["class_distance"] = float(np.sqrt(max(0.0, both.min() / 2)))
-        if len(words) >= min_words:
-            found = self.word_distances(words)
-            best = int(found.argmin())
-            out["word_distance"], out["nearest"] = float(found[best]), self.languages[best]
-        return out
+        kinds, home = class_counts(data), self.number.get(counted_in)
+        total, by_class, by_word = kinds.sum(), None, None
+        if total and total >= min_chars:
+            by_class = np.sqrt(np.maximum(0.0, divergence_terms((kinds / total)[None, :], self.classes).sum(axis=1) / 2))
+            if home is not None:
+                others = self.class_counts[home] - kinds
+                by_class[home] = js_distance(kinds, others / others.sum()) if others.sum() > 0 else 1.0
+        if words and len(words) >= min_words:
+            own = Counter(bare(words))
+            by_word = self.word_distances(own, len(words))
+            if home is not None:
+                mine = np.array([own[w] for w in self.words[home]], dtype=np.float64)
+                others, n_others = self.counts[home] - mine, self.totals[home] - len(words)
+                shares = np.append(others, max(0.0, n_others - others.sum())) / max(1.0, n_others)
+                by_word[home] = js_distance(np.append(mine, max(0.0, len(words) - mine.sum())), shares) if n_others > 0 else 1.0
+        if by_word is not None:
+            best = int(by_word.argmin())
+        elif by_class is not None:
+            best = int(by_class.argmin())
+        else:
+            return out
+        pick = lambda of: None if of is None else float(of[best])
+        return {"class_distance": pick(by_class), "word_distance": pick(by_word), "nearest": self.languages[best]}
 
 
 def nearer(a: dict, b: dict) -> dict:
-    """The distances of two parts of the languages as one."""
-    out = {"class_distance": min((x["class_distance"] for x in (a, b) if x["class_distance"] is not None), default=None)}
-    near = min(((x["word_distance"], x["nearest"]) for x in (a, b) if x["word_distance"] is not None), default=(None, None))
-    return out | dict(zip(("word_distance", "nearest"), near))
+    """Of the distances from two parts of the languages those from the nearer one."""
+    rank = lambda x: (x["nearest"] is None, x["word_distance"] if x["word_distance"] is not None else x["class_distance"] or 0.0, x["nearest"] or "")
+    best = min(a, b, key=rank)
+    return {k: best[k] for k in ("class_distance", "word_distance", "nearest")}
 
 
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, nearest string, kept boolean"
@@ -238,21 +280,21 @@ AS_STRUCT = VERDICT.replace(", ", ",").replace(" ", ":")
 
 
 def verdict_of(spark: SparkSession, references: dict[str, dict], min_class_chars: int, max_class_distance: float, min_common_words: int, max_word_distance: float):
-    """A function of (text, verdict so far or null) that gives the verdict with these references too."""
+    """A function of (text, lang, verdict so far or null) that gives the verdict with these references too."""
     packed = spark.sparkContext.broadcast(json.dumps(references))
     held: list[Judge] = []
 
-    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         if not held:
             held.append(Judge(json.loads(packed.value)))
-        for texts, earlier in batches:
+        for texts, langs, earlier in batches:
             out = []
-            for text, before in zip(texts.to_pylist(), earlier.to_pylist()):
+            for text, lang, before in zip(texts.to_pylist(), langs.to_pylist(), earlier.to_pylist()):
                 data = utf8(text)
                 words = data.split()
                 row = before or base_counts(data, words)
-                row["base_failed"] = len(words) < MIN_WORDS or 100 * row["n_repeat_words"] > MAX_REPEAT_PERCENT * len(words)
-                own = held[0].distances(data, words, min_class_chars, min_common_words)
+                row["base_failed"] = base_fails(words, row["n_repeat_words"])
+                own = held[0].distances(data, words, min_class_chars, min_common_words, None if row["base_failed"] else lang)
                 row |= nearer(before, own) if before else own
                 far = (row["class_distance"] or 0) > max_class_distance or (row["word_distance"] or 0) > max_word_distance
                 row["kept"] = not row["base_failed"] and not far
@@ -267,11 +309,10 @@ def judge_quality(
 ) -> DataFrame:
     """Each row of ``docs`` as a struct ``row``, with the base counts, both distances and ``kept``. No shuffle."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    done = None
-    for part in reference_parts(docs) if references is None else [references]:
+    # with references from elsewhere no text is counted in one of them
+    lang = F.col("row.lang").cast("string") if references is None else F.lit(None).cast("string")
+    done = docs.select(row.alias("row"), F.lit(None).cast(f"struct<{AS_STRUCT}>").alias("verdict"))
+    for i, part in enumerate(reference_parts(docs) if references is None else [references]):
         verdict = verdict_of(docs.sparkSession, part, min_class_chars, max_class_distance, min_common_words, max_word_distance)
-        if done is None:
-            done = docs.select(row.alias("row"), verdict(F.col("text").cast("string"), F.lit(None).cast(f"struct<{AS_STRUCT}>")).alias("verdict"))
-        else:
-            done = land(done, "judged").select("row", verdict(F.col("row.text").cast("string"), "verdict").alias("verdict"))
+        done = (land(done, "judged") if i else done).select("row", verdict(F.col("row.text").cast("string"), lang, "verdict").alias("verdict"))
     return done.select("row", "verdict.*")

@@ -54,22 +54,47 @@ def test_distance():
 
 
 def test_references_count_all_documents(spark):
-    docs = spark.createDataFrame([(i, "Ab, ab x1.\n" if i % 3 else "zz", "aa" if i % 3 else None) for i in range(9)], "doc_id long, text string, lang string")
-    said = quality_rules.language_references(docs.repartition(4), common_words=1)
-    assert set(said) == {"aa"} and said["aa"]["words"] == ["ab"] and said["aa"]["shares"] == pytest.approx([2 / 3, 1 / 3])
-    assert said["aa"]["classes"][quality_rules.CLASSES.index("digit")] == pytest.approx(1 / 11)
+    body = " ".join(f"w{i}" for i in range(20)) + " Ab, ab x1."
+    docs = spark.createDataFrame([(i, f"{body} n{i // 2}" if i % 3 else "zz", "aa" if i % 3 else "bb") for i in range(9)] + [(20, body, None)], "doc_id long, text string, lang string")
+    said = quality_rules.language_references(docs.repartition(4), common_words=1, min_documents=4)
+    assert set(said) == {"aa"} and (said["aa"]["words"], said["aa"]["counts"], said["aa"]["total"]) == (["ab"], [12], 6 * 24)
+    digits = sum(c.isdigit() for i in range(9) if i % 3 for c in f"{body} n{i // 2}")
+    assert said["aa"]["classes"][quality_rules.CLASSES.index("digit")] == digits
+    # six rows, but five texts
+    assert quality_rules.language_references(docs, min_documents=6) == {}
+
+
+def texts_of(rng, prefix, n):
+    words = [prefix + "".join(rng.choice("aeioubcdlmn") for _ in range(5)) for _ in range(40)]
+    return [" ".join(rng.choice(words) for _ in range(120 + i)) for i in range(n)]
 
 
 @pytest.mark.parametrize("at_once", [quality_rules.LANGUAGES_AT_ONCE, 20])
-def test_every_language_has_a_reference(spark, monkeypatch, at_once):
-    monkeypatch.setattr(quality_rules.reference_parts, "__defaults__", (quality_rules.COMMON_WORDS, at_once))
+def test_every_language_with_enough_texts_has_a_reference(spark, monkeypatch, at_once):
+    monkeypatch.setattr(quality_rules.reference_parts, "__defaults__", (quality_rules.COMMON_WORDS, at_once, quality_rules.MIN_DOCUMENTS))
     rng, rows = random.Random(6), []
-    for i in range(70):  # the later a language, the more characters it has
-        words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" + "".join(rng.choice("aeioubcdlmn") for _ in range(5)) for _ in range(60)]
-        rows += [(f"l{i:02}", " ".join(rng.choice(words) for _ in range(120 + i))) for _ in range(3)]
-    done = quality_rules.judge_quality(spark.createDataFrame(rows, "lang string, text string")).collect()
-    assert len(done) == len(rows) and all(r.kept and r.nearest == r.row.lang for r in done)
-    assert len(quality_rules.language_references(spark.createDataFrame(rows, "lang string, text string"))) == 70
+    for i in range(70):
+        rows += [(f"l{i:02}", t) for t in texts_of(rng, f"{chr(97 + i % 26)}{chr(97 + i // 26)}", quality_rules.MIN_DOCUMENTS)]
+    few = [("small", t) for t in texts_of(rng, "zzz", quality_rules.MIN_DOCUMENTS - 1)] * 3
+    done = quality_rules.judge_quality(spark.createDataFrame(rows + few, "lang string, text string")).collect()
+    assert len(done) == len(rows) + len(few)
+    assert all(r.kept and r.nearest == r.row.lang for r in done if r.row.lang != "small")
+    assert not any(r.kept for r in done if r.row.lang == "small")  # repeated rows are no further texts
+
+
+def brute_distances(references, lang, text, base_failed):
+    """(word distance, class distance, language) of the nearest reference, without the text's own counts."""
+    words, kinds, found = quality_rules.bare(text), quality_rules.class_counts(b" ".join(text)), []
+    for name, r in references.items():
+        own = name == lang and not base_failed
+        mine = np.array([words.count(w.encode()) for w in r["words"]])
+        theirs, total = np.array(r["counts"]) - mine * own, r["total"] - len(words) * own
+        classes = np.array(r["classes"]) - kinds * own
+        found.append((
+            quality_rules.js_distance(np.array([*mine, len(words) - mine.sum()]), np.array([*theirs, total - theirs.sum()]) / total),
+            quality_rules.js_distance(kinds, classes / classes.sum()), name,
+        ))
+    return min(found)
 
 
 def test_judge_equals_distances_one_by_one():
@@ -77,20 +102,68 @@ def test_judge_equals_distances_one_by_one():
     words = [f"w{i}" for i in range(30)]
     references = {}
     for lang in "abcde":
-        shares = [rng.random() for _ in range(rng.randint(2, 12))]
-        whole, classes = sum(shares) + rng.random(), [rng.random() for _ in quality_rules.CLASSES]
-        references[lang] = {"classes": [x / sum(classes) for x in classes], "words": rng.sample(words, len(shares)), "shares": [*(x / whole for x in shares), 1 - sum(shares) / whole]}
+        counts = [rng.randint(400, 900) for _ in range(rng.randint(2, 12))]
+        references[lang] = {"classes": [rng.randint(5000, 9000) for _ in quality_rules.CLASSES], "words": rng.sample(words, len(counts)), "counts": counts, "total": sum(counts) + rng.randint(500, 2000)}
     judge = quality_rules.Judge(references)
     for n in (1, 3, 50, 400):
-        text = [rng.choice(words[: n + 3]).encode() for _ in range(n)]
-        want = []
-        for lang, r in references.items():
-            counts = [text.count(w.encode()) for w in r["words"]]
-            want.append((quality_rules.js_distance(np.array([*counts, n - sum(counts)]), np.array(r["shares"])), lang))
-        got = judge.distances(b" ".join(text), text, 0, 1)
-        assert (got["word_distance"], got["nearest"]) == (pytest.approx(min(want)[0]), min(want)[1])
-        kinds = quality_rules.class_counts(b" ".join(text))
-        assert got["class_distance"] == pytest.approx(min(quality_rules.js_distance(kinds, np.array(r["classes"])) for r in references.values()))
+        for lang in ("b", "elsewhere", None):
+            text = [rng.choice(words[: n + 3]).encode() for _ in range(n)]
+            got = judge.distances(b" ".join(text), text, 0, 1, lang)
+            want = brute_distances(references, lang, text, False)
+            assert (got["word_distance"], got["class_distance"], got["nearest"]) == (pytest.approx(want[0]), pytest.approx(want[1]), want[2])
+
+
+def kept_junk(spark, docs):
+    """Share of documents of label 0 that pass the base rule and are kept."""
+    bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").select("doc_id")
+    done = quality_rules.judge_quality(docs).where("NOT base_failed").select("row.doc_id", "row.lang", "kept")
+    return done.join(bad, "doc_id").collect()
+
+
+def test_junk_can_not_speak_for_itself(spark):
+    """Neither one copy of a rejected text under a name of its own nor twenty of them change a verdict."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    before = {r.doc_id: r.kept for r in kept_junk(spark, docs)}
+    gone = sorted(i for i, kept in before.items() if not kept)
+    assert len(gone) >= 20 and sum(before.values()) <= 0.1 * len(before)
+    copy = docs.unionByName(docs.where(F.col("doc_id") == gone[0]).withColumn("lang", F.lit("zz")))
+    assert {(r.doc_id, r.kept) for r in kept_junk(spark, copy)} == set(before.items())
+    named = docs.withColumn("lang", F.when(F.col("doc_id").isin(gone[:20]), F.concat(F.lit("z"), F.col("doc_id"))).otherwise(F.col("lang")))
+    after = {r.doc_id: r.kept for r in kept_junk(spark, named)}
+    assert not any(after[i] for i in gone[:20]) and sum(after.values()) <= sum(before.values()) + 1
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {}
+    for r in rows:
+        words = (r.text or "").encode().split()
+        if r.lang is not None and not brute_base(r.text)[5]:
+            held.setdefault(r.lang, []).append((r.text, words))
+    references = {}
+    for lang, texts in held.items():
+        if len({t for t, _ in texts}) >= quality_rules.MIN_DOCUMENTS:
+            counts = Counter(w for _, words in texts for w in quality_rules.bare(words))
+            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_WORDS]
+            references[lang] = {"classes": sum(quality_rules.class_counts(t.encode()) for t, _ in texts), "words": [w.decode() for w, _ in top], "counts": [n for _, n in top], "total": sum(counts.values())}
+    got = {r.row.doc_id: r for r in quality_rules.judge_quality(spark.createDataFrame(rows)).collect()}
+    for r in rows:
+        text, failed = (r.text or "").encode(), brute_base(r.text)[5]
+        words = text.split()
+        kept = not failed
+        if kept:
+            found = []
+            for lang, ref in references.items():
+                own, bare = lang == r.lang, quality_rules.bare(words)
+                mine = np.array([bare.count(w.encode()) for w in ref["words"]])
+                theirs, total = np.array(ref["counts"]) - mine * own, ref["total"] - len(words) * own
+                kinds = quality_rules.class_counts(text)
+                classes = ref["classes"] - kinds * own
+                by_word = quality_rules.js_distance(np.array([*mine, len(words) - mine.sum()]), np.array([*theirs, total - theirs.sum()]) / total) if len(words) >= 40 else 0.0
+                by_class = quality_rules.js_distance(kinds, classes / classes.sum()) if kinds.sum() >= 250 else 0.0
+                found.append((by_word or by_class, by_word, by_class))
+            kept = min(found)[1] <= quality_rules.MAX_WORD_DISTANCE and min(found)[2] <= quality_rules.MAX_CLASS_DISTANCE
+        assert got[r.doc_id].kept == kept, r.doc_id
 
 
 def test_verdicts_follow_labels(spark):
