@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -327,11 +328,58 @@ def test_classifier_on_odd_input(spark):
     assert pu_classifier.score_quality(no_documents(spark), labels).count() == 0
 
 
-def test_prior_and_risk():
+def made_rows():
     rng = np.random.default_rng(2)
-    good, bad = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (2000, 3))
-    model = pu_classifier.fit(good[:1500], np.vstack([good[1500:], bad]), 2500 / 4500)
-    assert (model.margin(good) > 0).mean() > 0.95 and (model.margin(bad) < 0).mean() > 0.95
-    first = pu_classifier.fit(good[:1500], np.vstack([good[1500:], bad]), None)
-    bins = lambda x: np.bincount(np.minimum((pu_classifier.sigmoid(first.margin(x)) * 100).astype(int), 99), minlength=100)
-    assert pu_classifier.class_prior(bins(np.vstack([good[1500:], bad])), bins(good[:1500])) == pytest.approx(2500 / 4500, abs=0.06)
+    x = np.vstack([rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (2000, 3))])
+    return x, np.arange(6000) < 1500  # some of the good ones are known
+
+
+def test_prior_and_risk():
+    x, positive = made_rows()
+    total = pu_classifier.row_total(x, positive)
+    model = pu_classifier.fit(total, 4000 / 6000)
+    assert (model.margin(x[:4000]) > 0).mean() > 0.95 and (model.margin(x[4000:]) < 0).mean() > 0.95
+    first = pu_classifier.fit(total, None)
+    bins = lambda rows: np.bincount(np.minimum((pu_classifier.sigmoid(first.margin(rows)) * 100).astype(int), 99), minlength=100)
+    assert pu_classifier.class_prior(bins(x), bins(x[positive])) == pytest.approx(4000 / 6000, abs=0.06)
+
+
+def plain_risk(model, x, positive, prior):
+    """The risk as it is written in the papers."""
+    g = model.margin(x)
+    loss = lambda margin: np.log1p(np.exp(-margin)).mean()
+    decay = pu_classifier.RIDGE * (model.weights[:-1] ** 2).sum() / 2
+    if prior is None:
+        return loss(g[positive]) + loss(-g) + decay
+    return prior * loss(g[positive]) + max(0.0, loss(-g) - prior * loss(-g[positive])) + decay
+
+
+@pytest.mark.parametrize("prior", [None, 0.1, 0.6])
+def test_risk_gradient_and_curvature(prior):
+    x, positive = made_rows()
+    rng = np.random.default_rng(3)
+    at = lambda w: pu_classifier.Model(x.mean(axis=0), x.std(axis=0), w)
+    risk_at = lambda w: pu_classifier.Risk(pu_classifier.risk_sums(at(w), x, positive), w, prior)
+    for _ in range(3):
+        w = rng.normal(0, 0.3, 4)
+        risk = risk_at(w)
+        assert risk.value == pytest.approx(plain_risk(at(w), x, positive, prior))
+        for i in range(4):
+            h = np.eye(4)[i] * 1e-5
+            assert risk.slope[i] == pytest.approx((plain_risk(at(w + h), x, positive, prior) - plain_risk(at(w - h), x, positive, prior)) / 2e-5, abs=1e-5)
+            assert risk.curve[i] == pytest.approx((risk_at(w + h).slope - risk_at(w - h).slope) / 2e-5, abs=1e-4)
+    # a part below zero leads back: along the step it rises
+    if prior == 0.6:
+        w = np.array([3.0, 3.0, 3.0, 6.0])
+        inner = lambda v: np.log1p(np.exp(at(v).margin(x))).mean() - 5 * np.log1p(np.exp(at(v).margin(x[positive]))).mean()
+        back = pu_classifier.Risk(pu_classifier.risk_sums(at(w), x, positive), w, 5.0)
+        assert inner(w) < 0 and inner(w - 1e-4 * back.slope) > inner(w)
+
+
+def test_sums_of_a_table_equal_sums_of_rows(spark):
+    rng = np.random.default_rng(5)
+    x, positive = rng.normal(0, 1, (500, pu_classifier.FEATURES)).astype(np.float32), rng.random(500) < 0.2
+    rows = spark.createDataFrame([(v.tolist(), bool(p)) for v, p in zip(x, positive)], "x array<float>, good boolean").repartition(7)
+    model = pu_classifier.Model(x.mean(axis=0), x.std(axis=0), rng.normal(0, 0.1, pu_classifier.FEATURES + 1))
+    for of in (pu_classifier.moments, partial(pu_classifier.risk_sums, model)):
+        assert pu_classifier.table_total(rows)(of) == pytest.approx(pu_classifier.row_total(x.astype(np.float64), positive)(of))
