@@ -6,8 +6,8 @@ one role share a block; ``<+>`` stands between their texts. In texts and roles,
 control string and every code can be read back.
 
 Rules for odd input: turns sort by (turn, role, text), nulls first, so ties and repeated rows have one
-order and all stay; a null role or text is empty; rows without a conv_id form one conversation; an
-empty table gives an empty result. Only the four named columns are read, so others may have any name.
+order and all stay; a null role or text is empty; each row without a conv_id is a conversation of its
+own; an empty table gives an empty result. Only the four named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefacts.functions.text import let
+
 TURN_END, BLOCK_GAP, HEAD, JOIN = "</turn>", "\n", "### ", "<+>"
 ESCAPES = (("\\", "\\b"), (TURN_END, "\\e"), ("###", "\\h"), (JOIN, "\\p"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 TRAINED_ROLE = "assistant"
+#: Values that are summed, and spans that are cut, at a time.
+STRETCH = 256
 
 
 def escaped(text: Column, codes=ESCAPES) -> Column:
@@ -33,59 +37,56 @@ def unescaped(text: Column, codes=ESCAPES) -> Column:
     return text
 
 
-def merged_blocks(turns: Column) -> Column:
-    """array<struct<role, texts>> of sorted turns: a turn joins the last block if that has its role."""
-    kind = "array<struct<role:string,texts:array<string>>>"
-    block = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
+def prefix_sums(lengths: Column) -> Column:
+    """array<bigint>: of each value the sum of those before it.
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        grown = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(block(turn["role"], F.concat(last["texts"], F.array(turn["text"])))))
-        fresh = F.concat(blocks, F.array(block(turn["role"], F.array(turn["text"]))))
-        return F.when((F.size(blocks) > 0) & (last["role"] == turn["role"]), grown).otherwise(fresh).cast(kind)
+    An aggregate that grows an array copies it at each step, so sums run inside stretches of STRETCH
+    values, and over the stretches: linear work for arrays of any practical size.
+    """
+    zero = F.array(F.lit(0).cast("bigint"))
+    running = lambda values, of: F.aggregate(values, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STRETCH).cast("int")), lambda i: running(F.slice(lengths, i * STRETCH + 1, F.lit(STRETCH)), lambda x: x))
+    shifted = lambda inside, bases: F.flatten(F.transform(inside, lambda sums, i: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda v: v + F.get(bases, i))))
+    whole = let(stretches, lambda inside: let(running(inside, lambda sums: F.element_at(sums, -1)), lambda bases: shifted(inside, bases)))
+    return F.when(F.size(lengths) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
-    return F.aggregate(turns, F.array().cast(kind), add)
 
+def pieces(turns: Column) -> Column:
+    """One struct (lead, text, tail, trained, opens) per sorted turn; joined in order they are the formatted string.
 
-def pieces(blocks: Column) -> Column:
-    """One struct (lead, text, tail, trained) per turn; joined in order they are the formatted string."""
+    A turn that has its neighbour's role shares that block: it opens none, or does not end it.
+    """
 
-    def of_block(b: Column) -> Column:
-        head = F.concat(F.lit(HEAD), escaped(b["role"], ROLE_ESCAPES), F.lit(": "))
-        return F.transform(
-            b["texts"],
-            lambda t, i: F.struct(
-                F.when(i == 0, head).otherwise(F.lit(JOIN)).alias("lead"),
-                escaped(t).alias("text"),
-                F.when(i == F.size(b["texts"]) - 1, F.lit(TURN_END + BLOCK_GAP)).otherwise(F.lit("")).alias("tail"),
-                (b["role"] == TRAINED_ROLE).alias("trained"),
-            ),
+    def of_turn(t: Column, i: Column) -> Column:
+        opens = (i == 0) | (F.get(turns, i - 1)["role"] != t["role"])
+        ends = (i == F.size(turns) - 1) | (F.get(turns, i + 1)["role"] != t["role"])
+        return F.struct(
+            F.when(opens, F.concat(F.lit(HEAD), escaped(t["role"], ROLE_ESCAPES), F.lit(": "))).otherwise(F.lit(JOIN)).alias("lead"),
+            escaped(t["text"]).alias("text"),
+            F.when(ends, F.lit(TURN_END + BLOCK_GAP)).otherwise(F.lit("")).alias("tail"),
+            (t["role"] == TRAINED_ROLE).alias("trained"),
+            opens.alias("opens"),
         )
 
-    return F.flatten(F.transform(blocks, of_block))
+    return F.transform(turns, of_turn)
 
 
 def loss_spans(parts: Column) -> Column:
     """array<struct<start, end>>: code-point ranges of the trained texts in the formatted string."""
-    kind = "struct<pos:bigint,spans:array<struct<start:bigint,end:bigint>>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["pos"] + F.length(p["lead"])
-        end = start + F.length(p["text"])
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + F.length(p["tail"])).alias("pos"), F.when(p["trained"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
-
-    return F.aggregate(parts, F.expr(f"cast(named_struct('pos', 0L, 'spans', array()) as {kind})"), step)["spans"]
+    length = lambda p: (F.length(p["lead"]) + F.length(p["text"]) + F.length(p["tail"])).cast("bigint")
+    span = lambda p, start: F.when(p["trained"], F.struct((start + F.length(p["lead"])).alias("start"), (start + F.length(p["lead"]) + F.length(p["text"])).alias("end")))
+    return F.filter(F.zip_with(parts, prefix_sums(F.transform(parts, length)), span), lambda s: s.isNotNull())
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans, n_blocks) from rows (conv_id, turn, role, text)."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = grouped.select("conv_id", merged_blocks(F.col("turns")).alias("blocks"))
-    parts = blocks.select("conv_id", F.size("blocks").cast("long").alias("n_blocks"), pieces(F.col("blocks")).alias("parts"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = rows.select("conv_id", own.alias("own"), turn.alias("t")).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    parts = grouped.select("conv_id", pieces(F.col("turns")).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["text"], p["tail"])), "")
-    return parts.select("conv_id", joined.alias("formatted"), loss_spans(F.col("parts")).alias("loss_spans"), "n_blocks")
+    n_blocks = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["opens"].cast("bigint"))
+    return parts.select("conv_id", joined.alias("formatted"), loss_spans(F.col("parts")).alias("loss_spans"), n_blocks.alias("n_blocks"))
 
 
 def parsed_turns(formatted: Column) -> Column:
@@ -101,5 +102,16 @@ def parsed_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, in order and with its codes read back."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, in order and with its codes read back.
+
+    A place in a string is found by counting characters from its start, so the string is cut once per
+    STRETCH spans, and the spans are cut out of that part.
+    """
+
+    def of_stretch(own: Column) -> Column:
+        start = F.get(own, F.lit(0))["start"]
+        cut = formatted.substr((start + 1).cast("int"), (F.element_at(own, -1)["end"] - start).cast("int"))
+        return let(cut, lambda part: F.array_join(F.transform(own, lambda s: unescaped(part.substr((s["start"] - start + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), ""))
+
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STRETCH).cast("int")), lambda i: of_stretch(F.slice(spans, i * STRETCH + 1, F.lit(STRETCH))))
+    return F.when(F.size(spans) > 0, F.array_join(stretches, "")).otherwise(F.lit(""))

@@ -101,3 +101,38 @@ def test_added_conversation(spark):
 def test_chat_plan_has_no_python(spark):
     plan = queries.op3_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_many_turns_are_linear_work(spark):
+    """A conversation of 40,000 turns is formatted and read back in seconds, not in the square of its turns."""
+    import time
+
+    n = 40_000
+    rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 5 < 2, 'user', 'assistant') AS role", "concat('text ', id) AS text")
+    began = time.time()
+    made = chat.format_conversations(rows).select("formatted", "n_blocks", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size(chat.parsed_turns(F.col("formatted"))).alias("turns")).first()
+    assert time.time() - began < 30
+    assert made.loss == "".join(f"text {i}" for i in range(n) if i % 5 >= 2)
+    assert made.n_blocks == 2 * n // 5 and made.turns == n
+    assert [made.formatted[s.start : s.end] for s in made.loss_spans] == [f"text {i}" for i in range(n) if i % 5 >= 2]
+
+
+def test_hot_payload_spreads_over_tasks(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pages = spark.range(30_000).selectExpr("id AS page_id", "uuid() AS url", "if(id % 3 < 2, 'the same', concat('p', id)) AS html").repartition(16)
+        found = warc.with_first_pages(pages, 0).withColumns({"_all": F.xxhash64("page_id", "url", "html", "refers_to"), "_task": F.spark_partition_id()}).groupBy("_task").agg(F.count("*").alias("n"), F.max("_all"))
+        counts = sorted(r.n for r in found.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(counts) == 30_000 and counts[-1] <= 4 * counts[len(counts) // 2]
+
+
+def test_rows_without_a_conversation(spark):
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (3, 0, "user", "b"), (3, 0, "user", "b")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_blocks, r.formatted) for r in made) == [(0, 1, "### user: a</turn>\n")] * 2 + [(3, 1, "### user: b<+>b</turn>\n")]
