@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefacts.functions.joins import lookup_join
 from sitefacts.llm.common import columns, land, utf8
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -113,12 +114,12 @@ def with_first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the smallest page of an equal payload, null for responses.
 
     Pages are counted per digest in the map tasks first; only digests of two pages or more meet the rows
-    again, and Spark splits a digest that many rows share.
+    again, and since they are landed Spark can split a digest that many rows share.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    shared = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select(F.col("digest").alias("shared"), "first")
-    joined = rows.join(shared, F.col("digest") == F.col("shared"), "left")
+    shared = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    joined = lookup_join(rows, shared, ["digest"])
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
