@@ -269,8 +269,8 @@ KEYED = "h1 long, h2 long, doc long, tag long, pos int"
 def later_occurrences(rows: DataFrame, name: str) -> DataFrame:
     """Of rows (h1, h2, doc, tag, pos), those whose key (h1, h2) also stands in a smaller ``doc``: (doc, tag, pos).
 
-    The rows are range-partitioned by key and document, so that one key of a third of all rows spreads
-    over many tasks, and sorted inside. Each task streams its rows and holds one key. A key that runs on
+    The rows are range-partitioned by key, document and position, so that one key of a third of all rows
+    spreads over many tasks, and sorted inside. Each task streams its rows and holds one key. A key that runs on
     from the task before is settled by what every task says of its first and last key: at most two small
     rows per task, joined back to the few rows of a run's first document.
     """
@@ -308,7 +308,7 @@ def later_occurrences(rows: DataFrame, name: str) -> DataFrame:
             yield out(2, one(key[0]), one(key[1]), one(first), one(0), one(0, np.int32))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("h1", "h2", "doc", "tag", "pos").repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc")
+    ordered = rows.select("h1", "h2", "doc", "tag", "pos").repartitionByRange(parts, "h1", "h2", "doc", "tag", "pos").sortWithinPartitions("h1", "h2", "doc", "tag", "pos")
     said = land(ordered.mapInArrow(stream, "kind int, " + KEYED), name)
     firsts = said.where("kind > 0").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     settled = said.where("kind = 1").join(firsts, ["h1", "h2"]).where("doc > first")
