@@ -70,6 +70,14 @@ def bare(words: list[bytes]) -> list[bytes]:
     return [w.strip(PUNCTUATION).lower() for w in words]
 
 
+def bare_counts(counts: Counter) -> Counter:
+    """Counts of bare words from counts of words as they stand: each different word is stripped once."""
+    out: Counter = Counter()
+    for word, n in counts.items():
+        out[word.strip(PUNCTUATION).lower()] += n
+    return out
+
+
 def base_counts(data: bytes, words: list[bytes]) -> dict:
     """word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
     joined = data.translate(None, BLANKS)
@@ -100,6 +108,8 @@ def repeat_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     while span < window:
         rank = np.unique(rank[: len(rank) - span] * (int(rank.max()) + 1) + rank[span:], return_inverse=True)[1]
         span *= 2
+        if int(rank.max()) + 1 == len(rank):  # no shorter window occurs twice, so no longer one does
+            return 0
     twice = np.flatnonzero(np.bincount(rank)[rank] > 1)
     edges = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edges, twice, 1)
@@ -137,13 +147,12 @@ def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
         texts: set[tuple[str, str]] = set()
 
         def rows() -> pa.RecordBatch:
-            keys = list(words)
-            found = [(lang, word.decode("utf-8", "replace"), -1, words[lang, word]) for lang, word in keys]
+            found = [(lang, word.decode("utf-8", "replace"), -1, n) for lang, counts in words.items() for word, n in bare_counts(counts).items()]
             found += [(lang, None, i, int(n)) for lang, counts in classes.items() for i, n in enumerate(counts)]
             found += [(lang, text, -2, 1) for lang, text in texts]
             words.clear()
@@ -160,9 +169,8 @@ def reference_parts(docs: DataFrame, common_words: int = COMMON_WORDS, at_once:
                     continue
                 classes[lang] = classes.get(lang, 0) + class_counts(data)
                 texts.add((lang, xxhash.xxh3_64_hexdigest(data)))
-                for word, n in Counter(bare(found)).items():
-                    words[lang, word] += n
-                if len(words) + len(texts) + len(CLASSES) * len(classes) >= FLUSH_WORDS:
+                words.setdefault(lang, Counter()).update(found)
+                if sum(map(len, words.values())) + len(texts) + len(CLASSES) * len(classes) >= FLUSH_WORDS:
                     yield rows()
         yield rows()
 
@@ -249,7 +257,7 @@ class Judge:
                 others = self.class_counts[home] - kinds
                 by_class[home] = js_distance(kinds, others / others.sum()) if others.sum() > 0 else 1.0
         if words and len(words) >= min_words:
-            own = Counter(bare(words))
+            own = bare_counts(Counter(words))
             by_word = self.word_distances(own, len(words))
             if home is not None:
                 mine = np.array([own[w] for w in self.words[home]], dtype=np.float64)
