@@ -36,7 +36,7 @@ def test_run_equals_brute_force(spark):
     kept = {r.row.doc_id for r in quality_rules.judge_quality(table(spark, SF, "documents")).where("kept").collect()}
     docs = {i: t for i, t in docs.items() if i in kept}
     docs = {i: t for i, _, _, t in brute_lines(list(docs.items()))}
-    docs = {i: docs[i] for i, (_, top) in brute(list(docs.items())).items() if i == top}
+    docs = {i: docs[i] for i, (_, top) in brute(list(docs.items()), 80).items() if i == top}
     items = [w for r in table(spark, SF, "benchmark").collect() if (w := bare_numbers(r.text))]
     docs = {i: t for i, t in docs.items() if not any(100 * decontaminate.covered(w, bare_numbers(t), 5) >= 80 * len(w) for w in items)}
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
