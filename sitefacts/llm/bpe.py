@@ -8,9 +8,10 @@ document is put together again. Ids at a join of two chunks may differ from thos
 each join is re-encoded between two places near it where the tokenizer always splits; the window widens
 until its outer ids agree with those of the chunks.
 
-Such a place is a space between a visible ASCII character and an ASCII letter: no token reaches over
-its left side, and what follows does not depend on what came before. Where chunks have too few of them,
-they are joined as text and encoded as one.
+Such a place is a single space or line break between two characters that are not white space, or a
+full-width comma or stop after an ideograph or kana: no token reaches over its left side, and what
+follows does not depend on what came before. Where chunks have too few of them, they are joined as text
+and encoded as one. The work for a document is linear in its length in either case.
 
 Rules for odd input: a null or empty text has no ids; the special token's string in a text becomes the
 special id; rows without a doc_id and repeated rows are encoded like any other. An empty table gives an
@@ -38,7 +39,14 @@ from sitefacts.llm.line_dedup import text_tag
 ROLL, CHUNK_BITS = 16, 9
 ROLL_BASE = 0x9E3779B1
 DEPTH, MAX_BITS = 2, 29
-SPLIT = re.compile(rb"(?<=[!-~]) (?=[A-Za-z])")
+#: Fixed: white space beyond ASCII in UTF-8, by its number of bytes.
+SPACES = {2: rb"\xC2[\x85\xA0]", 3: rb"\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80"}
+#: Fixed: ideographs U+5000 to U+8FFF, hiragana and katakana, all of them letters; comma and stops that follow them.
+CJK = rb"[\xE5-\xE8][\x80-\xBF][\x80-\xBF]|\xE3\x81[\x81-\xBF]|\xE3\x82[\x80-\x96\xA1-\xBF]|\xE3\x83[\x80-\xBA]"
+CJK_STOP = rb"\xE3\x80[\x81\x82]|\xEF\xBC\x8C"
+SPLIT = re.compile(rb"(?<=[!-~\x80-\xBF])(?<!%b)(?<!%b)[ \n](?=[!-~\x80-\xFF])(?!%b|%b)|(?<=%b)(?:%b)" % (SPACES[2], SPACES[3], SPACES[2], SPACES[3], CJK, CJK_STOP))
+#: A place and what decides on it lie within so many bytes to either side.
+AROUND = 4
 #: Fixed: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -100,6 +108,7 @@ class Joiner:
 
     def __init__(self, tokenizer: tiktoken.Encoding, lengths: np.ndarray):
         self.tokenizer, self.lengths = tokenizer, lengths
+        self.splits = all(t.isascii() and not re.search(r"\s", t) for t in tokenizer.special_tokens_set)
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         return np.cumsum(self.lengths[ids])
@@ -109,42 +118,54 @@ class Joiner:
         a = np.searchsorted(ends, start, side="right") if start else 0
         return ids[a:] if stop is None else ids[a : np.searchsorted(ends, stop, side="right")]
 
+    def places(self, data: bytes, start: int = 0) -> list[int]:
+        """Where the tokenizer always splits, from ``start`` on; nowhere, if special tokens may reach over such a place."""
+        return [m.start() for m in SPLIT.finditer(data, start)] if self.splits else []
+
     def document(self, parts: list[tuple[bytes, np.ndarray | None]]) -> np.ndarray:
         """Ids of the whole text; each part has its bytes and, where known, its ids."""
-        done, tail, ids = [], b"", np.empty(0, dtype=np.int32)
+        done, tail, ids, before = [], bytearray(), np.empty(0, dtype=np.int32), []
         for data, own in parts:
             if not data:
                 continue
-            if not tail:
-                tail, ids = data, own
-                continue
-            joined = self.join(tail, ids, data, own)
-            if joined is None:
-                tail, ids = tail + data, None
-            else:
-                settled, tail, ids = joined
+            after = self.places(data)
+            joined = self.join(tail, ids, before, data, own, after) if tail else None
+            if joined:
+                settled, start, ids = joined
                 done.append(settled)
-        done.append(encode(self.tokenizer, tail) if ids is None else ids)
+                del tail[:start]
+                before = [p - start for p in before if p >= start]
+            else:
+                ids = None if tail else own
+            seam = max(0, len(tail) - AROUND)
+            tail += data
+            # a part may end before what makes its last characters a place, or no place
+            while before and before[-1] >= seam:
+                before.pop()
+            before += self.places(tail, seam)
+        done.append(encode(self.tokenizer, bytes(tail)) if ids is None else ids)
         return np.concatenate(done)
 
-    def join(self, left: bytes, left_ids, right: bytes, right_ids):
-        """(ids that stand, text after them, its ids), or None if the two have no places to re-encode between."""
-        before = [m.start() for m in SPLIT.finditer(left)]
-        after = [m.start() for m in SPLIT.finditer(right)]
+    def join(self, left: bytearray, left_ids, before: list[int], right: bytes, right_ids, after: list[int]):
+        """(ids that stand, where they end in left, ids from there to the end of right), or None if the two have no places to re-encode between."""
         if len(before) < 2 or len(after) < 2:
             return None
-        left_ids = encode(self.tokenizer, left) if left_ids is None else left_ids
+        left_ids = encode(self.tokenizer, bytes(left)) if left_ids is None else left_ids
         right_ids = encode(self.tokenizer, right) if right_ids is None else right_ids
         left_ends, right_ends = self.ends(left_ids), self.ends(right_ids)
-        for width in range(2, min(len(before), len(after)) + 1):
+        most = min(len(before), len(after))
+        width = 2
+        while True:
             a, a_in, b_in, b = before[-width], before[-width + 1], after[width - 2], after[width - 1]
-            window = encode(self.tokenizer, left[a:] + right[:b])
+            window = encode(self.tokenizer, bytes(left[a:]) + right[:b])
             ends, gap = self.ends(window), len(left) - a
             same = np.array_equal(self.ids_between(window, ends, 0, a_in - a), self.ids_between(left_ids, left_ends, a, a_in))
             same &= np.array_equal(self.ids_between(window, ends, gap + b_in), self.ids_between(right_ids, right_ends, b_in, b))
             if same:
-                return self.ids_between(left_ids, left_ends, 0, a), left[a:] + right, np.concatenate([window, self.ids_between(right_ids, right_ends, b)])
-        return None
+                return self.ids_between(left_ids, left_ends, 0, a), a, np.concatenate([window, self.ids_between(right_ids, right_ends, b)])
+            if width == most:
+                return None
+            width = min(2 * width, most)
 
 
 def packed_type(tokenizer: tiktoken.Encoding) -> str:

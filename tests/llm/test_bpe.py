@@ -31,7 +31,7 @@ def test_equal_to_the_library(text):
     assert bpe.encode(bpe.encoding(PATH), text.encode()).tolist() == ids_of(library, text)
 
 
-@given(st.lists(st.sampled_from(["the ", "reading", " it's", "<|endof", "text|>", "don't ", "\n\n", "  ", "x", "él ", "123", " 45", "日本", ". ", "Word word word ", " a b c d e "]), max_size=60), st.sets(st.integers(1, 300), max_size=25))
+@given(st.lists(st.sampled_from(["the ", "reading", " it's", "<|endof", "text|>", "don't ", "\n\n", "  ", "x", "él ", "123", " 45", "日本", ". ", "Word word word ", " a b c d e ", "и снова слово ", "\n", "東京、", "です。", "\u3000", "\u00a0", "\u0085", "é ", "\u0301"]), max_size=60), st.sets(st.integers(1, 300), max_size=25))
 @settings(max_examples=300, deadline=None)
 def test_joins(pieces, cuts):
     data = "".join(pieces).encode()
@@ -44,6 +44,24 @@ def test_joins(pieces, cuts):
         assert joiner.document(listed).tolist() == bpe.encode(tokenizer, data).tolist()
 
 
+LONG = {"Cyrillic": "Съешь ещё этих мягких французских булок, да выпей чаю. ", "Japanese": "東京は、夜の七時です。しかし、朝は来る。", "no places": "日本語文字列", "one word a line": "слово\n"}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_work_is_linear(name, monkeypatch):
+    """Of a long text whose chunks are known, little is encoded again; without places it is encoded once."""
+    data = "".join(LONG[name] + (str(i) if name != "no places" else "") for i in range(8000 if name != "one word a line" else 30000)).encode()
+    tokenizer = bpe.encoding(PATH)
+    parts = [(c, bpe.encode(tokenizer, c)) for c in bpe.chunks(data)]
+    want, plain, seen, scanned = bpe.encode(tokenizer, data).tolist(), bpe.encode, [], []
+    joiner = bpe.Joiner(tokenizer, bpe.token_lengths(tokenizer))
+    own = joiner.places
+    monkeypatch.setattr(bpe, "encode", lambda t, d: seen.append(len(d)) or plain(t, d))
+    monkeypatch.setattr(joiner, "places", lambda d, start=0: scanned.append(len(d) - start) or own(d, start))
+    assert joiner.document(parts).tolist() == want
+    assert sum(seen) <= (1 if name != "no places" else 1.01) * len(data) and sum(scanned) < 2.5 * len(data)
+
+
 @given(st.text(max_size=400))
 @settings(max_examples=60, deadline=None)
 def test_chunks_are_the_text(text):
