@@ -133,14 +133,31 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
     return top_per_key(df, by, order, n, rank)
 
 
-def shuffled_head(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
+def shuffled_head(df: DataFrame, key: Sequence[str], n: int, seed: int, merge_rows: int = 1000) -> DataFrame:
     """The first n rows of a seeded shuffle, all rows for n = 0; the same on any partitioning.
 
-    The order is that of the md5 of key and seed; the key tells rows apart.
+    The order is that of the md5 of key and seed; the key tells rows apart. Up to ``merge_rows`` rows are
+    merged in one task. For more, the rows are counted by the first digits of their md5 when this is
+    called; the one group at the border is counted by further digits until it is small, and all groups
+    before it are taken by a filter.
     """
     place = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     shuffled = df.orderBy(place, *key)
-    return shuffled.limit(n) if n > 0 else shuffled
+    if n <= merge_rows:
+        return shuffled.limit(n) if n > 0 else shuffled
+    edge, left, size = "", n, None
+    while size is None or (size > merge_rows and len(edge) < 32):
+        digits = F.substring(place, len(edge) + 1, 2)
+        groups = df.where(place.startswith(edge)).groupBy(digits.alias("_digits")).count().collect()  # at most 256
+        for digit, size in sorted(groups):
+            if size > left:
+                edge += digit
+                break
+            left -= size
+        else:
+            return shuffled
+    border = df.where(place.startswith(edge)).orderBy(place, *key).limit(left)
+    return df.where(place < edge).unionByName(border).orderBy(place, *key)
 
 
 def union_sources(*sources: DataFrame, rank: str = "source_rank") -> DataFrame:

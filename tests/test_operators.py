@@ -174,6 +174,11 @@ def test_shuffled_head_is_stable(spark):
     a = [r["id"] for r in A.shuffled_head(df.repartition(3), ["id"], 50, 9).collect()]
     assert a == [r["id"] for r in A.shuffled_head(df.coalesce(1), ["id"], 50, 9).collect()] and a != sorted(a)
     assert A.shuffled_head(df, ["id"], 0, 9).count() == 500
+    order = [r["id"] for r in A.shuffled_head(df, ["id"], 0, 9).collect()]
+    for n, merged in ((50, 1), (333, 3), (499, 1), (500, 20), (900, 20)):
+        assert [r["id"] for r in A.shuffled_head(df.repartition(3), ["id"], n, 9, merged).collect()] == order[:n]
+    same = df.select(F.lit(1).alias("id"))
+    assert A.shuffled_head(same, ["id"], 7, 9, 2).count() == 7 and A.shuffled_head(df.limit(0), ["id"], 7, 9, 2).count() == 0
 
 
 def test_column_choice(spark):
