@@ -2,14 +2,16 @@
 
 Words are lower-cased (ASCII) and lose punctuation at their ends. Runs of five words of the benchmark
 are the seeds (a shorter item is one seed). A fixed-size bitmap of the seeds lets each document name the
-few places where a seed may stand; these places are joined with the seeds exactly, and every pair of a
-document and an item that shares enough seeds is tiled: the longest common run of words not yet covered
+few places where a seed may stand; these places are joined with the rarer seeds of each item exactly
+(``rare_seeds``), and every pair of a document and an item that shares enough of them is tiled: the longest common run of words not yet covered
 is marked again and again, so that passages in another order still cover the item. The pair counts when
 the tiles cover ``min_percent`` of the item's words.
 
 Only the words around seeds leave a document, so no text is shuffled.
 
-Rules for odd input: items without words match nothing; null or empty texts hold no seeds; rows without
+Rules for odd input: items without words match nothing, items of any other length are looked for whole or in
+tiles, a single common word too, since the benchmark's owner decides what an item is; an item without an
+item_id is one as well; null or empty texts hold no seeds; rows without
 a doc_id are judged by ``row_hits`` only, as their texts; rows of one doc_id are judged one by one and the best coverage stands; rows of
 one item_id with different texts are different passages of it. Ties between equally long tiles go to the earlier place in the
 item, then in the document. Empty tables give an empty result; only doc_id, item_id and text are read.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts.llm.common import BASE, MASK, SECOND_BASE, SKETCH, CellCounts, WordHash, columns, in_sketch, land, merged_sketch, mix, ngram_hashes, signed, sketch_bits, slices, utf8, word_hashes
@@ -114,6 +116,25 @@ def seed_places(values: np.ndarray, sizes: list[int], found) -> tuple[np.ndarray
     return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.uint64), np.cumsum(mask)[:-1] > 0
 
 
+def rare_seeds(held: DataFrame, bench: DataFrame, min_percent: int, seed: int) -> DataFrame:
+    """(hit, times, item_id, item_tag, least): the seeds of an item that pairs are joined on.
+
+    A pair at ``min_percent`` shares ``need`` seed places of the item or more, since a seed covers ``seed``
+    words at most at each place. The item's most frequent seeds, up to half of that, stay out of the join;
+    what a pair must share of the others is ``least``. A common phrase that many items and texts hold thus
+    makes no pairs, unless it is most of an item.
+    """
+    n_times = F.explode(F.arrays_zip(F.col("seeds").alias("hit"), F.col("times").alias("times"))).alias("s")
+    need = F.ceil(F.size("words") * F.lit(min_percent) / F.lit(100 * seed))
+    seeds = bench.select("item_id", "item_tag", need.alias("need"), n_times).select("item_id", "item_tag", "need", "s.hit", "s.times")
+    often = held.select(F.explode("hits").alias("hit")).groupBy("hit").agg(F.count("*").alias("n"))
+    item = Window.partitionBy("item_id", "item_tag")
+    seeds = seeds.join(often, "hit").withColumn("upto", F.sum("times").over(item.orderBy(F.col("n").desc(), "hit").rowsBetween(Window.unboundedPreceding, 0)))
+    seeds = seeds.withColumn("common", F.col("upto") * 2 < F.col("need"))
+    seeds = seeds.withColumn("least", F.col("need") - F.coalesce(F.max(F.when(F.col("common"), F.col("upto"))).over(item), F.lit(0)))
+    return seeds.where(~F.col("common")).select("hit", "times", "item_id", "item_tag", "least")
+
+
 def row_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PERCENT, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, tag, item_id, n_words, n_covered): rows, told apart by doc_id and text tag, whose tiles cover ``min_percent`` of the item or more."""
 
@@ -159,15 +180,13 @@ def row_hits(docs: DataFrame, items: DataFrame, min_percent: int = MIN_PERCENT,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("tag"), F.col("text").cast("string").alias("text"))
     held = land(rows.mapInArrow(places, "doc_id long, tag long, hits array<long>, parts array<array<long>>"), "seed-places")
-    seed_rows = F.explode(F.arrays_zip(F.col("seeds").alias("hit"), F.col("times").alias("times"))).alias("s")
-    seeds = bench.select("item_id", "item_tag", F.size("words").alias("n_words"), seed_rows).select("item_id", "item_tag", "n_words", "s.hit", "s.times")
-    pairs = held.select("doc_id", "tag", F.explode("hits").alias("hit")).distinct().join(seeds, "hit")
-    pairs = pairs.groupBy("doc_id", "tag", "item_id", "item_tag").agg(F.sum("times").alias("n_seeds"), F.first("n_words").alias("n_words"))
-    # a seed covers ``seed`` words at most at each of its places in the item
-    able = pairs.where(F.col("n_seeds") * seed * 100 >= F.col("n_words") * min_percent)
+    pairs = held.select("doc_id", "tag", F.explode("hits").alias("hit")).distinct().join(land(rare_seeds(held, bench, min_percent, seed), "seeds"), "hit")
+    pairs = pairs.groupBy("doc_id", "tag", "item_id", "item_tag").agg(F.sum("times").alias("n_seeds"), F.first("least").alias("least"))
+    able = pairs.where("n_seeds >= least")
     texts = held.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), "parts")
     met = able.join(texts, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag")))
-    one = met.select("doc_id", "tag", "item_id", "item_tag", "parts").join(bench.select("item_id", "item_tag", "words"), ["item_id", "item_tag"])
+    of_items = bench.select(F.col("item_id").alias("of_item"), F.col("item_tag").alias("of_item_tag"), "words")
+    one = met.join(of_items, F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("item_tag") == F.col("of_item_tag"))).select("doc_id", "tag", "item_id", "parts", "words")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

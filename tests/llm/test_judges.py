@@ -227,7 +227,7 @@ def test_decontamination(spark):
         third = len(words) // 3
         moved = words[2 * third :] + "x y z".split() + words[:third] + "q r".split() + words[third : 2 * third]
         docs += [(100 + k, f"{filler()} {items[k][1].upper()} {filler()}"), (200 + k, f"{filler()} {' '.join(moved)}"), (300 + k, f"{filler()} {' '.join(words[: len(words) // 2])}"), (400 + k, filler())]
-    docs += [(500, "text with just four words, here."), (501, "just four other words here"), (None, items[1][1])]
+    docs += [(500, "text with just four words, here."), (501, "just four other words here"), (502, "an Item without an id at all!"), (None, items[1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("tag", "hit", "words", "seeds", "parts", "item_id")})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "words", "n_words")})
     got = {(r.doc_id, r.item_id, r.n_words, r.n_covered) for r in decontaminate.benchmark_hits(df, bench).collect()}
@@ -247,6 +247,31 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_hits(df, bench.limit(0)).count() == 0
 
 
+def test_a_common_phrase_makes_no_pairs(spark):
+    rng, phrase = random.Random(13), "all rights reserved by the owner of this page and its friends"
+    items = [(i, f"{' '.join(sentences(rng, 6))} {phrase} {' '.join(sentences(rng, 6))}") for i in range(40)] + [(100, phrase), (None, phrase + " too")]
+    docs = [(i, f"{' '.join(sentences(rng, 4))} {phrase}") for i in range(300)] + [(1000 + i, f"{phrase} {' '.join(sentences(rng, 2))} {items[i][1]} {phrase}") for i in range(10)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seeds = []
+    rare, land = decontaminate.rare_seeds, decontaminate.land
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "rare_seeds", lambda *a: seeds.append(rare(*a)) or seeds[-1])
+        patch.setattr(decontaminate, "land", lambda d, name: held.append(land(d, name)) or held[-1] if name == "seed-places" else land(d, name))
+        held = []
+        got = {(r.doc_id, r.item_id, r.n_words, r.n_covered) for r in decontaminate.benchmark_hits(df, bench).collect()}
+    want = set()
+    for i, text in items:
+        item = bare_numbers(text)
+        for d, t in docs:
+            n = decontaminate.covered(item, bare_numbers(t), 5)
+            if 100 * n >= 80 * len(item):
+                want.add((d, i, len(item), n))
+    assert got == want and len(got) >= 10 + len(docs)
+    # before, each of these texts met each of the 40 items at every seed of the phrase
+    met = held[0].select("doc_id", F.explode("hits").alias("hit")).join(seeds[0].where("item_id < 100"), "hit").where("doc_id < 1000")
+    assert met.select("doc_id", "item_id").distinct().count() < len(docs)
+
+
 def brute_rank(seeds, links, rounds, damping=0.85):
     out = Counter()
     for s, _, n in links:
