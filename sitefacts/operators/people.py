@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefacts.functions import text as T
+from sitefacts.functions.joins import lookup_join
 from sitefacts.operators.candidates import person_parts, variants
 from sitefacts.operators.first import collect_ordered, first_per_key
+from sitefacts.session import land
 
 GRAM = 3
+BIT_WORDS = 4
 
 
 def name_form(c: Column) -> Column:
@@ -43,33 +48,82 @@ def match_score(target: Column, words: Column, username: Column, full_name: Colu
     )
 
 
-def match_people(people: DataFrame, profiles: DataFrame, person: str = "person", username: str = "username", full_name: str = "full_name", text: str = "row_text") -> DataFrame:
-    """Every (person, profile row) pair with a score above 0.
+def gram_bits(pieces: Column) -> list[Column]:
+    """The bits of an array of pieces; a text that holds other pieces as well has all bits of these."""
+    hashes = F.transform(pieces, lambda g: F.xxhash64(g))
+
+    def word(k: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(h.bitwiseAND(F.lit(3)) == k, acc.bitwiseOR(bit(h))).otherwise(acc))
+
+    return [word(k).alias(f"_b{k}") for k in range(BIT_WORDS)]
+
 
-    A scored profile holds the longest word of the name somewhere inside its text, hence every short
-    substring of that word. Of those the one that fewest profile texts have is the join key: an exact
-    filter in front of the score, which is computed on distinct texts only. Pieces travel with the
-    digest of their text; the texts themselves join last.
+def name_probes(people: DataFrame, person: str) -> DataFrame:
+    """(person, _target, _words, _need, bits): names with all pieces that a scored text holds.
+
+    Every score above 0 has all words of the name in the text, hence all their three-letter pieces; a name
+    of shorter words only needs these words as they are.
     """
     names = people.select(person).distinct().withColumn("_target", name_form(F.col(person))).filter("_target <> ''")
     names = names.withColumn("_words", name_words(F.col("_target")))
-    longest = F.element_at(F.array_sort(F.transform("_words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    names = names.withColumn("_probe", F.when(F.size("_words") > 0, longest).otherwise(F.col("_target")))
+    names = names.withColumn("_held", F.when(F.size("_words") > 0, F.col("_words")).otherwise(F.array("_target")))
+    of_words = F.array_distinct(F.flatten(F.transform("_held", lambda w: grams(w, range(GRAM, GRAM + 1)))))
+    names = names.withColumn("_long", of_words).withColumn("_need", F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.col("_held")))
+    return names.select("*", *gram_bits(F.col("_long"))).drop("_held", "_long")
+
+
+def text_pieces(texts: DataFrame, asked: DataFrame, *more: Column) -> DataFrame:
+    """(_id, _gram, more): the pieces of texts that are asked for; nothing else leaves the row of its text.
+
+    There are less than 71 ** 3 + 71 ** 2 + 71 pieces, since name_form leaves 71 signs: the broadcast is
+    bounded. No text is cut into one and two letters unless such a piece is asked for.
+    """
+
+    def cut(sizes: range) -> DataFrame:
+        wanted = F.broadcast(asked.where(F.length("_gram").between(sizes[0], sizes[-1])))
+        return texts.select("_id", *more, F.explode(grams(F.col("_payload"), sizes)).alias("_gram")).join(wanted, "_gram", "left_semi")
 
+    return cut(range(GRAM, GRAM + 1)).unionByName(cut(range(1, GRAM)))
+
+
+def name_candidates(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_id, columns of a name): an exact filter in front of the score.
+
+    A name meets the texts that hold its rarest piece, whichever word it is of, and of these only the ones
+    whose bits include all bits of the name. Digests and bits travel, no texts.
+    """
+    probes = names.withColumn("_gram", F.explode("_need")).drop("_need")
+    frequency = text_pieces(texts, probes.select("_gram").distinct()).groupBy("_gram").agg(F.count("*").alias("_n"))
+    columns = [c for c in probes.columns if c != "_gram"]
+    rarest = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
+    # one row per possible piece at most, as in text_pieces
+    keyed = land(probes.join(F.broadcast(frequency), "_gram", "left").groupBy(*columns).agg(rarest), "names")
+    bits = [f"_b{k}" for k in range(BIT_WORDS)]
+    pieces = text_pieces(texts, keyed.select("_gram").distinct(), *gram_bits(grams(F.col("_payload"), range(GRAM, GRAM + 1)))).withColumnsRenamed({b: "_t" + b for b in bits} | {"_gram": "_piece"})
+    within = [F.col(b).bitwiseAND(F.col("_t" + b)) == F.col(b) for b in bits]
+    return pieces.join(keyed, reduce(lambda a, b: a & b, within, F.col("_gram") == F.col("_piece"))).drop("_gram", "_piece", *bits, *["_t" + b for b in bits])
+
+
+def profile_texts(rows: DataFrame) -> DataFrame:
+    """(_id, _u, _f, _t, _payload): different texts of profiles, landed."""
+    texts = rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in ("_u", "_f", "_t")])
+    return land(texts.withColumn("_payload", F.concat_ws(" ", *[T.empty_to_null(F.col(c)) for c in ("_u", "_f", "_t")])), "profile-texts")
+
+
+def match_people(people: DataFrame, profiles: DataFrame, person: str = "person", username: str = "username", full_name: str = "full_name", text: str = "row_text") -> DataFrame:
+    """Every (person, profile row) pair with a score above 0.
+
+    The score is computed on distinct texts and only for the pairs of ``name_candidates``; texts join last,
+    landed, so a text that many names meet can be split, and so can a piece that many texts hold.
+    """
     rows = profiles.withColumns({"_u": name_form(F.col(username)), "_f": name_form(F.col(full_name)), "_t": name_form(F.col(text))})
     rows = rows.withColumn("_id", F.md5(F.concat_ws("\u0001", "_u", "_f", "_t")))
-    texts = rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in ("_u", "_f", "_t")])
-    texts = texts.withColumn("_payload", F.concat_ws(" ", *[T.empty_to_null(F.col(c)) for c in ("_u", "_f", "_t")]))
-
-    probe_grams = F.when(F.length("_probe") >= GRAM, grams(F.col("_probe"), range(GRAM, GRAM + 1))).otherwise(F.array("_probe"))
-    probes = names.withColumn("_gram", F.explode(probe_grams))
-    # only (text, piece) pairs of pieces that some name asks for leave the row of their text
-    pieces = texts.select("_id", F.explode(grams(F.col("_payload"), range(1, GRAM + 1))).alias("_gram")).join(probes.select("_gram").distinct(), "_gram", "left_semi")
-    frequency = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
-    keyed = probes.join(frequency, "_gram", "left").groupBy(person, "_target", "_words").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    pairs = keyed.join(pieces, "_gram").drop("_gram").join(texts, "_id")
+    texts = profile_texts(rows)
+    pairs = lookup_join(name_candidates(name_probes(people, person), texts), texts, ["_id"], "inner", landed=True)
     scored = pairs.withColumn("match_score", match_score(F.col("_target"), F.col("_words"), F.col("_u"), F.col("_f"), F.col("_payload")))
-    scored = scored.filter("match_score > 0").select(person, "_id", "match_score")
+    # other keys than those of the joins around it, so that both can be split
+    scored = scored.filter("match_score > 0").select(person, "_id", "match_score").repartition("_id", person)
     return scored.join(rows.drop("_u", "_f", "_t"), "_id").drop("_id")
 
 

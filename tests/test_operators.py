@@ -103,6 +103,25 @@ def test_matches_equal_brute_force(spark):
     assert {(r["person"], r["id"]): r["match_score"] for r in rows} == want and len(rows) == len(want)
 
 
+def test_names_with_a_common_word_meet_few_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abdefgiklmnoprstuw", k=8))
+    surnames = [word() for _ in range(60)]
+    texts = [(i, "", "", " ".join((["ivan"] if i % 3 == 0 else []) + [rng.choice(surnames) if i % 20 == 0 else word()] + [word() for _ in range(6)])) for i in range(3000)]
+    people = [f"ivan {s}" for s in surnames] + ["ivan", "iv", "the"]
+    want = {(p, i) for p in people for i, _, _, t in texts if (all(w in t for w in p.split()))}
+    profiles = spark.createDataFrame(texts, "id int, username string, full_name string, row_text string")
+    names = spark.createDataFrame([(p,) for p in people], "person string")
+    got = [(r["person"], r["id"]) for r in M.match_people(names, profiles).select("person", "id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    landed = M.profile_texts(profiles.selectExpr("cast(id as string) AS _id", "'' AS _u", "'' AS _f", "row_text AS _t"))
+    met = M.name_candidates(M.name_probes(names, "person"), landed).groupBy(F.col("person").like("% %").alias("two")).count().collect()
+    scored = {r["two"]: r["count"] for r in met}
+    found = sum(" " in p for p, _ in want)
+    # 60 names x 1,000 texts hold the common word
+    assert scored[False] == len(want) - found and found <= scored[True] <= 2 * found + 20, (scored, found)
+
+
 def test_hot_keys_give_the_same_rows_on_any_partitioning(spark):
     rows = [("hot" if i % 3 else f"k{i % 50}", i, f"V{i % 7}" if i % 2 else f"v{i % 7}") for i in range(3000)]
     one = spark.createDataFrame(rows, "k string, p int, v string").coalesce(1)
