@@ -48,15 +48,15 @@ def match_score(target: Column, words: Column, username: Column, full_name: Colu
     )
 
 
-def gram_bits(pieces: Column) -> list[Column]:
-    """The bits of an array of pieces; a text that holds other pieces as well has all bits of these."""
-    hashes = F.transform(pieces, lambda g: F.xxhash64(g))
+def with_gram_bits(df: DataFrame, pieces: str, prefix: str) -> DataFrame:
+    """The bits of an array of pieces in place of the array; an array that holds more has all bits of these."""
+    df = df.withColumn(pieces, F.transform(pieces, lambda g: F.xxhash64(g)))
 
     def word(k: int) -> Column:
         bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(h.bitwiseAND(F.lit(3)) == k, acc.bitwiseOR(bit(h))).otherwise(acc))
+        return F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, h: F.when(h.bitwiseAND(F.lit(3)) == k, acc.bitwiseOR(bit(h))).otherwise(acc))
 
-    return [word(k).alias(f"_b{k}") for k in range(BIT_WORDS)]
+    return df.withColumns({f"{prefix}{k}": word(k) for k in range(BIT_WORDS)}).drop(pieces)
 
 
 def name_probes(people: DataFrame, person: str) -> DataFrame:
@@ -70,7 +70,7 @@ def name_probes(people: DataFrame, person: str) -> DataFrame:
     names = names.withColumn("_held", F.when(F.size("_words") > 0, F.col("_words")).otherwise(F.array("_target")))
     of_words = F.array_distinct(F.flatten(F.transform("_held", lambda w: grams(w, range(GRAM, GRAM + 1)))))
     names = names.withColumn("_long", of_words).withColumn("_need", F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.col("_held")))
-    return names.select("*", *gram_bits(F.col("_long"))).drop("_held", "_long")
+    return with_gram_bits(names.drop("_held"), "_long", "_b")
 
 
 def text_pieces(texts: DataFrame, asked: DataFrame, *more: Column) -> DataFrame:
@@ -99,16 +99,17 @@ def name_candidates(names: DataFrame, texts: DataFrame) -> DataFrame:
     rarest = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
     # one row per possible piece at most, as in text_pieces
     keyed = land(probes.join(F.broadcast(frequency), "_gram", "left").groupBy(*columns).agg(rarest), "names")
-    bits = [f"_b{k}" for k in range(BIT_WORDS)]
-    pieces = text_pieces(texts, keyed.select("_gram").distinct(), *gram_bits(grams(F.col("_payload"), range(GRAM, GRAM + 1)))).withColumnsRenamed({b: "_t" + b for b in bits} | {"_gram": "_piece"})
-    within = [F.col(b).bitwiseAND(F.col("_t" + b)) == F.col(b) for b in bits]
-    return pieces.join(keyed, reduce(lambda a, b: a & b, within, F.col("_gram") == F.col("_piece"))).drop("_gram", "_piece", *bits, *["_t" + b for b in bits])
+    of_name, of_text = ([f"{p}{k}" for k in range(BIT_WORDS)] for p in ("_b", "_tb"))
+    pieces = text_pieces(texts, keyed.select("_gram").distinct(), *map(F.col, of_text)).withColumnRenamed("_gram", "_piece")
+    within = [F.col(b).bitwiseAND(F.col(t)) == F.col(b) for b, t in zip(of_name, of_text)]
+    return pieces.join(keyed, reduce(lambda a, b: a & b, within, F.col("_gram") == F.col("_piece"))).drop("_gram", "_piece", *of_name, *of_text)
 
 
 def profile_texts(rows: DataFrame) -> DataFrame:
-    """(_id, _u, _f, _t, _payload): different texts of profiles, landed."""
+    """(_id, _u, _f, _t, _payload, bits): different texts of profiles, landed."""
     texts = rows.groupBy("_id").agg(*[F.first(c).alias(c) for c in ("_u", "_f", "_t")])
-    return land(texts.withColumn("_payload", F.concat_ws(" ", *[T.empty_to_null(F.col(c)) for c in ("_u", "_f", "_t")])), "profile-texts")
+    texts = texts.withColumn("_payload", F.concat_ws(" ", *[T.empty_to_null(F.col(c)) for c in ("_u", "_f", "_t")]))
+    return land(with_gram_bits(texts.withColumn("_grams", grams(F.col("_payload"), range(GRAM, GRAM + 1))), "_grams", "_tb"), "profile-texts")
 
 
 def match_people(people: DataFrame, profiles: DataFrame, person: str = "person", username: str = "username", full_name: str = "full_name", text: str = "row_text") -> DataFrame:
@@ -120,7 +121,7 @@ def match_people(people: DataFrame, profiles: DataFrame, person: str = "person",
     rows = profiles.withColumns({"_u": name_form(F.col(username)), "_f": name_form(F.col(full_name)), "_t": name_form(F.col(text))})
     rows = rows.withColumn("_id", F.md5(F.concat_ws("\u0001", "_u", "_f", "_t")))
     texts = profile_texts(rows)
-    pairs = lookup_join(name_candidates(name_probes(people, person), texts), texts, ["_id"], "inner", landed=True)
+    pairs = lookup_join(name_candidates(name_probes(people, person), texts), texts.select("_id", "_u", "_f", "_t", "_payload"), ["_id"], "inner", landed=True)
     scored = pairs.withColumn("match_score", match_score(F.col("_target"), F.col("_words"), F.col("_u"), F.col("_f"), F.col("_payload")))
     # other keys than those of the joins around it, so that both can be split
     scored = scored.filter("match_score > 0").select(person, "_id", "match_score").repartition("_id", person)
