@@ -12,6 +12,7 @@ from sitefacts.operators import aggregate as A
 from sitefacts.operators import candidates as N
 from sitefacts.operators import companies as C
 from sitefacts.operators import people as M
+from sitefacts.operators.cells import cell_parts, numbered_values
 from sitefacts.plans.site_profile import site_profile as profile_job
 from sitefacts.session import work_path
 from sitefacts.streaming import jobs as J
@@ -70,6 +71,24 @@ def merge_contact_field(spark, sf):
     return C.merge_contacts(bound(spark, sf, CELLS), "domain", C.CONTACT_CELLS, ["pos"])
 
 
+CONTACT_VALUES = f"""SELECT domain, f, v, row_number() OVER (PARTITION BY domain, f ORDER BY pos, i) AS n FROM (
+    SELECT * FROM (SELECT domain, f, trim(v) AS v, pos, i FROM (SELECT domain, pos, f, unnest(range(len(x))) AS i, unnest(x) AS v FROM
+        (SELECT domain, pos, unnest(['inn','phones','emails']) AS f, string_split(unnest([inn, phones, emails]), ';') AS x FROM {sql_of(CELLS)})) WHERE trim(v) <> '')
+    QUALIFY row_number() OVER (PARTITION BY domain, f, lower(v) ORDER BY pos, i) = 1)"""
+
+
+@query("contact_values", f"SELECT domain, f AS field, n AS value_no, v AS value FROM ({CONTACT_VALUES})")
+def contact_values(spark, sf):
+    rows = C.contact_values(bound(spark, sf, CELLS), "domain", C.CONTACT_CELLS, ["pos"])
+    return numbered_values(rows, ["domain", "field"], [F.col("pos"), F.col("value_pos")]).select("domain", "field", "value_no", "value")
+
+
+@query("contact_parts", f"SELECT domain, f AS field, (n - 1) // 4 + 1 AS part, string_agg(v, '; ' ORDER BY n) AS cell FROM ({CONTACT_VALUES}) GROUP BY ALL")
+def contact_parts(spark, sf):
+    rows = C.contact_values(bound(spark, sf, CELLS), "domain", C.CONTACT_CELLS, ["pos"])
+    return cell_parts(rows, ["domain", "field"], [F.col("pos"), F.col("value_pos")], "value", "cell", 4)
+
+
 @query(
     "first_non_empty",
     f"""SELECT domain, arg_min(source_url, pos) AS source_url, arg_min(source_scope, pos) FILTER (WHERE trim(source_scope) <> '') AS source_scope FROM {sql_of(CELLS)} GROUP BY domain""",
@@ -111,6 +130,17 @@ def group_by_type(spark, sf):
     return rows.select("user_id", "type", F.array_join(text, ", ").alias("entries"))
 
 
+@query(
+    "typed_contact_parts",
+    """SELECT user_id, event_type AS type, (n - 1) // 8 + 1 AS part, string_agg(CAST(event_id AS VARCHAR) || coalesce(':' || CASE WHEN event_id % 2 = 0 THEN props END, ':'), ', ' ORDER BY event_id) AS entries
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) GROUP BY ALL""",
+)
+def typed_contact_parts(spark, sf):
+    df = table(spark, sf, "events").select("user_id", F.col("event_type").alias("type"), "event_id", F.col("event_id").cast("string").alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("label"))
+    text = F.transform("contacts", lambda x: F.concat(x["value"], F.lit(":"), F.coalesce(x["label"], F.lit(""))))
+    return A.typed_contact_parts(df, "user_id", pos="event_id", most=8).select("user_id", "type", "part", F.array_join(text, ", ").alias("entries"))
+
+
 # --- matches -------------------------------------------------------------------------------------
 PERSONS = "SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) WHEN p_partkey % 3 = 1 THEN p_type ELSE concat('the ', substr(p_name, 1, position(' ' IN p_name) - 1)) END AS person FROM {part}"
 PROFILES = define(
@@ -212,6 +242,17 @@ def match_summary(spark, sf):
     return M.match_summary(people, matches(spark, sf), tried)
 
 
+@query(
+    "match_parts",
+    f"""WITH {BEST}, seen AS (SELECT target_person, found_profile_url, min(pos) AS s FROM ranked WHERE status = 'ok' GROUP BY ALL),
+    m AS (SELECT b.target_person, found_username || ' | ' || found_full_name || ' | ' || b.found_profile_url || ' | confidence=' || confidence || ' | query=' || searched_name AS t, row_number() OVER (PARTITION BY b.target_person ORDER BY cr DESC, sc DESC, s) AS n
+        FROM best b JOIN seen ON b.target_person = seen.target_person AND b.found_profile_url = seen.found_profile_url)
+    SELECT target_person, (n - 1) // 3 + 1 AS part, string_agg(t, '; ' ORDER BY n) AS matched_profiles FROM m GROUP BY ALL""",
+)
+def match_parts(spark, sf):
+    return M.match_parts(matches(spark, sf), most=3)
+
+
 # --- summaries -----------------------------------------------------------------------------------
 @query(
     "status_summary",
@@ -255,6 +296,16 @@ def detection_summary(spark, sf):
     return df.withColumn("confidences", F.array_join(F.transform("confidences", lambda c: F.round(c * 10000).cast("bigint").cast("string")), ","))
 
 
+@query(
+    "detection_parts",
+    f"""SELECT image, (n - 1) // 4 + 1 AS part, string_agg(CAST(CAST(round(c * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY c DESC) AS confidences
+    FROM (SELECT image, round(confidence, 4) AS c, row_number() OVER (PARTITION BY image ORDER BY round(confidence, 4) DESC) AS n FROM {sql_of(HITS)} WHERE label = 3 AND confidence >= 0.25) GROUP BY ALL""",
+)
+def detection_parts(spark, sf):
+    df = A.detection_parts(bound(spark, sf, HITS), "image", "label", "confidence", 3, 0.25, 4)
+    return df.withColumn("confidences", F.array_join(F.transform("confidences", lambda c: F.round(c * 10000).cast("bigint").cast("string")), ","))
+
+
 @query("detection_totals", f"SELECT count(DISTINCT image) AS images, count(DISTINCT CASE WHEN label = 3 AND confidence >= 0.25 THEN image END) AS images_with_hits FROM {sql_of(HITS)}")
 def detection_totals(spark, sf):
     return A.detection_totals(A.detection_summary(bound(spark, sf, HITS), "image", "label", "confidence", 3, 0.25))

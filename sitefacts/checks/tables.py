@@ -13,6 +13,7 @@ from sitefacts.operators import urls as O
 from sitefacts.plans import company_store as CS
 from sitefacts.session import work_path
 from sitefacts.sources import tables as S
+from sitefacts.sources.sites import SiteStore
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
@@ -139,6 +140,21 @@ def write_per_site(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "site_store",
+    """WITH s AS (SELECT *, s_nationkey % 3 = 0 AND bool_or(s_suppkey % 2 = 1) OVER (PARTITION BY s_nationkey) AS again FROM supplier)
+    SELECT s_suppkey, CASE WHEN again THEN s_name ELSE 'old' END AS s_name, CASE WHEN s_nationkey <> 6 THEN 'n' || s_nationkey || '.example.com' END AS domain FROM s WHERE NOT again OR s_suppkey % 2 = 1""",
+)
+def site_store(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.when(F.col("s_nationkey") != 6, F.concat(F.lit("n"), "s_nationkey", F.lit(".example.com"))).alias("domain"))
+    first = df.select("s_suppkey", F.lit("old").alias("s_name"), "domain")
+    store = SiteStore(spark, work_path(spark, "site-store"), first.schema)
+    store.write(first)
+    # a second import of every third site, with some of its rows gone
+    store.write(df.where("s_nationkey % 3 = 0 AND s_suppkey % 2 = 1"))
+    return store.read()
+
+
 # --- keyed writes and imports --------------------------------------------------------------------
 @query(
     "append_unique",

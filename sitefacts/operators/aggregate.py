@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions.blocks import WIDTH, forward_fill, neighbours, numbered, with_lookahead
+from sitefacts.operators.cells import PART_VALUES, cell_parts
 from sitefacts.operators.first import top_per_key
 
 MEMBER_FIELDS = ("member_name", "member_username", "member_public_url", "member_web_public_url", "member_status", "member_role", "member_is_admin")
@@ -39,6 +40,12 @@ def contacts_by_type(contacts: DataFrame, profile: str, kind: str = "type", valu
     return lists.groupBy(profile).agg(F.map_from_entries(F.collect_list(F.struct(kind, "_l"))).alias("contacts"))
 
 
+def typed_contact_parts(contacts: DataFrame, profile: str, kind: str = "type", value: str = "value", label: str = "label", pos: str = "pos", most: int = PART_VALUES) -> DataFrame:
+    """(profile, type, part, contacts): as ``contacts_by_type``, with ``most`` contacts of a type in a row at most."""
+    pairs = contacts.withColumn("_pair", F.struct(F.col(value).alias("value"), F.col(label).alias("label")))
+    return cell_parts(pairs, [profile, kind], [F.col(pos)], "_pair", "contacts", most, None)
+
+
 def status_summary(df: DataFrame, status: str, declared: Sequence[str] | None = None) -> DataFrame:
     """(position, status, n, share): rows and percentage per status; statuses without rows are left out."""
     counts = df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
@@ -74,6 +81,12 @@ def detection_summary(detections: DataFrame, image: str, label: str, confidence:
     )
 
 
+def detection_parts(detections: DataFrame, image: str, label: str, confidence: str, wanted: object, least: float = 0.0, most: int = PART_VALUES) -> DataFrame:
+    """(image, part, confidences): the confidences of ``detection_summary``, best first, ``most`` in a row at most."""
+    hits = detections.filter((F.col(label) == F.lit(wanted)) & (F.col(confidence) >= least)).select(image, F.round(confidence, 4).alias("_c"))
+    return cell_parts(hits, [image], [-F.col("_c")], "_c", "confidences", most, None)
+
+
 def detection_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count("*").alias("images"), F.count_if("found").alias("images_with_hits"))
 

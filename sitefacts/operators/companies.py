@@ -24,6 +24,18 @@ def ordered_distinct(df: DataFrame, group: Sequence[str], col: str, pos: Sequenc
     return first_per_key(rows, [*group, F.lower(out)], list(pos))
 
 
+def contact_values(df: DataFrame, company: str, fields: Sequence[str], pos: Sequence[str]) -> DataFrame:
+    """(company, field, value, pos, value_pos): the values of ``merge_contacts`` as rows, first spelling and place.
+
+    ``operators.cells`` numbers them or cuts them into cell parts, for companies with any number of values.
+    """
+    names = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("cell")) for c in fields])
+    rows = df.select(company, *pos, F.explode(names).alias("_c"))
+    parts = F.filter(F.transform(F.split(T.text_of("_c.cell"), ";"), T.strip), lambda v: v != "")
+    rows = rows.select(company, F.col("_c.f").alias("field"), *pos, F.posexplode(parts).alias("value_pos", "value"))
+    return first_per_key(rows, [company, "field", F.lower("value")], [*pos, "value_pos"])
+
+
 def merge_contacts(df: DataFrame, company: str, fields: Sequence[str], pos: Sequence[str]) -> DataFrame:
     """(company, one joined cell per field): parts of all cells, distinct without regard to case.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions import text as T
 from sitefacts.functions.joins import lookup_join
+from sitefacts.operators.cells import PART_VALUES, cell_parts
 from sitefacts.operators.candidates import person_parts, variants
 from sitefacts.operators.first import collect_ordered, first_per_key
 from sitefacts.session import land
@@ -178,8 +179,8 @@ def sort_matches(best: DataFrame, person: str = "target_person", profile: str =
     return best.orderBy(F.col(person).desc(), rank, score, F.col(profile).desc())
 
 
-def match_summary(people: DataFrame, rows: DataFrame, queries: DataFrame, person: str = "target_person", profile: str = "found_profile_url", pos: str = "pos") -> DataFrame:
-    """One row per person: found or not, how many profiles, the matches best first, the queries tried."""
+def match_lines(rows: DataFrame, person: str = "target_person", profile: str = "found_profile_url", pos: str = "pos") -> DataFrame:
+    """(person, _rank, _score, _seen, _line): the matches of ``match_summary`` as rows, with their order."""
     rank, score = match_rank()
     best = best_match(rows, person, profile, pos)
     first_seen = rows.filter(F.col("status") == "ok").groupBy(person, profile).agg(F.min(pos).alias("_seen"))
@@ -188,7 +189,17 @@ def match_summary(people: DataFrame, rows: DataFrame, queries: DataFrame, person
         " | ", T.text_of("found_username"), T.text_of("found_full_name"), F.col(profile),
         F.concat(F.lit("confidence="), T.text_of("confidence")), F.concat(F.lit("query="), T.text_of("searched_name")),
     )
-    best = best.withColumn("_line", shown)
+    return best.withColumn("_line", shown).select(person, "_rank", "_score", "_seen", "_line")
+
+
+def match_parts(rows: DataFrame, person: str = "target_person", profile: str = "found_profile_url", pos: str = "pos", most: int = PART_VALUES) -> DataFrame:
+    """(person, part, matched_profiles): the matches of ``match_summary``, best first, ``most`` in a row at most."""
+    return cell_parts(match_lines(rows, person, profile, pos), [person], [F.col(c) for c in ("_rank", "_score", "_seen")], "_line", "matched_profiles", most)
+
+
+def match_summary(people: DataFrame, rows: DataFrame, queries: DataFrame, person: str = "target_person", profile: str = "found_profile_url", pos: str = "pos") -> DataFrame:
+    """One row per person: found or not, how many profiles, the matches best first, the queries tried."""
+    best = match_lines(rows, person, profile, pos)
     counted = best.groupBy(person).agg(F.count("*").alias("_n"))
     lines = collect_ordered(best, [person], ["_rank", "_score", "_seen"], "_line", "matched_profiles")
     tried = collect_ordered(queries, [person], ["query_pos"], "query", "queries_checked")

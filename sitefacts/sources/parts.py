@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,16 +112,20 @@ class PartStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def write(self, rows: DataFrame) -> dict[int, str]:
-        """Writes rows with a column PART to new folders; gives the folder of each part that has rows."""
+    def write(self, rows: DataFrame, order: Sequence[str] = ()) -> dict[int, str]:
+        """Writes rows with a column PART to new folders, files sorted by ``order``; gives the folder of each part that has rows."""
         name = f"data/{uuid.uuid4().hex}"
-        rows.hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(f"{self.root}/{name}")
+        rows = rows.hint("rebalance", F.col(PART))
+        rows = rows.sortWithinPartitions(PART, *order) if order else rows
+        rows.write.partitionBy(PART).parquet(f"{self.root}/{name}")
         made = self.fs.globStatus(self.path(f"{name}/{PART}=*")) or []
         return {int(p.rpartition("=")[2]): f"{name}/{p}" for p in (s.getPath().getName() for s in made)}
 
-    def append(self, rows: DataFrame, state: Manifest, version: int, fold: Callable[[DataFrame], DataFrame] | None = None) -> Manifest:
+    def append(self, rows: DataFrame, state: Manifest, version: int, fold: Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] = (), replay: bool = True) -> Manifest:
         """Commits ``state`` and the rows (with a column PART) as ``version``; replaying a version gives the same state.
 
+        Without ``replay`` a version that exists is a conflict.
+
         Parts whose folders have to be merged are read and written with their new rows; ``fold`` may
         combine the rows of such a part, PART included.
         """
@@ -135,14 +139,14 @@ class PartStore:
         own = [c for c in rows.columns if c != PART]
         if merged:
             rows = self._with_merged(rows, own, merged, fold)
-        written = self.write(rows)
+        written = self.write(rows, order)
         parts = dict(state.parts)
         for part, (taken, _) in merged.items():
             parts[part] = [f for f in parts[part] if f not in taken]
         for part, folder in written.items():
             parts[part] = [*parts.get(part, []), (folder, merged[part][1] if part in merged else 0)]
         made = Manifest(version, state.n_parts, {p: v for p, v in parts.items() if v})
-        self.commit(made, replay=True)
+        self.commit(made, replay)
         return made
 
     def _with_merged(self, rows: DataFrame, own: list[str], merged: dict[int, tuple[list[Folder], int]], fold) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions.joins import lookup_join
 from sitefacts.operators import companies as C
+from sitefacts.operators.cells import cell_parts, numbered_values
 from sitefacts.plans import company_store as CS
 from sitefacts.plans import import_flow
 from sitefacts.session import work_path
 from sitefacts.sources.parts import PART, Manifest, PartStore, StoreConflict
+from sitefacts.sources.sites import SiteStore
 from sitefacts.streaming import jobs as J
 
 KIND = "id long"
@@ -188,3 +190,73 @@ def test_null_keys(spark):
     right = spark.createDataFrame([(None, "n"), ("a", "A")], "k string, y string")
     got = lambda **o: sorted((r["x"], r["y"]) for r in lookup_join(left, right, ["k"], **o).collect())
     assert got() == [(1, None), (2, "A")] and got(null_safe=True) == [(1, "n"), (2, "A")]
+
+
+SITE = "domain string, v int"
+
+
+def site_rows(spark, said):
+    return spark.createDataFrame([(s, v) for s, vs in said.items() for v in vs], SITE)
+
+
+def test_sites_are_replaced_one_by_one(spark):
+    root, schema = work_path(spark, "sites"), site_rows(spark, {"a": [1]}).schema
+    store = SiteStore(spark, root, schema, n_parts=4)
+    assert store.read().count() == 0 and store.read_sites(["a"]).count() == 0
+    store.store.most = 3
+    want = {}
+    for k in range(12):
+        said = {f"s{i}.ru": [100 * k + i, 100 * k + i] for i in range(40) if (i + k) % 5 == 0} | {None: [k], f"only{k}.ru": [k]}
+        store.write(site_rows(spark, said).withColumn("more", F.lit(1)))
+        want |= said
+    flat = lambda df: sorted(((r["domain"] or "", r["v"]) for r in df.collect()))
+    wanted = sorted((s or "", v) for s, vs in want.items() for v in vs)
+    assert flat(store.read()) == wanted
+    assert flat(SiteStore(spark, root, schema).read_sites(["s3.ru", None, "none.ru"])) == sorted((s or "", v) for s in ("s3.ru", None) for v in want[s])
+    assert {(r["domain"], r["n"]) for r in store.sites().collect()} == {(s, len(v)) for s, v in want.items()}
+    # what a write lists does not grow with the sites or the writes, and merged folders hold no replaced rows
+    current = store.store.current()
+    assert all(len(f) <= 2 * 4 for f in current.parts.values())
+    assert store.store.read(store.schema).count() < 12 * 18
+    # one site is read from its part alone
+    files = [f for f in store.read_sites(["s3.ru"]).inputFiles() if "key_part=" in f]
+    assert files and len({f.split("key_part=")[1].split("/")[0] for f in files}) == 1
+
+
+def test_a_killed_site_write_leaves_the_state_before_it(spark, monkeypatch):
+    store = SiteStore(spark, work_path(spark, "sites"), site_rows(spark, {"a": [1]}).schema, n_parts=4)
+    store.write(site_rows(spark, {"a": [1, 1], "b": [2]}))
+    late = SiteStore(spark, store.store.root, site_rows(spark, {"a": [1]}).schema)
+    commit = PartStore.commit
+
+    def killed(self, *args):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(PartStore, "commit", killed)
+    with pytest.raises(RuntimeError):
+        store.write(site_rows(spark, {"a": [9]}))
+    monkeypatch.setattr(PartStore, "commit", commit)
+    assert sorted(r["v"] for r in store.read().collect()) == [1, 1, 2]
+    before = late.store.current()
+    store.write(site_rows(spark, {"b": [3]}))
+    monkeypatch.setattr(late.store, "current", lambda *a: before)
+    with pytest.raises(StoreConflict):
+        late.write(site_rows(spark, {"b": [4]}))
+    assert sorted(r["v"] for r in store.read().collect()) == [1, 1, 3]
+
+
+def test_values_of_a_hot_key_are_cut_into_parts(spark, hot):
+    n = 40_000
+    rows = spark.range(n).selectExpr("if(id % 4 < 3, null, concat('k', id % 50)) AS k", "id * 7 % 40000 AS p", "concat('v', id * 7 % 40000) AS v")
+    parts = cell_parts(rows, ["k"], [F.col("p")], "v", "cell", most=500).collect()
+    values = {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        values.setdefault(r["k"], []).append(r["cell"].split("; "))
+    assert all(len(x) == 500 for cells in values.values() for x in cells[:-1]) and len(values) == len({r["k"] for r in rows.select("k").distinct().collect()})
+    for k, cells in values.items():
+        got = [int(v[1:]) for cell in cells for v in cell]
+        assert got == sorted(got)
+    assert sum(len(c) for cells in values.values() for c in cells) == n
+    most, _, total = shares(numbered_values(rows, ["k"], [F.col("p")]))
+    assert total == n and most <= n / 4  # three quarters of all rows have one key
+    assert cell_parts(rows.limit(0), ["k"], [F.col("p")], "v", "cell").count() == 0
