@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from sitefacts import vocab
 from sitefacts.functions import text as T
 from sitefacts.functions import urls as U
+from sitefacts.functions.html import html_elements
+from sitefacts.operators import booking
 from sitefacts.operators.companies import claim_domains
+from sitefacts.operators.first import first_per_key
 from sitefacts.operators.pages import external_links
 from sitefacts.operators.urls import apply_redirects, with_link_kind, with_site_origin, with_url_host
-from sitefacts.sources.tables import route_links
+from sitefacts.sources.tables import append_unique, land, route_links
 
 STATUS = ("firm_id", "site_url", "stage", "status", "details", "updated_at")
 
@@ -46,6 +49,17 @@ def crawled_links(pages: DataFrame, targets: DataFrame, short_links: DataFrame,
     return route_links(links.withColumn("source", F.lit("site_crawl")), "firm_id", "link_url", order=("page_id", "pos"), stored=stored)
 
 
+def crawled_bookings(pages: DataFrame, targets: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Booking features of the crawled sites, once per firm and site; ``stored`` holds what earlier runs wrote."""
+    firms = targets.filter("status = 'queued'").select("firm_id", "site_url")
+    wanted = pages.join(firms.select("site_url").distinct(), "site_url", "left_semi")
+    elements = land(html_elements(wanted, keep=["site_url", "page_id", "url"], tags=booking.ELEMENT_TAGS), "elements")
+    features = booking.booking_features(booking.booking_evidence(elements, "site_url"), "site_url", wanted.select("site_url").distinct())
+    rows = firms.join(features, "site_url").select("firm_id", *features.columns)
+    keys = ["firm_id", "site_url"]
+    return first_per_key(rows, keys, keys) if stored is None else append_unique(stored, rows, keys, keys)
+
+
 def crawl_status(counts: DataFrame, targets: DataFrame, details_chars: int | None = 1200) -> DataFrame:
     """Success rows of the read sites, with their numbers as details (``counts`` is by ``site_counts``)."""
     links = F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefacts.functions.html import html_elements
 from sitefacts.operators import booking, companies, pages as page_jobs, prices, staff
 from sitefacts.operators.first import first_per_key, top_per_key
 from sitefacts.operators.urls import canonical_profile_url, profile_handle, with_domain_slug, with_site_key, with_site_origin
+from sitefacts.sources.sites import PARTS, SiteStore
 from sitefacts.sources.tables import land
 
 FIRM = ("firm_id", "company_name", "address_name")
@@ -22,14 +23,17 @@ def firm_site_list(firms: DataFrame, raw_site: str, pos: str, max_sites: int | N
     return rows if max_sites is None else top_per_key(rows, ["firm_id"], [F.col(pos)], max(1, max_sites))
 
 
-def lead_tables(firms: DataFrame, pages: DataFrame, company_table: DataFrame, raw_site: str = "site_url", pos: str = "pos", *, max_sites: int | None, markdown: str | None = None, title: str | None = None) -> dict[str, DataFrame]:
+def lead_tables(firms: DataFrame, pages: DataFrame, company_table: DataFrame, raw_site: str = "site_url", pos: str = "pos", *, max_sites: int | None, markdown: str | None = None, title: str | None = None, done: DataFrame | None = None) -> dict[str, DataFrame]:
     """companies, pricing, specialists, bookings, instagram and telegram rows of all firms.
 
     ``pages`` holds site, page_id, url and html, and may hold a title and markdown, which then count for
     contacts, prices and people; ``company_table`` holds site, inn and pos. Pages are parsed once and
     the elements written, since five jobs read them. ``max_sites`` is the caller's choice, None is all.
+    Sites in ``done`` are left out once each firm's sites have been chosen.
     """
     sites = firm_site_list(firms, raw_site, pos, max_sites)
+    if done is not None:
+        sites = sites.join(done.select("site").distinct(), "site", "left_anti").select(*sites.columns)
     wanted = pages.join(sites.select("site").distinct(), "site", "left_semi")
     elements = land(html_elements(wanted, keep=["site", "page_id", "url"], tags=TAGS), "elements")
     contacts = page_jobs.extract_contacts(wanted, "site", elements, markdown=markdown)
@@ -58,3 +62,21 @@ def lead_tables(firms: DataFrame, pages: DataFrame, company_table: DataFrame, ra
         "instagram": attach(profile_handle(social("instagram_url"), "instagram_url", "instagram"), "firm_id", "company_name"),
         "telegram": attach(profile_handle(social("telegram_url"), "telegram_url", "telegram"), "firm_id", "company_name"),
     }
+
+
+def store_leads(spark: SparkSession, root: str, firms: DataFrame, pages: DataFrame, company_table: DataFrame, n_parts: int = PARTS, **options) -> dict[str, SiteStore]:
+    """Writes the lead tables of the sites that no earlier run has finished, a site store per table.
+
+    A site is done when its pages were read and all its tables are written; that is noted last, so a run
+    that is killed repeats its sites, and their rows are replaced, not doubled. Sites without pages stay open.
+    """
+    done = SiteStore(spark, f"{root}/done", spark.createDataFrame([], "site string").schema, "site", n_parts)
+    finished = land(done.sites().select("site"), "done")
+    tables = lead_tables(firms, pages, company_table, done=finished, **options)
+    stores = {name: SiteStore(spark, f"{root}/{name}", df.schema, "site", n_parts) for name, df in tables.items()}
+    for name, df in tables.items():
+        stores[name].write(df)
+    chosen = stores["companies"].read().select("site").distinct()
+    read = pages.select("site").distinct().join(chosen, "site", "left_semi").join(finished, "site", "left_anti")
+    done.write(read)
+    return stores

@@ -1,7 +1,11 @@
 """Whole flows and streams on small fixtures."""
 
+import pytest
+
 from sitefacts.plans import crawl_flow, import_flow, lead_flow
 from sitefacts.session import work_path
+from sitefacts.sources.sites import SiteStore
+from sitefacts.sources.tables import write_links
 from sitefacts.streaming import jobs as J
 
 HTML = """<html><head><title>Клиника</title></head><body><header><a href="https://instagram.com/clinic.one/?x=1">i</a></header>
@@ -27,6 +31,33 @@ def test_lead_flow(spark):
     assert [(r["scope"], r["telegram_url"], r["web_url"]) for r in out["telegram"]] == [("footer", "https://t.me/clinic_one", "https://web.telegram.org/k/#@clinic_one")]
 
 
+def test_leads_are_stored_by_site_and_resumed(spark, monkeypatch):
+    root = work_path(spark, "leads")
+    firm = "firm_id string, company_name string, address_name string, site_url string, pos int"
+    firms = spark.createDataFrame([("f1", "One", "Street", "one.ru", 1), ("f2", "Two", "", "two.ru", 2), ("f2", "Two", "", "three.ru", 3)], firm)
+    table = spark.createDataFrame([("two.ru", "770123456789", 1)], "site string, inn string, pos int")
+    more = spark.createDataFrame([("https://two.ru/", 3, "https://two.ru/", HTML)], "site string, page_id int, url string, html string")
+    write = SiteStore.write
+
+    def killed(self, rows):
+        if self.store.root.endswith("/bookings"):
+            raise RuntimeError("killed")
+        return write(self, rows)
+
+    monkeypatch.setattr(SiteStore, "write", killed)
+    run = lambda p: lead_flow.store_leads(spark, root, firms, p, table, n_parts=4, max_sites=1)
+    with pytest.raises(RuntimeError):
+        run(pages(spark))
+    monkeypatch.setattr(SiteStore, "write", write)
+    for p in (pages(spark), pages(spark).unionByName(more), pages(spark).unionByName(more)):
+        stores = run(p)
+    got = {k: sorted(r["site"] for r in s.read().collect()) for k, s in stores.items()}
+    one, two = "https://one.ru/", "https://two.ru/"
+    assert got == {"companies": [one, two], "pricing": [one, one, two], "specialists": [one, two], "bookings": [one, two], "instagram": [one, two], "telegram": [one, two]}
+    # site one was written by the killed run and the first whole one, site two until it had pages
+    assert {r["site"]: r["version"] for r in stores["pricing"].sites().collect()} == {one: 1, two: 2}
+
+
 def test_crawl_flow(spark):
     cards = spark.createDataFrame(
         [("f1", 1, 1, "one.ru"), ("f1", 1, 2, "https://clck.ru/a"), ("f1", 1, 3, "https://clck.ru/lost"), ("f2", 2, 4, "https://shop.one.ru"), ("f3", 3, 5, "https://t.me/x"), ("f3", 3, 6, "https://x.jivo.chat")],
@@ -47,6 +78,15 @@ def test_crawl_flow(spark):
         ("social", "f1", "https://instagram.com/clinic.one?x=1"), ("other", "f1", "https://instagram.com/clinic.one?x=1"),
     }
     assert crawl_flow.crawled_links(pages(spark, "site_url"), targets, short, links).count() == 0
+    path = work_path(spark, "links")
+    write_links(links, path)
+    assert {(r["sink"], r["firm_id"], r["link_url"]) for r in spark.read.parquet(path).collect()} == found
+    booked = crawl_flow.crawled_bookings(pages(spark, "site_url"), targets)
+    assert [(r["firm_id"], r["site_url"], r["booking_mode"], r["booking_widget_provider"]) for r in booked.collect()] == [("f1", "https://one.ru/", "form+widget", "yclients")]
+    assert crawl_flow.crawled_bookings(pages(spark, "site_url"), targets, booked).count() == 0
+    counts = spark.sql("SELECT 'https://one.ru/' AS site_url, 2 AS pages, 1 AS prices, 1 AS specialists, 2 AS contacts, 'form' AS booking_mode, map('vk', 1) AS links")
+    status = crawl_flow.crawl_status(counts, targets).collect()
+    assert [(r["firm_id"], r["stage"], r["status"], r["details"]) for r in status] == [("f1", "crawl", "success", "pages=2 prices=1 specialists=1 contacts=2 booking=form links={vk: 1}")]
 
 
 def test_import_flow(spark):
