@@ -11,7 +11,7 @@ from sitefacts.checks.urls import FIELD, KINDS, LINKS, SHARE
 from sitefacts.operators import companies as C
 from sitefacts.operators import urls as O
 from sitefacts.plans import company_store as CS
-from sitefacts.session import work_path
+from sitefacts.session import land, work_path
 from sitefacts.sources import tables as S
 from sitefacts.sources.sites import SiteStore
 
@@ -186,6 +186,20 @@ def route_links(spark, sf):
     return S.route_links(links, "firm_id", "link_url").select("sink", "pos", "firm_id", "link_url", "kind", "source")
 
 
+@query(
+    "write_links",
+    f"""WITH {KINDS}, r AS (SELECT pos, firm_id, link_url, kind, unnest(CASE WHEN kind IN ('video','social') THEN [kind, 'other'] ELSE [kind] END) AS sink FROM kinds WHERE kind IS NOT NULL)
+    SELECT DISTINCT sink, firm_id, link_url FROM r""",
+)
+def write_links(spark, sf):
+    links = land(O.with_link_kind(bound(spark, sf, "links_in", costly=True), "raw_url").withColumn("source", F.lit("site_crawl")), "links")
+    path = work_path(spark, "sinks")
+    S.write_links(S.route_links(links.where("pos % 2 = 0"), "firm_id", "link_url"), path)
+    # a second run meets all links, and adds what the first has not stored
+    S.write_links(S.route_links(links, "firm_id", "link_url", stored=spark.read.parquet(path)), path)
+    return spark.read.parquet(path).select("sink", "firm_id", "link_url")
+
+
 @query(
     "upsert_companies",
     """SELECT coalesce(a.domain, b.domain) AS domain, CASE WHEN coalesce(b.has_contacts, false) THEN b.phones ELSE a.phones END AS phones FROM
