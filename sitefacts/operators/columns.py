@@ -17,8 +17,8 @@ def with_compact(df: DataFrame, col: str, out: str = "compact", variant: str = "
     return df.withColumn(out, form(T.text_of(col)))
 
 
-def with_plain_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
-    return df.withColumn(out, T.plain_text(F.col(html)))
+def with_plain_text(df: DataFrame, html: str, out: str = "text", closed: bool = False) -> DataFrame:
+    return df.withColumn(out, T.plain_text(F.col(html), closed))
 
 
 def with_any_hint(df: DataFrame, col: str, words: Sequence[str], out: str = "has_hint") -> DataFrame:

@@ -41,6 +41,13 @@ def test_every_entity(spark):
     assert values(spark, rows, T.unescape(F.col("v"))) == [unescape(r) for r in rows]
 
 
+def test_closed_entities(spark):
+    rows = ["Fish &amp; Chips&amp", "&ampx; &copy &copy; &#39 &#39; &amp;lt; &notit;", "&&amp;&amp", "no", "&middot;&unknown;"]
+    want = ["Fish & Chips&amp", "&ampx; &copy © &#39 ' &lt; &notit;", "&&&amp", "no", "·&unknown;"]
+    assert values(spark, rows, T.unescape(F.col("v"), closed=True)) == want
+    assert values(spark, rows, T.plain_text(F.col("v"), closed=True)) == want
+
+
 def test_hosts_outside_ascii(spark):
     df = spark.createDataFrame([("https://www.Клиника.рф/путь#x",), ("http://xn--80apgfc0a.xn--p1ai:8080/",)], "u string")
     rows = O.explode_domain_keys(O.with_display_url(O.with_site_origin(df, "u"), "u"), "u").collect()
