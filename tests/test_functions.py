@@ -48,6 +48,12 @@ def test_closed_entities(spark):
     assert values(spark, rows, T.plain_text(F.col("v"), closed=True)) == want
 
 
+def test_closed_entities_of_pages(spark):
+    rows = ["<title>Fish &amp</title><p>a &lt;b &copy</p>"]
+    assert values(spark, rows, visible_text(F.col("v"))) == ["Fish & a <b ©"]
+    assert values(spark, rows, visible_text(F.col("v"), closed=True)) == ["Fish &amp a <b &copy"]
+
+
 def test_hosts_outside_ascii(spark):
     df = spark.createDataFrame([("https://www.Клиника.рф/путь#x",), ("http://xn--80apgfc0a.xn--p1ai:8080/",)], "u string")
     rows = O.explode_domain_keys(O.with_display_url(O.with_site_origin(df, "u"), "u"), "u").collect()
