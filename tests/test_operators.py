@@ -12,6 +12,7 @@ from sitefacts.operators import aggregate as A
 from sitefacts.operators import candidates as N
 from sitefacts.operators import columns as K
 from sitefacts.operators import companies as C
+from sitefacts.operators import pages as P
 from sitefacts.operators import people as M
 from sitefacts.operators import prices as R
 from sitefacts.operators import registry as G
@@ -32,6 +33,13 @@ def test_addresses_of_one_person(spark):
     assert addresses(spark, "not a domain", "Иванов", "Иван") == []
 
 
+def test_cut_entities_in_titles_and_texts(spark):
+    df = spark.createDataFrame([("# A", "<title>Fish &amp; Chips&amp</title><p>x &copy</p>")], "markdown string, html string")
+    assert P.with_title(df, closed=True).first()["title"] == "Fish & Chips&amp"
+    assert P.with_title(df).first()["title"] == "Fish & Chips&"
+    assert P.with_page_text(df, markdown="markdown", closed=True).first()["page_text"] == "# A Fish & Chips&amp x &copy"
+
+
 def test_spellings_are_the_cut_product(spark):
     names = ["Щукин", "Юлия-Яна", "Хрыц", "O'Neil", "Гегегегегегегег", "ъь"]
     for most in (1, 3, 8):
