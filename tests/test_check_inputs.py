@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from sitefacts.bindings import bound, sql_of
@@ -36,3 +37,9 @@ def test_whole_parts_of_numbers_are_alike_in_both_engines(spark, tmp_path):
         want = sorted(con.sql(f"SELECT c_custkey, raw FROM {sql_of(columns.NUMBERS)}").fetchall())
     assert sorted(tuple(r) for r in bound(spark, str(tmp_path), columns.NUMBERS).select("c_custkey", "raw").collect()) == want
     assert (12855, "-2,11") in want
+
+
+@pytest.mark.parametrize("name", ["email_candidates_many"])
+def test_costly_rows_come_in_as_many_tasks_as_shuffles_have(spark, name):
+    rows = entry.queries()[name](spark, SF)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
