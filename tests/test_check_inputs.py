@@ -39,7 +39,7 @@ def test_whole_parts_of_numbers_are_alike_in_both_engines(spark, tmp_path):
     assert (12855, "-2,11") in want
 
 
-@pytest.mark.parametrize("name", ["email_candidates_many", "email_candidates"])
+@pytest.mark.parametrize("name", ["email_candidates_many", "email_candidates", "render_pattern"])
 def test_costly_rows_come_in_as_many_tasks_as_shuffles_have(spark, name):
     rows = entry.queries()[name](spark, SF)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
