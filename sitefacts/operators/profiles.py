@@ -20,11 +20,12 @@ def firm_sites(cards: DataFrame, firm: str, html: str, prefixes: Sequence[str] =
     starts = "|".join(re.escape(p) for p in prefixes)
     pattern = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']\s*(?:{starts})[^\"']*[\"'][^>]*>([^<]*)</a\s*>"
     rows = cards.select(firm, F.posexplode(F.regexp_extract_all(T.text_of(html), F.lit(pattern), F.lit(1))).alias("pos", "_t"))
-    shown = F.lower(T.strip(T.unescape(F.col("_t"))))
-    host = F.when(F.contains(shown, F.lit("://")), F.regexp_extract(shown, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)).otherwise(
+    host = lambda shown: F.when(F.contains(shown, F.lit("://")), F.regexp_extract(shown, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)).otherwise(
         T.strip(F.substring_index(shown, "/", 1))
     )
-    rows = rows.withColumn("site_host", F.regexp_replace(host, r"\.+$", "")).filter(valid_fqdn(F.col("site_host")))
+    # the host is read many times by the filter, so both are worked out in one value and the texts in another
+    found = T.let(F.lower(T.strip(T.unescape(F.col("_t")))), lambda shown: F.regexp_replace(host(shown), r"\.+$", ""))
+    rows = rows.withColumn("site_host", T.let(found, lambda h: F.when(valid_fqdn(h), h))).filter("site_host IS NOT NULL")
     return first_per_key(rows.drop("_t"), [firm, "site_host"], ["pos"])
 
 

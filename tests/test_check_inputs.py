@@ -43,3 +43,8 @@ def test_whole_parts_of_numbers_are_alike_in_both_engines(spark, tmp_path):
 def test_costly_rows_come_in_as_many_tasks_as_shuffles_have(spark, name):
     rows = entry.queries()[name](spark, SF)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["firm_sites"])
+def test_costly_rows_are_dealt_out_before_they_are_read(spark, name):
+    assert "Repartition " in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
