@@ -45,6 +45,6 @@ def test_costly_rows_come_in_as_many_tasks_as_shuffles_have(spark, name):
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("name", ["firm_sites", "registry_address"])
+@pytest.mark.parametrize("name", ["firm_sites", "registry_address", "registry_lines"])
 def test_costly_rows_are_dealt_out_before_they_are_read(spark, name):
     assert "Repartition " in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
