@@ -160,12 +160,24 @@ def label_form(text: Column) -> Column:
     return F.translate(T.compact(F.lower(text)), "`’", "''")
 
 
-FORM = "_form"
+FORM, LABELS = "_form", "_labels"
 
 
 def with_form(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
-    """Non-blank lines with the form that labels are compared in, worked out once per line."""
-    return lines.select(doc, pos, text, label_form(F.col(text)).alias(FORM)).filter(f"{FORM} <> ''")
+    """Non-blank lines with the form that labels are compared in and the sections whose labels they open with (NULL: none).
+
+    Lines that have both pass as they are, so a caller may land them and have them worked out once per line.
+    """
+    if FORM in lines.columns:
+        return lines
+    rows = lines.select(doc, pos, text, label_form(F.col(text)).alias(FORM)).filter(f"{FORM} <> ''")
+    named = F.array_compact(F.array(*[F.when(opens_with(F.col(FORM), aliases), F.lit(k)) for k, aliases in vocab.SECTION_LABELS.items()]))
+    return rows.withColumn(LABELS, F.when(opens_with(F.col(FORM), ALL_ALIASES), named))
+
+
+def opens_section(*keys: str) -> Column:
+    """True on lines of ``with_form`` that open with a label of any of the sections."""
+    return F.coalesce(F.arrays_overlap(F.col(LABELS), T.literals(keys)), F.lit(False))
 
 
 def opens_with(form: Column, aliases: Iterable[str]) -> Column:
@@ -187,9 +199,7 @@ def section_values(lines: DataFrame, keys: Sequence[str] = PLAIN_KEYS, doc: str
     t, form = F.col(text), F.col(FORM)
     rows = with_form(lines, doc, pos, text)
     ends = t.startswith(vocab.PAGE_FOOTER_START) | form.isin(*vocab.REVENUE_STOPS)
-    rows = rows.withColumn("_label", opens_with(form, ALL_ALIASES))
-    named = F.array_compact(F.array(*[F.when(opens_with(form, vocab.SECTION_LABELS[k]), F.lit(k)) for k in keys]))
-    rows = rows.withColumns({"_any": F.col("_label") | ends, "_keys": F.when(F.col("_label"), named)})
+    rows = rows.withColumns({"_any": F.col(LABELS).isNotNull() | ends, "_keys": F.filter(LABELS, lambda k: k.isin(*keys))})
     # one pass for all keys: every line belongs to the segment that the last label or stop opened
     rows = forward_fill(rows, [doc], pos, F.when(F.col("_any"), F.col(pos)), "_seg", width)
     first = rows.select(doc, F.explode("_keys").alias("key"), F.col(pos).alias("_seg")).groupBy(doc, "key").agg(F.min("_seg").alias("_seg"))
@@ -228,22 +238,24 @@ def labelled_sections(lines: DataFrame, doc: str = "document", pos: str = "pos",
         return F.when(url != "", url).when(named, whole)
 
     tax = lambda v: F.when(F.length(T.digits(v)).isin(*vocab.TAX_ID_LENGTHS), T.digits(v))
+    documents = lines.select(doc)
+    # two scans read these lines, each more than once; labels are looked up once per line
+    lines = land(with_form(lines, doc, pos, text), "forms")
     plain = _listed(section_values(lines, PLAIN_KEYS, doc, pos, text, width), doc, pos, PLAIN_KEYS)
     t, form = F.col(text), F.col(FORM)
     ends = t.startswith(vocab.PAGE_FOOTER_START) | form.isin(*vocab.REVENUE_STOPS)
-    revenue_stops = [a for k in vocab.REVENUE_SECTION_STOPS for a in vocab.SECTION_LABELS[k]]
     rules = {
-        "revenue": (opens_with(form, vocab.SECTION_LABELS["revenue"]), ends | opens_with(form, revenue_stops)),
-        "contacts": (opens_with(form, vocab.SECTION_LABELS["contacts"]), ends | form.isin(*vocab.CONTACT_STOPS)),
+        "revenue": (opens_section("revenue"), ends | opens_section(*vocab.REVENUE_SECTION_STOPS)),
+        "contacts": (opens_section("contacts"), ends | form.isin(*vocab.CONTACT_STOPS)),
     }
-    marked = first_sections(with_form(lines, doc, pos, text), doc, pos, rules, width)
+    marked = first_sections(lines, doc, pos, rules, width)
     value = lambda k: F.when(F.col(k) == "label", inline_value(t, vocab.SECTION_LABELS[k])).otherwise(T.compact(t))
     found = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(F.col(k).isNotNull(), value(k)).alias("value")) for k in rules]), lambda x: F.coalesce(x["value"] != "", F.lit(False)))
     # read three times below; the lines of these sections are few, so they are written once
     members = land(marked.select(doc, pos, F.explode(found).alias("_m")).select(doc, pos, "_m.*"), "sections")
     money = _listed(members.filter("key = 'revenue'"), doc, pos, ["revenue"]).withColumn("_money", T.amount_currency(F.array_join("_revenue", " ")))
     contacts = section_contacts(members.filter("key = 'contacts'").select(doc, pos, "value"), doc, pos, width, contact_values)
-    out = lines.select(doc).distinct().join(plain, doc, "left").join(money, doc, "left").join(contacts, doc, "left")
+    out = documents.distinct().join(plain, doc, "left").join(money, doc, "left").join(contacts, doc, "left")
     out = out.select(
         doc, joined("description", " ").alias("description"), joined("industries", "; ").alias("industries"), joined("technologies", "; ").alias("technologies"),
         _first_of(head("website", websites), site).alias("website"), _first_of(head("tin", tins), tax).alias("tin"),

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sitefacts.bindings import bound, sql_of
-from sitefacts.checks import columns, people, tables
+from sitefacts.checks import columns, extract, people, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,3 +48,10 @@ def test_costly_rows_come_in_as_many_tasks_as_shuffles_have(spark, name):
 @pytest.mark.parametrize("name", ["firm_sites", "registry_address", "registry_lines"])
 def test_costly_rows_are_dealt_out_before_they_are_read(spark, name):
     assert "Repartition " in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_come_in_as_many_tasks_as_shuffles_have(spark, monkeypatch):
+    given, run = [], extract.G.labelled_sections
+    monkeypatch.setattr(extract.G, "labelled_sections", lambda lines: given.append(lines) or run(lines))
+    extract.labelled_sections(spark, "/root/testdata/sf0.001")
+    assert given[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
