@@ -32,14 +32,18 @@ def firm_sites(cards: DataFrame, firm: str, html: str, prefixes: Sequence[str] =
 def article_list(elements: DataFrame, key: str = "page_id", item_class: str = "tm-articles-list__item", link_class: str = "tm-title__link", path: str = "/ru/companies") -> DataFrame:
     """(page, pos, date, title) of the articles that carry a date and a title link below the path."""
     classes = F.split(F.coalesce(F.element_at("attrs", "class"), F.lit("")), r"\s+")
-    articles = elements.filter((F.col("tag") == "article") & F.array_contains(classes, item_class)).select(key, F.col("pos").alias("_article"))
-    parts = elements.filter((F.col("tag") == "time") | ((F.col("tag") == "a") & F.array_contains(classes, link_class)))
-    inside = parts.select(key, "pos", "tag", "attrs", "text", F.explode("ancestors").alias("_article")).join(articles, [key, "_article"])
+    is_article = (F.col("tag") == "article") & F.array_contains(classes, item_class)
+    is_part = (F.col("tag") == "time") | ((F.col("tag") == "a") & F.array_contains(classes, link_class))
+    # parts meet their article as rows of one group, so elements are read once; other ancestors' groups hold no article
+    rows = elements.filter(is_article | is_part)
+    rows = rows.select(key, "pos", "tag", "attrs", F.when(F.col("tag") == "a", F.col("text")).alias("text"), F.explode(F.when(is_article, F.array("pos")).otherwise(F.col("ancestors"))).alias("_article"))
     at = lambda tag: F.when(F.col("tag") == tag, F.col("pos"))
-    found = inside.groupBy(key, "_article").agg(
+    found = rows.groupBy(key, "_article").agg(
+        F.max(F.col("tag") == "article").alias("_is_article"),
         F.min_by(F.element_at("attrs", "datetime"), at("time")).alias("_when"),
         F.min_by(F.struct(F.element_at("attrs", "href").alias("href"), F.col("text").alias("title")), at("a")).alias("_link"),
     )
+    found = found.filter("_is_article")
     found = found.filter(F.col("_when").isNotNull() & F.col("_link.href").startswith(path))
     return found.select(key, F.col("_article").alias("pos"), F.try_to_timestamp("_when").alias("date"), F.col("_link.title").alias("title"))
 

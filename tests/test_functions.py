@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions import blocks
 from sitefacts.functions import text as T
-from sitefacts.functions.html import anchor_hrefs, html_elements, visible_text
+from sitefacts.functions.html import _Elements, anchor_hrefs, html_elements, visible_text
 from sitefacts.operators import urls as O
 
 
@@ -124,3 +124,29 @@ def test_blocks_match_plain_scans(spark):
                 total, last, first = total + n, h or last, first or h
                 want[k, p] = (total, last, first, i + 1, mine[i - 1][2] if i else None, mine[i + 1][2] if i + 1 < len(mine) else None)
         assert found == want
+
+
+def read(page, plain):
+    parser = _Elements()
+    if plain:
+        if not parser.read_plain(page):
+            return None
+    else:
+        parser.feed(page)
+        parser.close()
+    parser._flush()
+    return parser.found, parser.strings
+
+
+def test_plain_pages_are_read_as_the_full_parser_reads_them():
+    page = '<!DOCTYPE html><title>A &amp; B</title><script>var t="</p>";x(1 & 2);</script><!-- ad --><p class="x"\n id="y">a&ampb<br/>c<P>d</i></P> e &lt'
+    assert read(page, True) == read(page, False)
+    pieces = ["<p>", "</p>", '<a href="/x" class="b c">', "</a>", "<br>", "<br/>", "<b/>", "x &amp; y", "&copy", " > ", "<", "< p", "<!-- c -->", "<!-->", "<!--a--b-->", "<!x>", "<?x>", "</", "</ p>", "</>",
+        "<script>", "</script>", "</SCRIPT >", "<style>", "</style>", "<title>", "</title>", "<textarea>", "</textarea>", "<svg>", "<iframe>", "</iframe>", "<p a=1>", "<p a='<'>", '<p a="&lt;">', "<p a>", '<p a=">">', "</p x>", "</p/>", "\0", "\r\n", "<![CDATA[x]]>", "<!DOCTYPE html>"]
+    rng, taken = random.Random(3), 0
+    for _ in range(20_000):
+        page = "".join(rng.choices(pieces, k=rng.randrange(1, 9)))
+        got = read(page, True)
+        taken += got is not None
+        assert got is None or got == read(page, False), page
+    assert taken > 2_000

@@ -15,6 +15,7 @@ from sitefacts.operators import companies as C
 from sitefacts.operators import pages as P
 from sitefacts.operators import people as M
 from sitefacts.operators import prices as R
+from sitefacts.operators import profiles as E
 from sitefacts.operators import registry as G
 from sitefacts.operators.first import first_per_key, top_per_key
 from sitefacts.sources import tables as S
@@ -40,6 +41,17 @@ def test_cut_entities_in_titles_and_texts(spark):
     assert P.with_page_text(df, markdown="markdown", closed=True).first()["page_text"] == "# A Fish & Chips&amp x &copy"
 
 
+def test_articles_are_read_from_their_elements_once(spark):
+    rows = [
+        (1, 0, "article", {"class": "item x"}, "all", []), (1, 1, "time", {"datetime": "2024-01-02T03:04:05Z"}, "t", [0]), (1, 2, "a", {"class": "link", "href": "/ru/companies/1"}, "One", [0]),
+        (1, 3, "main", {}, "", []), (1, 4, "time", {"datetime": "2024-01-02T03:04:05Z"}, "t", [3]), (1, 5, "a", {"class": "link", "href": "/ru/companies/2"}, "Two", [3]), (2, 0, "article", {"class": "item"}, "", []),
+    ]
+    elements = spark.createDataFrame(rows, "page_id int, pos int, tag string, attrs map<string,string>, text string, ancestors array<int>")
+    found = E.article_list(elements, item_class="item", link_class="link")
+    assert [(r["page_id"], r["pos"], r["title"]) for r in found.collect()] == [(1, 0, "One")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_spellings_are_the_cut_product(spark):
     names = ["Щукин", "Юлия-Яна", "Хрыц", "O'Neil", "Гегегегегегегег", "ъь"]
     for most in (1, 3, 8):
