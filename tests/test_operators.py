@@ -52,6 +52,14 @@ def test_articles_are_read_from_their_elements_once(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_log_details_are_cut_before_rows_are_sorted(spark):
+    log = spark.createDataFrame([(1, "s", 1, 1, "a", "ok", "x" * 9), (1, "s", 2, 2, "b", "ok", "y" * 9)], "firm int, site string, t int, pos int, stage string, status string, details string")
+    latest = A.crawl_summary(log, "firm", "site", "t", "pos", details_chars=4)
+    assert [tuple(r) for r in latest.collect()] == [(1, "s", "b", "ok", "yyyy", 2)]
+    plan = latest._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Aggregate") < plan.index("substring")
+
+
 def test_spellings_are_the_cut_product(spark):
     names = ["Щукин", "Юлия-Яна", "Хрыц", "O'Neil", "Гегегегегегегег", "ъь"]
     for most in (1, 3, 8):
