@@ -60,6 +60,14 @@ def test_log_details_are_cut_before_rows_are_sorted(spark):
     assert 0 <= plan.index("Aggregate") < plan.index("substring")
 
 
+def test_contacts_are_looked_for_once_per_text(spark):
+    df = spark.createDataFrame([("s", 1, "u", "<p>8 (383) 255-10-11</p>"), ("s", 2, "u", "<footer>a@b.example</footer> 8 (383) 255-10-12"), ("s", 3, "u", "none")], "site string, page_id int, url string, html string")
+    found = P.extract_contacts(df, "site")
+    assert sorted((r["page_id"], r["source_scope"], r["phones"], r["emails"]) for r in found.collect()) == [(1, "page", "+73832551011", ""), (2, "footer", "", "a@b.example")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[: plan.index("Aggregate")] and "regexp_extract_all" not in "".join(l for l in plan.splitlines() if "Filter" in l)
+
+
 def test_spellings_are_the_cut_product(spark):
     names = ["Щукин", "Юлия-Яна", "Хрыц", "O'Neil", "Гегегегегегегег", "ъь"]
     for most in (1, 3, 8):
