@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitefacts import vocab
-from sitefacts.bindings import bound, define, sql_of, table
+from sitefacts.bindings import bound, define, spread, sql_of, table
 from sitefacts.checks.base import list_sql, parts_sql, query, under_sql
 from sitefacts.checks.urls import FIELD, KINDS, LINKS, SHARE
 from sitefacts.operators import companies as C
@@ -231,7 +231,8 @@ def replace_children(spark, sf):
 def imported_twice(spark, sf):
     """A store after two imports: all customers with their orders as prices, then one segment anew."""
     root = work_path(spark, "companies")
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    # new prices of a company are told apart in the map tasks, so each of these must not be one for the whole table
+    c, o = spread(table(spark, sf, "customer")), spread(table(spark, sf, "orders"))
     building = c.where("c_mktsegment = 'BUILDING'")
     name = lambda k: F.concat(F.lit("c"), F.col(k).cast("string"), F.lit(".example.com")).alias("domain")
     nothing = spark.createDataFrame([], CS.TABLES["specialists"])

@@ -55,3 +55,10 @@ def test_sections_come_in_as_many_tasks_as_shuffles_have(spark, monkeypatch):
     monkeypatch.setattr(extract.G, "labelled_sections", lambda lines: given.append(lines) or run(lines))
     extract.labelled_sections(spark, "/root/testdata/sf0.001")
     assert given[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_imports_come_in_as_many_tasks_as_shuffles_have(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(tables.CS, "import_to_store", lambda session, root, contacts, prices, people, **options: given.append(prices))
+    tables.imported_twice(spark, "/root/testdata/sf0.001")
+    assert given[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
