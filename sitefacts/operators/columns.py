@@ -300,36 +300,75 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
     return df.withColumns(out).drop("_doc", "_fields", "_values", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
 
 
-def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
+#: a string that starts like a list or an object somewhere in a JSON text
+BRACKET_TEXT = r"""["'](?:[\[{]|\\u00[57][bB])"""
+#: the text of a JSON number or truth value
+BARE_TEXT = r"^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+\-]?[0-9]+)?|true|false|[+\-]?(?:NaN|INF|Infinity))$"
+
+
+def _opened(level: DataFrame, key: str) -> DataFrame:
+    """The members of the containers of a level, by kind; texts stay as they are, other values go.
+
+    What a member is shows in its text, unless a string looks like a container, a number or a truth
+    value; only a container with such a member is read a second time, with typed values.
+    """
+    none, is_object = F.lit(None).cast("string"), F.col("kind") == "object"
+    texts = F.when(is_object, F.from_json("value", "map<string,string>"))
+    items = T.let(F.from_json("value", "array<string>"), lambda all_: F.transform(all_, lambda v: F.struct(none.alias("key"), v.alias("value"))))
+    members = F.when(F.col("kind") != "text", F.when(is_object, F.map_entries(texts)).otherwise(items))
+    level = level.withColumn("_members", members)
+    brackets = F.col("value").rlike(BRACKET_TEXT)
+    unsure = F.exists("_members", lambda m: F.coalesce(m["value"].rlike(BARE_TEXT), F.lit(False)))
+    typed = F.when(is_object, F.map_values(F.from_json("value", "map<string,variant>"))).otherwise(F.from_json("value", "array<variant>"))
+    level = level.withColumn("_typed", F.when((F.col("kind") != "text") & (brackets | unsure), typed))
+
+    level = level.withColumn("_typed", F.coalesce("_typed", F.array().cast("array<variant>")))
+    itself = F.array(F.struct(F.col("key").alias("key"), F.col("value").alias("value")))
+    members = F.when(F.col("kind") == "text", itself).otherwise(F.col("_members"))
+    rows = level.select(key, "seq", "owner", F.col("kind").alias("_of"), F.posexplode(F.arrays_zip(members.alias("m"), F.col("_typed").alias("t"))).alias("_i", "_m"))
+    rows = rows.select(key, "seq", "owner", "_of", "_i", F.col("_m.m.key").alias("key"), F.col("_m.m.value").alias("value"), F.col("_m.t").alias("_t"))
+    start, stays = F.substr("value", F.lit(1), F.lit(1)), F.col("_of") == "text"
+    checked = (
+        F.when(~start.isin("{", "["), F.when(F.schema_of_variant("_t") == "STRING", F.lit("text")))
+        .when(F.try_variant_get("_t", "$", "map<string,variant>").isNotNull(), F.lit("object"))
+        .when(F.try_variant_get("_t", "$", "array<variant>").isNotNull(), F.lit("list"))
+        .otherwise(F.lit("text"))
+    )
+    kind = (
+        F.when(F.col("value").isNull(), none)
+        .when(stays, F.lit("text"))
+        .when(F.col("_t").isNotNull(), checked)
+        .when(start == "{", F.lit("object"))
+        .when(start == "[", F.lit("list"))
+        .otherwise(F.lit("text"))
+    )
+    return rows.select(
+        key,
+        F.when(stays, F.col("seq")).otherwise(F.concat("seq", F.array("_i"))).alias("seq"),
+        F.when(stays, F.col("owner")).when(F.col("_of") == "object", F.col("seq")).alias("owner"),
+        "key", "value", kind.alias("kind"),
+    ).where("kind IS NOT NULL")
+
+
+def json_nodes(df: DataFrame, key: str, json_col: str, levels: int = 5) -> DataFrame:
     """One row per string value in a JSON payload: its path (``seq``, places in reading order, so that
     paths sort like the text), the path of the object that holds it (``owner``, NULL inside a plain list)
     and its field name.
 
-    Lists and objects are opened level by level, however deep; each level is one landed job, over the
-    containers that the one before has found. Containers travel as text, which keeps the order of fields.
+    Lists and objects are opened level by level, however deep; ``levels`` of them make one landed job, over
+    the containers that the one before has left. Containers travel as text, which keeps the order of fields.
     Texts that are no JSON, or that repeat a field of an object, have no nodes.
     """
     whole = F.when(F.try_parse_json(json_col).isNotNull(), F.concat(F.lit("["), F.col(json_col), F.lit("]")))
     none = F.lit(None)
-    level = df.select(key, F.array().cast("array<int>").alias("seq"), none.cast("string").alias("key"), whole.alias("value"), F.lit("list").alias("kind")).where("value IS NOT NULL")
+    level = df.select(
+        key, F.array().cast("array<int>").alias("seq"), none.cast("array<int>").alias("owner"), none.cast("string").alias("key"), whole.alias("value"), F.lit("list").alias("kind")
+    ).where("value IS NOT NULL")
     found = None
     while True:
-        is_object = F.col("kind") == "object"
-        texts, values = F.from_json("value", "map<string,string>"), F.from_json("value", "map<string,variant>")
-        items, typed = F.from_json("value", "array<string>"), F.from_json("value", "array<variant>")
-        fields = F.when(is_object, F.arrays_zip(F.map_keys(texts).alias("key"), F.map_values(texts).alias("value"), F.map_values(values).alias("typed"))).otherwise(
-            F.arrays_zip(F.transform(items, lambda _: none.cast("string")).alias("key"), items.alias("value"), typed.alias("typed"))
-        )
-        kind = (
-            F.when(F.col("_f.value").isNull(), None)
-            .when(~F.substr("_f.value", F.lit(1), F.lit(1)).isin("{", "["), F.when(F.schema_of_variant("_f.typed") == "STRING", "text"))
-            .when(F.try_variant_get("_f.typed", "$", "map<string,variant>").isNotNull(), "object")
-            .when(F.try_variant_get("_f.typed", "$", "array<variant>").isNotNull(), "list")
-            .otherwise("text")
-        )
-        opened = level.select(key, F.col("seq").alias("_above"), F.when(is_object, F.col("seq")).alias("owner"), F.posexplode(fields).alias("_i", "_f"))
-        opened = opened.select(key, F.concat("_above", F.array("_i")).alias("seq"), "owner", F.col("_f.key").alias("key"), F.col("_f.value").alias("value"), kind.alias("kind"))
-        opened = land(opened.where("kind IS NOT NULL"), "json-level")
+        for _ in range(levels):
+            level = _opened(level, key)
+        opened = land(level, "json-level")
         texts_here = opened.where("kind = 'text'").select(key, "seq", "owner", "key", "value")
         found = texts_here if found is None else found.unionByName(texts_here)
         level = opened.where("kind <> 'text'")
@@ -346,33 +385,42 @@ def discover_entities(df: DataFrame, key: str, json_col: str, base: str, path: s
     links = ("href", "url", "link", "path", "publicUrl")
     ids = ("id", "uuid", "startupId", "questionnaireId", "entityId", "profileId")
     nodes = json_nodes(df, key, json_col)
-    rank_of = lambda words: F.array_position(T.literals(words), F.col("key"))
+    rank_of = lambda words: F.coalesce(*[F.when(F.col("key") == w, F.lit(i)) for i, w in enumerate(words, 1)])
     text = T.compact(T.text_of("value"))
-    owners = (
-        nodes.filter(F.col("key").isin(*names) & (text != "") & F.col("owner").isNotNull())
-        .groupBy(key, "owner")
-        .agg(F.min_by(text, rank_of(names)).alias("_name"))
-    )
     uuid = F.regexp_extract("value", f"\\b{vocab.UUID_PATTERN}\\b", 0)
-    by_id = F.when(uuid != "", F.concat(F.lit(f"{base}{path}"), uuid))
     absolute = F.when(F.col("value").rlike("^https?://"), F.col("value")).when(
         F.col("value").startswith("/"), F.concat(F.lit(base), F.col("value"))
     )
-    by_link = F.when(F.contains(absolute, F.lit(path)), F.regexp_extract(absolute, "^([^?#]*)", 1))
-    field = rank_of(links + ids)
-    named = F.coalesce(field > 0, F.lit(False)) & F.col("owner").isNotNull()
-    is_id = named & F.col("key").isin(*ids)
-    tries = F.array(
-        F.struct(F.when(named, F.col("owner")).otherwise(F.col("seq")).alias("at"), F.when(named, field * 2).otherwise(F.lit(0)).alias("step"), F.when(~is_id, by_link).alias("url"), named.alias("named")),
-        F.struct(F.when(named, F.col("owner")).otherwise(F.col("seq")).alias("at"), F.when(named, field * 2 + 1).otherwise(F.lit(1)).alias("step"), by_id.alias("url"), named.alias("named")),
+    owned = F.col("owner").isNotNull()
+    nodes = nodes.withColumns(
+        {
+            "_rank": F.when(owned, rank_of(names)),
+            "_field": F.when(owned, rank_of(links + ids)),
+            "_is_id": owned & F.coalesce(F.col("key").isin(*ids), F.lit(False)),
+            "_uuid": uuid,
+            "_whole": absolute,
+        }
     )
+    nodes = nodes.withColumns(
+        {
+            "_text": F.when(F.col("_rank").isNotNull(), T.empty_to_null(text)),
+            "_by_link": F.when(~F.col("_is_id") & F.contains("_whole", F.lit(path)), F.regexp_extract("_whole", "^([^?#]*)", 1)),
+            "_by_id": F.when(F.col("_uuid") != "", F.concat(F.lit(f"{base}{path}"), F.col("_uuid"))),
+        }
+    )
+    named, step = F.col("_field").isNotNull(), F.coalesce(F.col("_field") * 2, F.lit(0))
+
+    def entity(url: str, late: int) -> Column:
+        at = F.when(named, F.col("owner")).otherwise(F.col("seq"))
+        return F.when(F.col(url).isNotNull(), F.struct(at.alias("at"), (step + late).alias("step"), F.col(url).alias("url"), named.alias("named")))
+
+    # all that follows stays with its payload, so the nodes that matter are shuffled once, by key
+    nodes = nodes.where("_text IS NOT NULL OR _by_link IS NOT NULL OR _by_id IS NOT NULL")
+    nodes = nodes.select(key, "owner", "_text", F.when(F.col("_text").isNotNull(), F.col("_rank")).alias("_rank"), entity("_by_link", 0).alias("_link"), entity("_by_id", 1).alias("_id")).repartition(F.col(key))
+    owners = nodes.groupBy(key, "owner").agg(F.min_by("_text", "_rank").alias("_name"), F.concat(F.collect_list("_link"), F.collect_list("_id")).alias("_tries"))
     found = (
-        nodes.withColumn("_t", F.explode(tries))
-        .filter(F.col("_t.url").isNotNull())
-        .select(key, "owner", "_t.*")
-        .join(owners, [key, "owner"], "left")
-        .withColumn("_name", F.when(F.col("named"), F.col("_name")))
-        .withColumn("_at", F.struct("at", "step"))
+        owners.select(key, "_name", F.explode("_tries").alias("_t"))
+        .select(key, F.struct("_t.at", "_t.step").alias("_at"), "_t.url", F.when(F.col("_t.named"), F.col("_name")).alias("_name"))
         .groupBy(key, "url")
         .agg(F.min("_at").alias("_at"), F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_at"))).alias("name"))
     )

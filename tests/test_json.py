@@ -4,6 +4,7 @@ import json
 import random
 
 from sitefacts.operators import columns as O
+from sitefacts.session import land
 
 TEXTS = ["", "x", "{", "[1]", '{"a":1}', " [", "é ", "12", "null", "a\\b\"c", "/main/startups/s", "1.50"]
 
@@ -77,3 +78,15 @@ def test_form_values(spark):
         first = lambda name: next((f["value"] for f in fields if f["sysName"].strip() == name), None)
         note = brute_texts(first("project_note"))
         assert got[i] == (note[0] if note else "", brute_texts(first("project_industry")))
+
+
+def test_entities_are_opened_in_few_jobs_and_shuffled_once(spark, monkeypatch):
+    rows = [(1, json.dumps({"items": [{"title": "[a]", "url": "/main/startups/a"}, {"n": [5, "/main/startups/b"]}, {"name": 5, "url": "/main/startups/c"}]})), (2, "{")]
+    df = spark.createDataFrame(rows, "id int, j string")
+    landed = []
+    monkeypatch.setattr(O, "land", lambda df, name: landed.append(name) or land(df, name))
+    found = O.discover_entities(df, "id", "j", "https://x.example.com")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert landed == ["json-level"]
+    base = "https://x.example.com/main/startups/"
+    assert sorted(map(tuple, found.collect())) == [(1, 1, base + "a", "[a]"), (1, 2, base + "b", "startup_2"), (1, 3, base + "c", "startup_3")]
