@@ -45,19 +45,19 @@ def registry_extract(lines: DataFrame, doc: str = "document", pos: str = "pos",
     A heading may run over three more lines. A surname line takes the first name and patronymic lines
     within the next seven, up to a heading or another surname.
     """
-    rows = numbered(lines.select(doc, pos, F.col(text).alias("_t")), [doc], pos, "_n", width)
-    rows = rows.withColumns(
-        {
-            "_head": is_heading(F.col("_t")),
-            "_stop": is_heading(F.col("_t")) | is_numbered(F.col("_t")),
-            "_flat": T.compact(F.lower("_t")),
-            "_sur": labelled(F.col("_t"), vocab.SURNAME_LABEL),
-            "_first": labelled(F.col("_t"), vocab.NAME_LABEL),
-            "_patr": labelled(F.col("_t"), vocab.PATRONYMIC_LABEL),
-        }
+    t = F.col(text)
+    rows = lines.select(
+        doc,
+        pos,
+        is_heading(t).alias("_head"),
+        (is_heading(t) | is_numbered(t)).alias("_stop"),
+        T.compact(F.lower(t)).alias("_flat"),
+        labelled(t, vocab.SURNAME_LABEL).alias("_sur"),
+        labelled(t, vocab.NAME_LABEL).alias("_first"),
+        labelled(t, vocab.PATRONYMIC_LABEL).alias("_patr"),
     )
-    # the rows feed a window and, below, a scan that reads its input twice
-    rows = land(rows.drop("_t"), "lines")
+    # numbering, the window and the scan below read their rows twice each, so the lines are read once before them
+    rows = land(numbered(land(rows, "lines"), [doc], pos, "_n", width).drop(pos), "lines")
     rows, window = with_lookahead(rows, [doc], "_n", 7, width)
     more = [F.lead(F.struct("_stop", "_flat"), i).over(window) for i in (1, 2, 3)]
     ahead = window.rowsBetween(1, 7)

@@ -18,6 +18,7 @@ from sitefacts.operators import prices as R
 from sitefacts.operators import profiles as E
 from sitefacts.operators import registry as G
 from sitefacts.operators.first import first_per_key, top_per_key
+from sitefacts.session import land
 from sitefacts.sources import tables as S
 
 
@@ -282,3 +283,13 @@ def test_slices_of_sparse_orders(spark):
     want = [(p, i + 1) for i, (p, ident) in enumerate(order) if 101 <= i + 1 <= 4000 and ident.strip()][:700]
     got = S.slice_rows(df, "p", "ident", 101, 4000, 700)
     assert sorted((r["p"], r["row_number"]) for r in got.collect()) == want
+
+
+def test_registry_lines_are_read_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, "Сведения об участниках / учредителях юридического лица"), (1, 2, "1 Фамилия Иванов"), (1, 3, "Имя Иван")], "document int, pos int, text string")
+    plans = []
+    monkeypatch.setattr(G, "land", lambda rows, name: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or land(rows, name))
+    found = G.registry_extract(df)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("LogicalRDD") for p in plans) == 1
+    assert [tuple(r) for r in found.collect()] == [(1, "founders", "Иванов Иван", 2)]
