@@ -62,3 +62,10 @@ def test_imports_come_in_as_many_tasks_as_shuffles_have(spark, monkeypatch):
     monkeypatch.setattr(tables.CS, "import_to_store", lambda session, root, contacts, prices, people, **options: given.append(prices))
     tables.imported_twice(spark, "/root/testdata/sf0.001")
     assert given[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_site_counts_parses_its_pages_once(spark, monkeypatch):
+    parsed, elements = [], extract.html_elements
+    monkeypatch.setattr(extract, "html_elements", lambda pages, **options: parsed.append(options["tags"]) or elements(pages, **options))
+    entry.queries()["site_counts"](spark, SF)
+    assert len(parsed) == 1
