@@ -211,13 +211,16 @@ def _variant_text(v: Column) -> Column:
 def _named_text(item: Column) -> Column:
     """Text of a list item; of an object its name, else its value, else its metric value, if that is text."""
 
-    def field(name: str) -> Column:
-        found = F.try_variant_get(item, f"$.{name}", "variant")
+    def text(found: Column) -> Column:
         return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
-    is_object = F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
-    return F.when(is_object, T.compact(T.text_of(F.coalesce(*[field(n) for n in ("name", "value", "metric_value")])))).otherwise(
-        _variant_text(item)
+    # one cast finds all three; a path that leads nowhere costs an exception in Spark
+    named = F.try_variant_get(item, "$", "struct<name: variant, value: variant, metric_value: variant>")
+    return T.let(
+        named,
+        lambda o: F.when(o.isNotNull(), T.compact(T.text_of(F.coalesce(*[text(o[n]) for n in ("name", "value", "metric_value")])))).otherwise(
+            _variant_text(item)
+        ),
     )
 
 
@@ -225,13 +228,15 @@ def variant_texts(v: Column, depth: int = 1) -> Column:
     """Texts of a JSON value: list items by name, value or metric_value, a nested value once deeper."""
 
     def of(value: Column) -> Column:
-        inner = F.try_variant_get(value, "$.value", "variant")
-        nested = variant_texts(inner, depth - 1) if depth else F.filter(F.array(_variant_text(inner)), lambda t: t != "")
+        def of_inner(inner: Column) -> Column:
+            nested = variant_texts(inner, depth - 1) if depth else plain(inner)
+            return F.when(inner.isNotNull(), nested).otherwise(plain(value))
+
         return T.let(
             F.try_variant_get(value, "$", "array<variant>"),
-            lambda items: F.when(items.isNotNull(), _distinct_by_lower(F.transform(items, _named_text)))
-            .when(inner.isNotNull(), nested)
-            .otherwise(F.filter(F.array(_variant_text(value)), lambda t: t != "")),
+            lambda items: F.when(items.isNotNull(), _distinct_by_lower(F.transform(items, _named_text))).otherwise(
+                T.let(F.try_variant_get(value, "$", "struct<value: variant>")["value"], of_inner)
+            ),
         )
 
     plain = lambda value: F.filter(F.array(_variant_text(value)), lambda t: t != "")
@@ -277,12 +282,10 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
     df = df.withColumns({k: F.element_at("_texts", i + 1) for i, k in enumerate(wanted)})
     one = lambda k: F.coalesce(F.try_element_at(F.col(k), F.lit(1)), F.lit(""))
     df = df.withColumns({"_mail1": F.lower(one("_email")), "_phone1": T.phone(one("_phone")), "_name1": one("_name")})
-    money = F.try_element_at(
-        F.filter(F.transform(F.filter("_revenue", lambda t: t.rlike("[0-9]")), lambda t: T.amount_currency(t)), lambda m: m["amount"] != ""), F.lit(1)
-    )
-    df = df.withColumn("_money", money)
+    # an amount never runs over the sign between two texts, so the first one of all texts is that of the first text with one
+    df = df.withColumns({"_money": T.amount_currency(F.array_join("_revenue", "\0")), "_digits1": T.digits(F.col("_phone1"))})
     hidden = F.col("_mail1").isin(*vocab.IGNORED_EMAILS) | T.is_masked(F.col("_mail1"))
-    shown = T.is_likely_phone(F.col("_phone1")) & ~T.is_masked(F.col("_phone1"))
+    shown = T.is_phone_of(F.col("_phone1"), F.col("_digits1")) & ~T.is_masked(F.col("_phone1"))
     out = {
         "tin": T.tax_id(one("_tin")),
         "country": one("_country"),
@@ -297,7 +300,7 @@ def pivot_form_fields(df: DataFrame, json_col: str) -> DataFrame:
         "contact_email": F.when(hidden, F.lit("")).otherwise(F.col("_mail1")),
         "contact_phone": F.when(shown, F.col("_phone1")).otherwise(F.lit("")),
     }
-    return df.withColumns(out).drop("_doc", "_fields", "_values", "_mail1", "_phone1", "_name1", "_money", "_texts", *wanted)
+    return df.withColumns(out).drop("_doc", "_fields", "_values", "_mail1", "_phone1", "_digits1", "_name1", "_money", "_texts", *wanted)
 
 
 #: a string that starts like a list or an object somewhere in a JSON text

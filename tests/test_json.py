@@ -80,6 +80,20 @@ def test_form_values(spark):
         assert got[i] == (note[0] if note else "", brute_texts(first("project_industry")))
 
 
+def test_form_values_are_read_without_failing_paths(spark):
+    inner = [{"value": "v"}, {"value": None}, {"value": ["p", "P", {"name": 5, "metric_value": "m"}]}, {"other": 1}, [{"other": 1}, {"name": None, "value": "w"}, ["n"], None]]
+    rows = [(i, json.dumps({"forms": [None, {"form": [{"fields": [None, {"sysName": "project_industry", "value": v}]}]}]})) for i, v in enumerate(inner)]
+    money = [["none 5", "12 000 руб.", "7 $"], ["12", "USD"], "3,5 €"]
+    rows += [(10 + i, json.dumps({"forms": [{"form": [{"fields": [{"sysName": "questionnaire_metricRevenue", "value": v}]}]}]})) for i, v in enumerate(money)]
+    df = O.pivot_form_fields(spark.createDataFrame(rows, "id int, j string"), "j")
+    # a path that leads nowhere costs an exception, so objects are cast whole
+    assert "$." not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in df.collect()}
+    assert [got[i]["industries"] for i in range(4)] == [["v"], [], ["p", "m"], ['{"other":1}']]
+    assert got[4]["industries"][0] == "w"
+    assert [(got[10 + i]["revenue_amount"], got[10 + i]["revenue_currency"]) for i in range(3)] == [("12000", "RUB"), ("", ""), ("35", "EUR")]
+
+
 def test_entities_are_opened_in_few_jobs_and_shuffled_once(spark, monkeypatch):
     rows = [(1, json.dumps({"items": [{"title": "[a]", "url": "/main/startups/a"}, {"n": [5, "/main/startups/b"]}, {"name": 5, "url": "/main/startups/c"}]})), (2, "{")]
     df = spark.createDataFrame(rows, "id int, j string")
