@@ -69,3 +69,31 @@ def test_site_counts_parses_its_pages_once(spark, monkeypatch):
     monkeypatch.setattr(extract, "html_elements", lambda pages, **options: parsed.append(options["tags"]) or elements(pages, **options))
     entry.queries()["site_counts"](spark, SF)
     assert len(parsed) == 1
+
+
+def page_table(path, rows):
+    values = ", ".join(f"({i}, '{url}', '{html}')" for i, url, html in rows)
+    with duckdb.connect() as con:
+        con.sql(f"COPY (SELECT page_id::BIGINT AS page_id, url, html FROM (VALUES {values}) t(page_id, url, html)) TO '{path}/pages.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
+        return con.sql(entry.oracle_sql()["site_counts"]).fetchall()
+
+
+def test_site_counts_hold_all_that_is_found_on_a_site(spark, tmp_path):
+    rows = [(i, f"https://www.one.example.com/{i}", "<body><article>a</article></body>") for i in (1, 2, 4, 41)] + [(5, "https://two.example.com/", "<article>b</article>")]
+    want = page_table(tmp_path, rows)
+    found = entry.queries()["site_counts"](spark, str(tmp_path)).select("site", "pages", "prices", "specialists", "contacts", "links", "booking_mode")
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(want)
+    # page 4 names nobody but a namesake without a role, and pages 1 and 41 show the same contacts
+    assert [r[:5] for r in got] == [("https://one.example.org/", 4, 12, 3, 3), ("https://two.example.org/", 1, 3, 1, 1)]
+
+
+def test_site_counts_keep_pages_of_one_id_apart(spark, tmp_path):
+    # the elements of the second page stand two places on, where its rows would take the cells of the first
+    rows = [(1, "https://one.example.com/", "<article>a</article>"), (1, "https://two.example.com/", "<b>x</b><b>y</b><article>a</article>")]
+    page_table(tmp_path, [*rows, rows[1], (3, "https://none.example.com/", "<p>no such parts</p>")])
+    found = entry.queries()["site_counts"](spark, str(tmp_path)).select("site", "pages", "prices", "specialists", "contacts", "booking_mode")
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("https://none.example.org/", 1, 0, 0, 0, "none"), ("https://one.example.org/", 1, 3, 1, 1, "form+widget"), ("https://two.example.org/", 2, 3, 1, 1, "form+widget"),
+    ]
